@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,14 +43,21 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder; it is deleted when the driver ends."""
+#: Paths written so far, with whether they outlive the scratch block they were written in.
+_written: dict[str, bool] = {}
+
+
+def shared_path(spark: SparkSession, label: str, keep: bool = False) -> str:
+    """A new path in the shared folder; it is deleted with its scratch block, or when the driver ends."""
     path = f"{shared_dir(spark)}/marketloom-{label}-{uuid.uuid4().hex}"
+    _written[path] = keep
     atexit.register(_forget, spark, path)
     return path
 
 
 def _forget(spark: SparkSession, path: str) -> None:
+    if _written.pop(path, None) is None:
+        return
     try:
         where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
@@ -57,9 +65,18 @@ def _forget(spark: SparkSession, path: str) -> None:
         pass
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+@contextmanager
+def scratch(spark: SparkSession):
+    """What is materialized inside, and not to be kept, is deleted at the end of the block."""
+    before = set(_written)
+    yield
+    for path in [p for p, keep in _written.items() if p not in before and not keep]:
+        _forget(spark, path)
+
+
+def materialize(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """df as a table in the shared folder: computed once, lineage cut, whole after the loss of executors."""
-    path = shared_path(df.sparkSession, label)
+    path = shared_path(df.sparkSession, label, keep)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

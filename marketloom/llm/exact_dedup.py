@@ -20,7 +20,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, has_file_metadata, materialize, shared_path, table, text_or_empty
+from .common import SPACE, has_file_metadata, materialize, scratch, shared_path, table, text_or_empty
 
 #: Locators of up to this many rows (some 200 bytes each) are broadcast; beyond it the texts are joined by shuffle.
 BROADCAST_ROWS = 100_000
@@ -115,8 +115,12 @@ def classes(docs: DataFrame, digest_bytes: int = 32, state: str | None = None) -
 
 def dedup_documents(docs: DataFrame, state: str | None = None) -> DataFrame:
     """The rows of docs that stay, with all columns of docs."""
-    docs, rows = classes(docs, state=state)
-    gone = materialize(rows.where(~F.col("kept")).select(F.col("file").alias("_ml_file"), F.col("row").alias("_ml_row")), "dropped")
+    if not has_file_metadata(docs):
+        docs = materialize(docs, "contents", keep=True)
+    with scratch(docs.sparkSession):
+        _, rows = classes(docs, state=state)
+        gone = rows.where(~F.col("kept")).select(F.col("file").alias("_ml_file"), F.col("row").alias("_ml_row"))
+        gone = materialize(gone, "dropped", keep=True)
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
     at = docs.select("*", F.col("_metadata.file_path").alias("_ml_at"), F.col("_metadata.row_index").alias("_ml_index"))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialize, maybe_broadcast, table, text_or_empty, word_count
+from .common import materialize, maybe_broadcast, scratch, table, text_or_empty, word_count
 
 #: Source tables of up to this many rows are broadcast (a few dozen bytes a row); larger ones are joined by shuffle.
 BROADCAST_SOURCES = 50_000
@@ -82,12 +82,12 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epo
     No text is cut here: a document is in the last epoch if at least half of it lies within its source's budget. As the
     keys order each source, the decision of a source is one bound on (key, doc_id, size), so texts are not shuffled.
     """
-    plan = mixed(docs, weights, max_epochs, seed)
     inside = (F.col("size") > 0) & (2 * (F.col("rest") - F.col("start")) >= F.col("size"))
-    cuts = plan.groupBy(F.col("source").alias("_ml_source")).agg(
-        F.first("epochs").alias("_ml_epochs"), F.max(F.when(inside, F.struct("key", "doc_id"))).alias("_ml_cut")
-    )
-    cuts = materialize(cuts, "cuts")
+    with scratch(docs.sparkSession):
+        cuts = mixed(docs, weights, max_epochs, seed).groupBy(F.col("source").alias("_ml_source")).agg(
+            F.first("epochs").alias("_ml_epochs"), F.max(F.when(inside, F.struct("key", "doc_id"))).alias("_ml_cut")
+        )
+        cuts = materialize(cuts, "cuts", keep=True)
     own = F.struct(random_key(seed).alias("key"), F.col("doc_id"))
     copies = F.col("_ml_epochs") + F.when(own <= F.col("_ml_cut"), 1).otherwise(0)
     rows = docs.join(maybe_broadcast(cuts, BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("_ml_source")))

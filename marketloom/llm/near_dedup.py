@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, maybe_broadcast, table
+from .common import materialize, maybe_broadcast, scratch, table
 
 TREES = 24
 ROOT = 4
@@ -190,18 +190,22 @@ def compare(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return whole.groupBy("block").applyInPandas(lambda pdf: block_links(pdf, percent), "a long, b long")
 
 
+def star_step(edges: DataFrame) -> DataFrame:
+    """One large star and one small star: nodes are hung on ever smaller neighbours, components stay the same."""
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("least"))
+    large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
+    lowest = large.groupBy("a").agg(F.min("b").alias("least"))
+    small = large.join(lowest, "a").where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
+    return small.unionByName(lowest.select("a", F.col("least").alias("b"))).where("a <> b").distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
-    """node, comp (the smallest node reachable) of each node that has a link, by large and small stars."""
-    edges = materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
+    """node, comp (the smallest node reachable) of each node that has a link."""
     state = None
+    edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("least"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
-        lowest = large.groupBy("a").agg(F.min("b").alias("least"))
-        small = large.join(lowest, "a")
-        small = small.where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b")).unionByName(lowest.select("a", F.col("least").alias("b")))
-        edges = materialize(small.where("a <> b").distinct(), "stars")
+        edges = materialize(star_step(edges), "stars")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             break
@@ -232,15 +236,14 @@ def crowded_rest(mates: DataFrame, comps: DataFrame | None, block: int = BLOCK,
     return left.unionByName(right).select(F.xxhash64("region", "i", "j").alias("block"), "node", "comp", "side")
 
 
-def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
-    found = materialize(sketches(docs, width), "sketches")
+def near_components(docs: DataFrame, found: DataFrame, width: int, percent: int, block: int) -> DataFrame:
+    """node, comp of all that is linked."""
     real = found.where("doc_id IS NOT NULL AND n_shingles > 0")
     nodes = real.groupBy("same").agg(F.min("doc_id").alias("node"), F.first("values").alias("values"))
     nodes = materialize(nodes, "nodes")
     # Rows that repeat a doc_id, and copies, hang on the node of their set.
     copies = real.select("same", "doc_id").join(nodes.select("same", "node"), "same").where("doc_id <> node")
-    copies = materialize(copies.select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct(), "copies")
+    copies = copies.select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct()
     mates = materialize(regions(nodes), "mates")
     dealt = materialize(blocks(mates, block), "blocks")
     sets = materialize(full_sets(docs, dealt.select("node").distinct(), width), "sets")
@@ -253,9 +256,17 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, block: int =
     rest = materialize(crowded_rest(mates, comps, block), "rest")
     if rest.limit(1).count():
         links = links.unionByName(materialize(compare(rest, sets, percent), "found"))
-    comps = components(links.unionByName(copies))
+    return components(links.unionByName(copies))
+
+
+def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept."""
+    with scratch(docs.sparkSession):
+        found = materialize(sketches(docs, width), "sketches")
+        comps = materialize(near_components(docs, found, width, percent, block), "components", keep=True)
+        found = materialize(found.select("doc_id", "n_shingles"), "sizes", keep=True)
     comps = comps.withColumnRenamed("node", "doc_id")
-    out = found.select("doc_id", "n_shingles").join(maybe_broadcast(comps, BROADCAST_NODES), "doc_id", "left")
+    out = found.join(maybe_broadcast(comps, BROADCAST_NODES), "doc_id", "left")
     comp = F.coalesce("comp", "doc_id")
     return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(comp == F.col("doc_id"), F.lit(True)).alias("kept"))
 

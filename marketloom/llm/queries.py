@@ -6,13 +6,17 @@ from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .mixing import op1_mix_sources
 from .near_dedup import op7_near_dedup
 from .packing import op3_pack_sequences
+from .personal import op9_personal_data
 from .quality import op6_quality_rules
+from .secret_scan import op2_secret_scan
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_secret_scan": op2_secret_scan,
     "op3_pack_sequences": op3_pack_sequences,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op7_near_dedup": op7_near_dedup,
+    "op9_personal_data": op9_personal_data,
 }
 ORACLE_SQL = {"op5_exact_dedup": OP5_SQL}

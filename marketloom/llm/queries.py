@@ -9,6 +9,7 @@ from .packing import op3_pack_sequences
 from .personal import op9_personal_data
 from .quality import op6_quality_rules
 from .secret_scan import op2_secret_scan
+from .suffix_tree import op10_lm_score
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
@@ -18,5 +19,6 @@ QUERIES = {
     "op6_quality_rules": op6_quality_rules,
     "op7_near_dedup": op7_near_dedup,
     "op9_personal_data": op9_personal_data,
+    "op10_lm_score": op10_lm_score,
 }
 ORACLE_SQL = {"op5_exact_dedup": OP5_SQL}

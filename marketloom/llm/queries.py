@@ -6,6 +6,7 @@ from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .mixing import op1_mix_sources
 from .near_dedup import op7_near_dedup
 from .packing import op3_pack_sequences
+from .page_text import op8_page_text
 from .personal import op9_personal_data
 from .quality import op6_quality_rules
 from .secret_scan import op2_secret_scan
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op7_near_dedup": op7_near_dedup,
+    "op8_page_text": op8_page_text,
     "op9_personal_data": op9_personal_data,
     "op10_lm_score": op10_lm_score,
 }

@@ -1,6 +1,400 @@
-"""All queries by name, with the same in SQL."""
+"""The library's queries over the plain tables, each with the same in SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import attributes as A
+from ..functions import scoring as S
+from ..functions import titles as T
+from ..operators import alerts as al
+from ..operators import evals, market, series, state
+from ..sources import feed
+from .fixtures import AS_OF, oracle, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, *views: str):
+    """Registers a function of a table reader under its name."""
+
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: table(spark, sf_dir, name))
+        if sql:
+            ORACLE_SQL[f.__name__] = oracle(sql, *views)
+        return f
+
+    return add
+
+
+UNIT = "CASE WHEN quantity > 1 THEN (price + coalesce(shipping_cost, 0)) / quantity ELSE price + coalesce(shipping_cost, 0) END"
+MONEY = "cast(cast(cast({} AS decimal(20,6)) AS decimal(10,2)) AS double)".format
+SINCE = f"TIMESTAMP '{AS_OF}' - INTERVAL 90 DAY"
+BASE = f"""(SELECT product_key, sample_count, {", ".join(f"{MONEY(f'p[{k}]')} AS p{n}" for k, n in enumerate((10, 25, 50, 75, 90), 1))}, {MONEY("m")} AS mean FROM (
+  SELECT product_key, count(*) AS sample_count, quantile_cont(u, [0.1, 0.25, 0.5, 0.75, 0.9]) AS p, avg(u) AS m FROM (SELECT *, {UNIT} AS u FROM listings)
+  WHERE active AND condition_norm <> 'for_parts' AND updated_at >= {SINCE} GROUP BY product_key HAVING count(*) >= 5))"""
+
+
+def lerp(lo: str, hi: str, a: float, b: float) -> str:
+    return f"CASE WHEN {hi} = {lo} THEN {a}.0e0 ELSE {a} + (unit_price - {lo}) / ({hi} - {lo}) * ({b - a}) END"
+
+
+PRICE = f"""CASE WHEN sample_count IS NULL OR sample_count < 10 THEN 50.0e0 WHEN unit_price <= p10 THEN 100.0e0 WHEN unit_price <= p25 THEN {lerp("p10", "p25", 100, 70)}
+  WHEN unit_price <= p50 THEN {lerp("p25", "p50", 70, 30)} WHEN unit_price <= p75 THEN {lerp("p50", "p75", 30, 10)} WHEN unit_price <= p90 THEN {lerp("p75", "p90", 10, 0)} ELSE 0.0e0 END"""
+SELLER_BOTH = """((CASE WHEN seller_feedback_score >= 5000 THEN 100.0e0 WHEN seller_feedback_score >= 500 THEN 70.0e0 WHEN seller_feedback_score >= 100 THEN 40.0e0 ELSE 10.0e0 END
+  + CASE WHEN seller_feedback_pct >= 99.5e0 THEN 100.0e0 WHEN seller_feedback_pct >= 98.0e0 THEN 80.0e0 WHEN seller_feedback_pct >= 95.0e0 THEN 50.0e0 ELSE 0.0e0 END) / 2)"""
+SELLER = f"CASE WHEN seller_top_rated THEN least({SELLER_BOTH} + 20, 100.0e0) ELSE {SELLER_BOTH} END"
+CONDITION = "CASE condition_norm WHEN 'new' THEN 100.0e0 WHEN 'like_new' THEN 90.0e0 WHEN 'used_working' THEN 70.0e0 WHEN 'for_parts' THEN 10.0e0 ELSE 40.0e0 END"
+QUANTITY = "CASE WHEN quantity >= 16 THEN 90.0e0 WHEN quantity >= 8 THEN 80.0e0 WHEN quantity >= 4 THEN 70.0e0 WHEN quantity > 1 THEN 60.0e0 ELSE 50.0e0 END"
+TIME = f"CASE WHEN updated_at >= TIMESTAMP '{AS_OF}' - INTERVAL 24 HOUR THEN 80.0e0 ELSE 30.0e0 END"
+SCORED = f"""(SELECT *, cast(least(greatest(round(price_score * 0.4e0 + seller_score * 0.2e0 + condition_score * 0.15e0 + quantity_score * 0.1e0 + quality_score * 0.1e0 + time_score * 0.05e0), 0), 100) AS int) AS score FROM (
+  SELECT *, {PRICE} AS price_score, {SELLER} AS seller_score, {CONDITION} AS condition_score, {QUANTITY} AS quantity_score, 70.0e0 AS quality_score, {TIME} AS time_score FROM (
+    SELECT l.*, {UNIT} AS unit_price, sample_count, p10, p25, p50, p75, p90 FROM listings l LEFT JOIN {BASE} b ON b.product_key = l.product_key WHERE active)))"""
+
+
+def base_of(t) -> DataFrame:
+    return market.baselines(t("listings"), AS_OF)
+
+
+def scored_of(t) -> DataFrame:
+    return market.scored(t("listings"), base_of(t), AS_OF)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QUERIES["flagship_scored_listings"](spark, sf_dir)
+
+
+SCORES = ["listing_id", "product_key", "score", "price_score", "seller_score", "condition_score", "quantity_score", "time_score"]
+
+
+@query(f"SELECT {', '.join(SCORES)} FROM {SCORED} ORDER BY score DESC, listing_id LIMIT 500", "listings")
+def flagship_scored_listings(t):
+    return market.page(scored_of(t).select(*SCORES), "score", 500)
+
+
+@query(f"SELECT * FROM {BASE}", "listings")
+def baseline_recompute(t):
+    return base_of(t)
+
+
+@query(f"SELECT l.listing_id, l.product_key, {MONEY(UNIT)} AS unit_price, sample_count, p50 FROM listings l LEFT JOIN {BASE} b ON b.product_key = l.product_key WHERE active", "listings")
+def listings_with_baseline(t):
+    rows = market.with_baseline(t("listings"), base_of(t))
+    return rows.select("listing_id", "product_key", S.money(F.col("unit_price")).alias("unit_price"), "sample_count", "p50")
+
+
+@query(f"SELECT listing_id, {MONEY(UNIT)} AS unit_price FROM listings", "listings")
+def unit_price(t):
+    return market.priced(t("listings")).select("listing_id", S.money(F.col("unit_price")).alias("unit_price"))
+
+
+@query(f"SELECT listing_id, cast(round(price_score, 3) AS decimal(9,3)) AS price_score FROM {SCORED}", "listings")
+def price_score(t):
+    return scored_of(t).select("listing_id", F.round("price_score", 3).cast("decimal(9,3)").alias("price_score"))
+
+
+@query(f"SELECT listing_id, {SELLER} AS seller_score FROM listings", "listings")
+def seller_score(t):
+    return t("listings").select("listing_id", S.seller_score(F.col("seller_feedback_score"), F.col("seller_feedback_pct"), F.col("seller_top_rated")).alias("seller_score"))
+
+
+@query(f"SELECT score, count(*) AS n FROM {SCORED} GROUP BY score", "listings")
+def composite_score(t):
+    return scored_of(t).groupBy("score").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT listing_id, CASE component_type WHEN 'ram' THEN concat('ram:ddr4:', CASE WHEN ecc THEN 'ecc_unbuf' ELSE 'non_ecc' END, ':', cast(capacity_gb AS string), 'gb:', cast(coalesce(speed_mhz, 0) AS string))
+  WHEN 'drive' THEN 'drive:unknown:unknown:unknown:unknown' WHEN 'server' THEN 'server:unknown:unknown:unknown:unknown' WHEN 'cpu' THEN 'cpu:unknown:unknown:unknown' WHEN 'nic' THEN 'nic:unknown:0p:unknown'
+  WHEN 'gpu' THEN concat('gpu:unknown:unknown:unknown:', cast(capacity_gb AS string), 'gb') END AS key FROM listings""", "listings")
+def product_key(t):
+    attributes = {"generation": F.lit("DDR4"), "ecc": F.col("ecc"), "capacity_gb": F.col("capacity_gb"), "speed_mhz": F.col("speed_mhz"), "vram_gb": F.col("capacity_gb")}
+    return t("listings").select("listing_id", A.product_key(F.col("component_type"), attributes).alias("key"))
+
+
+@query(f"SELECT listing_id, CASE WHEN {T.in_sql(T.BAREBONE)} THEN 'barebone' WHEN {T.in_sql(T.CPU_PRESENT)} AND {T.in_sql(T.RAM_PRESENT)} THEN 'configured' ELSE 'partial' END AS tier FROM listings", "listings")
+def server_tier(t):
+    return t("listings").select("listing_id", T.server_tier(F.col("title")).alias("tier"))
+
+
+@query(f"SELECT listing_id, {T.in_sql(T.COMPOUND_ACCESSORY)} OR ({T.in_sql(T.ACCESSORY)} AND NOT {T.in_sql(T.PRIMARY)}) AS accessory FROM listings", "listings")
+def accessory_only(t):
+    return t("listings").select("listing_id", T.accessory_only(F.col("title")).alias("accessory"))
+
+
+@query(f"SELECT listing_id, CASE WHEN NOT {T.in_sql(T.COMPLETE)} THEN '' WHEN {T.in_sql(T.WORKSTATION)} THEN 'workstation' WHEN {T.in_sql(T.DESKTOP)} THEN 'desktop' ELSE '' END AS system FROM listings", "listings")
+def system_type_title(t):
+    return t("listings").select("listing_id", T.system_type(F.col("title")).alias("system"))
+
+
+@query(f"SELECT o_orderkey, coalesce({T.case_sql(T.CONDITIONS, 'raw')}, 'unknown') AS condition FROM (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'brand new' WHEN 1 THEN 'pre-owned' WHEN 2 THEN 'as-is' WHEN 3 THEN 'open box' ELSE lower(o_orderpriority) END AS raw FROM orders)")
+def condition_norm(t):
+    key = F.col("o_orderkey") % 5
+    raw = F.when(key == 0, " Brand New").when(key == 1, "Pre-Owned").when(key == 2, "AS-IS").when(key == 3, "Open box ").otherwise(F.col("o_orderpriority"))
+    return t("orders").select("o_orderkey", T.condition(raw).alias("condition"))
+
+
+@query(f"""SELECT listing_id, coalesce({T.case_sql(T.MODULE_MHZ, f"regexp_extract(title, '{T.MODULE}', 1)")},
+  CASE WHEN try_cast(regexp_extract(title, '{T.SPEED}', 1) AS int) BETWEEN 800 AND 8400 THEN try_cast(regexp_extract(title, '{T.SPEED}', 1) AS int) END) AS mhz FROM listings""", "listings")
+def pc4_speed(t):
+    return t("listings").select("listing_id", T.title_speed(F.col("title")).alias("mhz"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN v <= 1024 THEN v WHEN v % 1024 = 0 AND v // 1024 BETWEEN 1 AND 1024 THEN v // 1024 WHEN v % 1000 = 0 AND v // 1000 BETWEEN 1 AND 1024 THEN v // 1000 ELSE v END AS capacity_gb
+  FROM (SELECT o_orderkey, (o_orderkey % 64) * CASE o_orderkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 1024 ELSE 1000 END AS v FROM orders)""")
+def capacity_fix(t):
+    key = F.col("o_orderkey")
+    value = (key % 64) * F.when(key % 3 == 0, 1).when(key % 3 == 1, 1024).otherwise(1000)
+    return t("orders").select("o_orderkey", A.fewer_units(value, 1024).cast("long").alias("capacity_gb"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'geforce-rtx' WHEN 1 THEN 'quadro-rtx' WHEN 2 THEN 'a-series' ELSE 'radeon-pro' END AS family,
+  CASE p_partkey % 4 WHEN 0 THEN '3090ti' WHEN 1 THEN 'a2000' WHEN 2 THEN 'a100' ELSE 'w6800' END AS model, CASE WHEN p_partkey % 2 = 0 THEN 24 ELSE 20 END AS vram_gb FROM part""")
+def gpu_canonical(t):
+    pick = lambda *v: F.element_at(F.array(*map(F.lit, v)), (F.col("p_partkey") % 4 + 1).cast("int"))
+    rows = t("part").select("p_partkey", pick("RTX 3090_Ti", "rtx_A2000", "A100", "W6800").alias("m"), pick("GeForce", "Quadro", "Tesla", "Radeon Pro").alias("f"), F.when(F.col("p_partkey") % 2 == 0, 23552).otherwise(20).alias("v"))
+    return rows.select("p_partkey", A.gpu_family(F.col("f"), F.col("m")).alias("family"), A.gpu_model(F.col("m")).alias("model"), A.gpu_vram(F.col("v")).cast("int").alias("vram_gb"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'dell' WHEN 1 THEN 'hp' WHEN 2 THEN 'lenovo' ELSE 'some-maker' END AS vendor,
+  CASE p_partkey % 4 WHEN 0 THEN 'precision' WHEN 1 THEN 'z-by-hp' WHEN 2 THEN 'thinkcentre' ELSE 'tower-line' END AS line,
+  CASE p_partkey % 4 WHEN 0 THEN 't3620' WHEN 1 THEN 'z8 g4' WHEN 2 THEN 'm720' ELSE 'x1' END AS model FROM part""")
+def system_canonical(t):
+    pick = lambda *v: F.element_at(F.array(*map(F.lit, v)), (F.col("p_partkey") % 4 + 1).cast("int"))
+    rows = t("part").select("p_partkey", pick("Dell Inc.", "HPE", "IBM", "Some Maker").alias("v"), pick("PowerEdge", "HP Z", "", "Tower Line").alias("l"), pick("Dell T3620", "hp_Z8 G4", "Lenovo M720", "X1").alias("m"))
+    return rows.select("p_partkey", A.system_vendor(F.col("v")).alias("vendor"), A.system_line(F.col("l"), F.col("m")).alias("line"), A.system_model(F.col("m")).alias("model"))
+
+
+@query("SELECT listing_id, price, component_type FROM listings WHERE component_type = 'gpu' AND condition_norm IN ('new', 'like_new') AND seller_feedback_score >= 500 ORDER BY price ASC NULLS LAST, listing_id LIMIT 100 OFFSET 50", "listings")
+def listing_filter_page(t):
+    keep = market.any_of({"component_type": "gpu", "conditions": ["new", "like_new"], "min_feedback": 500, "max_price": None})
+    return market.page(t("listings").where(keep).select("listing_id", "price", "component_type"), "price", 100, 50)
+
+
+@query("SELECT count(*) AS n FROM listings WHERE component_type = 'gpu' AND price <= 20000", "listings")
+def listing_count(t):
+    return t("listings").where(market.any_of({"component_type": "gpu", "max_price": 20000})).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT listing_id FROM listings WHERE component_type = 'ram' AND speed_mhz IS NULL AND active", "listings")
+def incomplete(t):
+    return market.incomplete(t("listings")).select("listing_id")
+
+
+WATCH = """unit_price <= coalesce(price_max, unit_price) AND unit_price >= coalesce(price_min, unit_price) AND seller_feedback_score >= min_feedback
+  AND seller_feedback_pct >= coalesce(min_feedback_pct, seller_feedback_pct) AND (NOT top_rated_only OR seller_top_rated) AND (conditions = '' OR list_contains(string_split(conditions, ','), condition_norm))"""
+MATCHED = f"(SELECT s.*, w.watch_id, w.score_threshold FROM {SCORED} s JOIN watches w ON w.component_type = s.component_type WHERE s.score >= w.score_threshold AND {WATCH})"
+
+
+@query(f"SELECT watch_id, listing_id, score FROM {MATCHED}", "listings", "watches")
+def watch_match(t):
+    return al.watch_matches(scored_of(t), t("watches")).select("watch_id", "listing_id", "score")
+
+
+RECENT = f"TIMESTAMP '{AS_OF}' - INTERVAL 24000 HOUR"
+
+
+@query(f"SELECT watch_id, listing_id FROM {MATCHED} m WHERE NOT EXISTS (SELECT 1 FROM alerts a WHERE a.notified AND a.created_at > {RECENT} AND a.watch_id = m.watch_id AND a.listing_id = m.listing_id)", "listings", "watches", "alerts")
+def cooldown_anti_join(t):
+    return al.outside_cooldown(al.watch_matches(scored_of(t), t("watches")), t("alerts"), AS_OF, 24000).select("watch_id", "listing_id")
+
+
+@query(f"SELECT watch_id, listing_id, score FROM {MATCHED} m WHERE NOT EXISTS (SELECT 1 FROM alerts a WHERE NOT a.notified AND a.watch_id = m.watch_id AND a.listing_id = m.listing_id)", "listings", "watches", "alerts")
+def pending_dedupe(t):
+    return al.create_alerts(al.watch_matches(scored_of(t), t("watches")).select("watch_id", "listing_id", "score"), t("alerts"))
+
+
+REVIEW = "alerts a JOIN (SELECT listing_id, title, component_type, price FROM listings) l ON l.listing_id = a.listing_id JOIN watches w ON w.watch_id = a.watch_id"
+
+
+@query(f"SELECT a.alert_id, a.score, l.title, w.watch_name FROM {REVIEW} WHERE NOT a.notified AND a.score >= 75 ORDER BY a.score DESC, a.alert_id DESC LIMIT 25 OFFSET 25", "listings", "watches", "alerts")
+def alert_review_page(t):
+    rows = al.review(t("alerts"), t("listings"), t("watches"), "active", 75)
+    return rows.orderBy(F.col("score").desc(), F.col("alert_id").desc()).offset(25).limit(25).select("alert_id", "score", "title", "watch_name")
+
+
+@query("SELECT count(*) FILTER (WHERE NOT notified) AS active, count(*) FILTER (WHERE notified) AS notified, count(*) FILTER (WHERE dismissed_at IS NOT NULL) AS dismissed, max(created_at) AS newest FROM alerts", "listings", "alerts")
+def alert_status_counts(t):
+    return t("alerts").agg(F.count_if(~F.col("notified")).alias("active"), F.count_if("notified").alias("notified"), F.count_if(F.col("dismissed_at").isNotNull()).alias("dismissed"), F.max("created_at").alias("newest"))
+
+
+@query(f"SELECT a.alert_id, l.title FROM {REVIEW} WHERE l.title ILIKE '%xeon%'", "listings", "watches", "alerts")
+def title_ilike(t):
+    return al.review(t("alerts"), t("listings"), t("watches"), "all", search="xeon").select("alert_id", "title")
+
+
+@query(f"SELECT a.alert_id, a.score, l.title, b.sample_count, b.p50 FROM alerts a JOIN listings l ON l.listing_id = a.listing_id LEFT JOIN {BASE} b ON b.product_key = l.product_key WHERE a.alert_id NOT IN (SELECT alert_id FROM judged) ORDER BY a.created_at DESC NULLS LAST, a.alert_id LIMIT 50", "listings", "alerts", "judged")
+def judge_candidates(t):
+    return al.judge_candidates(t("alerts"), t("listings"), base_of(t), t("judged")).select("alert_id", "score", "title", "sample_count", "p50")
+
+
+RATES = "(VALUES ('small-model', 0.5e0, 1.5e0)) AS r(model, input_rate, output_rate)"
+COST = f"(SELECT j.*, coalesce(input_tokens / 1e6 * input_rate + output_tokens / 1e6 * output_rate, 0) AS cost FROM judged j LEFT JOIN {RATES} ON r.model = j.model)"
+
+
+def costs_of(t) -> DataFrame:
+    judged = t("judged")
+    return al.cost(judged.sparkSession.sql(f"SELECT * FROM {RATES}"), judged)
+
+
+@query(f"SELECT date_trunc('day', judged_at)::timestamp AS day, model, count(*) AS n, cast(sum(cast(cost AS decimal(20,9))) AS decimal(20,6)) AS spend, cast(sum(input_tokens) AS bigint) AS input_tokens FROM {COST} GROUP BY ALL", "judged")
+def judge_spend_daily(t):
+    day = F.date_trunc("day", F.col("judged_at").cast("timestamp")).cast("timestamp_ntz").alias("day")
+    return costs_of(t).groupBy(day, "model").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("cost").cast("decimal(20,9)")).cast("decimal(20,6)").alias("spend"), F.sum("input_tokens").alias("input_tokens"))
+
+
+@query(f"SELECT alert_id FROM (SELECT *, coalesce(sum(cost) OVER (ORDER BY judged_at, alert_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT * FROM {COST} ORDER BY judged_at, alert_id LIMIT 200)) WHERE before < 0.01", "judged")
+def budget_cut(t):
+    batch = costs_of(t).orderBy("judged_at", "alert_id").limit(200)
+    return al.within_budget(batch, 0.01).select("alert_id")
+
+
+@query("SELECT CASE WHEN judge_score >= 0.7 THEN 'deal' WHEN judge_score >= 0.3 THEN 'edge' ELSE 'noise' END AS verdict, dismissed_at IS NOT NULL AS dismissed, count(*) AS n FROM alerts a JOIN judged j ON j.alert_id = a.alert_id GROUP BY ALL", "listings", "alerts", "judged")
+def judge_vs_operator(t):
+    rows = t("alerts").join(t("judged"), "alert_id").groupBy(al.verdict(F.col("judge_score")).alias("verdict"), F.col("dismissed_at").isNotNull().alias("dismissed"))
+    return rows.agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT o_orderpriority AS job_name, o_orderkey AS run_id, o_orderdate AS started_at FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")
+def latest_job_runs(t):
+    runs = t("orders").select(F.col("o_orderpriority").alias("job_name"), F.col("o_orderkey").alias("run_id"), F.col("o_orderdate").alias("started_at"))
+    return state.latest(runs, "job_name", F.col("started_at").desc(), F.col("run_id").desc())
+
+
+@query("SELECT job_id, priority, attempts + 1 AS attempts FROM queue WHERE NOT completed AND NOT claimed ORDER BY priority DESC, enqueued_at, job_id LIMIT 100", "queue")
+def queue_claim(t):
+    return state.claim(t("queue"), 100).select("job_id", "priority", "attempts")
+
+
+@query("SELECT priority, count(*) AS n, count(*) FILTER (WHERE NOT completed) AS depth, count(*) FILTER (WHERE error_text IS NOT NULL) AS failed FROM queue GROUP BY priority", "queue")
+def queue_health(t):
+    return t("queue").groupBy("priority").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("completed")).alias("depth"), F.count_if(F.col("error_text").isNotNull()).alias("failed"))
+
+
+@query(f"SELECT product_key, sample_count FROM {BASE} WHERE product_key NOT IN (SELECT product_key FROM listings WHERE price > 104000)", "listings")
+def orphan_baselines(t):
+    return state.orphans(base_of(t), t("listings").where("price > 104000")).select("product_key", "sample_count")
+
+
+@query(f"""SELECT (SELECT count(*) FROM watches) AS watches_total, (SELECT count(*) FROM listings) AS listings_total, (SELECT count(*) FROM listings WHERE active) AS listings_active,
+  (SELECT count(*) FROM listings WHERE active AND component_type = 'ram' AND speed_mhz IS NULL) AS listings_incomplete, (SELECT count(*) FROM alerts WHERE NOT notified) AS alerts_pending,
+  (SELECT count(*) FROM {BASE}) AS baselines_total, (SELECT count(*) FROM {BASE} WHERE sample_count >= 10) AS baselines_warm, (SELECT count(*) FROM {BASE} WHERE sample_count < 10) AS baselines_cold,
+  (SELECT count(DISTINCT product_key) FROM listings WHERE active AND product_key NOT IN (SELECT product_key FROM {BASE})) AS keys_without_baseline, (SELECT count(*) FROM queue WHERE NOT completed) AS queue_depth""", "listings", "watches", "alerts", "queue")
+def system_state(t):
+    return market.system_state(t("listings"), t("watches"), t("alerts"), base_of(t), t("queue"))
+
+
+@query(f"SELECT CASE WHEN {T.in_sql(T.BAREBONE)} THEN 'barebone' WHEN {T.in_sql(T.CPU_PRESENT)} AND {T.in_sql(T.RAM_PRESENT)} THEN 'configured' ELSE 'partial' END AS tier, quantile_cont(score, 0.5) AS p50, count(*) AS n FROM {SCORED} GROUP BY tier", "listings")
+def tier_score_percentiles(t):
+    return scored_of(t).groupBy(T.server_tier(F.col("title")).alias("tier")).agg(F.percentile("score", F.lit(0.5)).alias("p50"), F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""SELECT listing_id, CASE WHEN order_key % 10 = 0 THEN price + 1 ELSE price END AS price, active OR order_key % 10 = 0 AS active, CASE WHEN order_key % 10 = 0 THEN TIMESTAMP '{AS_OF}' ELSE updated_at END AS updated_at, title FROM listings WHERE order_key % 3 <> 0
+  UNION ALL SELECT listing_id, price + 1, true, TIMESTAMP '{AS_OF}', title FROM listings WHERE order_key % 3 = 0 AND order_key % 10 = 0""", "listings")
+def upsert_listings(t):
+    rows = t("listings").select("listing_id", "price", "active", "updated_at", "title", "order_key")
+    came = rows.where("order_key % 10 = 0").withColumn("price", F.col("price") + 1).select("listing_id", "price", "title")
+    return state.upsert(rows.where("order_key % 3 <> 0").drop("order_key"), came, "listing_id", ["price"], AS_OF)
+
+
+@query(f"SELECT alert_id, coalesce(trace_id, '') AS trace_id, TIMESTAMP '{AS_OF}' AS dismissed_at FROM alerts WHERE dismissed_at IS NULL AND alert_id % 6 = 0", "listings", "alerts")
+def dismiss_returning(t):
+    ids = t("orders").where("o_orderkey % 6 = 0").select(F.col("o_orderkey").alias("alert_id"))
+    return state.dismiss(t("alerts"), ids, AS_OF).select("alert_id", F.coalesce("trace_id", F.lit("")).alias("trace_id"), "dismissed_at")
+
+
+@query("SELECT component_type, count(*) AS n_alerts, greatest(max(score), 0) AS max_score FROM alerts a JOIN listings l ON l.listing_id = a.listing_id GROUP BY component_type", "listings", "alerts")
+def summary_by_type(t):
+    return al.summary(t("alerts"), t("listings"))
+
+
+@query("SELECT alert_id, watch_id, cast((row_number() OVER (PARTITION BY watch_id ORDER BY score DESC, alert_id) - 1) // 10 AS int) AS chunk FROM alerts WHERE NOT notified", "listings", "alerts")
+def chunk_assign(t):
+    return al.in_chunks(t("alerts").where(~F.col("notified"))).select("alert_id", "watch_id", "chunk")
+
+
+@query("SELECT listing_id, component_type FROM (SELECT *, row_number() OVER (PARTITION BY component_type ORDER BY updated_at DESC, listing_id) AS rn FROM listings) ORDER BY rn, component_type LIMIT 100", "listings")
+def stratified_interleave(t):
+    return evals.interleaved(t("listings").select("listing_id", "component_type", "updated_at"), "component_type", 100, F.col("updated_at").desc(), F.col("listing_id")).select("listing_id", "component_type")
+
+
+@query("SELECT listing_id, component_type FROM listings QUALIFY row_number() OVER (PARTITION BY component_type ORDER BY updated_at DESC, listing_id) <= 12", "listings")
+def stratified_newest(t):
+    return evals.stratified(t("listings"), "component_type", 12, F.col("updated_at").desc(), F.col("listing_id")).select("listing_id", "component_type")
+
+
+@query("SELECT component_type AS expected, count(*) AS n, count(*) FILTER (WHERE component_type = 'server' AND contains(lower(title), 'server') OR component_type = 'ram' AND contains(lower(title), 'ddr')) AS n_right FROM listings GROUP BY component_type", "listings")
+def class_accuracy(t):
+    guess = F.when(F.contains(F.lower("title"), F.lit("server")) & (F.col("component_type") == "server"), "server").when(F.contains(F.lower("title"), F.lit("ddr")) & (F.col("component_type") == "ram"), "ram").otherwise("")
+    rows = t("listings").select(F.col("component_type").alias("expected"), guess.alias("actual"))
+    return evals.accuracy(rows, "expected", "actual").select("expected", "n", "n_right")
+
+
+@query("SELECT event_type, max(value) FILTER (WHERE pos = (n - 1) * 50 // 100) AS p50, max(value) FILTER (WHERE pos = (n - 1) * 95 // 100) AS p95 FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS pos, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) GROUP BY event_type")
+def nearest_rank_latency(t):
+    return evals.nearest_rank(t("events").where("value IS NOT NULL"), "event_type", "value", (50, 95))
+
+
+@query("SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, count(*) AS n FROM events GROUP BY ALL")
+def rate_5m(t):
+    return series.rates(t("events"))
+
+
+@query("SELECT time_bucket(INTERVAL 60 MINUTE, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def rate_by_label(t):
+    return series.rates(t("events"), 60, ["event_type"])
+
+
+BOUNDS = [1.0, 5.0, 10.0, 25.0, 50.0, 100.0, 250.0, 500.0]
+
+
+@query()
+def histogram_quantile(t):
+    hist = series.buckets(t("events").where("value IS NOT NULL"), BOUNDS, "event_type")
+    return series.quantile(hist, 0.95).select("event_type", "total", F.round("quantile", 6).alias("p95"))
+
+
+@query("SELECT event_type, count(*) AS total, " + ", ".join(f"count(*) FILTER (WHERE value <= {b}) AS le_{int(b)}" for b in BOUNDS) + " FROM events WHERE value IS NOT NULL GROUP BY event_type")
+def histogram_buckets(t):
+    hist = series.buckets(t("events").where("value IS NOT NULL"), BOUNDS, "event_type")
+    return hist.select("event_type", "total", *[F.col("buckets")[k]["cum"].alias(f"le_{int(b)}") for k, b in enumerate(BOUNDS)])
+
+
+@query("""SELECT id, name, sum(delta) OVER (PARTITION BY name ORDER BY epoch(ts)::BIGINT RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS increase FROM (
+  SELECT *, CASE WHEN value < lag(value) OVER w THEN value ELSE coalesce(value - lag(value) OVER w, 0) END AS delta FROM (
+    SELECT event_id AS id, event_type AS name, date_trunc('second', ts) AS ts, cast(event_id % 1000 AS double) AS value FROM events) WINDOW w AS (PARTITION BY name ORDER BY ts, id))""")
+def counter_increase(t):
+    second = F.date_trunc("second", F.col("ts").cast("timestamp")).cast("timestamp_ntz")
+    samples = t("events").select(F.col("event_id").alias("id"), F.col("event_type").alias("name"), second.alias("ts"), (F.col("event_id") % 1000).cast("double").alias("value"))
+    return series.increase(samples, seconds=3600).select("id", "name", "increase")
+
+
+HOURS = "(SELECT time_bucket(INTERVAL 60 MINUTE, ts) AS ts, event_type, count(*) FILTER (WHERE value > 50) > 0 AS condition FROM events GROUP BY ALL)"
+
+
+@query(f"SELECT ts, event_type, min(condition::int) OVER (PARTITION BY event_type ORDER BY epoch(ts)::BIGINT RANGE BETWEEN 7200 PRECEDING AND CURRENT ROW) = 1 AS firing FROM {HOURS}")
+def alert_rule_for(t):
+    ticks = series.rates(t("events").withColumn("high", F.col("value") > 50), 60, ["event_type"]).select(F.col("window_start").alias("ts"), "event_type")
+    hot = series.rates(t("events").where("value > 50"), 60, ["event_type"]).select(F.col("window_start").alias("ts"), "event_type", F.lit(True).alias("condition"))
+    ticks = ticks.join(hot, ["ts", "event_type"], "left").withColumn("condition", F.coalesce("condition", F.lit(False)))
+    return series.held(ticks, "event_type", 120).select("ts", "event_type", "firing")
+
+
+@query("SELECT listing_id, title FROM listings WHERE contains(lower(title), 'server') AND contains(lower(title), 'xeon') ORDER BY listing_id LIMIT 50 OFFSET 10", "listings")
+def mock_search(t):
+    return feed.search(t("listings"), "Server XEON").orderBy("listing_id").offset(10).limit(50).select("listing_id", "title")
+
+
+@query("SELECT event_id AS key FROM events WHERE event_id < 2000 AND event_id < coalesce((SELECT min(event_id) FROM events WHERE event_id > 500 AND event_type = 'error'), 2000)")
+def known_listing_prefix(t):
+    items = t("events").select(F.col("event_id").alias("pos"), F.col("event_id").alias("key"))
+    known = t("events").where("event_id > 500 AND event_type = 'error'").select(F.col("event_id").alias("key"))
+    return state.known_prefix(items, known, 200, 10).select("key")
+
+
+@query("SELECT listing_id, substr(sha256(title), 1, 16) AS hash FROM listings", "listings")
+def title_hash(t):
+    return t("listings").select("listing_id", T.title_hash(F.col("title")).alias("hash"))

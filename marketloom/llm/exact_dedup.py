@@ -65,7 +65,8 @@ def stream_state(rows: DataFrame, state: str | None = None) -> DataFrame:
     spark = rows.sparkSession
     state = state or shared_path(spark, "state")
     provider = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    with _conf(spark, spark__sql__streaming__stateStore__providerClass=provider):
+    # A store is closed as soon as its task has committed: after the run nothing of the state stays on executors.
+    with _conf(spark, spark__sql__streaming__stateStore__providerClass=provider, spark__sql__streaming__stateStore__unloadOnCommit="true"):
         path = rows.inputFiles()
         folder = path[0].rsplit("/", 1)[0] if path else None
         if folder is None:

@@ -50,7 +50,7 @@ class WordHashes(dict):
     """64-bit hashes of words, kept for those seen lately."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = value = xxhash.xxh64_intdigest(word)
         return value

@@ -11,11 +11,13 @@ from .personal import op9_personal_data
 from .quality import op6_quality_rules
 from .secret_scan import op2_secret_scan
 from .suffix_tree import op10_lm_score
+from .token_counts import op4_token_counts
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_secret_scan": op2_secret_scan,
     "op3_pack_sequences": op3_pack_sequences,
+    "op4_token_counts": op4_token_counts,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op7_near_dedup": op7_near_dedup,

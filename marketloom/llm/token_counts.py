@@ -113,4 +113,5 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     if order.limit(1).count() == 0:
         return order.select("doc_id", F.lit(0).cast("long").alias("n_tokens"), "file", "ordinal", F.lit(0).cast("long").alias("start"))
     counts = count_tokens(scan_blocks(spark, folder)).withColumn("file", F.regexp_extract("file", "[^/]+$", 0))
-    return order.join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens", "file", "ordinal", "start")
+    # Both sides have a row per document: a broadcast, which the small blocks before the explosion invite, would not do.
+    return order.join(counts.hint("merge"), ["file", "ordinal"]).select("doc_id", "n_tokens", "file", "ordinal", "start")

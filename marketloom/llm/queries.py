@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+
+from pyspark import cloudpickle
+
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .mixing import op1_mix_sources
 from .near_dedup import op7_near_dedup
@@ -13,6 +17,9 @@ from .secret_scan import op2_secret_scan
 from .suffix_tree import op10_lm_score
 from .token_counts import op4_token_counts
 
+# What tasks run travels with them, so that executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__package__])
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_secret_scan": op2_secret_scan,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,17 +46,21 @@ CONDITIONS = {
 MODULE = r"(?i)\bPC[345]-?(\d{5,6})[A-Z]?\b"
 SPEED = r"(?i)\bDDR[345]-(\d{4})\b"
 
-_W = "[0-9A-Za-z_]"
-_EDGE = f"(?:(?<={_W})(?!{_W})|(?<!{_W})(?={_W}))"
+_OPEN, _CLOSE = "(?<![0-9A-Za-z_])", "(?![0-9A-Za-z_])"
 
 
 def ascii_edges(pattern: str) -> str:
-    """The pattern with word boundaries that know ASCII only; the JVM's are Unicode-aware."""
-    return pattern.replace(r"\b", _EDGE)
+    """The pattern with word boundaries that know ASCII only; the JVM's are Unicode-aware.
+
+    A boundary before a word character is an opening one, any other a closing one, so each is one look to one side.
+    """
+    return re.sub(r"\\b(?=\(|\\d|[A-Za-z])", lambda _: _OPEN, pattern).replace(r"\b", _CLOSE)
 
 
 def says(title: Column, patterns: list[str]) -> Column:
-    return F.rlike(F.lower(title), F.lit(ascii_edges("|".join(patterns))))
+    """Whether the title matches one of the patterns, which all open at a word: the look back is shared."""
+    rest = "|".join(ascii_edges(p.removeprefix(r"\b")) for p in patterns)
+    return F.rlike(F.lower(title), F.lit(f"{_OPEN}(?:{rest})"))
 
 
 def accessory_only(title: Column) -> Column:

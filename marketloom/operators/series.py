@@ -45,3 +45,10 @@ def held(ticks: DataFrame, series: str, minutes: int) -> DataFrame:
     at = F.unix_timestamp(F.col("ts").cast("timestamp"))
     span = W.partitionBy(series).orderBy(at).rangeBetween(-60 * minutes, 0)
     return ticks.withColumn("firing", F.min(F.col("condition").cast("int")).over(span) == 1)
+
+
+def absent(samples: DataFrame, start: str, end: str, minutes: int) -> DataFrame:
+    """Ticks of the range in which no sample was seen; the spine has one row a tick."""
+    at = lambda c: F.timestamp_seconds(F.floor(F.unix_timestamp(F.col(c).cast("timestamp")) / (60 * minutes)) * (60 * minutes)).cast("timestamp_ntz")
+    spine = samples.sparkSession.sql(f"SELECT explode(sequence(timestamp_ntz'{start}', timestamp_ntz'{end}', INTERVAL {int(minutes)} MINUTES)) AS ts")
+    return spine.join(samples.select(at("ts").alias("ts")).distinct(), "ts", "left_anti")

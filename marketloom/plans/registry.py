@@ -398,3 +398,13 @@ def known_listing_prefix(t):
 @query("SELECT listing_id, substr(sha256(title), 1, 16) AS hash FROM listings", "listings")
 def title_hash(t):
     return t("listings").select("listing_id", T.title_hash(F.col("title")).alias("hash"))
+
+
+@query("SELECT s.ts FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-31', INTERVAL 5 MINUTE)) AS ts) s WHERE s.ts NOT IN (SELECT time_bucket(INTERVAL 5 MINUTE, ts) FROM events WHERE event_type = 'error')")
+def absent_series(t):
+    return series.absent(t("events").where("event_type = 'error'"), "2024-01-01", "2024-01-31", 5)
+
+
+@query("SELECT listing_id, product_key FROM listings WHERE active AND (capacity_gb BETWEEN 16 AND 48) AND ecc AND speed_mhz IN (2666, 3200)", "listings")
+def attribute_filter_match(t):
+    return t("listings").where(F.col("active") & F.col("capacity_gb").between(16, 48) & F.col("ecc") & F.col("speed_mhz").isin(2666, 3200)).select("listing_id", "product_key")

@@ -16,10 +16,11 @@ ACCESSORY = [
     r"\bbackplane\b", r"\b(drive\s+)?(caddy|caddies|tray|trays|sled|sleds)\b", r"\brails?\b", r"\bbezels?\b", r"\b(mounting\s+)?brackets?\b",
     r"\brisers?\b", r"\bheat[\s-]?sinks?\b", r"\bfan\s+(assembly|kit|tray|module)\b", r"\bcable\b", r"\bgpu\s+riser\b",
 ]
+GRAPHICS = [r"\b(tesla|quadro|rtx\s+a\d+|a100|h100|l40|mi\d{3}|radeon\s+pro)\b"]
 PRIMARY = [
     r"\bddr[2345]\b", r"\b(rdimm|udimm|lrdimm|fbdimm|sodimm)\b", r"\b(nvme|sas|sata|scsi)\b", r"\bssd\b", r"\bhdd\b",
     r"\b(xeon|epyc|opteron|threadripper)\b", r"\b(\d+gb|\d+tb)\b", r"\b\d+u\b", r"\bbar(e)?bone\b", r"\bchassis\b",
-    r"\b(gold|silver|platinum|bronze)\s+\d{4}\b", r"\bidrac\b", r"\b(tesla|quadro|rtx\s+a\d+|a100|h100|l40|mi\d{3}|radeon\s+pro)\b",
+    r"\b(gold|silver|platinum|bronze)\s+\d{4}\b", r"\bidrac\b", *GRAPHICS,
     r"\b(precision\s+t?\d{4}|precision\s+\d{4}|pro\s+max|thinkstation|workstation|hp\s+z\d)\b", r"\b(optiplex|elitedesk|thinkcentre)\b",
     r"\bdell\s+pro\b.*\b(tower|desktop|sff|micro|mini\s+tower)\b", r"\b(tower|desktop|sff|micro|mini\s+tower)\b.*\bdell\s+pro\b",
 ]

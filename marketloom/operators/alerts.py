@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions import variants as V
 from .market import small
 
 
@@ -24,6 +25,32 @@ def watch_filter() -> Column:
     return price & seller & listed
 
 
+FILTERS = "map<string, struct<eq: variant, `in`: array<variant>, min: double, max: double>>"
+
+
+def attribute_match(attrs: Column, filters: Column) -> Column:
+    """every filtered attribute is there and fits. attrs is MAP<STRING, VARIANT>, filters JSON text or a map.
+
+    An exact value goes before a list, a list before bounds. Values are compared by JSON type. Bounds hold for numbers
+    only: any other value, null too, passes. No filters, and a null, match all; null attributes match no filter.
+    """
+
+    def fits(e: Column) -> Column:
+        value, rule = F.try_element_at(attrs, e["key"]), e["value"]
+        x = V.as_number(value)
+        within = on_or_off(rule["min"], x >= rule["min"]) & on_or_off(rule["max"], x <= rule["max"])
+        listed = F.exists(rule["in"], lambda v: V.same(value, v))
+        inside = F.when(rule["in"].isNotNull(), listed).otherwise(x.isNull() | within)
+        exact = rule["eq"].isNotNull() & (F.schema_of_variant(rule["eq"]) != "VOID")
+        return F.coalesce(F.map_contains_key(attrs, e["key"]), F.lit(False)) & F.when(F.coalesce(exact, F.lit(False)), V.same(value, rule["eq"])).otherwise(inside)
+
+    return F.coalesce(F.forall(F.map_entries(filters), fits), F.lit(True))
+
+
+def read_filters(json: Column) -> Column:
+    return F.from_json(json, FILTERS)
+
+
 def watch_matches(scored: DataFrame, watches: DataFrame) -> DataFrame:
     """Listings times watches of their type, the watches broadcast, then the theta predicate."""
     return scored.join(small(watches), "component_type").where(F.col("score").isNotNull() & (F.col("score") >= F.col("score_threshold")) & watch_filter())

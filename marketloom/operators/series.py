@@ -52,3 +52,19 @@ def absent(samples: DataFrame, start: str, end: str, minutes: int) -> DataFrame:
     at = lambda c: F.timestamp_seconds(F.floor(F.unix_timestamp(F.col(c).cast("timestamp")) / (60 * minutes)) * (60 * minutes)).cast("timestamp_ntz")
     spine = samples.sparkSession.sql(f"SELECT explode(sequence(timestamp_ntz'{start}', timestamp_ntz'{end}', INTERVAL {int(minutes)} MINUTES)) AS ts")
     return spine.join(samples.select(at("ts").alias("ts")).distinct(), "ts", "left_anti")
+
+
+def latest(samples: DataFrame, series: str = "name") -> DataFrame:
+    """The newest sample of each series; of equal times, the greatest value."""
+    return samples.groupBy(series).agg(F.max_by("value", F.struct("ts", "value")).alias("value"), F.max("ts").alias("ts"))
+
+
+def percent(part, whole):
+    """Null where there is nothing to divide by."""
+    return F.when(whole != 0, part * 100.0 / whole)
+
+
+def freshness(samples: DataFrame, as_of: str, series: str = "name") -> DataFrame:
+    """Seconds since the newest positive gauge of each series."""
+    newest = samples.where(F.col("value") > 0).groupBy(series).agg(F.max("value").alias("newest"))
+    return newest.select(series, (F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.col("newest")).alias("age_seconds"))

@@ -57,3 +57,68 @@ def known_prefix(feed: DataFrame, known: DataFrame, page_size: int, max_pages: i
     feed = feed.where(F.col("pos") < page_size * max_pages)
     first = feed.join(known, "key", "left_semi").agg(F.min("pos").alias("first"))
     return feed.join(F.broadcast(first)).where(F.col("first").isNull() | (F.col("pos") < F.col("first"))).drop("first")
+
+
+def insert_unless(new: DataFrame, taken: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows to add: once per key, and none of a key that is taken."""
+    return new.dropDuplicates(keys).join(taken.select(*keys), keys, "left_anti")
+
+
+def apply_updates(table: DataFrame, updates: DataFrame, key: str) -> DataFrame:
+    """Columns of the updates replace those of rows with their key; nulls replace too.
+
+    Updates have one row a key; other rows and columns stay as they are, unknown keys add nothing.
+    """
+    names = [c for c in updates.columns if c != key]
+    new = updates.select(F.col(key), F.struct(*names).alias("_new"))
+    rows = table.join(new, key, "left")
+    return rows.select(*[F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in names else F.col(c) for c in table.columns])
+
+
+def partial_update(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """Like apply_updates, but a null leaves the old value."""
+    names = [c for c in changes.columns if c != key]
+    rows = table.join(changes.select(key, *[F.col(c).alias(f"_{c}") for c in names]), key, "left")
+    return rows.select(*[F.coalesce(f"_{c}", c).alias(c) if c in names else F.col(c) for c in table.columns])
+
+
+def merged_filters(old, new):
+    """Maps merged, with the new value where both have a key; nulls count as empty."""
+    return F.when(new.isNull(), old).when(old.isNull(), new).otherwise(F.map_concat(F.map_filter(old, lambda k, _: ~F.map_contains_key(new, k)), new))
+
+
+def refreshed(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """Rows of new, and those of old whose key new lacks."""
+    return new.unionByName(old.join(new.select(key), key, "left_anti"))
+
+
+def completed(queue: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Outcomes (job_id, error); an empty error is none."""
+    return apply_updates(queue, outcomes.select("job_id", F.lit(True).alias("completed"), F.nullif("error", F.lit("")).alias("error_text")), "job_id")
+
+
+def swept_runs(runs: DataFrame, as_of: str, stale_hours: int = 2, keep_days: int = 30) -> DataFrame:
+    """Runs that still run after stale_hours have crashed; those older than keep_days are gone."""
+    now = F.lit(as_of).cast("timestamp_ntz")
+    stale = (F.col("status") == "running") & (F.col("started_at") < now - F.expr(f"INTERVAL {int(stale_hours)} HOURS"))
+    rows = runs.where(F.col("started_at") >= now - F.expr(f"INTERVAL {int(keep_days)} DAYS"))
+    return rows.withColumns({"status": F.when(stale, "crashed").otherwise(F.col("status")), "completed_at": F.when(stale, now).otherwise(F.col("completed_at"))})
+
+
+def without_watches(alerts: DataFrame, gone: DataFrame) -> DataFrame:
+    """Alerts after their watches were deleted."""
+    return alerts.join(gone.select("watch_id"), "watch_id", "left_anti")
+
+
+def after(rows: DataFrame, cursor, n: int = 200, key: str = "listing_id") -> DataFrame:
+    """The next n rows behind a cursor; None starts."""
+    return (rows if cursor is None else rows.where(F.col(key) > cursor)).orderBy(key).limit(n)
+
+
+def drain(queue: DataFrame, listings: DataFrame) -> DataFrame:
+    """How far the jobs of the given listings are."""
+    failed = F.col("error_text").isNotNull()
+    done = F.col("completed")
+    return queue.join(listings.select("listing_key").distinct(), "listing_key", "left_semi").agg(
+        F.count_if(~done).alias("pending"), F.count_if(done & ~failed).alias("done_ok"), F.count_if(done & failed).alias("done_err")
+    )

@@ -70,7 +70,34 @@ QUEUE = """SELECT o_orderkey AS job_id, o_custkey AS listing_key, cast(substr(o_
   CASE WHEN o_orderkey % 11 = 0 THEN 'failed' END AS error_text
 FROM {orders}"""
 
-VIEWS = {"listings": LISTINGS, "watches": WATCHES, "alerts": ALERTS, "judged": JUDGED, "queue": QUEUE}
+#: JSON of attributes: name and the text of its value. Each has values that break its rules on some parts.
+MEMBERS = {
+    "condition": """CASE WHEN p_partkey % 23 = 0 THEN 'null' ELSE '"Used"' END""",
+    "confidence": """CASE WHEN p_partkey % 19 = 0 THEN '"0.9"' WHEN p_partkey % 17 = 0 THEN '1.5' ELSE '0.75' END""",
+    "quantity": "CASE WHEN p_partkey % 29 = 0 THEN '0.5' WHEN p_partkey % 5 = 0 THEN 'null' ELSE '2' END",
+    "capacity_gb": """CASE WHEN p_partkey % 7 = 0 THEN '"32"' WHEN p_partkey % 3 = 0 THEN '32768' ELSE cast(p_partkey % 200 AS string) END""",
+    "generation": """CASE WHEN p_partkey % 9 = 0 THEN '"DDR9"' ELSE '"DDR4"' END""",
+    "speed_mhz": "CASE WHEN p_partkey % 4 = 0 THEN '100' WHEN p_partkey % 4 = 1 THEN 'null' ELSE '2666' END",
+    "capacity": """CASE WHEN p_partkey % 7 = 0 THEN '""' ELSE '"1.2TB"' END""",
+    "interface": """CASE WHEN p_partkey % 11 = 0 THEN '" N/A "' WHEN p_type = 'SMALL' THEN '"SAS"' ELSE '"PCIe 4.0 x16"' END""",
+    "form_factor": """CASE WHEN p_partkey % 13 = 0 THEN '"unknown"' WHEN p_type = 'SMALL' THEN '"2.5"' WHEN p_type = 'MEDIUM' THEN '"2U"' ELSE '"FHFL"' END""",
+    "type": """CASE WHEN p_partkey % 8 = 0 THEN '"tape"' ELSE '"HDD"' END""",
+    "rpm": "'10000'",
+    "manufacturer": """CASE WHEN p_partkey % 12 = 0 THEN '""' WHEN p_type = 'PROMO' THEN '"Intel"' ELSE '"NVIDIA"' END""",
+    "family": """CASE WHEN p_type = 'PROMO' THEN '"Xeon"' ELSE '"Tesla"' END""",
+    "model": """CASE WHEN p_partkey % 10 = 0 THEN 'true' ELSE '"RTX A4000"' END""",
+    "cores": "cast(p_partkey % 300 AS string)",
+    "base_clock_ghz": "cast(p_partkey % 8 AS string)",
+    "vram_gb": "CASE WHEN p_partkey % 2 = 0 THEN '16384' ELSE '17' END",
+    "speed": """CASE WHEN p_partkey % 6 = 0 THEN '"2GbE"' ELSE '"10GbE"' END""",
+    "port_count": "cast(p_partkey % 10 AS string)",
+    "port_type": """CASE WHEN p_partkey % 15 = 0 THEN '"none"' ELSE '"SFP+"' END""",
+}
+EXTRACTED = f"""SELECT p_partkey AS id, {KIND} AS component_type,
+  CASE p_partkey % 4 WHEN 0 THEN 'Hynix PC4-19200T RDIMM' WHEN 1 THEN '2U server Gold 6130 64GB RAM' WHEN 2 THEN 'chassis no cpu' ELSE 'plain' END AS title,
+  concat('{{{{', {", ',', ".join(f"""'"{k}":', {v}""" for k, v in MEMBERS.items())}, '}}}}') AS attributes FROM {{part}} p"""
+
+VIEWS = {"listings": LISTINGS, "watches": WATCHES, "alerts": ALERTS, "judged": JUDGED, "queue": QUEUE, "extracted": EXTRACTED}
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 

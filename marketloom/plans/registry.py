@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions import attributes as A
 from ..functions import scoring as S
+from ..functions import texts as X
 from ..functions import titles as T
+from ..functions import validation
+from ..functions import variants as V
 from ..operators import alerts as al
-from ..operators import evals, market, series, state
+from ..operators import delivery, evals, extraction, market, series, state
 from ..sources import feed
 from .fixtures import AS_OF, oracle, table
 
@@ -408,3 +411,109 @@ def absent_series(t):
 @query("SELECT listing_id, product_key FROM listings WHERE active AND (capacity_gb BETWEEN 16 AND 48) AND ecc AND speed_mhz IN (2666, 3200)", "listings")
 def attribute_filter_match(t):
     return t("listings").where(F.col("active") & F.col("capacity_gb").between(16, 48) & F.col("ecc") & F.col("speed_mhz").isin(2666, 3200)).select("listing_id", "product_key")
+
+
+@query(f"SELECT id, component_type, {validation.error_sql('component_type', 'attributes')} AS error FROM extracted", "extracted")
+def extraction_error(t):
+    return t("extracted").select("id", "component_type", validation.first_error(F.col("component_type"), V.attributes(F.col("attributes"))).alias("error"))
+
+
+JSON_NUMBER = "CASE WHEN json_type(attributes, '$.{0}') IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN trunc(cast(json_extract(attributes, '$.{0}') AS double))::bigint END".format
+JSON_TEXT = "CASE WHEN json_type(attributes, '$.{0}') = 'VARCHAR' THEN json_extract_string(attributes, '$.{0}') END".format
+UNITS = "CASE WHEN {0} <= {1} THEN {0} WHEN {0} % 1024 = 0 AND {0} // 1024 BETWEEN 1 AND {1} THEN {0} // 1024 WHEN {0} % 1000 = 0 AND {0} // 1000 BETWEEN 1 AND {1} THEN {0} // 1000 ELSE {0} END".format
+NO_PLACEHOLDER = "CASE WHEN lower(trim({0})) NOT IN ('n/a', 'na', 'unknown', 'none', 'null', 'not specified', 'not applicable') THEN {0} END".format
+
+
+@query(f"""SELECT id, CASE WHEN component_type = 'ram' THEN {UNITS("capacity", 1024)} ELSE capacity END AS capacity_gb, CASE WHEN component_type <> 'ram' OR speed BETWEEN 800 AND 8400 THEN speed WHEN title LIKE '%PC4-19200T%' THEN 2400 END AS speed_mhz,
+  CASE WHEN component_type = 'server' THEN CASE WHEN title LIKE '%no cpu%' THEN 'barebone' WHEN title LIKE '%6130%' THEN 'configured' ELSE 'partial' END END AS tier,
+  CASE WHEN component_type = 'gpu' THEN CASE WHEN vram = 17 THEN 16 ELSE {UNITS("vram", 256)} END ELSE vram END AS vram_gb, CASE WHEN component_type = 'gpu' AND model IS NOT NULL THEN 'a4000' ELSE model END AS model,
+  CASE WHEN component_type <> 'gpu' THEN family WHEN model IS NULL THEN 'tesla' ELSE 'quadro-rtx' END AS family, {NO_PLACEHOLDER("interface")} AS interface, {NO_PLACEHOLDER("form_factor")} AS form_factor, {NO_PLACEHOLDER("port_type")} AS port_type
+  FROM (SELECT id, component_type, title, {JSON_NUMBER("capacity_gb")} AS capacity, {JSON_NUMBER("speed_mhz")} AS speed, {JSON_NUMBER("vram_gb")} AS vram, {", ".join(f"{JSON_TEXT(c)} AS {c}" for c in ("model", "family", "interface", "form_factor", "port_type"))} FROM extracted)""", "extracted")
+def extraction_normalized(t):
+    rows = t("extracted").withColumn("a", extraction.normalized(F.col("component_type"), F.col("title"), V.attributes(F.col("attributes"))))
+    numbers = [V.whole(F.col("a"), c).alias(c) for c in ("capacity_gb", "speed_mhz", "vram_gb")]
+    return rows.select("id", *numbers, *[V.text(F.col("a"), c).alias(c) for c in ("tier", "model", "family", "interface", "form_factor", "port_type")])
+
+
+FILTER = '{"capacity_gb": {"min": 20, "max": 150}, "generation": {"in": ["DDR4", "DDR5"]}, "vram_gb": {"eq": 17}}'
+
+
+@query(f"SELECT id FROM extracted WHERE ({JSON_NUMBER('capacity_gb')} IS NULL OR {JSON_NUMBER('capacity_gb')} BETWEEN 20 AND 150) AND {JSON_TEXT('generation')} IN ('DDR4', 'DDR5') AND {JSON_NUMBER('vram_gb')} = 17", "extracted")
+def open_attribute_filter(t):
+    return t("extracted").where(al.attribute_match(V.attributes(F.col("attributes")), al.read_filters(F.lit(FILTER)))).select("id")
+
+
+@query("""SELECT alert_id, printf('$%.2f', cast(cast(price AS decimal(20,6)) AS decimal(18,2))::double) AS price_text, concat('seller (', seller_feedback_score, ')') AS seller_text, CASE WHEN score >= 90 THEN 3066993 WHEN score >= 80 THEN 15844367 ELSE 15105570 END AS color,
+  concat('Deal Alert: ', title) AS title, concat(score, '/100') AS first_field FROM alerts a JOIN (SELECT listing_id, title, price, seller_feedback_score FROM listings) l ON l.listing_id = a.listing_id""", "listings", "alerts")
+def alert_embeds(t):
+    sellers = market.priced(t("listings")).withColumns({"seller_name": F.lit("seller"), "item_url": F.lit(""), "image_url": F.lit("")})
+    rows = delivery.embeds(delivery.payloads(t("alerts").join(sellers.drop("score"), "listing_id")))
+    return rows.select("alert_id", "price_text", "seller_text", F.col("embed.color").alias("color"), F.col("embed.title").alias("title"), F.col("embed.fields")[0]["value"].alias("first_field"))
+
+
+@query("SELECT alert_id, watch_id, pos <= 40 AS succeeded, CASE WHEN pos <= 40 THEN '' ELSE 'limit' END AS error_text FROM (SELECT alert_id, watch_id, row_number() OVER (PARTITION BY watch_id ORDER BY alert_id) AS pos FROM alerts WHERE NOT notified)", "listings", "alerts")
+def partial_batches(t):
+    outcomes = t("watches").select(F.col("watch_id").cast("int"), F.lit(40).alias("sent"), F.lit("limit").alias("error"))
+    return delivery.attempts(t("alerts").where(~F.col("notified")), outcomes, AS_OF).select("alert_id", "watch_id", "succeeded", "error_text")
+
+
+@query(f"SELECT a.alert_id, l.title, w.watch_name, count(j.alert_id) AS n_attempts FROM {REVIEW} LEFT JOIN judged j ON j.alert_id = a.alert_id GROUP BY ALL", "listings", "watches", "alerts", "judged")
+def alert_details(t):
+    tried = t("judged").select("alert_id", F.col("judged_at").alias("attempted_at"), F.lit(True).alias("succeeded"), F.lit("").alias("error_text"))
+    rows = delivery.details(t("alerts"), t("listings"), t("watches"), tried)
+    return rows.select("alert_id", "listing.title", "watch.watch_name", F.size("history").cast("long").alias("n_attempts"))
+
+
+@query(f"""SELECT listing_id, CASE WHEN active AND {T.in_sql(T.ACCESSORY)} AND NOT {T.in_sql(T.PRIMARY)} THEN 'other' ELSE component_type END AS component_type,
+  CASE WHEN active AND component_type = 'server' AND NOT ({T.in_sql(T.ACCESSORY)} AND NOT {T.in_sql(T.PRIMARY)}) THEN concat(product_key, ':', CASE WHEN {T.in_sql(T.BAREBONE)} THEN 'barebone' WHEN {T.in_sql(T.CPU_PRESENT)} AND {T.in_sql(T.RAM_PRESENT)} THEN 'configured' ELSE 'partial' END) ELSE product_key END AS product_key
+  FROM listings""", "listings")
+def backfilled(t):
+    rows = extraction.reclassified(t("listings").withColumn("confidence", F.lit(0.9)))
+    return extraction.with_tier(extraction.promoted(rows)).select("listing_id", "component_type", "product_key")
+
+
+@query("SELECT job_id, completed OR job_id % 2 = 0 AS completed, CASE WHEN job_id % 4 = 0 THEN 'late' WHEN job_id % 2 = 0 THEN NULL ELSE error_text END AS error_text FROM queue", "queue")
+def queue_complete(t):
+    outcomes = t("orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("job_id"), F.when(F.col("o_orderkey") % 4 == 0, "late").otherwise("").alias("error"))
+    return state.completed(t("queue"), outcomes).select("job_id", "completed", "error_text")
+
+
+@query("SELECT DISTINCT c_custkey AS listing_key FROM customer WHERE c_custkey NOT IN (SELECT listing_key FROM queue WHERE NOT completed)", "queue")
+def queue_enqueue(t):
+    return state.insert_unless(t("customer").select(F.col("c_custkey").alias("listing_key")), t("queue").where(~F.col("completed")), ["listing_key"])
+
+
+@query("SELECT count(*) FILTER (WHERE NOT completed) AS pending, count(*) FILTER (WHERE completed AND error_text IS NULL) AS done_ok, count(*) FILTER (WHERE completed AND error_text IS NOT NULL) AS done_err FROM queue WHERE listing_key IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)", "queue")
+def queue_drain(t):
+    return state.drain(t("queue"), t("customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("listing_key")))
+
+
+@query("SELECT o_orderkey AS run_id, CASE WHEN o_orderstatus = 'O' AND o_orderdate < TIMESTAMP '1998-07-01' - INTERVAL 2 HOUR THEN 'crashed' WHEN o_orderstatus = 'O' THEN 'running' ELSE 'ok' END AS status FROM orders WHERE o_orderdate >= TIMESTAMP '1998-07-01' - INTERVAL 30 DAY")
+def job_run_sweep(t):
+    status = F.when(F.col("o_orderstatus") == "O", "running").otherwise("ok").alias("status")
+    runs = t("orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_orderdate").alias("started_at"), status, F.lit(None).cast("timestamp_ntz").alias("completed_at"))
+    return state.swept_runs(runs, "1998-07-01 00:00:00").select("run_id", "status")
+
+
+@query(f"SELECT product_key, coalesce(b.sample_count, 1) AS sample_count FROM (SELECT DISTINCT product_key FROM listings) l LEFT JOIN {BASE} b USING (product_key)", "listings")
+def baseline_upsert(t):
+    stale = t("listings").select("product_key", F.lit(1).cast("long").alias("sample_count")).distinct()
+    return state.refreshed(stale, base_of(t).select("product_key", "sample_count"), "product_key")
+
+
+@query("SELECT event_type, arg_max(value, (ts, value)) AS value, max(ts) AS ts FROM events WHERE value IS NOT NULL GROUP BY event_type")
+def latest_gauge(t):
+    return series.latest(t("events").where("value IS NOT NULL"), "event_type")
+
+
+@query("SELECT time_bucket(INTERVAL 60 MINUTE, ts) AS window_start, count(*) FILTER (WHERE event_type = 'error') * 100.0e0 / count(*) AS percent FROM events GROUP BY ALL")
+def error_ratio(t):
+    errors = series.rates(t("events").where("event_type = 'error'"), 60).withColumnRenamed("n", "bad")
+    rows = series.rates(t("events"), 60).join(errors, "window_start", "left")
+    return rows.select("window_start", series.percent(F.coalesce("bad", F.lit(0)), F.col("n")).alias("percent"))
+
+
+@query("SELECT CASE WHEN product_key LIKE '%:barebone' THEN 'barebone' WHEN product_key LIKE '%:configured' THEN 'configured' WHEN product_key LIKE '%:partial' THEN 'partial' ELSE 'unknown' END AS tier, count(*) AS n FROM (SELECT concat(product_key, CASE WHEN order_key % 3 = 0 THEN ':barebone' WHEN order_key % 3 = 1 THEN ':partial' ELSE '' END) AS product_key FROM listings) GROUP BY ALL", "listings")
+def key_tiers(t):
+    end = F.when(F.col("order_key") % 3 == 0, ":barebone").when(F.col("order_key") % 3 == 1, ":partial").otherwise("")
+    return t("listings").groupBy(extraction.tier_of_key(F.concat("product_key", end)).alias("tier")).agg(F.count(F.lit(1)).alias("n"))

@@ -30,6 +30,19 @@ def to_listings(items: DataFrame) -> DataFrame:
     )
 
 
+QUOTA = """rateLimits ARRAY<STRUCT<apiName: STRING, resources: ARRAY<STRUCT<name: STRING,
+rates: ARRAY<STRUCT<count: BIGINT, `limit`: BIGINT, remaining: BIGINT, reset: STRING, timeWindow: BIGINT>>>>>>"""
+
+
+def quota(spark: SparkSession, path: str, resource: str) -> DataFrame:
+    """The first rate of the named resource of each reply; a reply without one has no row."""
+    named = F.filter(F.flatten(F.transform("rateLimits", lambda r: F.coalesce(r["resources"], F.array()))), lambda r: r["name"] == resource)
+    rate = F.get(F.get(named, F.lit(0))["rates"], F.lit(0))
+    rows = spark.read.schema(QUOTA).json(path, multiLine=True).select(rate.alias("r")).where("r IS NOT NULL")
+    left = F.greatest(F.col("r.limit") - F.col("r.count"), F.lit(0)).alias("left")
+    return rows.select("r.count", "r.limit", "r.remaining", left, F.try_to_timestamp("r.reset").alias("reset_at"), F.col("r.timeWindow").alias("window_seconds"))
+
+
 def search(rows: DataFrame, query: str) -> DataFrame:
     """Titles that contain every word of the query."""
     for word in query.lower().split():

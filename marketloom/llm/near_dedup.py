@@ -200,18 +200,32 @@ def star_step(edges: DataFrame) -> DataFrame:
     return small.unionByName(lowest.select("a", F.col("least").alias("b"))).where("a <> b").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node, comp (the smallest node reachable) of each node that has a link."""
-    state = None
+def is_forest(edges: DataFrame) -> bool:
+    """Whether each node hangs on one other, on which nothing else hangs: the components are then known."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    degrees = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return degrees.where("up > 1 OR (up = 1 AND down = 1)").limit(1).count() == 0
+
+
+def star_forest(links: DataFrame) -> DataFrame:
+    """a, b: each linked node with the smallest node reachable, which itself is no a."""
     edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    while True:
+    edges = materialize(star_step(edges), "stars")
+    while not is_forest(edges):
         edges = materialize(star_step(edges), "stars")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
-    roots = edges.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("comp"))
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(roots)
+    return edges
+
+
+def members(forest: DataFrame) -> DataFrame:
+    """node, comp of each node of a forest, roots included."""
+    roots = forest.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("comp"))
+    return forest.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(roots)
+
+
+def components(links: DataFrame) -> DataFrame:
+    """node, comp (the smallest node reachable) of each node that has a link."""
+    return members(star_forest(links))
 
 
 def with_component(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
@@ -247,16 +261,17 @@ def near_components(docs: DataFrame, found: DataFrame, width: int, percent: int,
     mates = materialize(regions(nodes), "mates")
     dealt = materialize(blocks(mates, block), "blocks")
     sets = materialize(full_sets(docs, dealt.select("node").distinct(), width), "sets")
-    links, comps = None, None
+    # The forest so far stands for the links of the rounds before.
+    forest, comps = None, None
     for trees in ROUNDS:
         rows = with_component(dealt.where(F.col("tree").isin(*trees)).select("block", "node"), comps)
         new = materialize(compare(rows.withColumn("side", F.lit(0)), sets, percent), "found")
-        links = new if links is None else links.unionByName(new)
-        comps = components(links)
+        forest = star_forest(new if forest is None else forest.unionByName(new))
+        comps = members(forest)
     rest = materialize(crowded_rest(mates, comps, block), "rest")
     if rest.limit(1).count():
-        links = links.unionByName(materialize(compare(rest, sets, percent), "found"))
-    return components(links.unionByName(copies))
+        forest = forest.unionByName(materialize(compare(rest, sets, percent), "found"))
+    return components(forest.unionByName(copies))
 
 
 def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:

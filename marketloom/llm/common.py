@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: White space of all word rules: space and U+0009 to U+000D, nothing else.
 SPACE = r"\x20\x09-\x0D"
+#: Texts go to Python tasks in batches of this size, a few of which are in memory in several forms at a time.
+BATCH_BYTES = "8m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +45,20 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+@contextmanager
+def session_conf(spark: SparkSession, **values: str):
+    """Settings (dots written as two underscores) that hold within the block."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    old = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 #: Paths written so far, with whether they outlive the scratch block they were written in.
 _written: dict[str, bool] = {}
 
@@ -77,7 +93,8 @@ def scratch(spark: SparkSession):
 def materialize(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """df as a table in the shared folder: computed once, lineage cut, whole after the loss of executors."""
     path = shared_path(df.sparkSession, label, keep)
-    df.write.parquet(path)
+    with session_conf(df.sparkSession, spark__sql__execution__arrow__maxBytesPerBatch=BATCH_BYTES):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

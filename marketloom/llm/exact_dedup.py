@@ -15,12 +15,10 @@ other, one of which stays; an empty table gives an empty result. Other columns a
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, has_file_metadata, materialize, scratch, shared_path, table, text_or_empty
+from .common import SPACE, has_file_metadata, materialize, scratch, session_conf, shared_path, table, text_or_empty
 
 #: Locators of up to this many rows (some 200 bytes each) are broadcast; beyond it the texts are joined by shuffle.
 BROADCAST_ROWS = 100_000
@@ -30,19 +28,6 @@ def normalised() -> Column:
     return F.regexp_replace(text_or_empty(), f"[{SPACE}]+", "")
 
 
-@contextmanager
-def _conf(spark: SparkSession, **values: str):
-    names = {k.replace("__", "."): v for k, v in values.items()}
-    old = {k: spark.conf.get(k, None) for k in names}
-    for k, v in names.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in old.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def arrivals(docs: DataFrame, digest_bytes: int = 32) -> tuple[DataFrame, DataFrame]:
     """docs with files behind it, and the table of digests that is the stream."""
     if not has_file_metadata(docs):
@@ -66,7 +51,7 @@ def stream_state(rows: DataFrame, state: str | None = None) -> DataFrame:
     state = state or shared_path(spark, "state")
     provider = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     # A store is closed as soon as its task has committed: after the run nothing of the state stays on executors.
-    with _conf(spark, spark__sql__streaming__stateStore__providerClass=provider, spark__sql__streaming__stateStore__unloadOnCommit="true"):
+    with session_conf(spark, spark__sql__streaming__stateStore__providerClass=provider, spark__sql__streaming__stateStore__unloadOnCommit="true"):
         path = rows.inputFiles()
         folder = path[0].rsplit("/", 1)[0] if path else None
         if folder is None:

@@ -14,7 +14,7 @@ from ..functions import titles as T
 from ..functions import validation
 from ..functions import variants as V
 from ..operators import alerts as al
-from ..operators import delivery, evals, extraction, market, series, state
+from ..operators import delivery, evals, extraction, market, series, state, worklists
 from ..sources import feed
 from .fixtures import AS_OF, oracle, table
 
@@ -517,3 +517,75 @@ def error_ratio(t):
 def key_tiers(t):
     end = F.when(F.col("order_key") % 3 == 0, ":barebone").when(F.col("order_key") % 3 == 1, ":partial").otherwise("")
     return t("listings").groupBy(extraction.tier_of_key(F.concat("product_key", end)).alias("tier")).agg(F.count(F.lit(1)).alias("n"))
+
+
+UNTYPED = "(SELECT listing_id, title, active, updated_at, nullif(component_type, 'gpu') AS component_type FROM listings)"
+
+
+def untyped(t) -> DataFrame:
+    rows = t("listings").select("listing_id", "title", "active", "updated_at", "component_type")
+    return rows.withColumn("component_type", F.nullif(F.col("component_type"), F.lit("gpu")))
+
+
+@query(f"SELECT listing_id, title, updated_at FROM {UNTYPED} WHERE active AND component_type IS NULL ORDER BY updated_at DESC NULLS LAST, listing_id LIMIT 50", "listings")
+def unextracted_newest(t):
+    return worklists.newest(worklists.unextracted(untyped(t)), "updated_at", "listing_id", 50).select("listing_id", "title", "updated_at")
+
+
+@query(f"SELECT listing_id, component_type, updated_at FROM (SELECT *, CASE WHEN listing_id LIKE '%1' THEN 50 END AS score FROM {UNTYPED}) WHERE active AND component_type IS NOT NULL AND score IS NULL ORDER BY updated_at DESC NULLS LAST, listing_id LIMIT 50", "listings")
+def unscored_newest(t):
+    rows = untyped(t).withColumn("score", F.when(F.col("listing_id").like("%1"), 50))
+    return worklists.newest(worklists.unscored(rows), "updated_at", "listing_id", 50).select("listing_id", "component_type", "updated_at")
+
+
+@query(f"SELECT listing_id, active AND component_type IS NOT NULL AS active FROM {UNTYPED}", "listings")
+def deactivate_unextracted(t):
+    return worklists.deactivated(untyped(t)).select("listing_id", "active")
+
+
+@query("SELECT job_id, listing_id, title, error_text, attempts FROM queue JOIN listings ON order_key = job_id WHERE error_text IS NOT NULL", "listings", "queue")
+def failed_jobs(t):
+    return worklists.failed_jobs(t("queue"), t("listings"), "job_id", "order_key").select("job_id", "listing_id", "title", "error_text", "attempts")
+
+
+@query(f"SELECT product_key, sample_count, p50 FROM {BASE} ORDER BY sample_count DESC, product_key LIMIT 20", "listings")
+def baseline_coverage(t):
+    return worklists.best_covered(base_of(t)).select("product_key", "sample_count", "p50")
+
+
+@query(f"SELECT product_key, count(*) AS n_listings FROM listings WHERE active AND product_key <> '' AND product_key NOT IN (SELECT product_key FROM {BASE} WHERE sample_count >= 10) GROUP BY product_key", "listings")
+def keys_without_warm_baseline(t):
+    return worklists.uncovered(t("listings"), base_of(t).where("sample_count >= 10"))
+
+
+@query(f"""SELECT a.alert_id, a.score, l.title, l.price, w.watch_name FROM alerts a JOIN listings l ON l.listing_id = a.listing_id JOIN watches w ON w.watch_id = a.watch_id
+  WHERE a.created_at >= TIMESTAMP '{AS_OF}' - INTERVAL 200 DAY AND a.created_at <= TIMESTAMP '{AS_OF}'""", "listings", "watches", "alerts")
+def recent_alerts(t):
+    return worklists.recent_alerts(t("alerts"), t("listings"), t("watches"), AS_OF, 200).select("alert_id", "score", "title", "price", "watch_name")
+
+
+@query("SELECT a.watch_id, watch_name, count(*) AS n_alerts, max(score) AS best_score, max(created_at) AS newest FROM alerts a JOIN watches w ON w.watch_id = a.watch_id WHERE NOT notified AND listing_id IN (SELECT listing_id FROM listings WHERE active) GROUP BY ALL", "listings", "watches", "alerts")
+def pending_by_watch(t):
+    return worklists.pending_by_watch(t("alerts"), t("listings").where("active"), t("watches"))
+
+
+@query(f"SELECT component_type, count(*) FILTER (WHERE sample_count >= 10) AS warm, count(*) FILTER (WHERE sample_count IS NULL OR sample_count < 10) AS cold FROM {SCORED} GROUP BY component_type", "listings")
+def warm_and_cold(t):
+    return worklists.warm_and_cold(scored_of(t))
+
+
+@query(f"SELECT cast(coalesce(sum(cast(cost AS decimal(20,9))), 0) AS decimal(20,6)) AS spend FROM {COST} WHERE judged_at >= date_trunc('day', TIMESTAMP '1998-07-15 13:30:00')", "judged")
+def spent_today(t):
+    return worklists.spent_today(costs_of(t), "1998-07-15 13:30:00")
+
+
+@query("""SELECT date_trunc('day', created_at)::timestamp AS day, CASE WHEN count(judge_score) > 0 THEN count(*) FILTER (WHERE judge_score < 0.3) / count(judge_score) END AS noise_share,
+  count(dismissed_at) / count(*) AS dismissed_share FROM alerts a LEFT JOIN judged j ON j.alert_id = a.alert_id GROUP BY ALL""", "listings", "alerts", "judged")
+def noise_and_dismissals(t):
+    return worklists.noise_and_dismissals(t("alerts"), t("judged"))
+
+
+@query("SELECT component_type, count(*) AS n FROM listings WHERE regexp_matches(product_key, '^(ram|drive):brand_[0-9]+$') OR regexp_matches(title, 'xeon +gold', 'i') GROUP BY component_type", "listings")
+def regex_keys(t):
+    wanted = F.rlike("product_key", F.lit("^(ram|drive):brand_[0-9]+$")) | F.rlike("title", F.lit("(?i)xeon +gold"))
+    return t("listings").where(wanted).groupBy("component_type").agg(F.count(F.lit(1)).alias("n"))

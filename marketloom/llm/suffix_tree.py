@@ -1,19 +1,21 @@
 """Scoring texts by a probabilistic suffix tree (operator 10).
 
 Symbols are words, and one end per text. The root's distribution is that of all training symbols, each count 0.5
-higher, with one class for unknown words. Contexts of up to DEPTH symbols that make up P_MIN or more of the training
-symbols are candidates; one is kept if the next symbols seen after it diverge from those of its shorter suffix by
-MIN_GAIN bits or more in all, and suffixes of kept contexts are kept. After a kept context, next symbols that together
-with it make up P_MIN have their own (discounted) probability, and the others share the rest as after its suffix. A
-text's score is the sum of log10 probabilities, each after the longest kept suffix of what went before.
-
-Contexts and their explicit symbols number at most DEPTH / P_MIN each whatever the corpus, and the words that are
-scored within a task at most 1 / P_LOCAL, so these tables may go through the driver; levels are counted one by one, a
-longer context only where its parts are frequent. Counts of all other words stay distributed: their occurrences are
-joined with them by hash. No hash has more than P_LOCAL of all occurrences there.
-
-Words are told apart by a 64-bit hash. Defined cases: null or empty text is the end alone; null doc_id counts as the
-empty text in the rule for held-out rows and is carried; repeated rows are counted and scored each; an empty table
+higher, with one class for unknown words. Contexts of one and two words that were seen MIN_COUNT times (in small corpora:
+that make up P_MIN of the symbols) are candidates; one is kept if the next symbols seen after it diverge from those of
+its shorter suffix by MIN_GAIN bits or more in all, and suffixes of kept contexts are kept. After a kept context, next
+symbols seen so often with it have their own (discounted) probability, and the others share the rest as after its
+suffix. A text's score is the sum of log10 probabilities, each after the longest kept suffix of what went before.
+
+Contexts and explicit symbols grow with the corpus and stay distributed. A score is a sum over a text's runs of one, two
+and three symbols: a kept context adds the log of what it leaves to others, an explicit symbol its own log less what the
+shorter runs add. So one table of (hash of a run, value) is all that scoring needs. Runs that make up P_LOCAL of all,
+a bounded number, are looked up within tasks; occurrences of others are joined with the table by hash, and no hash has
+more than P_LOCAL of all occurrences there. Words are looked up likewise. A run is counted only where its parts are
+frequent. Bitmaps of bounded size spare most occurrences that would find nothing; they decide no result.
+
+Words and runs are told apart by a 64-bit hash. Defined cases: null or empty text is the end alone; null doc_id counts as
+the empty text in the rule for held-out rows and is carried; repeated rows are counted and scored each; an empty table
 gives an empty result, an empty training part a root of one class.
 """
 
@@ -29,17 +31,26 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, maybe_broadcast, table
 
-DEPTH = 2
+MIN_COUNT = 32
+#: The least count is no more than this share of the symbols, so that small corpora have contexts too.
 P_MIN = 2.0**-15
 P_LOCAL = 2.0**-20
 MIN_GAIN = 64.0
 DISCOUNT = 0.5
 END = 0
-#: Bits of a symbol's number in packed contexts: 1 / P_MIN words and the end.
+#: Bits of a symbol's number in packed contexts of Tree.
 BITS = 16
 FLUSH = 300_000
+#: Words that are in memory as arrays at a time, and runs that are added up before they are sent.
+SLICE = 200_000
+HELD = 2_000_000
+#: Bitmaps have 16 bits an entry, but at most 2 ** MAP_BITS.
+MAP_BITS = 26
+#: The hash of a run is that of the run without its last symbol times this number, plus the last symbol's.
+FACTOR = np.int64(0x1E3779B97F4A7C15)
+BROADCAST_WORDS = 400_000
 
 
 def held_out() -> Column:
@@ -54,26 +65,37 @@ def signed(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word) - (1 << 63)
 
 
-class Numbers(dict):
-    """word -> number by its hash; -1 - k for the k-th other hash met, which is kept in others."""
-
-    def __init__(self, by_hash: dict[int, int]):
-        self.by_hash, self.others = by_hash, []
+class Hashes(dict):
+    """64-bit hashes of words, kept for those seen lately."""
 
     def __missing__(self, word: bytes) -> int:
-        key = signed(word)
-        number = self.by_hash.get(key)
-        if number is None:
-            number = -1 - len(self.others)
-            self.others.append(key)
-        self[word] = number
-        return number
-
-    def of(self, words: list[bytes]) -> np.ndarray:
         if len(self) > FLUSH:
             self.clear()
-            self.others.clear()
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        self[word] = value = signed(word)
+        return value
+
+
+#: The end as a hash; words are never empty.
+END_CODE = signed(b"")
+
+
+def sliced(texts: pa.Array, hashes: Hashes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hashes of words, with the end after each text; number of symbols of each text) of some texts at a time."""
+    words, sizes = [], []
+    for text in texts:
+        own = words_of(text.as_py())
+        words += own
+        words.append(b"")
+        sizes.append(len(own) + 1)
+        if len(words) > SLICE:
+            yield np.fromiter(map(hashes.__getitem__, words), np.int64, len(words)), np.array(sizes)
+            words, sizes = [], []
+    if sizes:
+        yield np.fromiter(map(hashes.__getitem__, words), np.int64, len(words)), np.array(sizes)
+
+
+def longer(runs: np.ndarray, last: np.ndarray) -> np.ndarray:
+    return runs * FACTOR + last
 
 
 def rows_of(counts: Counter) -> pa.RecordBatch:
@@ -118,30 +140,102 @@ def within(sorted_codes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.
     return at, sorted_codes[at] == codes
 
 
-def context_counts(training: DataFrame, symbols: dict[int, int], width: int, shorter: np.ndarray | None) -> DataFrame:
-    """code, n of runs of width frequent symbols, of which both shorter parts are among the frequent ones."""
+class Bitmap:
+    """Whether a hash may be in a table: never a wrong no."""
+
+    def __init__(self, codes: DataFrame):
+        rows = codes.count()
+        self.bits = min(MAP_BITS, max(15, (16 * rows).bit_length()))
+        bit = F.col("code").bitwiseAND(F.lit((1 << self.bits) - 1)) + 1
+        parts = codes.groupBy(F.bitmap_bucket_number(bit).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("map"))
+        self.bytes = np.zeros((1 << self.bits) // 8, np.uint8)
+        for part, own in parts.collect():
+            self.bytes[(part - 1) * 4096 : part * 4096] = np.frombuffer(own, np.uint8)
+
+    def may_have(self, codes: np.ndarray) -> np.ndarray:
+        at = codes & ((1 << self.bits) - 1)
+        return (self.bytes[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+
+def run_counts(training: DataFrame, width: int, parts: Bitmap, least: float, label: str) -> DataFrame:
+    """code, before (hash of the run without its last symbol), last, n of runs of two or three symbols seen that often.
+
+    parts: what the runs one shorter that are frequent may be.
+    """
+
+    def added(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        before = np.concatenate([np.zeros(0, np.int64), *(b for b, _ in held)])
+        last = np.concatenate([np.zeros(0, np.int64), *(x for _, x in held)])
+        codes = longer(before, last)
+        order = np.argsort(codes)
+        codes = codes[order]
+        starts = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else np.zeros(0, np.int64)
+        n = np.diff(np.append(starts, len(codes)))
+        some = order[starts]
+        return pa.RecordBatch.from_arrays([pa.array(before[some]), pa.array(last[some]), pa.array(n.astype(np.int64))], names=["before", "last", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, held, size = Numbers(symbols), [], 0
+        hashes, held, size = Hashes(), [], 0
         for batch in batches:
-            for text in batch.column(0):
-                codes = packed(np.append(numbers.of(words_of(text.as_py())), END), width)
-                ok = codes >= 0
-                if shorter is not None:
-                    parts = (1 << (BITS * (width - 1))) - 1
-                    ok &= within(shorter, codes >> BITS)[1] & within(shorter, codes & parts)[1]
-                held.append(codes[ok])
+            for symbols, _ in sliced(batch.column(0), hashes):
+                inner = symbols != END_CODE
+                before, last, ok = symbols[:-1], symbols[1:], inner[:-1]
+                shorter = parts.may_have(symbols)
+                if width == 3:
+                    pairs = longer(before, last)
+                    before, last, ok = pairs[:-1], symbols[2:], ok[:-1] & inner[1:-1]
+                    shorter = parts.may_have(pairs)
+                ok = ok & shorter[:-1] & shorter[1:]
+                held.append((before[ok], last[ok]))
                 size += int(ok.sum())
-            if size > 4_000_000:
-                yield distinct(held)
-                held, size = [], 0
-        yield distinct(held)
+                if size > HELD:
+                    yield added(held)
+                    held, size = [], 0
+        yield added(held)
 
-    def distinct(held: list[np.ndarray]) -> pa.RecordBatch:
-        codes, n = np.unique(np.concatenate([np.zeros(0, np.int64), *held]), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n.astype(np.int64))], names=["code", "n"])
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = longer(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(codes), *batch.columns], names=["code", "before", "last", "n"])
 
-    return training.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    found = training.select("text").mapInArrow(run, "before long, last long, n long").groupBy("before", "last").agg(F.sum("n").alias("n"))
+    return materialize(found.where(F.col("n") >= float(least)).mapInArrow(coded, "code long, before long, last long, n long"), label)
+
+
+def tested(rows: DataFrame) -> DataFrame:
+    """before, total, share (of what other symbols have after the suffix), gain; from rows (before, total, n, own, old)."""
+    sums = rows.groupBy("before").agg(
+        F.first("total").alias("total"), F.sum("n").alias("seen"), F.count(F.lit(1)).alias("k"), F.sum("old").alias("old"),
+        F.sum(F.col("n") * F.log2(F.col("own") / F.col("old"))).alias("gain"),
+    )
+    left = F.col("total") - F.col("seen")
+    share = (left + DISCOUNT * F.col("k")) / F.col("total") / F.greatest(1 - F.col("old"), F.lit(1e-9))
+    return sums.select("before", "total", share.alias("share"), (F.col("gain") + left * F.log2(share)).alias("gain"))
+
+
+def run_values(training: DataFrame, words: DataFrame, below: float, least: float, min_gain: float) -> DataFrame:
+    """code, value, n: what each occurrence of a run adds to a score; words (code, n) are the symbols seen often enough."""
+    pairs = run_counts(training, 2, Bitmap(words.select("code")), least, "pairs")
+    triples = run_counts(training, 3, Bitmap(pairs.select("code")), least, "triples")
+    known = maybe_broadcast(words, BROADCAST_WORDS)
+    own = (F.col("n") - DISCOUNT) / F.col("total")
+    pairs = pairs.join(known.select(F.col("code").alias("before"), F.col("n").alias("total")), "before")
+    pairs = pairs.join(known.select(F.col("code").alias("last"), ((F.col("n") + 0.5) / F.lit(float(below))).alias("old")), "last")
+    pairs = materialize(pairs.select("code", "before", "last", "n", "total", own.alias("own"), "old"), "pairs")
+    # The parts of a frequent run are frequent, so these joins lose nothing.
+    triples = triples.join(pairs.select(F.col("code").alias("before"), F.col("last").alias("middle"), F.col("n").alias("total")), "before")
+    triples = triples.join(pairs.select(F.col("before").alias("middle"), "last", F.col("own").alias("old")), ["middle", "last"])
+    triples = materialize(triples.select("code", "before", "middle", "last", "n", "total", own.alias("own"), "old"), "triples")
+    two = materialize(tested(triples).where(F.col("gain") >= float(min_gain)), "contexts")
+    suffixes = pairs.select("code", "last").join(two.select(F.col("before").alias("code")), "code", "left_semi")
+    suffixes = suffixes.select(F.col("last").alias("before")).distinct().withColumn("suffix", F.lit(True))
+    one = tested(pairs).join(suffixes, "before", "left").where((F.col("gain") >= float(min_gain)) | F.col("suffix"))
+    one = materialize(one.select("before", "total", "share"), "contexts")
+    value = (F.log10("own") - F.log10("share") - F.log10("old")).alias("value")
+    contexts = [c.select(F.col("before").alias("code"), F.log10("share").alias("value"), F.col("total").alias("n")) for c in (one, two)]
+    explicit = [r.select("code", "before", "n", "own", "old").join(c.select("before", "share"), "before").select("code", value, "n") for r, c in ((pairs, one), (triples, two))]
+    both = contexts[0].unionByName(contexts[1]).unionByName(explicit[0]).unionByName(explicit[1])
+    return materialize(both.groupBy("code").agg(F.sum("value").alias("value"), F.max("n").alias("n")), "values")
 
 
 def frequent(counts: DataFrame, least: float) -> list[tuple[int, int]]:
@@ -150,7 +244,7 @@ def frequent(counts: DataFrame, least: float) -> list[tuple[int, int]]:
 
 
 class Tree:
-    """Kept contexts by depth with the log10 of what is left to other symbols, and explicit next symbols."""
+    """The same model in one process, which tests hold against the tables. Kept contexts by depth with the log10 of what is left to other symbols, and explicit next symbols."""
 
     def __init__(self, root: dict[int, float], levels: list[dict[int, int]], first: dict[int, int], min_gain: float = MIN_GAIN):
         """root: probability of each frequent symbol; first: their counts; levels: counts of runs of 2, 3, ... symbols."""
@@ -211,10 +305,15 @@ class Tree:
         return float(logs.sum()), from_root
 
 
-SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, others array<long>"
+SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, others array<long>, runs array<long>"
+
 
+def lists(codes: np.ndarray, docs: np.ndarray, n: int) -> pa.Array:
+    """The codes of each of n documents; docs ascends."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(docs, np.arange(n + 1)).astype(np.int32)), pa.array(codes))
 
-def score_documents(docs: DataFrame, depth: int = DEPTH, p_min: float = P_MIN, p_local: float = P_LOCAL, min_gain: float = MIN_GAIN) -> DataFrame:
+
+def score_documents(docs: DataFrame, min_count: int = MIN_COUNT, p_min: float = P_MIN, p_local: float = P_LOCAL, min_gain: float = MIN_GAIN) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     training = docs.where(~held_out())
@@ -223,49 +322,62 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, p_min: float = P_MIN, p
     row = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     total, distinct = row[0] + ends, row[1] + (ends > 0)
     below = total + 0.5 * (distinct + 1)
-    local = sorted(frequent(counts, max(1, total * p_local)))
-    by_hash = {code: k for k, (code, _) in enumerate(local)}
-    logs = np.log10((np.array([n for _, n in local], float) + 0.5) / below) if local else np.zeros(0)
-    top = [k for k, (_, n) in enumerate(local) if n >= total * p_min]
-    number = np.full(len(local) + 1, -1, np.int64)
-    number[top] = np.arange(1, len(top) + 1)
-    symbols = {local[k][0]: int(number[k]) for k in top}
-    first = {END: ends} | {int(number[k]): local[k][1] for k in top}
-    root = {s: (n + 0.5) / below for s, n in first.items()}
-    levels: list[dict[int, int]] = []
-    for width in range(2, depth + 2):
-        shorter = np.array(sorted(levels[-1]), np.int64) if levels else None
-        levels.append(dict(frequent(context_counts(training, symbols, width, shorter), max(2, total * p_min))))
-    tree = Tree(root, levels, first, min_gain)
+    least, bound = min(min_count, max(2, total * p_min)), float(max(1, total * p_local))
+    local = sorted(frequent(counts, bound))
+    codes = np.array([code for code, _ in local], np.int64)
+    logs = np.log10((np.array([n for _, n in local], float) + 0.5) / below)
+    end = docs.sparkSession.range(1).select(F.lit(END_CODE).alias("code"), F.lit(ends).cast("long").alias("n"))
+    values = run_values(training, counts.unionByName(end).where(F.col("n") >= float(least)), below, least, min_gain)
+    bitmap = Bitmap(values.select("code"))
+    runs = sorted((r.code, r.value) for r in values.where(F.col("n") >= bound).collect())
+    run_codes, run_logs = np.array([c for c, _ in runs], np.int64), np.array([v for _, v in runs], float)
     end_log = log10((ends + 0.5) / below)
 
+    def scored(symbols: np.ndarray, sizes: np.ndarray) -> list[pa.Array]:
+        n = len(sizes)
+        doc, inner = np.repeat(np.arange(n), sizes), symbols != END_CODE
+        at, known = within(codes, symbols)
+        known &= inner
+        plain = np.where(inner, 0.0, end_log)
+        plain[known] = logs[at[known]]
+        base = np.bincount(doc, plain, n)
+        rare = inner & ~known
+        pairs = longer(symbols[:-1], symbols[1:])
+        triples = longer(pairs[:-1], symbols[2:])
+        found, of = [], []
+        for some, ok in ((symbols, inner), (pairs, inner[:-1]), (triples, inner[:-2] & inner[1:-1])):
+            ok = np.flatnonzero(ok & bitmap.may_have(some))
+            found.append(some[ok])
+            of.append(doc[ok])
+        found, of = np.concatenate(found), np.concatenate(of)
+        at, here = within(run_codes, found)
+        score = base + np.bincount(of[here], run_logs[at[here]], n)
+        found, of = found[~here], of[~here]
+        order = np.argsort(of, kind="stable")
+        n_known = np.bincount(doc[known], minlength=n) + (ends > 0)
+        return [pa.array(sizes), pa.array(n_known), pa.array(base), pa.array(score), lists(symbols[rare], doc[rare], n), lists(found[order], of[order], n)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = Numbers(by_hash)
+        hashes = Hashes()
         for batch in batches:
-            out = []
-            for text in batch.column(3):
-                ids = numbers.of(words_of(text.as_py()))
-                known = ids >= 0
-                plain = np.append(np.where(known, logs[np.maximum(ids, 0)] if len(logs) else 0.0, 0.0), end_log)
-                sequence = np.append(np.where(known, number[np.maximum(ids, 0)], -1), END)
-                score, _ = tree.score(sequence, plain)
-                others = [numbers.others[-1 - k] for k in ids[~known].tolist()]
-                out.append((len(ids) + 1, int(known.sum()) + (ends > 0), float(plain.sum()), score, others))
-            n, k, base, score, others = zip(*out, strict=True) if out else ([], [], [], [], [])
-            arrays = [*batch.columns[:3], pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array(others, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in SCORED.split(", ")])
+            at = 0
+            for symbols, sizes in sliced(batch.column(3), hashes):
+                own = [c.slice(at, len(sizes)) for c in batch.columns[:3]]
+                at += len(sizes)
+                yield pa.RecordBatch.from_arrays([*own, *scored(symbols, sizes)], names=[x.split()[0] for x in SCORED.split(", ")])
 
     numbered = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", held_out().alias("held_out"), "text")
     rows = materialize(numbered.mapInArrow(run, SCORED), "scored")
     rare = rows.select("rid", F.explode("others").alias("code"))
     n = F.coalesce("n", F.lit(0))
-    rest = rare.join(counts.where(F.col("n") < float(max(1, total * p_local))), "code", "left")
+    rest = rare.join(counts.where(F.col("n") < bound), "code", "left")
     rest = rest.groupBy("rid").agg(F.sum(F.log10((n + 0.5) / F.lit(float(below)))).alias("rest"), F.count_if(n > 0).alias("more"))
-    rest = rest.withColumnRenamed("rid", "rid_")
+    more_runs = rows.select("rid", F.explode("runs").alias("code")).join(values.where(F.col("n") < bound), "code")
+    more_runs = more_runs.groupBy("rid").agg(F.sum("value").alias("of_runs"))
     add, more = F.coalesce("rest", F.lit(0.0)), F.coalesce("more", F.lit(0))
-    return rows.drop("others").join(rest, F.col("rid") == F.col("rid_"), "left").select(
+    return rows.drop("others", "runs").join(rest, "rid", "left").join(more_runs, "rid", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + more).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + add).alias("base_score"), (F.col("score") + add).alias("score"),
+        (F.col("base") + add).alias("base_score"), (F.col("score") + add + F.coalesce("of_runs", F.lit(0.0))).alias("score"),
     )
 
 

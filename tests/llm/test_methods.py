@@ -1,6 +1,8 @@
 """The operators' methods on their own: properties that the queries' digests do not show."""
 
 import random
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -153,3 +155,46 @@ def test_stages_take_effect(spark, tmp_path):
     assert {d for d, _ in packed} == {d for d, _ in mixed}
     sized = mixing.mixed(frame(spark, []))
     assert sized.collect() == []
+
+
+def test_contexts_go_by_absolute_counts(spark):
+    # 2,000,000 training words; "north south" is seen 40 times, far below 2 ** -15 of them.
+    train = [d for d in range(1000) if not spark_held_out(d)]
+    rows = [(d, "other right fill " * 3333, "s") for d in train[:200]] + [(d, "north south", "s") for d in train[200:240]]
+    probe = next(d for d in range(1000, 2000) if spark_held_out(d))
+    found = {r.doc_id: r for r in suffix_tree.score_documents(frame(spark, [*rows, (probe, "north south", "s")])).collect()}
+    assert found[probe].score > found[probe].base_score + 0.1
+
+
+def spark_held_out(doc_id):
+    return zlib.crc32(str(doc_id).encode()) % 5 == 1
+
+
+@pytest.mark.parametrize("p_local", [2.0**-20, 0.05, 2.0])
+def test_tables_score_as_the_tree(spark, p_local):
+    r = random.Random(8)
+    words = list("abcdefgh")
+    rows = []
+    for d in range(120):
+        own = [r.choice(words)]
+        for _ in range(r.randint(0, 60)):
+            own.append(r.choice(words) if r.random() < 0.4 else words[(words.index(own[-1]) * 3 + len(own[-2:]) + (own[-2:-1] == ["a"])) % 8])
+        rows.append((d, " ".join(own), "s"))
+    number = {w: k for k, w in enumerate(words, 1)}
+    first, pairs, triples = Counter(), Counter(), Counter()
+    for d, t, _ in rows:
+        if not spark_held_out(d):
+            s = [number[w] for w in t.split()] + [0]
+            first.update(s)
+            pairs.update((a << 16) | b for a, b in zip(s, s[1:], strict=False))
+            triples.update((a << 32) | (b << 16) | c for a, b, c in zip(s, s[1:], s[2:], strict=False))
+    below = sum(first.values()) + 0.5 * (len(first) + 1)
+    root = {s: (n + 0.5) / below for s, n in first.items()}
+    often = lambda counts: {c: n for c, n in counts.items() if n >= 5}
+    tree = suffix_tree.Tree(root, [often(pairs), often(triples)], dict(first), min_gain=20)
+    assert len(tree.levels[0][0]) and len(tree.levels[1][0])
+    found = suffix_tree.score_documents(frame(spark, rows), min_count=5, p_min=1.0, p_local=p_local, min_gain=20).collect()
+    for x in found:
+        s = np.array([number[w] for w in rows[x.doc_id][1].split()] + [0])
+        assert x.score == pytest.approx(tree.score(s, np.log10([root[k] for k in s]))[0])
+    assert len(found) == len(rows)

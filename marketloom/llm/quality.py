@@ -2,11 +2,13 @@
 
 Two multinomials over hashed character n-grams are counted: of trusted target documents (a bounded sample of rows
 labelled good) and of the raw corpus (all documents). A document's score is the mean, over its n-grams, of
-log p_target - log p_raw; documents below a fixed threshold, and documents that fail the base rules, are rejected.
+log p_target - log p_raw; documents below a fixed threshold, and documents that fail the base rules, are rejected. The
+target is smoothed towards the raw distribution with a fixed weight, so that few trusted n-grams leave scores near 0.
 Ratios are rounded to millionths and summed as integers, so that a score depends on nothing but text and counts.
 
 Defined cases: a null or empty text has no words, no n-grams and score 0, and fails the base rules; repeated rows are
-scored each; labels that are null, repeated or without document are harmless; an empty table gives an empty result.
+scored each; labels that are null, repeated or without document are harmless; without any trusted n-gram all scores are
+0 and the base rules alone decide; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ BITS = 14
 TARGET_ROWS = 20_000
 #: Clean documents score -0.2 to 0.2 (from 1,000 documents on), junk -0.6 and less, whatever its share of the raw corpus.
 THRESHOLD = -0.4
+#: N-grams drawn from the raw distribution that are added to the trusted ones: those of some fifty documents.
+PRIOR = 2.0**17
 SCALE = 1_000_000
 #: The symbols of the base rules.
 SYMBOLS = b"#*$%&|<>"
@@ -64,12 +68,14 @@ def gram_counts(docs: DataFrame, trusted: DataFrame, order: int = ORDER, bits: i
 
 
 def log_ratios(counts: DataFrame, bits: int = BITS) -> np.ndarray:
-    """Millionths of log p_target - log p_raw per bucket, each count one higher. At most 2**bits rows come here."""
-    raw, target = np.ones(1 << bits), np.ones(1 << bits)
+    """Millionths of log p_target - log p_raw per bucket, raw counts one higher. At most 2**bits rows come here."""
+    raw, target = np.ones(1 << bits), np.zeros(1 << bits)
     for bucket, r, t in counts.collect():
         raw[bucket] += r
         target[bucket] += t
-    return np.rint(SCALE * (np.log(target / target.sum()) - np.log(raw / raw.sum()))).astype(np.int64)
+    p_raw = raw / raw.sum()
+    p_target = (target + PRIOR * p_raw) / (target.sum() + PRIOR)
+    return np.rint(SCALE * (np.log(p_target) - np.log(p_raw))).astype(np.int64)
 
 
 def repeated_words(words: list[bytes], window: int = WINDOW) -> int:

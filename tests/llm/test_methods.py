@@ -10,7 +10,7 @@ from plain_import import plain
 from pyspark.sql import functions as F
 from test_queries import odd_rows
 
-from marketloom.llm import common, exact_dedup, mixing, near_dedup, packing, page_text, personal, suffix_tree
+from marketloom.llm import common, exact_dedup, mixing, near_dedup, packing, page_text, personal, quality, suffix_tree
 
 
 def frame(spark, rows):
@@ -198,3 +198,13 @@ def test_tables_score_as_the_tree(spark, p_local):
         s = np.array([number[w] for w in rows[x.doc_id][1].split()] + [0])
         assert x.score == pytest.approx(tree.score(s, np.log10([root[k] for k in s]))[0])
     assert len(found) == len(rows)
+
+
+@pytest.mark.parametrize("labels", [[], [(9999, 1)], [(0, 1)]])
+def test_few_trusted_rows_reject_no_clean_text(spark, labels):
+    r = random.Random(5)
+    words = ["".join(r.choices("etaoinshr", k=r.randint(2, 6))) for _ in range(200)]
+    rows = [(k, " ".join(r.choices(words, k=80)), "s") for k in range(60)]
+    found = quality.judged(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    assert all(x.kept and not x.base_failed for x in found) and len(found) == 60
+    assert labels == [(0, 1)] or all(x.score == 0 for x in found)

@@ -6,7 +6,8 @@ maximum likelihood on labelled pages, and Viterbi's best path marks the blocks o
 from a rule (TRAIN_PAGES of several layouts, with their labels), since the tables hold no labels for pages.
 
 Defined cases: null, empty or tag-only html gives an empty text; unclosed and stray tags, comments and quotes do no
-harm; null page_id or url is carried; repeated rows are each extracted; an empty table gives an empty result.
+harm (a head, list of options or drawing without its end ends where other content begins, and an object is passed over
+if no end of one follows); null page_id or url is carried; repeated rows are each extracted; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,6 +32,10 @@ STEPS = 120
 SILENT = frozenset("script style noscript template head title textarea select option svg iframe object".split())
 RAW = frozenset("script style noscript template title textarea iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+#: What a head, a list of options or a drawing may hold; other elements (block elements) end it.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+IN_SELECT = frozenset("option optgroup hr script template".split())
+OUT_OF_SVG = frozenset("article aside blockquote body center dd div dl dt footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table ul".split())
 INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd label mark q s samp small span strong sub sup time tt u var wbr".split())
 #: Ancestors and class words that are features.
 TAGS = "article main nav aside header footer form section ul ol table h1 h2 h3 p li blockquote pre figure div button".split()
@@ -67,6 +72,7 @@ def blocks(page: str | None) -> list[Block]:
     parts: list[str] = []
     linked = 0
     page = page or ""
+    last_object = max((m.start() for m in re.finditer("</object", page, re.I)), default=-1)
 
     def close_block() -> None:
         nonlocal linked
@@ -77,8 +83,21 @@ def blocks(page: str | None) -> list[Block]:
                 out.append(Block(text, frozenset(t for t, _ in stack), frozenset().union(*(c for _, c in stack)), linked))
         linked = 0
 
+    def end_open(name: str) -> None:
+        """Ends what was left open and cannot hold this element."""
+        for k, (t, _) in enumerate(stack):
+            if (
+                t == "head" and name not in IN_HEAD
+                or t in ("select", "option") and name not in INLINE and name not in IN_SELECT
+                or t == "svg" and name in OUT_OF_SVG and not any(u == "foreignobject" for u, _ in stack[k:])
+            ):
+                del stack[k:]
+                return
+
     def say(text: str) -> None:
         nonlocal linked
+        if stack and stack[-1][0] == "head" and SPACES.sub("", text):
+            stack.pop()
         if text and not any(t in SILENT for t, _ in stack):
             parts.append(text)
             if any(t == "a" for t, _ in stack):
@@ -98,6 +117,8 @@ def blocks(page: str | None) -> list[Block]:
                 while stack.pop()[0] != name:
                     pass
             continue
+        if any(t in SILENT for t, _ in stack):
+            end_open(name)
         if name == "br":
             say(" ")
             continue
@@ -107,7 +128,7 @@ def blocks(page: str | None) -> list[Block]:
             while stack and (stack[-1][0] in INLINE or stack[-1][0] == "p" or stack[-1][0] == name and name in ("li", "dt", "dd", "tr", "td", "th", "option")):
                 stack.pop()
         attributes = m[3] if m[2] else m[6]
-        if name in VOID or attributes.endswith("/"):
+        if name in VOID or attributes.endswith("/") or name == "object" and at > last_object:
             continue
         stack.append((name, class_words(attributes)))
         if name in RAW:

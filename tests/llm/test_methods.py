@@ -208,3 +208,18 @@ def test_few_trusted_rows_reject_no_clean_text(spark, labels):
     found = quality.judged(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int")).collect()
     assert all(x.kept and not x.base_failed for x in found) and len(found) == 60
     assert labels == [(0, 1)] or all(x.score == 0 for x in found)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<html><head><meta charset=utf-8><title>T</title><body><article><p>{}</article>",
+        "<head><title>T</title><link rel=x><article><p>{}</article>",
+        "<article><select><option>One<option>Two<p>{}</article>",
+        "<article><svg><path d=x><p>{}</article>",
+        "<article><object data=x><p>{}</article>",
+    ],
+)
+def test_unclosed_silent_elements_do_no_harm(page):
+    text = "A long sentence of the article, with several words, that a reader would see."
+    assert page_text.main_text(page.format(text), *page_text.trained()) == text

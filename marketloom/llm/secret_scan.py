@@ -2,8 +2,9 @@
 
 Candidates are the base matches and opaque tokens of mixed characters. Their hashes are aggregated over the corpus by
 distinct repositories (documents, unless a column says otherwise) and owners (sources): a value that several owners
-have is a copied example, one that a single owner has and that looks random is taken for a live credential. Base spans
-are always reported; opaque tokens only if live. Copies within a task, and then within an owner, are merged before
+have, or that is in many repositories of one, is a copied example; one that a single owner has in few and that looks
+random is taken for a live credential. Base spans are always reported; opaque tokens only if live. Each
+value's two counts are returned. Copies within a task, and then within an owner, are merged before
 values are counted, so a value in a third of all rows sends a few rows per task.
 
 Defined cases: null text is empty; null source is an owner of its own; null doc_id is carried; repeated rows are
@@ -29,6 +30,8 @@ HEX = r"[0-9a-f]{24,}+"
 OPAQUE = r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}+"
 #: From so many owners on, a value is a copied example.
 SHARED_OWNERS = 2
+#: So is, from so many repositories on, one of a single owner; a credential in use is in a few of them.
+SHARED_REPOSITORIES = 50
 
 
 def assigned(hit: Column) -> Column:
@@ -78,15 +81,18 @@ def ownership(candidates: DataFrame) -> DataFrame:
 
 
 def find_secrets(docs: DataFrame, repository: str = "doc_id", owner: str = "source") -> DataFrame:
-    """One row per document: counts and spans, n_live and n_shared (spans by ownership)."""
+    """One row per document: counts and spans, n_live and n_shared (spans by ownership), and
+    ownership (kind:start:end:repositories:owners of each candidate)."""
     rows = materialize(scanned(docs, repository, owner), "secrets")
     candidates = rows.where((F.size("base") > 0) | (F.size("opaque") > 0)).select("rid", "repository", "owner", F.explode(F.concat("base", "opaque")).alias("s"))
     candidates = candidates.select("rid", "repository", "owner", "s", F.col("s.hash").alias("hash"))
     judged = candidates.join(ownership(candidates), "hash")
-    live = (F.col("owners") < SHARED_OWNERS) & F.col("s.live")
+    shared = (F.col("owners") >= SHARED_OWNERS) | (F.col("repositories") >= SHARED_REPOSITORIES)
+    live = ~shared & F.col("s.live")
     added = F.when(live & (F.col("s.kind") == "opaque"), F.struct("s.start", "s.rank", "s.end", "s.kind"))
     by_row = judged.groupBy("rid").agg(
-        F.count_if(live).alias("n_live"), F.count_if(F.col("owners") >= SHARED_OWNERS).alias("n_shared"), F.collect_list(added).alias("added")
+        F.count_if(live).alias("n_live"), F.count_if(shared).alias("n_shared"), F.collect_list(added).alias("added"),
+        F.collect_list(F.struct("s.start", "s.rank", F.concat_ws(":", "s.kind", "s.start", "s.end", "repositories", "owners").alias("counts"))).alias("counted"),
     )
     out = rows.join(by_row, "rid", "left")
     base = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
@@ -95,6 +101,7 @@ def find_secrets(docs: DataFrame, repository: str = "doc_id", owner: str = "sour
         "doc_id", *[count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")], F.sha2(joined(base), 256).alias("base_sha256"),
         joined(F.when(F.col("added").isNull(), base).otherwise(F.concat(base, "added"))).alias("spans"),
         F.coalesce("n_live", F.lit(0)).cast("long").alias("n_live"), F.coalesce("n_shared", F.lit(0)).cast("long").alias("n_shared"),
+        F.coalesce(F.array_join(F.transform(F.array_sort("counted"), lambda s: s["counts"]), ","), F.lit("")).alias("ownership"),
     )
 
 

@@ -10,7 +10,7 @@ from plain_import import plain
 from pyspark.sql import functions as F
 from test_queries import odd_rows
 
-from marketloom.llm import common, exact_dedup, mixing, near_dedup, packing, page_text, personal, quality, suffix_tree
+from marketloom.llm import common, exact_dedup, mixing, near_dedup, packing, page_text, personal, quality, secret_scan, suffix_tree
 
 
 def frame(spark, rows):
@@ -223,3 +223,12 @@ def test_few_trusted_rows_reject_no_clean_text(spark, labels):
 def test_unclosed_silent_elements_do_no_harm(page):
     text = "A long sentence of the article, with several words, that a reader would see."
     assert page_text.main_text(page.format(text), *page_text.trained()) == text
+
+
+def test_values_in_many_repositories_of_one_owner_are_copies(spark):
+    many, few = "Qw3rTy7UiOp9AsDfGhJkL2", "Zx8cVb6NmQ1wErTyUiOpA3"
+    rows = [(k, f"see {many} here", "hot") for k in range(60)] + [(100 + k, f"see {few} here", "hot") for k in range(3)]
+    for x in secret_scan.find_secrets(frame(spark, rows)).collect():
+        live = x.doc_id >= 100
+        assert (x.n_live, x.n_shared, x.spans) == ((1, 0, "opaque:4:26") if live else (0, 1, ""))
+        assert x.ownership == f"opaque:4:26:{3 if live else 60}:1"

@@ -260,7 +260,8 @@ def near_components(docs: DataFrame, found: DataFrame, width: int, percent: int,
     copies = copies.select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct()
     mates = materialize(regions(nodes), "mates")
     dealt = materialize(blocks(mates, block), "blocks")
-    sets = materialize(full_sets(docs, dealt.select("node").distinct(), width), "sets")
+    # Of all mates: a node alone at a deeper depth is in no block, but may be compared with its whole region at the end.
+    sets = materialize(full_sets(docs, mates.select("node").distinct(), width), "sets")
     # The forest so far stands for the links of the rounds before.
     forest, comps = None, None
     for trees in ROUNDS:

@@ -232,3 +232,14 @@ def test_values_in_many_repositories_of_one_owner_are_copies(spark):
         live = x.doc_id >= 100
         assert (x.n_live, x.n_shared, x.spans) == ((1, 0, "opaque:4:26") if live else (0, 1, ""))
         assert x.ownership == f"opaque:4:26:{3 if live else 60}:1"
+
+
+def test_nodes_alone_at_depth_are_compared_at_the_end(spark):
+    words = [f"w{k}" for k in range(60)]
+    rows = [(1, " ".join(words), "s"), (2, " ".join([*words, "more"]), "s")] + [(k, " ".join(f"x{k}y{j}" for j in range(60)), "s") for k in (3, 4)]
+    docs = frame(spark, rows)
+    path = lambda k: np.array([7] * 4 + [1000 * k + j for j in range(near_dedup.HASHES - 4)], ">u4").tobytes()
+    found = [(k, 57, bytes([k]), path(k)) for k, _, _ in rows]
+    found = spark.createDataFrame([(a, b, bytearray(c), bytearray(d)) for a, b, c, d in found], "doc_id long, n_shingles long, same binary, values binary")
+    comps = near_dedup.near_components(docs, found, 4, 80, 2)
+    assert {r.node: r.comp for r in comps.collect()} == {1: 1, 2: 1}

@@ -6,7 +6,8 @@ are dealt by hash into groups of about GROUP_PIECES, and each group is packed on
 over residual gaps, of the squared number of open bins with that gap becomes smallest (a new bin is one of the choices).
 When a group ends, its bins that still have a gap are opened again, with up to a quarter of the full ones, and their
 pieces placed in falling order of length, each into the smallest gap that holds it; the method's open bins would
-otherwise stay part empty (4 % more sequences than the bound at this group size, against 0.1 to 1 % after it).
+otherwise stay part empty (4 % more sequences than the bound at this group size, against 0.1 to 1 % after it). Each
+piece says whether its sequence came through the sums of squares (by_squares).
 
 Defined cases: null or empty text is the end identifier alone; null doc_id is carried; repeated rows are packed each;
 an empty table gives an empty result.
@@ -15,6 +16,7 @@ an empty table gives an empty result.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -34,13 +36,19 @@ REOPENED = (0.0, 0.05, 0.1, 0.25)
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def encoder(ranks_path: str, pattern: str):
-    """The byte-level BPE of the vocabulary file; special tokens' names in a text are ordinary text."""
+def encoder(ranks_path: str, pattern: str, added_path: str | None = None):
+    """The byte-level BPE of the vocabulary file. Names of special tokens in a text are their identifiers if the
+    tokenizer file at added_path lists them, as that file's own library has it, and ordinary text without one."""
     import tiktoken
 
     with open(ranks_path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    if not added_path:
+        return tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    with open(added_path, encoding="utf-8") as file:
+        added = {x["content"]: x["id"] for x in json.load(file)["added_tokens"]}
+    encoding = tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
+    return lambda text: encoding.encode(text, allowed_special="all")
 
 
 def cut(length: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -51,13 +59,14 @@ def cut(length: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return [(0, first), *((at, capacity) for at in range(first, length, capacity))]
 
 
-def token_pieces(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """One row per piece. The vocabulary is read from the tokenizer package's own files on each executor."""
+def token_pieces(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", added: str | None = "byte_bpe_50k.json", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+    """One row per piece. The vocabulary, and the special tokens added to it, are read from the tokenizer package's own
+    files on each executor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
-        encode = encoder(public_tokenizers.path(vocabulary), public_tokenizers.PATTERN)
+        encode = encoder(public_tokenizers.path(vocabulary), public_tokenizers.PATTERN, added and public_tokenizers.path(added))
         for batch in batches:
             out: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -121,35 +130,37 @@ def best_fit_falling(lengths: np.ndarray, capacity: int = CAPACITY) -> np.ndarra
     return bins
 
 
-def pack_lengths(lengths: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
-    """Bins by sums of squares; those with a gap at the end, and the best of some shares of full ones, packed anew."""
+def pack_lengths(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
+    """Bins by sums of squares; those with a gap at the end, and the best of some shares of full ones, packed anew.
+    With them, whether each piece's bin is one of the former."""
     bins = sum_of_squares(lengths, capacity)
     if not len(bins):
-        return bins
+        return bins, np.zeros(0, bool)
     full = np.bincount(bins, weights=lengths) >= capacity
     pieces = np.bincount(bins)
     by_pieces = np.flatnonzero(full)[np.argsort(-pieces[full], kind="stable")]
-    best, least = bins, len(full)
+    best, least, fresh = bins, len(full), np.zeros(len(bins), bool)
     for share in REOPENED:
         left = ~full
         left[by_pieces[: int(share * len(by_pieces))]] = True
         again = best_fit_falling(lengths[left[bins]], capacity)
         used = int((~left).sum()) + (int(again.max()) + 1 if len(again) else 0)
         if used < least:
-            best, least = bins.copy(), used
-            best[left[bins]] = again + len(full)
-    return np.unique(best, return_inverse=True)[1]
+            best, least, fresh = bins.copy(), used, left[bins]
+            best[fresh] = again + len(full)
+    return np.unique(best, return_inverse=True)[1], ~fresh
 
 
 def pack_group(rows: pd.DataFrame, capacity: int = CAPACITY) -> pd.DataFrame:
     rows = rows.sort_values(["order", "doc_id", "piece", "ids_crc32"]).reset_index(drop=True)
-    bins = pack_lengths(rows["length"].to_numpy(), capacity)
+    bins, by_squares = pack_lengths(rows["length"].to_numpy(), capacity)
     order = np.argsort(bins, kind="stable")
     rows, bins = rows.iloc[order].reset_index(drop=True), bins[order]
+    rows["by_squares"] = by_squares[order]
     ends = rows["length"].cumsum() - rows["length"]
     rows["offset"] = ends - ends.groupby(bins).transform("min")
     rows["sequence_id"] = rows["part"].astype("int64") * 2**32 + bins
-    return rows[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
+    return rows[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "by_squares"]]
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES, **tokens) -> DataFrame:
@@ -159,9 +170,9 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, group_pieces: int
     groups = -(-max(1, short.count()) // group_pieces)
     order = F.xxhash64("doc_id", "piece", "ids_crc32")
     short = short.withColumns({"order": order, "part": F.pmod(F.xxhash64(order), F.lit(groups)).cast("int")})
-    packed = short.groupBy("part").applyInPandas(lambda rows: pack_group(rows, capacity), f"{PIECES}, sequence_id long, offset long")
+    packed = short.groupBy("part").applyInPandas(lambda rows: pack_group(rows, capacity), f"{PIECES}, sequence_id long, offset long, by_squares boolean")
     full = pieces.where(F.col("length") >= capacity).withColumns(
-        {"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")}
+        {"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long"), "by_squares": F.lit(True)}
     )
     return packed.unionByName(full)
 

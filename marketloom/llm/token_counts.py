@@ -9,7 +9,8 @@ run over block boundaries, over any number of blocks.
 
 The query first writes documents to such files in the shared folder (a task writes under a name of its own and renames
 at the end, so a task that runs again leaves the same file), and keeps beside them which document is the k-th of which
-file, to give counts back by doc_id.
+file, to give counts back by doc_id. The end identifier here is the vocabulary's one special token, so its name in a
+text is ordinary text: read as the token it would end the document.
 
 Defined cases: null or empty text has 0 tokens; tokens after a file's last end are one unfinished document (ended is
 false); an empty file or folder has no documents; a file whose length is no whole number of tokens is an error;
@@ -90,17 +91,20 @@ def scan_blocks(spark: SparkSession, folder: str, end_id: int = END_ID, dtype: s
 
 def count_tokens(blocks: DataFrame) -> DataFrame:
     """file, ordinal, start (place of the first token in the file), n_tokens (without the end), ended."""
+    # The windows see four numbers a block; the ends join afterwards, by block.
+    blocks = materialize(blocks, "ends")
     before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    placed = blocks.withColumn("first", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
-    placed = placed.withColumn("last_end", F.when(F.size("ends") > 0, F.col("first") + F.element_at("ends", -1)))
-    placed = placed.withColumns({"ended": F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)), "previous": F.coalesce(F.max("last_end").over(before), F.lit(-1))})
+    sums = blocks.select("file", "block", "tokens", F.size("ends").alias("n_ends"), F.try_element_at("ends", F.lit(-1)).alias("last"))
+    sums = sums.withColumn("first", F.coalesce(F.sum("tokens").over(before), F.lit(0))).withColumn("last_end", F.col("first") + F.col("last"))
+    sums = sums.withColumns({"ended": F.coalesce(F.sum("n_ends").over(before), F.lit(0)), "previous": F.coalesce(F.max("last_end").over(before), F.lit(-1))})
+    placed = blocks.select("file", "block", "ends").join(sums.select("file", "block", "first", "ended", "previous"), ["file", "block"])
     # The end before each end: for the first of a block it may be blocks away.
     places = F.transform("ends", lambda e: F.col("first") + e)
     prior = F.concat(F.array("previous"), F.slice(places, 1, F.greatest(F.size("ends") - 1, F.lit(0))))
     pairs = placed.where(F.size("ends") > 0).select("file", "ended", F.posexplode(F.arrays_zip(prior.alias("prior"), places.alias("end"))).alias("k", "x"))
     start = F.col("x.prior") + 1
     whole = pairs.select("file", (F.col("ended") + F.col("k")).alias("ordinal"), start.alias("start"), (F.col("x.end") - start).alias("n_tokens"), F.lit(True).alias("ended"))
-    rest = placed.groupBy("file").agg(F.sum("tokens").alias("tokens"), F.coalesce(F.max("last_end"), F.lit(-1)).alias("last"), F.sum(F.size("ends")).alias("ordinal"))
+    rest = sums.groupBy("file").agg(F.sum("tokens").alias("tokens"), F.coalesce(F.max("last_end"), F.lit(-1)).alias("last"), F.sum("n_ends").alias("ordinal"))
     rest = rest.where(F.col("tokens") - F.col("last") > 1)
     rest = rest.select("file", "ordinal", (F.col("last") + 1).alias("start"), (F.col("tokens") - F.col("last") - 1).alias("n_tokens"), F.lit(False).alias("ended"))
     return whole.unionByName(rest)

@@ -90,12 +90,24 @@ def scratch(spark: SparkSession):
         _forget(spark, path)
 
 
+def is_finished(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written there to its end."""
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """df as a table at path; one that is finished there is taken as it is, what a lost driver left is replaced."""
+    spark = df.sparkSession
+    if not is_finished(spark, path):
+        with session_conf(spark, spark__sql__execution__arrow__maxBytesPerBatch=BATCH_BYTES):
+            df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def materialize(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """df as a table in the shared folder: computed once, lineage cut, whole after the loss of executors."""
-    path = shared_path(df.sparkSession, label, keep)
-    with session_conf(df.sparkSession, spark__sql__execution__arrow__maxBytesPerBatch=BATCH_BYTES):
-        df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return written(df, shared_path(df.sparkSession, label, keep))
 
 
 def fits(df: DataFrame, rows: int) -> bool:

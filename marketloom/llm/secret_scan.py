@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, table, text_or_empty
-from .spans import joined, matches, overlaps
+from .spans import apart, joined, matches
 
 #: The base patterns, by kind in the order of reports.
 KEYWORD = r"(?i:password|passwd|secret|token|api_?key)"
@@ -49,7 +49,7 @@ def secret_value(span: Column) -> Column:
 
 
 def looks_live(value: Column) -> Column:
-    """Random enough for a credential: ten different characters with a digit among them, and no run of one character."""
+    """Random enough for a credential: eight different characters with a digit among them, and no run of one character."""
     return (F.size(F.array_distinct(F.split(value, ""))) >= 8) & F.rlike(value, F.lit("[0-9]")) & ~F.rlike(value, F.lit(r"(.)\1\1\1"))
 
 
@@ -64,7 +64,7 @@ def scanned(docs: DataFrame, repository: str = "doc_id", owner: str = "source")
         "doc_id", F.col(repository).cast("string").alias("repository"), F.col(owner).cast("string").alias("owner"),
         F.concat(*base).alias("base"), matches(text, OPAQUE, "opaque", 3, mixed_characters).alias("opaque"),
     )
-    rows = rows.withColumn("opaque", F.filter("opaque", lambda s: ~overlaps(s, F.col("base"))))
+    rows = rows.withColumn("opaque", apart(F.col("opaque"), F.col("base"), 3))
     slim = lambda s: F.struct(
         s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"),
         F.sha2(secret_value(s), 256).alias("hash"), looks_live(secret_value(s)).alias("live"),

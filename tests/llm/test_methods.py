@@ -1,6 +1,8 @@
 """The operators' methods on their own: properties that the queries' digests do not show."""
 
 import random
+import re
+import time
 import zlib
 from collections import Counter
 
@@ -36,7 +38,9 @@ def test_best_change_is_taken():
 
 def test_packing_is_near_the_bound():
     lengths = np.random.default_rng(2).integers(1, 1024, 8000)
-    bins = packing.pack_lengths(lengths)
+    bins, by_squares = packing.pack_lengths(lengths)
+    first = packing.sum_of_squares(lengths)
+    assert 0.4 < by_squares.mean() < 1 and len(set(zip(first[by_squares], bins[by_squares], strict=True))) == len(set(bins[by_squares]))
     assert np.bincount(bins, weights=lengths).max() <= 1024
     assert bins.max() + 1 <= 1.01 * -(-lengths.sum() // 1024)
 
@@ -50,15 +54,18 @@ def test_one_byte_digests_are_settled_by_full_bytes(spark):
     assert got == {d: (*g, d == g[0]) for d, g in expected.items()}
 
 
-def test_state_goes_on_with_a_second_batch(spark, tmp_path):
-    one = common.materialize(frame(spark, [(1, "a b", "s"), (2, "c", "s")]), "one")
-    two = common.materialize(frame(spark, [(3, "ab ", "s"), (4, "d", "s")]), "two")
-    state, folder = f"file://{tmp_path}/state", common.shared_path(spark, "arrivals")
-    for part in (one, two):
-        exact_dedup.arrivals(part)[1].write.mode("append").parquet(folder)
-        stream = spark.read.parquet(folder)
-        groups = exact_dedup.stream_state(stream, state)
-    assert sorted(r.members for r in groups.collect()) == [1, 1, 2]
+@pytest.mark.parametrize("digest_bytes", [32, 1])
+def test_state_goes_on_with_later_batches(spark, tmp_path, digest_bytes):
+    state, seen = f"file://{tmp_path}/state", []
+    for batch in range(3):
+        rows = [(1000 * batch + k, f"text {(k * (batch + 3)) % 170}" + " " * ((k + batch) % 3), "s") for k in range(120)]
+        seen += rows
+        for _ in range(2):  # a batch that is there already is not counted again
+            _, found = exact_dedup.classes(frame(spark, rows), digest_bytes, state=state, batch=f"b{batch}")
+            groups = plain.exact([(d, t) for d, t, _ in seen])
+            expected = {d: groups[t.replace(" ", "")] for d, t, _ in rows}
+            assert {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in found.collect()} == {d: (*g, d == g[0]) for d, g in expected.items()}
+    assert exact_dedup.classes(frame(spark, []), digest_bytes, state=state)[1].collect() == []
 
 
 @pytest.mark.parametrize("block", [4, 64])
@@ -104,12 +111,103 @@ def test_viterbi_is_the_best_of_all_paths():
         assert value(page_text.best_path(local, moves)) == pytest.approx(max(map(value, paths)))
 
 
-def test_trees_tell_held_out_examples(spark):
+#: Lead-in phrases that the operator's own list lacks.
+UNSEEN = {
+    "dash": (["her telephone number is", "sms", "hotline"], ["serial", "page", "the code was"]), "paren": (["dial", "you may reach us under"], ["section", "issue"]),
+    "plain": (["mobile", "cuenta"], ["tracking", "roughly"]), "tax": (["steuernummer", "tax id"], ["ticket", "model"]), "account": (["compte", "iban:"], ["commit", "sku"]),
+    "hardware": (["ethernet", "my device has"], ["revision", "hash"]), "birth": (["he was born", "née le"], ["issue of", "dated"]), "document": (["ausweis", "id card"], ["release", "room"]),
+    "address": (["he lives now at", "mail to"], ["built in", "lot"]), "name": (["regards,", "employee"], ["the works of", "published with"]), "handle": (["username", "profile:"], ["item", "the tag"]),
+    "network": (["logged in as client", "host"], ["ref", "key"]),
+}
+
+
+def plain_features(kind, hit, before):
+    found = []
+    for what, rule in personal.FEATURES:
+        if what in ("kind", "digits"):
+            found.append((kind if what == "kind" else sum(c in "0123456789" for c in hit)) == rule)
+        else:
+            found.append(re.search(rule, hit if what == "hit" else before.lower()) is not None)
+    return found
+
+
+def test_trees_tell_unseen_phrases(spark):
     trees, least = personal.trained(spark)
-    spans = personal.examples(spark, 2400).where("id >= 1200").select("id", "label", F.explode(personal.proposals(F.col("text"))).alias("s"))
-    rows = spans.select("label", (personal.margin(trees, personal.features(F.col("s"))) >= float(least)).alias("chosen")).collect()
-    chosen = [r.label for r in rows if r.chosen]
-    assert sum(chosen) >= 0.9 * len(chosen) and sum(chosen) >= 0.7 * sum(r.label for r in rows)
+    spans = personal.examples(spark, 2000, UNSEEN).select("label", F.explode(personal.proposals(F.col("text"))).alias("s"))
+    rows = spans.select("label", "s.kind", "s.hit", "s.before", personal.features(F.col("s")).alias("f")).collect()
+    assert {r.kind for r in rows} == set(personal.PROPOSED) and all(r.f == plain_features(r.kind, r.hit, r.before) for r in rows)
+    m = personal.margins(trees, np.array([r.f for r in rows], bool))
+    chosen = [r.label for r, x in zip(rows, m, strict=True) if x >= least]
+    assert sum(chosen) >= 0.95 * len(chosen) and sum(chosen) >= 0.9 * sum(r.label for r in rows)
+
+
+def test_added_spans_are_those_of_a_plain_version(spark):
+    r = random.Random(12)
+    hits = ["512-55-1234", "(555) 123-4567", "555-123-4567", "71234567890", "DE12 1234 5678 9012 34", "aa:bb:cc:dd:ee:ff", "3.4.1975", "C1234567", "12 Maple Street", "Dr. Anna Weber", "@anna_weber", "a@b.de", "10.0.0.1", "+1 323 555 9830", ":".join(["12ab"] * 8)]
+    leads = ["ssn ", "call ", "order ", "phone: ", "born ", "passport ", "part no. ", "iban ", "dear ", "lives at ", "mac ", "follow ", "", "x", "client "]
+    texts = ["".join(r.choice(leads) + r.choice(hits) + r.choice([" ", ", ", "-", ""]) for _ in range(r.choice([1, 5, 300]))) for _ in range(60)]
+    trees, least = personal.trained(spark)
+    got = {x.doc_id: x.spans for x in personal.find_personal(frame(spark, [(k, t, "s") for k, t in enumerate(texts)])).collect()}
+    added = 0
+    for k, t in enumerate(texts):
+        base, more = plain.personal_spans(t), []
+        for rank, (kind, pattern) in enumerate(personal.PROPOSED.items(), 4):
+            end = 0
+            for m in re.finditer(pattern, t):
+                before, end = t[end : m.start()][-24:], m.end()
+                x = np.array([plain_features(kind, m[0], before)], bool)
+                if personal.margins(trees, x)[0] >= least and not any(a < m.end() and m.start() < b for a, _, b, _ in base):
+                    more.append((m.start(), rank, m.end(), kind))
+        stay, far = [], 0
+        for s in sorted(more):
+            stay += [s] if s[0] >= far else []
+            far = max(far, s[2])
+        added += len(stay)
+        assert got[k] == plain.join(base + stay)
+    assert added > 500
+
+
+def test_added_secrets_are_those_of_a_plain_version(spark):
+    r = random.Random(13)
+    letters = "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ0123456789"
+    values = ["".join(r.choices(letters, k=r.choice([18, 22, 40]))) for _ in range(40)] + ["0f" * 13, "AKIA" + "B7" * 10, "a1b2c3d4e5", "aaaa1111bbbb"]
+    rows = []
+    for k in range(150):
+        own = [r.choice(["", "token=", "secret: ", "x-", "see "]) + (r.choice(values[:4]) if r.random() < 0.3 else r.choice(values)) for _ in range(r.choice([1, 3, 200]))]
+        own += ["".join(r.choices(letters, k=24))] * (k % 3)  # of one repository
+        rows.append((k, " ".join(own), r.choice(["a", "b", None]) if k < 100 else "hot"))
+    texts = {d: t for d, t, _ in rows}
+    owner = {d: s for d, _, s in rows}
+    spans, seen = {}, {}
+    for d, t in texts.items():
+        base, more = plain.secret_spans(t), []
+        for m in re.finditer(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}", t):
+            enough = all(sum(c in kind for c in m[0]) >= 2 for kind in ("0123456789", letters[:24] + "lo", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+            if enough and len(set(m[0])) >= 8 and not any(a < m.end() and m.start() < b for a, _, b, _ in base):
+                more.append((m.start(), 3, m.end(), "opaque"))
+        value = lambda s: re.split(r"[:=]", t[s[0] : s[2]], maxsplit=1)[1].strip() if s[3] == "assign" else t[s[0] : s[2]]  # noqa: B023, E731
+        spans[d] = base, [(s, value(s)) for s in base + more]
+        for _, v in spans[d][1]:
+            seen.setdefault(v, set()).add((d, owner[d]))
+    live = lambda v: len({o for _, o in seen[v]}) < 2 and len(seen[v]) < 50 and len(set(v)) >= 8 and re.search("[0-9]", v) and not re.search(r"(.)\1\1\1", v)
+    added = 0
+    for x in secret_scan.find_secrets(frame(spark, rows)).collect():
+        base, every = spans[x.doc_id]
+        more = [s for s, v in every if s[3] == "opaque" and live(v)]
+        added += len(more)
+        assert x.spans == plain.join(base + more)
+        assert x.n_live == sum(bool(live(v)) for _, v in every)
+        assert x.ownership == ",".join(f"{s[3]}:{s[0]}:{s[2]}:{len(seen[v])}:{len({o for _, o in seen[v]})}" for s, v in sorted(every))
+    assert added > 20
+
+
+def test_many_spans_in_one_text(spark):
+    text = "a@b.c 1.2.3.4 ssn 512-55-1234 token=abcdefgh Qw3rTy7UiOp9AsDfGhJkL2 " * 8000
+    began = time.time()
+    one = frame(spark, [(1, text, "s")])
+    assert (x := personal.find_personal(one).first()).n_email == 8000 and x.spans.count("number") == 8000
+    assert secret_scan.find_secrets(one).first().spans.count("opaque") == 8000
+    assert time.time() - began < 120
 
 
 def test_next_symbols_sum_to_one(spark):

@@ -33,6 +33,7 @@ def odd_rows():
     rows += [(311, "Password: 'hunter22' token=abc api_key = \"Zz9/+_.=-a\" AKIA" + "B2" * 9 + " secret=token:abcdefg " + "0f" * 15 + " " + "f" * 23, "a")]
     rows += [(312, "é a.b-c@x-y.co.uk_d@e.fr 1.2.3.4.5.6.7.8 300.1.1.1 010.0.0.255 4111 1111-1111 1111, +1 (323) 555-9830, +12, 0000000000000000000000", "a")]
     rows += [(313, "a" * 20_000 + "@" + "b." * 5_000 + " " + "1" * 20_000 + " " + "1 " * 10_000 + "+" * 1000, "a"), (314, "live Qw3rTy7UiOp9AsDfGhJkL2 and ssn 512-55-1234 here", "a")]
+    rows += [(315, "a <|endoftext|> b<|endoftext|><|endoftext|>c <|endoftext", "b")]
     rows += [(320, base, "a"), (320, base, "a"), (None, base + " null id", "a"), (321, "# * $ % & | < > " * 40, "b")]
     return rows
 
@@ -121,12 +122,14 @@ def test_packing(spark, odd):
             assert offset == at
             at += n
         assert at <= 1024
+    assert all(r["by_squares"] for r in found if r["length"] == 1024)
     assert len(places) <= 1.05 * sum(r["length"] for r in found) / 1024 + 1
 
 
 def test_token_counts(spark, odd):
     found, rows = run(spark, odd, "op4_token_counts")
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True  # the separator's name in a text is ordinary text here
     expected = Counter((d, len(tokenizer.encode(t or "", add_special_tokens=False).ids)) for d, t, _ in rows)
     assert by_row(found, "doc_id", "n_tokens") == expected
 

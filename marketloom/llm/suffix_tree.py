@@ -9,10 +9,11 @@ suffix. A text's score is the sum of log10 probabilities, each after the longest
 
 Contexts and explicit symbols grow with the corpus and stay distributed. A score is a sum over a text's runs of one, two
 and three symbols: a kept context adds the log of what it leaves to others, an explicit symbol its own log less what the
-shorter runs add. So one table of (hash of a run, value) is all that scoring needs. Runs that make up P_LOCAL of all,
-a bounded number, are looked up within tasks; occurrences of others are joined with the table by hash, and no hash has
-more than P_LOCAL of all occurrences there. Words are looked up likewise. A run is counted only where its parts are
-frequent. Bitmaps of bounded size spare most occurrences that would find nothing; they decide no result.
+shorter runs add, a known word its own log less that of an unknown one. So one table of (hash of a run, values) is all
+that scoring needs. Its LOCAL_ROWS rows of most occurrences are looked up within tasks; occurrences of others are joined
+with the table by hash, and as each is rarer than all of those, no hash has more than about 1 / LOCAL_ROWS of all
+occurrences there. A run is counted only where its parts are frequent. Bitmaps of bounded size spare most occurrences
+that would find nothing; they decide no result.
 
 Words and runs are told apart by a 64-bit hash. Defined cases: null or empty text is the end alone; null doc_id counts as
 the empty text in the rule for held-out rows and is carried; repeated rows are counted and scored each; an empty table
@@ -36,7 +37,8 @@ from .common import materialize, maybe_broadcast, table
 MIN_COUNT = 32
 #: The least count is no more than this share of the symbols, so that small corpora have contexts too.
 P_MIN = 2.0**-15
-P_LOCAL = 2.0**-20
+#: 32 bytes each in every task; they come through the driver as arrays.
+LOCAL_ROWS = 1 << 20
 MIN_GAIN = 64.0
 DISCOUNT = 0.5
 END = 0
@@ -46,8 +48,8 @@ FLUSH = 300_000
 #: Words that are in memory as arrays at a time, and runs that are added up before they are sent.
 SLICE = 200_000
 HELD = 2_000_000
-#: Bitmaps have 16 bits an entry, but at most 2 ** MAP_BITS.
-MAP_BITS = 26
+#: Bitmaps have 32 bits an entry, but at most 2 ** MAP_BITS.
+MAP_BITS = 27
 #: The hash of a run is that of the run without its last symbol times this number, plus the last symbol's.
 FACTOR = np.int64(0x1E3779B97F4A7C15)
 BROADCAST_WORDS = 400_000
@@ -141,21 +143,28 @@ def within(sorted_codes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.
 
 
 class Bitmap:
-    """Whether a hash may be in a table: never a wrong no."""
+    """Whether a hash may be in a table: never a wrong no. A hash sets two bits."""
 
     def __init__(self, codes: DataFrame):
         rows = codes.count()
-        self.bits = min(MAP_BITS, max(15, (16 * rows).bit_length()))
-        bit = F.col("code").bitwiseAND(F.lit((1 << self.bits) - 1)) + 1
-        parts = codes.groupBy(F.bitmap_bucket_number(bit).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("map"))
+        self.bits = min(MAP_BITS, max(15, (32 * rows).bit_length()))
+        bits = F.array("code", F.shiftright("code", 32))
+        bit = F.col("at").bitwiseAND(F.lit((1 << self.bits) - 1)) + 1
+        parts = codes.select(F.explode(bits).alias("at")).groupBy(F.bitmap_bucket_number(bit).alias("part"))
         self.bytes = np.zeros((1 << self.bits) // 8, np.uint8)
-        for part, own in parts.collect():
+        for part, own in parts.agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("map")).collect():
             self.bytes[(part - 1) * 4096 : part * 4096] = np.frombuffer(own, np.uint8)
 
-    def may_have(self, codes: np.ndarray) -> np.ndarray:
-        at = codes & ((1 << self.bits) - 1)
+    def has(self, at: np.ndarray) -> np.ndarray:
+        at = at & ((1 << self.bits) - 1)
         return (self.bytes[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
+    def may_have(self, codes: np.ndarray) -> np.ndarray:
+        out = self.has(codes)
+        some = np.flatnonzero(out)
+        out[some] = self.has(codes[some] >> 32)
+        return out
+
 
 def run_counts(training: DataFrame, width: int, parts: Bitmap, least: float, label: str) -> DataFrame:
     """code, before (hash of the run without its last symbol), last, n of runs of two or three symbols seen that often.
@@ -238,9 +247,24 @@ def run_values(training: DataFrame, words: DataFrame, below: float, least: float
     return materialize(both.groupBy("code").agg(F.sum("value").alias("value"), F.max("n").alias("n")), "values")
 
 
-def frequent(counts: DataFrame, least: float) -> list[tuple[int, int]]:
-    """(code, n) of what makes up the least share; as shares add up to one, a bounded number."""
-    return [(r.code, r.n) for r in counts.where(F.col("n") >= float(least)).collect()]
+def score_table(counts: DataFrame, values: DataFrame) -> DataFrame:
+    """code, word (log10 of a known word's probability against an unknown one's), known, value, level: one row per hash."""
+    of_word = F.log10(F.col("n") + 0.5) - F.log10(F.lit(0.5))
+    words = counts.select("code", of_word.alias("word"), F.lit(1).alias("known"), F.lit(0.0).alias("value"), "n")
+    both = words.unionByName(values.select("code", F.lit(0.0).alias("word"), F.lit(0).alias("known"), "value", "n"))
+    rows = both.groupBy("code").agg(*[F.sum(c).alias(c) for c in ("word", "known", "value")], F.max("n").alias("n"))
+    return rows.select("code", "word", "known", "value", F.floor(4 * F.log2("n")).cast("int").alias("level"))
+
+
+def local_level(rows: DataFrame, most: int) -> int:
+    """The least level from which on there are at most so many rows; there are four levels to a doubling of counts."""
+    least = None
+    for level, n in sorted(rows.groupBy("level").count().collect(), reverse=True):
+        most -= n
+        if most < 0:
+            break
+        least = level
+    return 1 << 30 if least is None else least
 
 
 class Tree:
@@ -305,7 +329,7 @@ class Tree:
         return float(logs.sum()), from_root
 
 
-SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, others array<long>, runs array<long>"
+SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, codes array<long>"
 
 
 def lists(codes: np.ndarray, docs: np.ndarray, n: int) -> pa.Array:
@@ -313,7 +337,7 @@ def lists(codes: np.ndarray, docs: np.ndarray, n: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(docs, np.arange(n + 1)).astype(np.int32)), pa.array(codes))
 
 
-def score_documents(docs: DataFrame, min_count: int = MIN_COUNT, p_min: float = P_MIN, p_local: float = P_LOCAL, min_gain: float = MIN_GAIN) -> DataFrame:
+def score_documents(docs: DataFrame, min_count: int = MIN_COUNT, p_min: float = P_MIN, local_rows: int = LOCAL_ROWS, min_gain: float = MIN_GAIN) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     training = docs.where(~held_out())
@@ -322,40 +346,40 @@ def score_documents(docs: DataFrame, min_count: int = MIN_COUNT, p_min: float =
     row = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     total, distinct = row[0] + ends, row[1] + (ends > 0)
     below = total + 0.5 * (distinct + 1)
-    least, bound = min(min_count, max(2, total * p_min)), float(max(1, total * p_local))
-    local = sorted(frequent(counts, bound))
-    codes = np.array([code for code, _ in local], np.int64)
-    logs = np.log10((np.array([n for _, n in local], float) + 0.5) / below)
+    least = min(min_count, max(2, total * p_min))
     end = docs.sparkSession.range(1).select(F.lit(END_CODE).alias("code"), F.lit(ends).cast("long").alias("n"))
     values = run_values(training, counts.unionByName(end).where(F.col("n") >= float(least)), below, least, min_gain)
     bitmap = Bitmap(values.select("code"))
-    runs = sorted((r.code, r.value) for r in values.where(F.col("n") >= bound).collect())
-    run_codes, run_logs = np.array([c for c, _ in runs], np.int64), np.array([v for _, v in runs], float)
-    end_log = log10((ends + 0.5) / below)
+    entries = materialize(score_table(counts, values), "entries")
+    level = local_level(entries, local_rows)
+    local = entries.where(F.col("level") >= level).drop("level").toArrow().sort_by("code")
+    elsewhere = entries.where(F.col("level") < level)
+    seen = Bitmap(elsewhere.select("code"))  # a word that only held-out texts have, however often, is no join key
+    codes, word_logs, word_known, run_logs = (local.column(k).to_numpy() for k in range(4))
+    end_log, unknown_log = log10((ends + 0.5) / below), log10(0.5 / below)
 
     def scored(symbols: np.ndarray, sizes: np.ndarray) -> list[pa.Array]:
         n = len(sizes)
         doc, inner = np.repeat(np.arange(n), sizes), symbols != END_CODE
-        at, known = within(codes, symbols)
-        known &= inner
-        plain = np.where(inner, 0.0, end_log)
-        plain[known] = logs[at[known]]
-        base = np.bincount(doc, plain, n)
-        rare = inner & ~known
+        base = np.bincount(doc, np.where(inner, unknown_log, end_log), n)
         pairs = longer(symbols[:-1], symbols[1:])
         triples = longer(pairs[:-1], symbols[2:])
-        found, of = [], []
-        for some, ok in ((symbols, inner), (pairs, inner[:-1]), (triples, inner[:-2] & inner[1:-1])):
-            ok = np.flatnonzero(ok & bitmap.may_have(some))
-            found.append(some[ok])
-            of.append(doc[ok])
-        found, of = np.concatenate(found), np.concatenate(of)
-        at, here = within(run_codes, found)
-        score = base + np.bincount(of[here], run_logs[at[here]], n)
+        # A pair in the table has one of its words there as a context, a triple its first pair.
+        one = inner & bitmap.may_have(symbols)
+        two = inner[:-1] & (one[:-1] | one[1:]) & bitmap.may_have(pairs)
+        three = inner[1:-1] & two[:-1] & bitmap.may_have(triples)
+        where = [np.flatnonzero(ok) for ok in (inner, two, three)]
+        found = np.concatenate([some[ok] for some, ok in zip((symbols, pairs, triples), where, strict=True)])
+        of = np.concatenate([doc[ok] for ok in where])
+        at, here = within(codes, found)
+        at, known = at[here], of[here]
+        base += np.bincount(known, word_logs[at], n)
+        n_known = np.bincount(known, word_known[at], n).astype(np.int64) + (ends > 0)
+        score = base + np.bincount(known, run_logs[at], n)
+        here |= ~seen.may_have(found)
         found, of = found[~here], of[~here]
         order = np.argsort(of, kind="stable")
-        n_known = np.bincount(doc[known], minlength=n) + (ends > 0)
-        return [pa.array(sizes), pa.array(n_known), pa.array(base), pa.array(score), lists(symbols[rare], doc[rare], n), lists(found[order], of[order], n)]
+        return [pa.array(sizes), pa.array(n_known), pa.array(base), pa.array(score), lists(found[order], of[order], n)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
@@ -368,16 +392,12 @@ def score_documents(docs: DataFrame, min_count: int = MIN_COUNT, p_min: float =
 
     numbered = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", held_out().alias("held_out"), "text")
     rows = materialize(numbered.mapInArrow(run, SCORED), "scored")
-    rare = rows.select("rid", F.explode("others").alias("code"))
-    n = F.coalesce("n", F.lit(0))
-    rest = rare.join(counts.where(F.col("n") < bound), "code", "left")
-    rest = rest.groupBy("rid").agg(F.sum(F.log10((n + 0.5) / F.lit(float(below)))).alias("rest"), F.count_if(n > 0).alias("more"))
-    more_runs = rows.select("rid", F.explode("runs").alias("code")).join(values.where(F.col("n") < bound), "code")
-    more_runs = more_runs.groupBy("rid").agg(F.sum("value").alias("of_runs"))
-    add, more = F.coalesce("rest", F.lit(0.0)), F.coalesce("more", F.lit(0))
-    return rows.drop("others", "runs").join(rest, "rid", "left").join(more_runs, "rid", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + more).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + add).alias("base_score"), (F.col("score") + add + F.coalesce("of_runs", F.lit(0.0))).alias("score"),
+    found = rows.select("rid", F.explode("codes").alias("code")).join(elsewhere, "code")
+    found = found.groupBy("rid").agg(F.sum("word").alias("word"), F.sum("known").alias("more"), F.sum("value").alias("value"))
+    add = lambda c: F.coalesce(c, F.lit(0))
+    return rows.drop("codes").join(found, "rid", "left").select(
+        "doc_id", "held_out", "n_tokens", (F.col("n_known") + add("more")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
+        (F.col("base") + add("word")).alias("base_score"), (F.col("score") + add("word") + add("value")).alias("score"),
     )
 
 

@@ -268,8 +268,8 @@ def spark_held_out(doc_id):
     return zlib.crc32(str(doc_id).encode()) % 5 == 1
 
 
-@pytest.mark.parametrize("p_local", [2.0**-20, 0.05, 2.0])
-def test_tables_score_as_the_tree(spark, p_local):
+@pytest.mark.parametrize("local_rows", [1 << 20, 20, 0])
+def test_tables_score_as_the_tree(spark, local_rows):
     r = random.Random(8)
     words = list("abcdefgh")
     rows = []
@@ -291,7 +291,7 @@ def test_tables_score_as_the_tree(spark, p_local):
     often = lambda counts: {c: n for c, n in counts.items() if n >= 5}
     tree = suffix_tree.Tree(root, [often(pairs), often(triples)], dict(first), min_gain=20)
     assert len(tree.levels[0][0]) and len(tree.levels[1][0])
-    found = suffix_tree.score_documents(frame(spark, rows), min_count=5, p_min=1.0, p_local=p_local, min_gain=20).collect()
+    found = suffix_tree.score_documents(frame(spark, rows), min_count=5, p_min=1.0, local_rows=local_rows, min_gain=20).collect()
     for x in found:
         s = np.array([number[w] for w in rows[x.doc_id][1].split()] + [0])
         assert x.score == pytest.approx(tree.score(s, np.log10([root[k] for k in s]))[0])

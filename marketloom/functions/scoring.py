@@ -59,6 +59,21 @@ def quality_score(images: Column, specifics: Column, description: Column) -> Col
     return F.least(F.when(images, 40.0).otherwise(0.0) + F.when(specifics, 30.0).otherwise(0.0) + length, F.lit(100.0))
 
 
+def no_attributes(json: Column) -> Column:
+    """attributes that are null or an object without members."""
+    return json.isNull() | F.rlike(json, F.lit(r"^\s*\{\s*\}\s*$"))
+
+
+def inputs(as_of: str) -> dict[str, Column]:
+    """What the last two factors look at, from the columns of a listing. An auction whose end has passed ends soon."""
+    now, auction = F.lit(as_of).cast("timestamp_ntz"), F.col("listing_type") == "auction"
+    return {
+        "has_images": F.coalesce("image_url", F.lit("")) != "", "has_specifics": ~no_attributes(F.col("attributes")), "is_auction": auction,
+        "ending_soon": auction & F.coalesce(F.col("auction_end_at") < now + F.expr("INTERVAL 4 HOURS"), F.lit(False)),
+        "is_new": F.col("first_seen_at") > now - F.expr("INTERVAL 24 HOURS"),
+    }
+
+
 def time_score(auction: Column, ending_soon: Column, new: Column) -> Column:
     """M7."""
     return F.when(auction & ending_soon, 100.0).when(new, 80.0).otherwise(30.0)

@@ -50,6 +50,17 @@ def shortened(value: Column, most: int) -> Column:
     return F.when(F.char_length(value) > most, F.concat(F.left(value, F.lit(most)), F.lit("…"))).otherwise(value)
 
 
+def shortened_bytes(value: Column, most: int) -> Column:
+    """The other variant, of most bytes and three dots; a character cut through is one that cannot be read."""
+    data = value.cast("binary")
+    return F.when(F.octet_length(value) > most, F.concat(F.decode(F.substring(data, 1, most), "UTF-8"), F.lit("..."))).otherwise(value)
+
+
+def whole_seconds(epoch: Column) -> Column:
+    """T5: a moment from seconds with a fraction, to the microsecond."""
+    return F.timestamp_seconds(epoch.cast("decimal(20,6)")).cast("timestamp_ntz")
+
+
 def harmless(value: Column, most: int = 200) -> Column:
     """Without control characters but tabs, shortened."""
     return shortened(F.regexp_replace(value, r"[\p{Cc}&&[^\t]]", ""), most)

@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions import scoring as S
 from ..functions import variants as V
 from .market import small
+from .ranks import numbered
+from .state import one_per
 
 
 def on_or_off(bound: Column, holds: Column) -> Column:
@@ -33,8 +36,12 @@ def attribute_match(attrs: Column, filters: Column) -> Column:
 
     An exact value goes before a list, a list before bounds. Values are compared by JSON type. Bounds hold for numbers
     only: any other value, null too, passes. No filters, and a null, match all; null attributes match no filter.
+    Both sides are named by a one-element array, so that JSON is read once a row.
     """
+    return F.get(F.transform(F.array(F.struct(attrs.alias("attrs"), filters.alias("filters"))), lambda x: matched(x["attrs"], x["filters"])), F.lit(0))
 
+
+def matched(attrs: Column, filters: Column) -> Column:
     def fits(e: Column) -> Column:
         value, rule = F.try_element_at(attrs, e["key"]), e["value"]
         x = V.as_number(value)
@@ -52,23 +59,31 @@ def read_filters(json: Column) -> Column:
 
 
 def watch_matches(scored: DataFrame, watches: DataFrame) -> DataFrame:
-    """Listings times watches of their type, the watches broadcast, then the theta predicate."""
-    return scored.join(small(watches), "component_type").where(F.col("score").isNotNull() & (F.col("score") >= F.col("score_threshold")) & watch_filter())
+    """Listings times enabled watches of their type, the watches broadcast, then the theta predicate; open
+    attributes (JSON text in both tables) are read last, and only for watches that filter them."""
+    rows = scored.join(small(watches.where("enabled")), "component_type").where(F.col("score").isNotNull() & (F.col("score") >= F.col("score_threshold")) & watch_filter())
+    fits = attribute_match(V.attributes(F.coalesce("attributes", F.lit("{}"))), read_filters(F.col("attribute_filters")))
+    return rows.where(F.when(S.no_attributes(F.col("attribute_filters")), True).otherwise(fits))
 
 
 def outside_cooldown(matches: DataFrame, alerts: DataFrame, as_of: str, hours: int = 24) -> DataFrame:
-    """No notified alert of the pair after the cut-off; 0 hours turn it off."""
+    """No alert of the pair that was sent after the cut-off; 0 hours turn it off."""
     if hours <= 0:
         return matches
     since = F.lit(as_of).cast("timestamp_ntz") - F.expr(f"INTERVAL {int(hours)} HOURS")
-    recent = alerts.where(F.col("notified") & (F.col("created_at") > since)).select("watch_id", "listing_id").distinct()
+    recent = alerts.where(F.col("notified") & (F.col("notified_at") > since)).select("watch_id", "listing_id").distinct()
     return matches.join(recent, ["watch_id", "listing_id"], "left_anti")
 
 
 def create_alerts(candidates: DataFrame, alerts: DataFrame) -> DataFrame:
-    """Pairs without a pending alert, once each."""
+    """Pairs without a pending alert, once each; of a repeated pair the greatest score stays."""
     pending = alerts.where(~F.col("notified")).select("watch_id", "listing_id")
-    return candidates.dropDuplicates(["watch_id", "listing_id"]).join(pending, ["watch_id", "listing_id"], "left_anti")
+    return one_per(candidates, ["watch_id", "listing_id"], F.col("score")).join(pending, ["watch_id", "listing_id"], "left_anti")
+
+
+def undelivered(alerts: DataFrame, attempts: DataFrame) -> DataFrame:
+    """alerts of which no attempt succeeded."""
+    return alerts.join(attempts.where("succeeded").select("alert_id"), "alert_id", "left_anti")
 
 
 STATUS = {
@@ -76,24 +91,48 @@ STATUS = {
 }
 
 
-def review(alerts: DataFrame, listings: DataFrame, watches: DataFrame, status: str = "active", min_score: int = 0, search: str = "", component: str = "") -> DataFrame:
+def review(alerts: DataFrame, listings: DataFrame, watches: DataFrame, status: str = "active", min_score: int = 0, search: str = "", component: str = "", watch_id: int | None = None) -> DataFrame:
     """Alerts with their listings and watches."""
     rows = alerts.where(STATUS.get(status, STATUS["active"]))
-    if min_score:
+    if min_score > 0:
         rows = rows.where(F.col("score") >= min_score)
+    if watch_id is not None:
+        rows = rows.where(F.col("watch_id") == watch_id)
     rows = rows.join(listings.select("listing_id", "title", "component_type", "price"), "listing_id").join(small(watches.select("watch_id", "watch_name")), "watch_id")
     if component:
         rows = rows.where(F.col("component_type") == component)
     return rows.where(F.col("title").ilike(f"%{search}%")) if search else rows
 
 
-def judge_candidates(alerts: DataFrame, listings: DataFrame, base: DataFrame, judged: DataFrame, limit: int = 50) -> DataFrame:
-    """Alerts not yet judged, with baselines where there are any, newest first."""
-    rows = alerts.join(judged.select("alert_id"), "alert_id", "left_anti").join(listings.select("listing_id", "product_key", "title"), "listing_id")
-    rows = rows.join(base.select("product_key", "sample_count", "p50"), "product_key", "left")
+REVIEW_ORDERS = {
+    "score": [("score", False), ("created_at", False)], "created": [("created_at", False)], "watch": [("watch_name", True), ("score", False)],
+}
+
+
+def review_page(rows: DataFrame, sort: str = "", number: int = 1, per_page: int = 0) -> tuple[DataFrame, DataFrame]:
+    """A page of review rows, and the count over all of them. Unknown orders go by score; pages start at 1
+    and have 25 rows unless said otherwise, 100 at most. Equal rows come by falling alert_id."""
+    keys = [F.col(c).asc() if rising else F.col(c).desc() for c, rising in [*REVIEW_ORDERS.get(sort, REVIEW_ORDERS["score"]), ("alert_id", False)]]
+    size = 25 if per_page < 1 else min(per_page, 100)
+    return rows.orderBy(*keys).offset((max(number, 1) - 1) * size).limit(size), rows.agg(F.count(F.lit(1)).alias("total"))
+
+
+def judge_candidates(alerts: DataFrame, listings: DataFrame, watches: DataFrame, base: DataFrame, judged: DataFrame, since: str, limit: int = 50) -> DataFrame:
+    """Alerts since a moment that are not yet judged, newest first, with what their baselines say; 0 where there is none."""
+    rows = alerts.where(F.col("created_at") >= F.lit(since).cast("timestamp_ntz")).join(judged.select("alert_id"), "alert_id", "left_anti")
+    rows = rows.join(listings.select("listing_id", "product_key", "title", F.col("component_type"), "condition_norm", "price"), "listing_id")
+    rows = rows.join(small(watches.select("watch_id", "watch_name", "score_threshold")), "watch_id")
+    rows = rows.join(base.select("product_key", "sample_count", "p25", "p50", "p75"), "product_key", "left")
+    rows = rows.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("sample_count", "p25", "p50", "p75")})
     return rows.orderBy(F.col("created_at").desc_nulls_last(), F.col("alert_id")).limit(limit)
 
 
+def judge_context(candidates: DataFrame) -> DataFrame:
+    """What a judge is told about a candidate; a null trace is empty."""
+    names = "alert_id watch_name component_type title condition_norm price p25 p50 p75 sample_count score score_threshold".split()
+    return candidates.select(*names, F.coalesce("trace_id", F.lit("")).alias("trace_id"))
+
+
 def cost(rates: DataFrame, judged: DataFrame) -> DataFrame:
     """P10: dollars per row; a model without a rate costs nothing."""
     rows = judged.join(small(rates), "model", "left")
@@ -113,8 +152,7 @@ def within_budget(rows: DataFrame, cap: float, spent: float = 0.0) -> DataFrame:
 
 def in_chunks(alerts: DataFrame, size: int = 10) -> DataFrame:
     """Per watch, in order of score, chunks of at most size."""
-    order = W.partitionBy("watch_id").orderBy(F.col("score").desc(), "alert_id")
-    return alerts.withColumn("chunk", F.floor((F.row_number().over(order) - 1) / size).cast("int"))
+    return numbered(alerts, "watch_id", "score", True, "alert_id").withColumn("chunk", F.floor(F.col("_at") / size).cast("int")).drop("_at")
 
 
 def summary(alerts: DataFrame, listings: DataFrame) -> DataFrame:

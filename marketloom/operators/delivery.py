@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions import texts as X
 from .market import small
+from .ranks import numbered
 
 # Colours from scores of 90, from 80, and below.
 GREEN, YELLOW, ORANGE = 0x2ECC71, 0xF1C40F, 0xE67E22
@@ -45,6 +45,11 @@ def embeds(rows: DataFrame) -> DataFrame:
     return rows.withColumn("embed", embed)
 
 
+def messages(rows: DataFrame, by: str = "watch_id", size: int = 10) -> DataFrame:
+    """One row a message: the embeds of up to size alerts of a watch, in order of chunk (as in_chunks deals them)."""
+    return rows.groupBy(by, "chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct(-F.col("score"), "alert_id", "embed"))), lambda x: x["embed"]).alias("embeds"))
+
+
 def summary_embed(by_type: DataFrame) -> DataFrame:
     """One message for all types (component_type, n_alerts, max_score): a row a type comes in, one goes out."""
     total, top = F.coalesce(F.sum("n_alerts"), F.lit(0)), F.greatest(F.max("max_score"), F.lit(0))
@@ -52,13 +57,14 @@ def summary_embed(by_type: DataFrame) -> DataFrame:
     return by_type.agg(F.concat(total.cast("string"), F.lit(" new alerts (top score "), top.cast("string"), F.lit(")")).alias("title"), top.alias("score"), fields.alias("fields"))
 
 
-def attempts(batch: DataFrame, outcomes: DataFrame, as_of: str, by: str = "watch_id", order: str = "alert_id") -> DataFrame:
+def attempts(batch: DataFrame, outcomes: DataFrame, as_of: str, by: str = "watch_id", order: str = "alert_id", width: int = 65536) -> DataFrame:
     """One attempt per alert of each ordered batch; the first sent of it succeeded, the rest has the error.
 
-    outcomes: one row a batch (by, sent, error). A count outside the batch is as good as its nearest end.
+    outcomes: one row a batch (by, sent, error). A count outside the batch is as good as its nearest end. order is a
+    number, of which ranges of width are counted before rows are.
     """
-    placed = batch.select(by, order, F.row_number().over(W.partitionBy(by).orderBy(order)).alias("_at")).join(small(outcomes), by)
-    done = F.col("_at") <= F.coalesce("sent", F.lit(0))
+    placed = numbered(batch.select(by, order), by, order, False, width=width).join(small(outcomes), by)
+    done = F.col("_at") < F.coalesce("sent", F.lit(0))
     return placed.select(order, by, done.alias("succeeded"), F.when(~done, F.coalesce("error", F.lit(""))).otherwise("").alias("error_text"), F.lit(as_of).cast("timestamp_ntz").alias("attempted_at"))
 
 

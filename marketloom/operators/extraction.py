@@ -37,6 +37,7 @@ def normalized(component: Column, title: Column, attrs: Column) -> Column:
     new_line = A.system_line(F.coalesce(line, F.lit("")), F.coalesce(model, F.lit("")))
     changes = {
         "confidence": F.when(~F.map_contains_key(attrs, "confidence"), F.lit(DEFAULT_CONFIDENCE)),
+        "condition": F.when(V.text(attrs, "condition").isNotNull(), T.condition(V.text(attrs, "condition"))),
         "capacity_gb": F.when(ram, A.fewer_units(V.whole(attrs, "capacity_gb"), 1024)),
         "speed_mhz": F.when(ram, found),
         "tier": F.when(component == "server", T.server_tier(title)),

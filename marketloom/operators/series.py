@@ -2,22 +2,56 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+def second(c: str) -> Column:
+    return F.unix_timestamp(F.col(c).cast("timestamp"))
+
+
+def deltas(samples: DataFrame, series: str, seconds: int) -> DataFrame:
+    """samples with delta: what a counter grew by since its sample before; a fall is a reset, after which it counts from
+    zero. Series are cut into ranges of time, and the last sample of a range is carried to the next that has one."""
+    rows = samples.withColumn("_range", F.floor(second("ts") / seconds))
+    ends = rows.groupBy(F.col(series).alias("_of"), F.col("_range").alias("_at")).agg(F.max_by("value", F.struct("ts", "id")).alias("_last"))
+    ends = ends.withColumn("_carried", F.lag("_last").over(W.partitionBy("_of").orderBy("_at"))).drop("_last")
+    rows = rows.join(ends, F.col(series).eqNullSafe(F.col("_of")) & (F.col("_range") == F.col("_at"))).drop("_of", "_at")
+    before = F.coalesce(F.lag("value").over(W.partitionBy(series, "_range").orderBy("ts", "id")), "_carried")
+    delta = F.col("value") - before
+    return rows.withColumn("delta", F.when(delta < 0, F.col("value")).otherwise(F.coalesce(delta, F.lit(0.0)))).drop("_carried")
+
+
 def increase(samples: DataFrame, series: str = "name", seconds: int = 300) -> DataFrame:
-    """Growth of a counter over the trailing range; a fall is a reset, after which it counts from zero."""
-    order = W.partitionBy(series).orderBy("ts", "id")
-    delta = F.col("value") - F.lag("value").over(order)
-    rows = samples.withColumn("delta", F.when(delta < 0, F.col("value")).otherwise(F.coalesce(delta, F.lit(0.0))))
-    trailing = W.partitionBy(series).orderBy(F.unix_timestamp(F.col("ts").cast("timestamp"))).rangeBetween(-seconds, 0)
-    return rows.withColumn("increase", F.sum("delta").over(trailing))
+    """Growth of a counter over the trailing range, between samples in it and the one before; nothing is added
+    for the ends of the range that no sample covers. Ranges of time are as long as the trailing one, which so lies in
+    two of them: a window sees two ranges of a series, never a whole series."""
+    rows = deltas(samples, series, seconds)
+    both = rows.withColumn("_seen", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_part", F.col("_range") + F.col("_seen"))
+    trailing = W.partitionBy(series, "_part").orderBy(second("ts")).rangeBetween(-seconds, 0)
+    return both.withColumn("increase", F.sum("delta").over(trailing)).where("_seen = 0").drop("_seen", "_part", "_range")
+
+
+def rate_at(samples: DataFrame, series: str, labels: list[str], step: int = 60, seconds: int = 300) -> DataFrame:
+    """Sum by labels of the growth a second of counters, at ticks of the clock, over the seconds up to each.
+
+    Deltas are summed by tick first; a tick's sum counts for all ticks whose range it lies in.
+    """
+    grown = deltas(samples, series, 3600).groupBy((F.ceil(second("ts") / step) * step).alias("tick"), *labels).agg(F.sum("delta").alias("delta"))
+    seen = grown.withColumn("later", F.explode(F.sequence(F.lit(0), F.lit(seconds - step), F.lit(step)))).withColumn("tick", F.col("tick") + F.col("later"))
+    return seen.groupBy(F.timestamp_seconds("tick").cast("timestamp_ntz").alias("tick"), *labels).agg((F.sum("delta") / seconds).alias("rate"))
+
+
+def per_minute(rate: Column) -> Column:
+    """R10."""
+    return rate * 60
 
 
 def rates(events: DataFrame, minutes: int = 5, by: list[str] | None = None) -> DataFrame:
-    """Events per second in each window of the clock."""
+    """Events in each window of the clock; rate_at has rates of counters."""
     start = F.timestamp_seconds(F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / (60 * minutes)) * (60 * minutes)).cast("timestamp_ntz")
     return events.groupBy(start.alias("window_start"), *(by or [])).agg(F.count(F.lit(1)).alias("n"))
 
@@ -40,11 +74,37 @@ def quantile(hist: DataFrame, q: float) -> DataFrame:
     return hist.withColumn("quantile", F.when(hit.isNull(), F.element_at("buckets", -1)["le"]).otherwise(inside))
 
 
-def held(ticks: DataFrame, series: str, minutes: int) -> DataFrame:
-    """Whether a condition is true at a tick and was for the whole time before it."""
-    at = F.unix_timestamp(F.col("ts").cast("timestamp"))
-    span = W.partitionBy(series).orderBy(at).rangeBetween(-60 * minutes, 0)
-    return ticks.withColumn("firing", F.min(F.col("condition").cast("int")).over(span) == 1)
+def held(ticks: DataFrame, series: str, minutes: int, step: int = 60) -> DataFrame:
+    """Whether a condition is true at a tick and has been for so many minutes since its first true tick. A tick that
+    is missing (more than step minutes between two) ends what was true."""
+    order = W.partitionBy(series).orderBy("ts")
+    at, on = second("ts"), F.coalesce("condition", F.lit(False))
+    fresh = on & ~(F.lag(on, 1, False).over(order) & (at - F.lag(at).over(order) <= 60 * step))
+    rows = ticks.withColumn("_since", F.when(fresh, at)).withColumn("_since", F.last("_since", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    return rows.withColumn("firing", on & (at - F.col("_since") >= 60 * minutes)).drop("_since")
+
+
+#: Alert rules over a row of metrics a tick: what must hold, and for how many minutes.
+ALERT_RULES = {
+    "down": ("up IS NULL", 2), "readiness_down": ("readyz_up = 0", 2), "high_error_rate": ("http_errors / http_requests > 0.05", 5),
+    "ingestion_errors": ("ingestion_errors > 0", 5), "extraction_failures": ("extraction_failures > 0.1", 5), "quota_high": ("quota_remaining < 1000", 5),
+    "limit_reached": ("limit_hits > 0", 0), "notification_failures": ("notification_failures > 0", 1), "no_ingestion": ("ingestion_age > 1800", 5),
+    "pending_backlog": ("alerts_pending > 50", 10), "notification_silence": ("notification_age > 86400", 5),
+    "low_coverage": ("baselines_warm / (baselines_warm + baselines_cold + keys_without_baseline) < 0.5", 30),
+}
+
+
+def rule_states(ticks: DataFrame, step: int = 1, rules: dict[str, tuple[str, int]] | None = None) -> DataFrame:
+    """Ts, rule, firing, from rows of metrics a tick; a metric that the rows lack is null. What is unknown is not true."""
+    rules = rules or ALERT_RULES
+    known = set(ticks.columns)
+    names = {w for text, _ in rules.values() for w in re.findall(r"[a-z_]+", text)}
+    rows = ticks.withColumns({n: F.lit(None).cast("double") for n in sorted(names - known)})
+    out = None
+    for name, (text, minutes) in rules.items():
+        one = held(rows.select("ts", F.lit(name).alias("rule"), F.expr(text).alias("condition")), "rule", minutes, step).select("ts", "rule", "firing")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def absent(samples: DataFrame, start: str, end: str, minutes: int) -> DataFrame:
@@ -59,6 +119,12 @@ def latest(samples: DataFrame, series: str = "name") -> DataFrame:
     return samples.groupBy(series).agg(F.max_by("value", F.struct("ts", "value")).alias("value"), F.max("ts").alias("ts"))
 
 
+def gauges(samples: DataFrame, series: str = "name", by: list[str] | None = None) -> DataFrame:
+    """The greatest and the sum of the newest samples of all series, by labels."""
+    newest = samples.groupBy(*dict.fromkeys([series, *(by or [])])).agg(F.max_by("value", F.struct("ts", "value")).alias("value"))
+    return newest.groupBy(*(by or [])).agg(F.max("value").alias("max"), F.sum("value").alias("sum"))
+
+
 def percent(part, whole):
     """Null where there is nothing to divide by."""
     return F.when(whole != 0, part * 100.0 / whole)

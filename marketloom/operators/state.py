@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+def one_per(rows: DataFrame, keys: list[str], *best: Column) -> DataFrame:
+    """One row per key: the greatest by best, and of equal ones that of the greatest JSON, so that reruns agree."""
+    others = F.struct(*[c for c in rows.columns if c not in keys])
+    picked = rows.groupBy(*keys).agg(F.max_by(others, F.struct(*best, F.to_json(others))).alias("_row"))
+    return picked.select(*[c if c in keys else F.col(f"_row.{c}").alias(c) for c in rows.columns])
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str, overwritten: list[str], as_of: str) -> DataFrame:
-    """Known keys keep all columns but the overwritten ones, unknown keys are added, both become active."""
-    fresh = new.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_{c}") for c in new.columns if c != key]).dropDuplicates(["_key"])
+    """Known keys keep all columns but the overwritten ones, unknown keys are added, both become active. Of new rows
+    that repeat a key, one_per says which counts."""
+    fresh = new.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_{c}") for c in new.columns if c != key])
+    fresh = one_per(fresh, ["_key"])
     both = old.join(fresh, F.col(key) == F.col("_key"), "full")
     came = F.col("_key").isNotNull()
 
@@ -33,6 +42,11 @@ def claim(queue: DataFrame, n: int) -> DataFrame:
     return free.orderBy(F.col("priority").desc(), "enqueued_at", "job_id").limit(n).withColumns({"claimed": F.lit(True), "attempts": F.col("attempts") + 1})
 
 
+def claimed(queue: DataFrame, n: int) -> DataFrame:
+    """The whole queue after n jobs were claimed."""
+    return apply_updates(queue, claim(queue, n).select("job_id", "claimed", "attempts"), "job_id")
+
+
 def dismiss(alerts: DataFrame, ids: DataFrame, as_of: str) -> DataFrame:
     """The rows that change, dismissed now."""
     return alerts.where(F.col("dismissed_at").isNull()).join(ids, "alert_id", "left_semi").withColumn("dismissed_at", F.lit(as_of).cast("timestamp_ntz"))
@@ -65,16 +79,42 @@ def insert_unless(new: DataFrame, taken: DataFrame, keys: list[str]) -> DataFram
 
 
 def apply_updates(table: DataFrame, updates: DataFrame, key: str) -> DataFrame:
-    """Columns of the updates replace those of rows with their key; nulls replace too.
+    """Columns of the updates replace those of rows with their key; nulls replace too.
 
-    Updates have one row a key; other rows and columns stay as they are, unknown keys add nothing.
+    Of updates that repeat a key, one_per says which counts; other rows and columns stay as they are, unknown keys add
+    nothing (upserted adds them).
     """
+    updates = one_per(updates, [key])
     names = [c for c in updates.columns if c != key]
     new = updates.select(F.col(key), F.struct(*names).alias("_new"))
     rows = table.join(new, key, "left")
     return rows.select(*[F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in names else F.col(c) for c in table.columns])
 
 
+def upserted(table: DataFrame, updates: DataFrame, key: str) -> DataFrame:
+    """Like apply_updates, and rows of unknown keys are added, null where the updates say nothing."""
+    new = one_per(updates, [key]).join(table.select(key), key, "left_anti")
+    return apply_updates(table, updates, key).unionByName(new, allowMissingColumns=True)
+
+
+def set_enabled(watches: DataFrame, watch_id: int, enabled: bool) -> DataFrame:
+    """One watch turned on or off."""
+    return watches.withColumn("enabled", F.when(F.col("watch_id") == watch_id, F.lit(enabled)).otherwise(F.col("enabled")))
+
+
+def scored_back(listings: DataFrame, scored: DataFrame, factors: list[str]) -> DataFrame:
+    """Listings with their score and, as a struct, the factors it was made of."""
+    new = scored.select("listing_id", "score", F.struct(*factors).alias("score_breakdown"))
+    return listings.drop("score", "score_breakdown").join(new, "listing_id", "left")
+
+
+def cycle_pages(pages: DataFrame, budget: int = 50) -> DataFrame:
+    """Of the pages that watches ask for (watch_id, n_pages), how many each gets until the cycle's budget is spent.
+    There is one row a watch."""
+    before = F.coalesce(F.sum("n_pages").over(W.orderBy("watch_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return pages.withColumn("granted", F.greatest(F.lit(0), F.least(F.col("n_pages"), F.lit(budget) - before)).cast("long"))
+
+
 def partial_update(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """Like apply_updates, but a null leaves the old value."""
     names = [c for c in changes.columns if c != key]

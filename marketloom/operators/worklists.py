@@ -39,6 +39,22 @@ def best_covered(base: DataFrame, n: int = 20) -> DataFrame:
     return base.orderBy(F.col("sample_count").desc(), "product_key").limit(n)
 
 
+def cold(base: DataFrame, least: int = 10) -> DataFrame:
+    """Baselines of few samples, those nearest to enough first."""
+    return base.where(F.col("sample_count") < least).orderBy(F.col("sample_count").desc(), "product_key")
+
+
+def of_prefix(base: DataFrame, prefix: str) -> DataFrame:
+    """Baselines whose key starts so, in order of key."""
+    return base.where(F.startswith("product_key", F.lit(prefix))).orderBy("product_key")
+
+
+def matching_keys(listings: DataFrame, key_pattern: str, title_pattern: str | None = None) -> DataFrame:
+    """listings whose key matches a pattern or, without regard to case, whose title does."""
+    wanted = F.rlike("product_key", F.lit(key_pattern))
+    return listings.where(wanted | F.rlike("title", F.lit(f"(?i){title_pattern}")) if title_pattern else wanted)
+
+
 def uncovered(listings: DataFrame, base: DataFrame) -> DataFrame:
     """Keys of active listings that have no baseline, with their number of listings."""
     keys = listings.where(F.col("active") & (F.col("product_key") != "")).groupBy("product_key").agg(F.count(F.lit(1)).alias("n_listings"))

@@ -26,7 +26,8 @@ LISTINGS = f"""SELECT
     WHEN 8 THEN '1.2TB SAS 10K HDD 2.5'
     ELSE 'Server rack with DDR5-4800 memory, no drives' END AS title,
   {KIND} AS component_type,
-  concat({KIND}, ':', lower(replace(p.p_brand, '#', '_'))) AS product_key,
+  CASE WHEN l.l_orderkey % 97 = 0 THEN NULL WHEN l.l_orderkey % 89 = 0 THEN '' ELSE
+    concat({KIND}, ':', lower(replace(p.p_brand, '#', '_')), CASE l.l_partkey % 14 WHEN 0 THEN ':0' WHEN 1 THEN ':unknown' ELSE '' END) END AS product_key,
   8 * (1 + l.l_partkey % 8) AS capacity_gb, l.l_partkey % 2 = 0 AS ecc,
   CASE WHEN l.l_partkey % 3 = 0 THEN NULL ELSE 2666 END AS speed_mhz,
   l.l_extendedprice AS price,
@@ -39,23 +40,30 @@ LISTINGS = f"""SELECT
   s.s_suppkey % 5 = 0 AS seller_top_rated,
   CASE WHEN l.l_returnflag = 'R' AND l.l_linenumber % 3 = 0 THEN 'for_parts' WHEN l.l_returnflag = 'R' THEN 'used_working'
     WHEN l.l_returnflag = 'A' THEN 'like_new' WHEN l.l_linenumber % 5 = 0 THEN NULL ELSE 'new' END AS condition_norm,
-  l.l_orderkey % 7 <> 0 AS active,
-  l.l_shipdate AS updated_at
+  l.l_orderkey % 7 <> 0 AS active, l.l_shipdate AS updated_at,
+  CASE WHEN l.l_orderkey % 5 = 0 THEN '' WHEN l.l_orderkey % 5 = 1 THEN NULL ELSE 'picture' END AS image_url,
+  CASE WHEN l.l_orderkey % 6 = 0 THEN '{{{{}}}}' WHEN l.l_orderkey % 17 = 0 THEN NULL ELSE concat('{{{{"capacity_gb": ', cast(8 * (1 + l.l_partkey % 8) AS string),
+    CASE WHEN l.l_partkey % 2 = 0 THEN ', "ecc": true' ELSE ', "ecc": false' END, CASE WHEN l.l_partkey % 3 = 0 THEN '' ELSE ', "speed_mhz": 2666' END, '}}}}') END AS attributes,
+  CASE WHEN l.l_partkey % 6 <> 0 OR l.l_orderkey % 4 = 3 THEN NULL WHEN l.l_orderkey % 4 = 0 THEN cast('2001-11-05 03:00:00' AS {{ntz}})
+    WHEN l.l_orderkey % 4 = 1 THEN cast('2001-11-05 05:00:00' AS {{ntz}}) ELSE l.l_shipdate END AS auction_end_at,
+  CASE WHEN l.l_orderkey % 9 = 0 THEN cast('2001-11-04 10:00:00' AS {{ntz}}) ELSE l.l_shipdate END AS first_seen_at,
+  CASE WHEN l.l_orderkey % 8 = 0 THEN l.l_extendedprice * 0.75e0 END AS sold_price
 FROM {{lineitem}} l JOIN {{part}} p ON p.p_partkey = l.l_partkey JOIN {{supplier}} s ON s.s_suppkey = l.l_suppkey"""
 
 WATCHES = """SELECT * FROM (VALUES
-  (0, 'cheap memory', 'ram', 60, 20000.0e0, cast(NULL AS double), 0, cast(NULL AS double), false, ''),
-  (1, 'trusted drives', 'drive', 55, cast(NULL AS double), cast(NULL AS double), 5000, 98.0e0, false, ''),
-  (2, 'working servers', 'server', 50, cast(NULL AS double), 500.0e0, 0, cast(NULL AS double), false, 'new,like_new'),
-  (3, 'any processor', 'cpu', 0, cast(NULL AS double), cast(NULL AS double), 0, cast(NULL AS double), false, ''),
-  (4, 'top sellers', 'nic', 40, cast(NULL AS double), cast(NULL AS double), 0, cast(NULL AS double), true, ''),
-  (5, 'graphics', 'gpu', 70, 30000.0e0, 100.0e0, 100, 95.0e0, false, 'new,like_new,used_working'),
-  (6, 'spares', 'ram', 0, cast(NULL AS double), cast(NULL AS double), 0, cast(NULL AS double), false, 'for_parts'),
-  (7, 'nothing', 'desktop', 0, cast(NULL AS double), cast(NULL AS double), 0, cast(NULL AS double), false, '')
-) AS w(watch_id, watch_name, component_type, score_threshold, price_max, price_min, min_feedback, min_feedback_pct, top_rated_only, conditions)"""
+  (0, 'cheap memory', 'ram', 50, 20000.0e0, cast(NULL AS double), 0, cast(NULL AS double), false, '', true, '{{"capacity_gb": {{"min": 16, "max": 48}}}}'),
+  (1, 'trusted drives', 'drive', 55, cast(NULL AS double), cast(NULL AS double), 5000, 98.0e0, false, '', true, cast(NULL AS string)),
+  (2, 'working servers', 'server', 45, cast(NULL AS double), 500.0e0, 0, cast(NULL AS double), false, 'new,like_new', true, '{{"speed_mhz": {{"in": [2666, 3200]}}}}'),
+  (3, 'any processor', 'cpu', 0, cast(NULL AS double), cast(NULL AS double), 0, cast(NULL AS double), false, '', true, cast(NULL AS string)),
+  (4, 'top sellers', 'nic', 40, cast(NULL AS double), cast(NULL AS double), 0, cast(NULL AS double), true, '', false, cast(NULL AS string)),
+  (5, 'graphics', 'gpu', 50, 30000.0e0, 100.0e0, 100, 95.0e0, false, 'new,like_new,used_working', true, '{{"ecc": {{"eq": true}}}}'),
+  (6, 'spares', 'ram', 0, cast(NULL AS double), cast(NULL AS double), 0, cast(NULL AS double), false, 'for_parts', true, '{{}}'),
+  (7, 'nothing', 'desktop', 0, cast(NULL AS double), cast(NULL AS double), 0, cast(NULL AS double), false, '', true, cast(NULL AS string))
+) AS w(watch_id, watch_name, component_type, score_threshold, price_max, price_min, min_feedback, min_feedback_pct, top_rated_only, conditions, enabled, attribute_filters)"""
 
 ALERTS = """SELECT o.o_orderkey AS alert_id, cast(o.o_custkey % 8 AS int) AS watch_id, f.listing_id,
   cast(o.o_orderkey % 101 AS int) AS score, o.o_orderstatus = 'F' AS notified, o.o_orderdate AS created_at,
+  CASE WHEN o.o_orderstatus = 'F' AND o.o_orderkey % 2 = 0 THEN o.o_orderdate + INTERVAL 2000 DAY WHEN o.o_orderstatus = 'F' THEN o.o_orderdate END AS notified_at,
   CASE WHEN o.o_orderkey % 4 = 0 THEN o.o_orderdate + INTERVAL 1 DAY END AS dismissed_at,
   CASE WHEN o.o_orderkey % 5 = 0 THEN NULL ELSE concat('t', cast(o.o_orderkey AS string)) END AS trace_id
 FROM {orders} o JOIN (SELECT order_key, min(listing_id) AS listing_id FROM {listings} GROUP BY order_key) f ON f.order_key = o.o_orderkey"""
@@ -106,11 +114,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in VIEWS:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     needs = [t for t in (*TABLES, *VIEWS) if f"{{{t}}}" in VIEWS[name]]
-    return spark.sql(VIEWS[name], **{t: table(spark, sf_dir, t) for t in needs})
+    text = VIEWS[name].replace("{ntz}", "timestamp_ntz")
+    return spark.sql(text, **{t: table(spark, sf_dir, t) for t in needs}) if needs else spark.sql(text.format())
 
 
 def oracle(body: str, *views: str) -> str:
     """body, for the oracle, with the given views before it."""
-    plain = {t: t for t in (*TABLES, *VIEWS)}
+    plain = {t: t for t in (*TABLES, *VIEWS)} | {"ntz": "timestamp"}
     ctes = ", ".join(f"{v} AS ({VIEWS[v].format(**plain)})" for v in views)
     return f"WITH {ctes} {body}" if ctes else body

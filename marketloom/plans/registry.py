@@ -34,12 +34,13 @@ def query(sql: str | None = None, *views: str):
     return add
 
 
+PAID = "CASE WHEN quantity > 1 THEN (coalesce(sold_price, price) + coalesce(shipping_cost, 0)) / quantity ELSE coalesce(sold_price, price) + coalesce(shipping_cost, 0) END"
 UNIT = "CASE WHEN quantity > 1 THEN (price + coalesce(shipping_cost, 0)) / quantity ELSE price + coalesce(shipping_cost, 0) END"
 MONEY = "cast(cast(cast({} AS decimal(20,6)) AS decimal(10,2)) AS double)".format
 SINCE = f"TIMESTAMP '{AS_OF}' - INTERVAL 90 DAY"
 BASE = f"""(SELECT product_key, sample_count, {", ".join(f"{MONEY(f'p[{k}]')} AS p{n}" for k, n in enumerate((10, 25, 50, 75, 90), 1))}, {MONEY("m")} AS mean FROM (
-  SELECT product_key, count(*) AS sample_count, quantile_cont(u, [0.1, 0.25, 0.5, 0.75, 0.9]) AS p, avg(u) AS m FROM (SELECT *, {UNIT} AS u FROM listings)
-  WHERE active AND condition_norm <> 'for_parts' AND updated_at >= {SINCE} GROUP BY product_key HAVING count(*) >= 5))"""
+  SELECT product_key, count(*) AS sample_count, quantile_cont(u, [0.1, 0.25, 0.5, 0.75, 0.9]) AS p, avg(u) AS m FROM (SELECT *, {PAID} AS u FROM listings)
+  WHERE active AND product_key <> '' AND condition_norm <> 'for_parts' AND updated_at >= {SINCE} GROUP BY product_key HAVING count(*) >= 5))"""
 
 
 def lerp(lo: str, hi: str, a: float, b: float) -> str:
@@ -53,10 +54,12 @@ SELLER_BOTH = """((CASE WHEN seller_feedback_score >= 5000 THEN 100.0e0 WHEN sel
 SELLER = f"CASE WHEN seller_top_rated THEN least({SELLER_BOTH} + 20, 100.0e0) ELSE {SELLER_BOTH} END"
 CONDITION = "CASE condition_norm WHEN 'new' THEN 100.0e0 WHEN 'like_new' THEN 90.0e0 WHEN 'used_working' THEN 70.0e0 WHEN 'for_parts' THEN 10.0e0 ELSE 40.0e0 END"
 QUANTITY = "CASE WHEN quantity >= 16 THEN 90.0e0 WHEN quantity >= 8 THEN 80.0e0 WHEN quantity >= 4 THEN 70.0e0 WHEN quantity > 1 THEN 60.0e0 ELSE 50.0e0 END"
-TIME = f"CASE WHEN updated_at >= TIMESTAMP '{AS_OF}' - INTERVAL 24 HOUR THEN 80.0e0 ELSE 30.0e0 END"
+TIME = f"""CASE WHEN listing_type = 'auction' AND auction_end_at IS NOT NULL AND auction_end_at < TIMESTAMP '{AS_OF}' + INTERVAL 4 HOUR THEN 100.0e0
+  WHEN first_seen_at > TIMESTAMP '{AS_OF}' - INTERVAL 24 HOUR THEN 80.0e0 ELSE 30.0e0 END"""
+QUALITY = "CASE WHEN image_url <> '' THEN 40.0e0 ELSE 0.0e0 END + CASE WHEN attributes IS NOT NULL AND attributes <> '{}' THEN 30.0e0 ELSE 0.0e0 END"
 SCORED = f"""(SELECT *, cast(least(greatest(round(price_score * 0.4e0 + seller_score * 0.2e0 + condition_score * 0.15e0 + quantity_score * 0.1e0 + quality_score * 0.1e0 + time_score * 0.05e0), 0), 100) AS int) AS score FROM (
-  SELECT *, {PRICE} AS price_score, {SELLER} AS seller_score, {CONDITION} AS condition_score, {QUANTITY} AS quantity_score, 70.0e0 AS quality_score, {TIME} AS time_score FROM (
-    SELECT l.*, {UNIT} AS unit_price, sample_count, p10, p25, p50, p75, p90 FROM listings l LEFT JOIN {BASE} b ON b.product_key = l.product_key WHERE active)))"""
+  SELECT *, {PRICE} AS price_score, {SELLER} AS seller_score, {CONDITION} AS condition_score, {QUANTITY} AS quantity_score, {QUALITY} AS quality_score, {TIME} AS time_score FROM (
+    SELECT l.*, {UNIT} AS unit_price, sample_count, p10, p25, p50, p75, p90 FROM listings l LEFT JOIN {BASE} b ON b.product_key = l.product_key WHERE active AND l.product_key <> '')))"""
 
 
 def base_of(t) -> DataFrame:
@@ -71,7 +74,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["flagship_scored_listings"](spark, sf_dir)
 
 
-SCORES = ["listing_id", "product_key", "score", "price_score", "seller_score", "condition_score", "quantity_score", "time_score"]
+SCORES = ["listing_id", "product_key", "score", "price_score", "seller_score", "condition_score", "quantity_score", "quality_score", "time_score"]
 
 
 @query(f"SELECT {', '.join(SCORES)} FROM {SCORED} ORDER BY score DESC, listing_id LIMIT 500", "listings")
@@ -182,13 +185,41 @@ def listing_count(t):
     return t("listings").where(market.any_of({"component_type": "gpu", "max_price": 20000})).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT listing_id FROM listings WHERE component_type = 'ram' AND speed_mhz IS NULL AND active", "listings")
+LACKING = """active AND component_type IS NOT NULL AND (component_type = 'ram' AND (product_key LIKE '%:0' OR json_extract_string(attributes, '$.speed_mhz') IS NULL)
+  OR component_type = 'drive' AND product_key LIKE '%:unknown%')"""
+
+
+@query(f"SELECT listing_id FROM listings WHERE {LACKING}", "listings")
 def incomplete(t):
     return market.incomplete(t("listings")).select("listing_id")
 
 
+@query(f"SELECT listing_id FROM listings WHERE component_type = 'drive' AND {LACKING}", "listings")
+def incomplete_of_type(t):
+    return market.incomplete(t("listings"), "drive").select("listing_id")
+
+
+@query(f"SELECT count(*) AS total_incomplete, 0 AS types FROM listings WHERE {LACKING}", "listings")
+def extraction_stats(t):
+    return market.extraction_stats(t("listings")).select("total_incomplete", F.size("by_type").alias("types"))
+
+
+@query("SELECT listing_id, coalesce(condition_norm, 'unknown') AS condition_norm, coalesce(product_key, '') AS product_key, coalesce(attributes, '{{}}') AS attributes FROM listings".replace("{{}}", "{}"), "listings")
+def listing_defaults(t):
+    return market.with_defaults(t("listings")).select("listing_id", "condition_norm", "product_key", "attributes")
+
+
+@query(f"SELECT listing_id, {QUALITY} AS quality_score, {TIME} AS time_score FROM listings", "listings")
+def quality_and_time(t):
+    x = S.inputs(AS_OF)
+    quality = S.quality_score(x["has_images"], x["has_specifics"], F.lit(0))
+    return t("listings").select("listing_id", quality.alias("quality_score"), S.time_score(x["is_auction"], x["ending_soon"], x["is_new"]).alias("time_score"))
+
+
 WATCH = """unit_price <= coalesce(price_max, unit_price) AND unit_price >= coalesce(price_min, unit_price) AND seller_feedback_score >= min_feedback
-  AND seller_feedback_pct >= coalesce(min_feedback_pct, seller_feedback_pct) AND (NOT top_rated_only OR seller_top_rated) AND (conditions = '' OR list_contains(string_split(conditions, ','), condition_norm))"""
+  AND seller_feedback_pct >= coalesce(min_feedback_pct, seller_feedback_pct) AND (NOT top_rated_only OR seller_top_rated) AND (conditions = '' OR list_contains(string_split(conditions, ','), condition_norm))
+  AND enabled AND CASE w.watch_id WHEN 0 THEN coalesce(cast(json_extract(attributes, '$.capacity_gb') AS double) BETWEEN 16 AND 48, false)
+    WHEN 2 THEN coalesce(cast(json_extract(attributes, '$.speed_mhz') AS double) IN (2666, 3200), false) WHEN 5 THEN coalesce(json_extract_string(attributes, '$.ecc') = 'true', false) ELSE true END"""
 MATCHED = f"(SELECT s.*, w.watch_id, w.score_threshold FROM {SCORED} s JOIN watches w ON w.component_type = s.component_type WHERE s.score >= w.score_threshold AND {WATCH})"
 
 
@@ -200,7 +231,7 @@ def watch_match(t):
 RECENT = f"TIMESTAMP '{AS_OF}' - INTERVAL 24000 HOUR"
 
 
-@query(f"SELECT watch_id, listing_id FROM {MATCHED} m WHERE NOT EXISTS (SELECT 1 FROM alerts a WHERE a.notified AND a.created_at > {RECENT} AND a.watch_id = m.watch_id AND a.listing_id = m.listing_id)", "listings", "watches", "alerts")
+@query(f"SELECT watch_id, listing_id FROM {MATCHED} m WHERE NOT EXISTS (SELECT 1 FROM alerts a WHERE a.notified AND a.notified_at > {RECENT} AND a.watch_id = m.watch_id AND a.listing_id = m.listing_id)", "listings", "watches", "alerts")
 def cooldown_anti_join(t):
     return al.outside_cooldown(al.watch_matches(scored_of(t), t("watches")), t("alerts"), AS_OF, 24000).select("watch_id", "listing_id")
 
@@ -213,10 +244,31 @@ def pending_dedupe(t):
 REVIEW = "alerts a JOIN (SELECT listing_id, title, component_type, price FROM listings) l ON l.listing_id = a.listing_id JOIN watches w ON w.watch_id = a.watch_id"
 
 
-@query(f"SELECT a.alert_id, a.score, l.title, w.watch_name FROM {REVIEW} WHERE NOT a.notified AND a.score >= 75 ORDER BY a.score DESC, a.alert_id DESC LIMIT 25 OFFSET 25", "listings", "watches", "alerts")
+@query(f"SELECT a.alert_id, a.score, l.title, w.watch_name FROM {REVIEW} WHERE NOT a.notified AND a.score >= 75 ORDER BY a.score DESC, a.created_at DESC, a.alert_id DESC LIMIT 25 OFFSET 25", "listings", "watches", "alerts")
 def alert_review_page(t):
     rows = al.review(t("alerts"), t("listings"), t("watches"), "active", 75)
-    return rows.orderBy(F.col("score").desc(), F.col("alert_id").desc()).offset(25).limit(25).select("alert_id", "score", "title", "watch_name")
+    return al.review_page(rows, "", 2)[0].select("alert_id", "score", "title", "watch_name")
+
+
+@query(f"SELECT a.alert_id, w.watch_name FROM {REVIEW} WHERE a.watch_id = 3 ORDER BY a.created_at DESC, a.alert_id DESC LIMIT 100", "listings", "watches", "alerts")
+def review_by_watch(t):
+    return al.review_page(al.review(t("alerts"), t("listings"), t("watches"), "all", watch_id=3), "created", 0, 500)[0].select("alert_id", "watch_name")
+
+
+@query(f"SELECT a.alert_id, w.watch_name FROM {REVIEW} WHERE a.dismissed_at IS NULL ORDER BY w.watch_name, a.score DESC, a.alert_id DESC LIMIT 40 OFFSET 80", "listings", "watches", "alerts")
+def review_by_name(t):
+    return al.review_page(al.review(t("alerts"), t("listings"), t("watches"), "undismissed"), "watch", 3, 40)[0].select("alert_id", "watch_name")
+
+
+@query(f"SELECT count(*) AS total FROM {REVIEW} WHERE a.dismissed_at IS NOT NULL AND l.component_type = 'gpu'", "listings", "watches", "alerts")
+def review_total(t):
+    return al.review_page(al.review(t("alerts"), t("listings"), t("watches"), "dismissed", component="gpu"))[1]
+
+
+@query("SELECT alert_id FROM alerts WHERE alert_id NOT IN (SELECT alert_id FROM judged WHERE input_tokens > 900)", "listings", "alerts", "judged")
+def undelivered(t):
+    tried = t("judged").select("alert_id", (F.col("input_tokens") > 900).alias("succeeded"))
+    return al.undelivered(t("alerts"), tried).select("alert_id")
 
 
 @query("SELECT count(*) FILTER (WHERE NOT notified) AS active, count(*) FILTER (WHERE notified) AS notified, count(*) FILTER (WHERE dismissed_at IS NOT NULL) AS dismissed, max(created_at) AS newest FROM alerts", "listings", "alerts")
@@ -229,9 +281,12 @@ def title_ilike(t):
     return al.review(t("alerts"), t("listings"), t("watches"), "all", search="xeon").select("alert_id", "title")
 
 
-@query(f"SELECT a.alert_id, a.score, l.title, b.sample_count, b.p50 FROM alerts a JOIN listings l ON l.listing_id = a.listing_id LEFT JOIN {BASE} b ON b.product_key = l.product_key WHERE a.alert_id NOT IN (SELECT alert_id FROM judged) ORDER BY a.created_at DESC NULLS LAST, a.alert_id LIMIT 50", "listings", "alerts", "judged")
+@query(f"""SELECT a.alert_id, w.watch_name, a.score, w.score_threshold, l.title, coalesce(b.sample_count, 0) AS sample_count, coalesce(b.p25, 0) AS p25, coalesce(b.p50, 0) AS p50, coalesce(a.trace_id, '') AS trace_id
+  FROM alerts a JOIN listings l ON l.listing_id = a.listing_id JOIN watches w ON w.watch_id = a.watch_id LEFT JOIN {BASE} b ON b.product_key = l.product_key
+  WHERE a.created_at >= TIMESTAMP '1995-06-01' AND a.alert_id NOT IN (SELECT alert_id FROM judged) ORDER BY a.created_at DESC NULLS LAST, a.alert_id LIMIT 500""", "listings", "watches", "alerts", "judged")
 def judge_candidates(t):
-    return al.judge_candidates(t("alerts"), t("listings"), base_of(t), t("judged")).select("alert_id", "score", "title", "sample_count", "p50")
+    rows = al.judge_candidates(t("alerts"), t("listings"), t("watches"), base_of(t), t("judged"), "1995-06-01 00:00:00", 500)
+    return al.judge_context(rows).select("alert_id", "watch_name", "score", "score_threshold", "title", "sample_count", "p25", "p50", "trace_id")
 
 
 RATES = "(VALUES ('small-model', 0.5e0, 1.5e0)) AS r(model, input_rate, output_rate)"
@@ -243,10 +298,10 @@ def costs_of(t) -> DataFrame:
     return al.cost(judged.sparkSession.sql(f"SELECT * FROM {RATES}"), judged)
 
 
-@query(f"SELECT date_trunc('day', judged_at)::timestamp AS day, model, count(*) AS n, cast(sum(cast(cost AS decimal(20,9))) AS decimal(20,6)) AS spend, cast(sum(input_tokens) AS bigint) AS input_tokens FROM {COST} GROUP BY ALL", "judged")
+@query(f"SELECT date_trunc('day', judged_at)::timestamp AS day, model, count(*) AS n, cast(sum(cast(cost AS decimal(20,9))) AS decimal(20,4)) AS spend, cast(sum(input_tokens) AS bigint) AS input_tokens FROM {COST} GROUP BY ALL", "judged")
 def judge_spend_daily(t):
     day = F.date_trunc("day", F.col("judged_at").cast("timestamp")).cast("timestamp_ntz").alias("day")
-    return costs_of(t).groupBy(day, "model").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("cost").cast("decimal(20,9)")).cast("decimal(20,6)").alias("spend"), F.sum("input_tokens").alias("input_tokens"))
+    return costs_of(t).groupBy(day, "model").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("cost").cast("decimal(20,9)")).cast("decimal(20,4)").alias("spend"), F.sum("input_tokens").alias("input_tokens"))
 
 
 @query(f"SELECT alert_id FROM (SELECT *, coalesce(sum(cost) OVER (ORDER BY judged_at, alert_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT * FROM {COST} ORDER BY judged_at, alert_id LIMIT 200)) WHERE before < 0.01", "judged")
@@ -255,12 +310,19 @@ def budget_cut(t):
     return al.within_budget(batch, 0.01).select("alert_id")
 
 
-@query("SELECT CASE WHEN judge_score >= 0.7 THEN 'deal' WHEN judge_score >= 0.3 THEN 'edge' ELSE 'noise' END AS verdict, dismissed_at IS NOT NULL AS dismissed, count(*) AS n FROM alerts a JOIN judged j ON j.alert_id = a.alert_id GROUP BY ALL", "listings", "alerts", "judged")
+@query("""SELECT CASE WHEN judge_score < 0.33 THEN 'noise' WHEN judge_score < 0.66 THEN 'edge' ELSE 'deal' END AS verdict, dismissed_at IS NOT NULL AS dismissed, count(*) AS n
+  FROM alerts a JOIN judged j ON j.alert_id = a.alert_id WHERE created_at > TIMESTAMP '1998-07-15' - INTERVAL 900 DAY GROUP BY ALL""", "listings", "alerts", "judged")
 def judge_vs_operator(t):
-    rows = t("alerts").join(t("judged"), "alert_id").groupBy(al.verdict(F.col("judge_score")).alias("verdict"), F.col("dismissed_at").isNotNull().alias("dismissed"))
+    recent = t("alerts").where(F.col("created_at") > F.lit("1998-07-15").cast("timestamp_ntz") - F.expr("INTERVAL 900 DAYS"))
+    rows = recent.join(t("judged"), "alert_id").groupBy(delivery.report_verdict(F.col("judge_score")).alias("verdict"), F.col("dismissed_at").isNotNull().alias("dismissed"))
     return rows.agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT model, CASE WHEN judge_score >= 0.7 THEN 'deal' WHEN judge_score >= 0.3 THEN 'edge' ELSE 'noise' END AS verdict, count(*) AS n FROM judged GROUP BY ALL", "judged")
+def verdict_counts(t):
+    return t("judged").groupBy("model", al.verdict(F.col("judge_score")).alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT o_orderpriority AS job_name, o_orderkey AS run_id, o_orderdate AS started_at FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")
 def latest_job_runs(t):
     runs = t("orders").select(F.col("o_orderpriority").alias("job_name"), F.col("o_orderkey").alias("run_id"), F.col("o_orderdate").alias("started_at"))
@@ -277,22 +339,26 @@ def queue_health(t):
     return t("queue").groupBy("priority").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("completed")).alias("depth"), F.count_if(F.col("error_text").isNotNull()).alias("failed"))
 
 
-@query(f"SELECT product_key, sample_count FROM {BASE} WHERE product_key NOT IN (SELECT product_key FROM listings WHERE price > 104000)", "listings")
+@query(f"SELECT product_key, sample_count FROM {BASE} WHERE product_key NOT IN (SELECT product_key FROM listings WHERE price > 104000 AND product_key IS NOT NULL)", "listings")
 def orphan_baselines(t):
     return state.orphans(base_of(t), t("listings").where("price > 104000")).select("product_key", "sample_count")
 
 
-@query(f"""SELECT (SELECT count(*) FROM watches) AS watches_total, (SELECT count(*) FROM listings) AS listings_total, (SELECT count(*) FROM listings WHERE active) AS listings_active,
-  (SELECT count(*) FROM listings WHERE active AND component_type = 'ram' AND speed_mhz IS NULL) AS listings_incomplete, (SELECT count(*) FROM alerts WHERE NOT notified) AS alerts_pending,
-  (SELECT count(*) FROM {BASE}) AS baselines_total, (SELECT count(*) FROM {BASE} WHERE sample_count >= 10) AS baselines_warm, (SELECT count(*) FROM {BASE} WHERE sample_count < 10) AS baselines_cold,
-  (SELECT count(DISTINCT product_key) FROM listings WHERE active AND product_key NOT IN (SELECT product_key FROM {BASE})) AS keys_without_baseline, (SELECT count(*) FROM queue WHERE NOT completed) AS queue_depth""", "listings", "watches", "alerts", "queue")
+@query(f"""SELECT (SELECT count(*) FROM watches) AS watches_total, (SELECT count(*) FROM watches WHERE enabled) AS watches_enabled, (SELECT count(*) FROM listings WHERE active) AS listings_total,
+  (SELECT count(*) FROM listings WHERE active AND (component_type IS NULL OR component_type = '')) AS listings_unextracted, (SELECT count(*) FROM listings WHERE active AND quantity % 2 = 0) AS listings_unscored,
+  (SELECT count(*) FROM listings WHERE active AND (component_type = 'ram' AND (product_key IS NULL OR product_key LIKE '%:0') OR component_type = 'drive' AND product_key LIKE '%:unknown%')) AS listings_incomplete,
+  (SELECT count(*) FROM alerts WHERE NOT notified) AS alerts_pending, (SELECT count(*) FROM {BASE}) AS baselines_total, (SELECT count(*) FROM {BASE} WHERE sample_count >= 10) AS baselines_warm,
+  (SELECT count(*) FROM {BASE} WHERE sample_count < 10) AS baselines_cold, (SELECT count(DISTINCT product_key) FROM listings WHERE active AND product_key IS NOT NULL AND product_key NOT IN (SELECT product_key FROM {BASE})) AS keys_without_baseline,
+  (SELECT count(*) FROM queue WHERE NOT completed) AS queue_depth""", "listings", "watches", "alerts", "queue")
 def system_state(t):
-    return market.system_state(t("listings"), t("watches"), t("alerts"), base_of(t), t("queue"))
+    listings = t("listings").withColumn("score", F.when(F.col("quantity") % 2 != 0, 50))
+    return market.system_state(listings, t("watches"), t("alerts"), base_of(t), t("queue"))
 
 
-@query(f"SELECT CASE WHEN {T.in_sql(T.BAREBONE)} THEN 'barebone' WHEN {T.in_sql(T.CPU_PRESENT)} AND {T.in_sql(T.RAM_PRESENT)} THEN 'configured' ELSE 'partial' END AS tier, quantile_cont(score, 0.5) AS p50, count(*) AS n FROM {SCORED} GROUP BY tier", "listings")
+@query(f"SELECT CASE WHEN {T.in_sql(T.BAREBONE)} THEN 'barebone' WHEN {T.in_sql(T.CPU_PRESENT)} AND {T.in_sql(T.RAM_PRESENT)} THEN 'configured' ELSE 'partial' END AS tier, quantile_cont(score, 0.5) AS p50, quantile_cont(score, 0.9) AS p90, count(*) AS n FROM {SCORED} GROUP BY tier", "listings")
 def tier_score_percentiles(t):
-    return scored_of(t).groupBy(T.server_tier(F.col("title")).alias("tier")).agg(F.percentile("score", F.lit(0.5)).alias("p50"), F.count(F.lit(1)).alias("n"))
+    p = lambda q: F.percentile("score", F.lit(q))  # noqa: E731  scores have 101 values, so groups of any size stay small
+    return scored_of(t).groupBy(T.server_tier(F.col("title")).alias("tier")).agg(p(0.5).alias("p50"), p(0.9).alias("p90"), F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""SELECT listing_id, CASE WHEN order_key % 10 = 0 THEN price + 1 ELSE price END AS price, active OR order_key % 10 = 0 AS active, CASE WHEN order_key % 10 = 0 THEN TIMESTAMP '{AS_OF}' ELSE updated_at END AS updated_at, title FROM listings WHERE order_key % 3 <> 0
@@ -329,11 +395,11 @@ def stratified_newest(t):
     return evals.stratified(t("listings"), "component_type", 12, F.col("updated_at").desc(), F.col("listing_id")).select("listing_id", "component_type")
 
 
-@query("SELECT component_type AS expected, count(*) AS n, count(*) FILTER (WHERE component_type = 'server' AND contains(lower(title), 'server') OR component_type = 'ram' AND contains(lower(title), 'ddr')) AS n_right FROM listings GROUP BY component_type", "listings")
+@query("SELECT coalesce(component_type, 'overall') AS expected, count(*) AS n, count(*) FILTER (WHERE component_type = 'server' AND contains(lower(title), 'server') OR component_type = 'ram' AND contains(lower(title), 'ddr')) AS n_right FROM listings GROUP BY ROLLUP (component_type)", "listings")
 def class_accuracy(t):
     guess = F.when(F.contains(F.lower("title"), F.lit("server")) & (F.col("component_type") == "server"), "server").when(F.contains(F.lower("title"), F.lit("ddr")) & (F.col("component_type") == "ram"), "ram").otherwise("")
     rows = t("listings").select(F.col("component_type").alias("expected"), guess.alias("actual"))
-    return evals.accuracy(rows, "expected", "actual").select("expected", "n", "n_right")
+    return evals.accuracy_with_overall(rows, "expected", "actual").select("expected", "n", "n_right")
 
 
 @query("SELECT event_type, max(value) FILTER (WHERE pos = (n - 1) * 50 // 100) AS p50, max(value) FILTER (WHERE pos = (n - 1) * 95 // 100) AS p95 FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS pos, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) GROUP BY event_type")
@@ -354,7 +420,14 @@ def rate_by_label(t):
 BOUNDS = [1.0, 5.0, 10.0, 25.0, 50.0, 100.0, 250.0, 500.0]
 
 
-@query()
+def quantile_sql(q: float) -> str:
+    low = [0.0, *BOUNDS]
+    cases = [f"WHEN c{k + 1} >= r THEN {low[k]} + ({b} - {low[k]}) * (r - c{k}) / (c{k + 1} - c{k})" for k, b in enumerate(BOUNDS)]
+    counts = ", ".join(f"count(*) FILTER (WHERE value <= {b})::double AS c{k}" for k, b in enumerate(BOUNDS, 1))
+    return f"SELECT event_type, total, round(CASE {' '.join(cases)} ELSE {BOUNDS[-1]} END, 6) AS p95 FROM (SELECT event_type, count(*) AS total, {q}::double * count(*) AS r, 0::double AS c0, {counts} FROM events WHERE value IS NOT NULL GROUP BY event_type)"
+
+
+@query(quantile_sql(0.95))
 def histogram_quantile(t):
     hist = series.buckets(t("events").where("value IS NOT NULL"), BOUNDS, "event_type")
     return series.quantile(hist, 0.95).select("event_type", "total", F.round("quantile", 6).alias("p95"))
@@ -370,20 +443,49 @@ def histogram_buckets(t):
   SELECT *, CASE WHEN value < lag(value) OVER w THEN value ELSE coalesce(value - lag(value) OVER w, 0) END AS delta FROM (
     SELECT event_id AS id, event_type AS name, date_trunc('second', ts) AS ts, cast(event_id % 1000 AS double) AS value FROM events) WINDOW w AS (PARTITION BY name ORDER BY ts, id))""")
 def counter_increase(t):
+    return series.increase(counters(t), seconds=3600).select("id", "name", "increase")
+
+
+def counters(t) -> DataFrame:
     second = F.date_trunc("second", F.col("ts").cast("timestamp")).cast("timestamp_ntz")
-    samples = t("events").select(F.col("event_id").alias("id"), F.col("event_type").alias("name"), second.alias("ts"), (F.col("event_id") % 1000).cast("double").alias("value"))
-    return series.increase(samples, seconds=3600).select("id", "name", "increase")
+    return t("events").select(F.col("event_id").alias("id"), F.col("event_type").alias("name"), second.alias("ts"), (F.col("event_id") % 1000).cast("double").alias("value"))
 
 
 HOURS = "(SELECT time_bucket(INTERVAL 60 MINUTE, ts) AS ts, event_type, count(*) FILTER (WHERE value > 50) > 0 AS condition FROM events GROUP BY ALL)"
 
 
-@query(f"SELECT ts, event_type, min(condition::int) OVER (PARTITION BY event_type ORDER BY epoch(ts)::BIGINT RANGE BETWEEN 7200 PRECEDING AND CURRENT ROW) = 1 AS firing FROM {HOURS}")
+@query(f"""SELECT ts, event_type, condition AND coalesce(epoch(ts) - epoch(max(CASE WHEN fresh THEN ts END) OVER (PARTITION BY event_type ORDER BY ts)) >= 7200, false) AS firing FROM (
+  SELECT *, condition AND NOT (coalesce(lag(condition) OVER w, false) AND epoch(ts) - epoch(lag(ts) OVER w) <= 3600) AS fresh FROM {HOURS} WINDOW w AS (PARTITION BY event_type ORDER BY ts))""")
 def alert_rule_for(t):
-    ticks = series.rates(t("events").withColumn("high", F.col("value") > 50), 60, ["event_type"]).select(F.col("window_start").alias("ts"), "event_type")
+    ticks = series.rates(t("events"), 60, ["event_type"]).select(F.col("window_start").alias("ts"), "event_type")
     hot = series.rates(t("events").where("value > 50"), 60, ["event_type"]).select(F.col("window_start").alias("ts"), "event_type", F.lit(True).alias("condition"))
     ticks = ticks.join(hot, ["ts", "event_type"], "left").withColumn("condition", F.coalesce("condition", F.lit(False)))
-    return series.held(ticks, "event_type", 120).select("ts", "event_type", "firing")
+    return series.held(ticks, "event_type", 120, 60).select("ts", "event_type", "firing")
+
+
+@query(f"""SELECT tick, event_type, round(sum(delta) / 300, 6) AS rate FROM (
+  SELECT make_timestamp(((ceil(epoch(ts) / 60) * 60 + k * 60) * 1000000)::bigint) AS tick, name AS event_type, delta FROM (
+    SELECT *, CASE WHEN value < lag(value) OVER w THEN value ELSE coalesce(value - lag(value) OVER w, 0) END AS delta FROM (
+      SELECT event_id AS id, event_type AS name, date_trunc('second', ts) AS ts, cast(event_id % 1000 AS double) AS value FROM events) WINDOW w AS (PARTITION BY name ORDER BY ts, id)), (VALUES (0), (1), (2), (3), (4)) AS s(k)
+) GROUP BY ALL""")
+def counter_rate(t):
+    return series.rate_at(counters(t), "name", ["name"]).select("tick", F.col("name").alias("event_type"), F.round("rate", 6).alias("rate"))
+
+
+METRICS = """(SELECT time_bucket(INTERVAL 60 MINUTE, ts) AS ts, count(*)::double AS http_requests, count(*) FILTER (WHERE event_type = 'error')::double AS http_errors, max(value) FILTER (WHERE event_type = 'error') AS alerts_pending FROM events GROUP BY ALL)"""
+
+
+def rule_sql(name: str, condition: str, minutes: int) -> str:
+    return f"""SELECT ts, '{name}' AS rule, c AND epoch(ts) - epoch(max(CASE WHEN fresh THEN ts END) OVER (ORDER BY ts)) >= {60 * minutes} AS firing FROM (
+      SELECT *, c AND NOT (coalesce(lag(c) OVER w, false) AND epoch(ts) - epoch(lag(ts) OVER w) <= 3600) AS fresh FROM (SELECT ts, coalesce({condition}, false) AS c FROM {METRICS}) WINDOW w AS (ORDER BY ts))"""
+
+
+@query("SELECT ts, rule, coalesce(firing, false) AS firing FROM (" + " UNION ALL ".join([rule_sql("down", "true", 2), rule_sql("high_error_rate", "http_errors / http_requests > 0.05", 5), rule_sql("pending_backlog", "alerts_pending > 50", 10)]) + ")")
+def named_rules(t):
+    hour = F.date_trunc("hour", F.col("ts").cast("timestamp")).cast("timestamp_ntz").alias("ts")
+    bad = F.col("event_type") == "error"
+    ticks = t("events").groupBy(hour).agg(F.count(F.lit(1)).cast("double").alias("http_requests"), F.count_if(bad).cast("double").alias("http_errors"), F.max(F.when(bad, F.col("value"))).alias("alerts_pending"))
+    return series.rule_states(ticks, 60).where(F.col("rule").isin("down", "high_error_rate", "pending_backlog"))
 
 
 @query("SELECT listing_id, title FROM listings WHERE contains(lower(title), 'server') AND contains(lower(title), 'xeon') ORDER BY listing_id LIMIT 50 OFFSET 10", "listings")
@@ -465,7 +567,7 @@ def alert_details(t):
 
 
 @query(f"""SELECT listing_id, CASE WHEN active AND {T.in_sql(T.ACCESSORY)} AND NOT {T.in_sql(T.PRIMARY)} THEN 'other' ELSE component_type END AS component_type,
-  CASE WHEN active AND component_type = 'server' AND NOT ({T.in_sql(T.ACCESSORY)} AND NOT {T.in_sql(T.PRIMARY)}) THEN concat(product_key, ':', CASE WHEN {T.in_sql(T.BAREBONE)} THEN 'barebone' WHEN {T.in_sql(T.CPU_PRESENT)} AND {T.in_sql(T.RAM_PRESENT)} THEN 'configured' ELSE 'partial' END) ELSE product_key END AS product_key
+  CASE WHEN active AND component_type = 'server' AND NOT ({T.in_sql(T.ACCESSORY)} AND NOT {T.in_sql(T.PRIMARY)}) THEN product_key || ':' || (CASE WHEN {T.in_sql(T.BAREBONE)} THEN 'barebone' WHEN {T.in_sql(T.CPU_PRESENT)} AND {T.in_sql(T.RAM_PRESENT)} THEN 'configured' ELSE 'partial' END) ELSE product_key END AS product_key
   FROM listings""", "listings")
 def backfilled(t):
     rows = extraction.reclassified(t("listings").withColumn("confidence", F.lit(0.9)))
@@ -513,7 +615,7 @@ def error_ratio(t):
     return rows.select("window_start", series.percent(F.coalesce("bad", F.lit(0)), F.col("n")).alias("percent"))
 
 
-@query("SELECT CASE WHEN product_key LIKE '%:barebone' THEN 'barebone' WHEN product_key LIKE '%:configured' THEN 'configured' WHEN product_key LIKE '%:partial' THEN 'partial' ELSE 'unknown' END AS tier, count(*) AS n FROM (SELECT concat(product_key, CASE WHEN order_key % 3 = 0 THEN ':barebone' WHEN order_key % 3 = 1 THEN ':partial' ELSE '' END) AS product_key FROM listings) GROUP BY ALL", "listings")
+@query("SELECT CASE WHEN product_key LIKE '%:barebone' THEN 'barebone' WHEN product_key LIKE '%:configured' THEN 'configured' WHEN product_key LIKE '%:partial' THEN 'partial' ELSE 'unknown' END AS tier, count(*) AS n FROM (SELECT product_key || CASE WHEN order_key % 3 = 0 THEN ':barebone' WHEN order_key % 3 = 1 THEN ':partial' ELSE '' END AS product_key FROM listings) GROUP BY ALL", "listings")
 def key_tiers(t):
     end = F.when(F.col("order_key") % 3 == 0, ":barebone").when(F.col("order_key") % 3 == 1, ":partial").otherwise("")
     return t("listings").groupBy(extraction.tier_of_key(F.concat("product_key", end)).alias("tier")).agg(F.count(F.lit(1)).alias("n"))
@@ -587,5 +689,86 @@ def noise_and_dismissals(t):
 
 @query("SELECT component_type, count(*) AS n FROM listings WHERE regexp_matches(product_key, '^(ram|drive):brand_[0-9]+$') OR regexp_matches(title, 'xeon +gold', 'i') GROUP BY component_type", "listings")
 def regex_keys(t):
-    wanted = F.rlike("product_key", F.lit("^(ram|drive):brand_[0-9]+$")) | F.rlike("title", F.lit("(?i)xeon +gold"))
-    return t("listings").where(wanted).groupBy("component_type").agg(F.count(F.lit(1)).alias("n"))
+    return worklists.matching_keys(t("listings"), "^(ram|drive):brand_[0-9]+$", "xeon +gold").groupBy("component_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT job_id, claimed OR first AS claimed, attempts + first::int AS attempts FROM (SELECT *, NOT completed AND NOT claimed AND row_number() OVER (PARTITION BY NOT completed AND NOT claimed ORDER BY priority DESC, enqueued_at, job_id) <= 100 AS first FROM queue)", "queue")
+def queue_after_claim(t):
+    return state.claimed(t("queue"), 100).select("job_id", "claimed", "attempts")
+
+
+@query("SELECT watch_id, watch_name, enabled AND watch_id <> 2 AS enabled FROM watches UNION ALL SELECT 99, 'new', true", "watches")
+def watch_upsert(t):
+    watches = state.set_enabled(t("watches"), 2, False)
+    new = watches.sparkSession.sql("SELECT 99 AS watch_id, 'new' AS watch_name, true AS enabled")
+    return state.upserted(watches, new, "watch_id").select("watch_id", "watch_name", "enabled")
+
+
+@query(f"SELECT listing_id, score, price_score FROM listings l LEFT JOIN (SELECT listing_id AS id, score, cast(round(price_score, 3) AS decimal(9,3)) AS price_score FROM {SCORED}) ON id = listing_id", "listings")
+def scores_written_back(t):
+    rows = state.scored_back(t("listings"), scored_of(t), ["price_score", "seller_score"])
+    return rows.select("listing_id", "score", F.round("score_breakdown.price_score", 3).cast("decimal(9,3)").alias("price_score"))
+
+
+@query("SELECT watch_id, greatest(0, least(n, 50 - coalesce(sum(n) OVER (ORDER BY watch_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)))::bigint AS granted FROM (SELECT watch_id, 5 + 3 * watch_id AS n FROM watches)", "watches")
+def cycle_budget(t):
+    return state.cycle_pages(t("watches").select("watch_id", (5 + 3 * F.col("watch_id")).alias("n_pages"))).select("watch_id", "granted")
+
+
+@query("SELECT listing_id, component_type FROM listings WHERE component_type IN ('gpu', 'nic') QUALIFY row_number() OVER (PARTITION BY component_type ORDER BY updated_at DESC, listing_id) <= 12", "listings")
+def dataset_sample(t):
+    return evals.dataset(t("listings"), "component_type", 12, ["gpu", "nic"], F.col("updated_at").desc(), F.col("listing_id")).select("listing_id", "component_type")
+
+
+@query("SELECT (SELECT count(*) FROM listings WHERE contains(lower(title), 'server')) AS total, 150 AS next_offset", "listings")
+def search_total(t):
+    return feed.search_page(t("listings"), " SERVER ", sort="-price", offset=100)[1]
+
+
+@query(f"SELECT product_key, sample_count FROM {BASE} WHERE starts_with(product_key, 'gpu:') UNION ALL SELECT product_key, sample_count FROM {BASE} WHERE sample_count < 10", "listings")
+def cold_and_prefixed(t):
+    base = base_of(t).select("product_key", "sample_count")
+    return worklists.of_prefix(base, "gpu:").unionByName(worklists.cold(base))
+
+
+def golden(spark: SparkSession, inputs: str, make: Callable) -> DataFrame:
+    """A rule over rows of given values."""
+    return make(spark.sql(f"SELECT * FROM VALUES {inputs}"))
+
+
+@query("SELECT * FROM (VALUES (1, 100.0e0), (2, 70.0e0), (3, 40.0e0), (4, 30.0e0), (5, 20.0e0), (6, 0.0e0), (7, 80.0e0)) AS v(k, score)")
+def golden_quality(t):
+    rows = "(1, true, true, 501), (2, true, true, 0), (3, true, false, 50), (4, false, true, 0), (5, false, false, 201), (6, false, false, 50), (7, true, true, 51) AS v(k, images, specifics, description)"
+    return golden(t("region").sparkSession, rows, lambda v: v.select("k", S.quality_score(F.col("images"), F.col("specifics"), F.col("description")).alias("score")))
+
+
+@query("SELECT * FROM (VALUES (1, 100.0e0), (2, 80.0e0), (3, 30.0e0), (4, 80.0e0), (5, 30.0e0)) AS v(k, score)")
+def golden_time(t):
+    rows = "(1, true, true, true), (2, true, false, true), (3, true, false, false), (4, false, true, true), (5, false, true, false) AS v(k, auction, soon, new)"
+    return golden(t("region").sparkSession, rows, lambda v: v.select("k", S.time_score(F.col("auction"), F.col("soon"), F.col("new")).alias("score")))
+
+
+@query("SELECT * FROM (VALUES (1, 'noise', 'edge'), (2, 'edge', 'edge'), (3, 'edge', 'edge'), (4, 'deal', 'edge'), (5, 'deal', 'deal'), (6, 'noise', 'noise')) AS v(k, report, worker)")
+def golden_verdicts(t):
+    rows = "(1, 0.3D), (2, 0.33D), (3, 0.65D), (4, 0.66D), (5, 0.7D), (6, 0.29D) AS v(k, score)"
+    return golden(t("region").sparkSession, rows, lambda v: v.select("k", delivery.report_verdict(F.col("score")).alias("report"), al.verdict(F.col("score")).alias("worker")))
+
+
+@query("""SELECT * FROM (VALUES (1, 'abc', 'abc', ''), (2, 'abcde…', 'abcde...', 'http://h/trace/t1'), (3, '', '', '')) AS v(k, short, bytes, link)""")
+def golden_texts(t):
+    rows = "(1, 'abc', '', 't1'), (2, 'abcdefgh', 'http://h/', 't1'), (3, '', 'http://h', NULL) AS v(k, x, base, trace)"
+    return golden(t("region").sparkSession, rows, lambda v: v.select("k", X.shortened(F.col("x"), 5).alias("short"), X.shortened_bytes(F.col("x"), 5).alias("bytes"), X.trace_url(F.col("base"), F.col("trace")).alias("link")))
+
+
+@query("SELECT * FROM (VALUES (1, '{\"a\": 1}', NULL), (2, '{\"score\": 0.5}', 0.5e0), (3, 'x', NULL), (4, '{\"score\": 2}', NULL), (5, '{}', 0.0e0)) AS v(k, body, score)")
+def golden_replies(t):
+    fence = "```"
+    rows = f"""(1, '{fence}json\n{{"a": 1}}\n{fence}', ''), (2, ' {{"score": 0.5}} ', 'y'), (3, '{fence}x{fence}', 'y'), (4, '{{"score": 2}}', 'y'), (5, '{{}}', 'y') AS v(k, reply, read)"""
+    return golden(t("region").sparkSession, rows, lambda v: v.select("k", X.unfenced(F.col("reply")).alias("body"), F.when(F.col("read") != "", X.parsed_verdict(F.col("reply"))["score"]).alias("score")))
+
+
+@query("SELECT * FROM (VALUES (1, 'workstation', 'Form Factor: Tower, Series: Precision'), (2, 'desktop', 'Series: OptiPlex'), (3, '', 'N/A'), (4, 'workstation', 'Most Suitable For: Workstation'), (5, 'desktop', 'Product Line: Pro, Type: Tower')) AS v(k, system, said)")
+def golden_specifics(t):
+    rows = """(1, map('Series', 'Precision', 'Form Factor', 'Tower')), (2, map('Series', 'OptiPlex')), (3, cast(map() AS map<string, string>)),
+      (4, map('Most Suitable For', 'Workstation')), (5, map('Product Line', 'Pro', 'Type', 'Tower')) AS v(k, x)"""
+    return golden(t("region").sparkSession, rows, lambda v: v.select("k", X.system_of(F.col("x")).alias("system"), X.specifics_text(F.col("x")).alias("said")))

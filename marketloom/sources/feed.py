@@ -48,3 +48,26 @@ def search(rows: DataFrame, query: str) -> DataFrame:
     for word in query.lower().split():
         rows = rows.where(F.contains(F.lower("title"), F.lit(word)))
     return rows
+
+
+#: Orders of a search, with their columns and whether they rise.
+SORTS = {"": ("listing_id", True), "price": ("price", True), "-price": ("price", False), "newlyListed": ("first_seen_at", False)}
+
+
+def search_page(rows: DataFrame, query: str, categories: list[str] | None = None, sort: str = "", limit: int = 50, offset: int = 0) -> tuple[DataFrame, DataFrame]:
+    """A page of a search, and one row with the total before paging and the next offset (null on the last page)."""
+    found = search(rows, query)
+    if categories:
+        found = found.where(F.col("category_id").isin(*categories))
+    column, rising = SORTS.get(sort, SORTS[""])
+    limit, offset = limit if limit > 0 else 50, max(offset, 0)
+    page = found.orderBy(F.col(column).asc_nulls_last() if rising else F.col(column).desc_nulls_last(), "listing_id").offset(offset).limit(limit)
+    after = F.lit(offset + limit)
+    return page, found.agg(F.count(F.lit(1)).alias("total")).withColumn("next_offset", F.when(after < F.col("total"), after))
+
+
+def lookup(rows: DataFrame, **keys: object) -> DataFrame:
+    """The rows of a key; none is an empty result."""
+    for name, value in keys.items():
+        rows = rows.where(F.col(name) == F.lit(value))
+    return rows

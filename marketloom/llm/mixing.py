@@ -30,24 +30,28 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_e
     """One row per source: rank, weight, documents, source_size, target.
 
     Targets share the total by weight; none passes max_epochs times its source's size, and what is above is shared
-    again by weight. In order of cap / weight the capped sources come first, so running sums give the level at which
-    all is shared. The window runs over one row per source, after partial aggregation.
+    again by weight, until none is above: the level of shares a unit of weight rises, and with it the number of capped
+    sources, by Newton's steps on a concave function, each one aggregation. Ranks are counted by ranges of names, so
+    there may be any number of sources.
     """
     by = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("documents"))
-    in_order = W.orderBy(F.col("source").asc_nulls_last())
-    by = by.withColumn("rank", F.row_number().over(in_order))
+    by = by.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id())
+    by = materialize(by, "sources")
+    starts = by.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # a row per partition
+    starts = starts.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    by = by.join(F.broadcast(starts), "part")
+    by = by.withColumn("rank", (F.col("before") + F.row_number().over(W.partitionBy("part").orderBy(F.col("source").asc_nulls_last()))).cast("int"))
     by = by.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), F.pmod(F.col("rank") - 1, F.lit(len(weights))) + 1).cast("long"))
-    by = by.withColumn("cap", F.lit(max_epochs) * F.col("source_size"))
-    ratio = W.orderBy((F.col("cap") / F.col("weight")).asc(), "rank")
-    everything, before = ratio.rowsBetween(W.unboundedPreceding, W.unboundedFollowing), ratio.rowsBetween(W.unboundedPreceding, -1)
-    left = F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0))
-    weight_left = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0))
-    # The level that holds if exactly the sources before this one are capped; the right one is the first not above its own cap.
-    level = left / weight_left
-    by = by.withColumn("level", F.when(level * F.col("weight") <= F.col("cap"), level))
-    by = by.withColumn("level", F.first("level", ignorenulls=True).over(everything))
-    target = F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight"))
-    return by.select("source", "rank", "weight", "documents", "source_size", F.coalesce(target, F.col("cap").cast("double")).alias("target"))
+    by = materialize(by.select("source", "rank", "weight", "documents", "source_size"), "weights")
+    cap, level = F.lit(max_epochs) * F.col("source_size"), 0.0
+    while True:
+        capped = F.col("weight") * F.lit(level) > cap
+        left, free = by.agg(F.sum("source_size") - F.coalesce(F.sum(F.when(capped, cap)), F.lit(0)), F.sum(F.when(~capped, F.col("weight")))).first()
+        if not free or left / free <= level:
+            break
+        level = left / free
+    target = F.least(cap.cast("double"), F.lit(level) * F.col("weight"))
+    return by.withColumn("target", target)
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, seed: int = 1) -> DataFrame:

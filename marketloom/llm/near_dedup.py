@@ -8,8 +8,9 @@ one node in common. Blocks are compared on full sets, a few trees at a time: aft
 are computed, and a block whose nodes are all in one component is not compared again. A group of thousands of near
 copies so costs blocks, not pairs.
 
-Nothing is lost to crowding: when the trees are through, regions that were entered deeper and still hold several
-components are compared in full, the nodes outside the region's main component against all of the region, by blocks.
+Nothing is lost to crowding: when the trees are through, nodes of regions that were entered deeper and still hold several
+components are compared once more wherever they share a rare shingle, of which two linked sets always have one in common.
+Texts that share only what many have, such as boilerplate, so are never compared pair by pair.
 A link of similarity 0.8 is thus found unless no tree has it in one region: (1 - 0.8**4)**24, about 3 in a million. Within a block, full
 sets are compared if the signatures agree on at least as many values as seven deviations below the similarity.
 
@@ -36,8 +37,9 @@ ROOT = 4
 #: Depths at which a crowded region is cut further.
 DEPTHS = (6, 9, 12)
 BLOCK = 64
-#: Of a crowded region's parts, when its components are compared in full.
+#: Of groups of nodes that share a rare shingle, and of rareness: 2 ** RARE_BITS hash buckets are counted.
 REST_BLOCK = 256
+RARE_BITS = 20
 ROUNDS = ((0,), (1, 2, 3), tuple(range(4, TREES)))
 #: Tables of node numbers are broadcast up to this many rows (24 bytes each).
 BROADCAST_NODES = 400_000
@@ -154,10 +156,7 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def block_links(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Links (a, b) between components that a block joins, at most one fewer than it has nodes.
-
-    side 0 is compared with all others, sides 1 and 2 with each other only.
-    """
+    """Links (a, b) between components that a block joins, at most one fewer than it has nodes."""
     rows = rows.sort_values(["node", "comp"]).reset_index(drop=True)
     sets = [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
     root = {c: c for c in rows["comp"]}
@@ -170,11 +169,9 @@ def block_links(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     # Seven deviations below what two linked sets agree on: a first look that spares most comparisons of full sets.
     least = HASHES * percent / 100 - 7 * (HASHES * percent * (100 - percent) / 1e4) ** 0.5
     values = np.array([np.frombuffer(signature(x), ">u4") for x in sets])
-    comps, sides, out = rows["comp"].tolist(), rows["side"].tolist(), []
+    comps, out = rows["comp"].tolist(), []
     for i in range(1, len(sets)):
         for j in np.flatnonzero((values[:i] == values[i]).sum(axis=1) >= least).tolist():
-            if sides[i] and sides[i] == sides[j]:
-                continue
             a, b = find(comps[i]), find(comps[j])
             if a != b and linked(sets[i], sets[j], percent):
                 root[max(a, b)] = min(a, b)
@@ -183,7 +180,7 @@ def block_links(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
 
 
 def compare(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between components, from rows (block, node, comp, side)."""
+    """Links between components, from rows (block, node, comp)."""
     apart = rows.groupBy("block").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("block")
     rows = materialize(rows.join(apart, "block", "left_semi"), "compare")
     whole = sets.join(maybe_broadcast(rows, BROADCAST_NODES), "node")
@@ -234,20 +231,62 @@ def with_component(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
     return rows.join(maybe_broadcast(comps, BROADCAST_NODES), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
-def crowded_rest(mates: DataFrame, comps: DataFrame | None, block: int = BLOCK, part: int = REST_BLOCK) -> DataFrame:
-    """Blocks that compare, in each crowded region of several components, the nodes outside its main component with
-    the whole region: each side is dealt into parts, and each pair of parts is a block."""
+def crowded_nodes(mates: DataFrame, comps: DataFrame | None, block: int = BLOCK) -> DataFrame:
+    """node, comp of the nodes of crowded regions that hold several components."""
     rows = with_component(mates.where(F.col("crowd") > block).select("region", "node"), comps)
-    parts = rows.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("n"))
-    main = parts.groupBy("region").agg(F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("all")).where("all > main.n")
-    main = main.select("region", F.col("main.comp").alias("main"), F.ceil(F.col("all") / part).alias("wide"), F.ceil((F.col("all") - F.col("main.n")) / part).alias("high"))
-    rows = rows.join(main, "region")
-    deal = lambda parts: F.pmod(F.xxhash64("node"), parts).cast("long")
-    every = lambda parts: F.explode(F.sequence(F.lit(0).cast("long"), F.col(parts) - 1))
-    minor = rows.where("comp <> main")
-    left = minor.select("region", "node", "comp", deal(F.col("high")).alias("i"), every("wide").alias("j"), F.lit(1).alias("side"))
-    right = rows.select("region", "node", "comp", every("high").alias("i"), deal(F.col("wide")).alias("j"), F.lit(2).alias("side"))
-    return left.unionByName(right).select(F.xxhash64("region", "i", "j").alias("block"), "node", "comp", "side")
+    apart = rows.groupBy("region").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("region")
+    return rows.join(apart, "region", "left_semi").select("node", "comp").distinct()
+
+
+def rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
+    """node, token: of each set the rarest shingles, as many as that two linked sets have one of them in common.
+
+    A set of n shingles shares at least percent * n / 100 with one it is linked to, so one of any n less that and one
+    more. Rareness is that of hash buckets, of which there is a bounded number; any one order would do.
+    """
+    bucket = np.uint64(64 - RARE_BITS)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << RARE_BITS, np.int64)
+        for batch in batches:
+            for data in batch.column(1):
+                n += np.bincount((np.frombuffer(data.as_py(), np.uint64) >> bucket).astype(np.int64), minlength=len(n))
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], names=["bucket", "n"])
+
+    found = sets.mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(1 << RARE_BITS, np.int64)
+    often[found.column(0).to_numpy()] = found.column(1).to_numpy()
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, tokens = [], [np.zeros(0, np.uint64)]
+            for node, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = np.frombuffer(data.as_py(), np.uint64)
+                most = len(own) - -(-percent * len(own) // 100) + 1
+                tokens.append(own[np.lexsort((own, often[(own >> bucket).astype(np.int64)]))[:most]])
+                nodes += [node] * len(tokens[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(np.concatenate(tokens).view(np.int64))], names=["node", "token"])
+
+    return sets.mapInArrow(pick, "node long, token long")
+
+
+def crowded_rest(nodes: DataFrame, sets: DataFrame, percent: int, part: int = REST_BLOCK) -> DataFrame:
+    """Blocks that compare the nodes of crowded regions wherever they may still be linked: those that have a rare
+    shingle in common. Groups of the same nodes are one; a group of more than part nodes is dealt into parts, and each
+    two parts are a block."""
+    rows = materialize(rare_shingles(sets.join(maybe_broadcast(nodes.select("node"), BROADCAST_NODES), "node", "left_semi"), percent), "rare")
+    rows = rows.join(maybe_broadcast(nodes, BROADCAST_NODES), "node")
+    own = F.xxhash64("node")
+    groups = rows.groupBy("token").agg(
+        F.count(F.lit(1)).alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.bit_xor(own).alias("x"), F.bit_xor(F.xxhash64(own)).alias("y")
+    ).where("low < high")
+    groups = groups.groupBy("n", "x", "y").agg(F.min("token").alias("token"))
+    parts = F.when(F.col("n") <= part, 1).otherwise(F.ceil(2 * F.col("n") / part)).cast("long")
+    rows = rows.join(groups.select("token", parts.alias("parts")), "token").withColumn("i", F.pmod(own, F.col("parts")))
+    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    block = F.xxhash64("token", F.least("i", "j"), F.greatest("i", "j"))
+    return rows.select(block.alias("block"), "node", "comp")
 
 
 def near_components(docs: DataFrame, found: DataFrame, width: int, percent: int, block: int) -> DataFrame:
@@ -266,11 +305,12 @@ def near_components(docs: DataFrame, found: DataFrame, width: int, percent: int,
     forest, comps = None, None
     for trees in ROUNDS:
         rows = with_component(dealt.where(F.col("tree").isin(*trees)).select("block", "node"), comps)
-        new = materialize(compare(rows.withColumn("side", F.lit(0)), sets, percent), "found")
+        new = materialize(compare(rows, sets, percent), "found")
         forest = star_forest(new if forest is None else forest.unionByName(new))
         comps = members(forest)
-    rest = materialize(crowded_rest(mates, comps, block), "rest")
+    rest = materialize(crowded_nodes(mates, comps, block), "rest")
     if rest.limit(1).count():
+        rest = materialize(crowded_rest(rest, sets, percent), "rest")
         forest = forest.unionByName(materialize(compare(rest, sets, percent), "found"))
     return components(forest.unionByName(copies))
 

@@ -341,3 +341,42 @@ def test_nodes_alone_at_depth_are_compared_at_the_end(spark):
     found = spark.createDataFrame([(a, b, bytearray(c), bytearray(d)) for a, b, c, d in found], "doc_id long, n_shingles long, same binary, values binary")
     comps = near_dedup.near_components(docs, found, 4, 80, 2)
     assert {r.node: r.comp for r in comps.collect()} == {1: 1, 2: 1}
+
+
+def test_boilerplate_is_not_compared_pair_by_pair(spark, monkeypatch):
+    r = random.Random(21)
+    common = [f"c{k}" for k in range(140)]
+    rows = [(k, " ".join(common + [f"d{k}w{j}" for j in range(60)]), "s") for k in range(700)]
+    for k in range(0, 700, 50):  # a few are near copies
+        w = rows[k][1].split()
+        w[r.randrange(200)] = "other"
+        rows.append((1000 + k, " ".join(w), "s"))
+    compared = []
+    compare = near_dedup.compare
+    monkeypatch.setattr(near_dedup, "compare", lambda rows, *more: compared.append(rows.count()) or compare(rows, *more))
+    got = {x.doc_id: x.component_id for x in near_dedup.near_groups(frame(spark, rows), 4, 80, 8).collect()}
+    assert got == {d: d - 1000 if d >= 1000 else d for d, _, _ in rows}
+    assert compared[-1] < 5 * len(rows)
+
+
+def test_levels_of_many_sources(spark):
+    r = random.Random(22)
+    rows = [(k, "w " * r.choice([1, 1, 3, 200]), None if k % 40 == 0 else f"s{r.randrange(90)}{'é' * (k % 2)}") for k in range(600)]
+    totals, targets = plain.targets([(s, len(t.split())) for _, t, s in rows])
+    sized = frame(spark, rows).select("source", F.size(F.split(F.trim("text"), " ")).cast("long").alias("size"))
+    found = {x.source: x for x in mixing.source_targets(sized).collect()}
+    assert {s: x.source_size for s, x in found.items()} == totals
+    assert {s: x.target for s, x in found.items()} == pytest.approx(targets)
+    assert sum(x.target for x in found.values()) == pytest.approx(sum(totals.values()))
+
+
+def test_large_sides_are_shuffled(spark, monkeypatch):
+    rows = [(k, f"a text of number {k % 40} with a few words more {k % 3}", "ab"[k % 2]) for k in range(160)]
+    run = lambda: [
+        sorted(map(str, exact_dedup.classes(frame(spark, rows))[1].select("doc_id", "keep_id", "group_size").collect())), sorted(map(str, near_dedup.near_groups(frame(spark, rows)).collect())),
+        sorted(map(str, mixing.mixed(frame(spark, rows)).select("doc_id", "taken").collect())), sorted((x.doc_id, round(x.score, 6)) for x in suffix_tree.score_documents(frame(spark, rows)).collect()),
+    ]
+    small = run()
+    for module, name in ((exact_dedup, "BROADCAST_ROWS"), (near_dedup, "BROADCAST_NODES"), (mixing, "BROADCAST_SOURCES"), (suffix_tree, "BROADCAST_WORDS")):
+        monkeypatch.setattr(module, name, 0)
+    assert run() == small

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -96,9 +97,13 @@ def is_finished(spark: SparkSession, path: str) -> bool:
     return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
 
 
-def written(df: DataFrame, path: str) -> DataFrame:
-    """df as a table at path; one that is finished there is taken as it is, what a lost driver left is replaced."""
-    spark = df.sparkSession
+def written(df: DataFrame | Callable[[], DataFrame], path: str) -> DataFrame:
+    """df, or what a function gives that is asked only if need be, as a table at path; one that is finished there is
+    taken as it is, what a lost driver left is replaced."""
+    spark = SparkSession.active()
+    if callable(df) and is_finished(spark, path):
+        return spark.read.parquet(path)
+    df = df() if callable(df) else df
     if not is_finished(spark, path):
         with session_conf(spark, spark__sql__execution__arrow__maxBytesPerBatch=BATCH_BYTES):
             df.write.mode("overwrite").parquet(path)

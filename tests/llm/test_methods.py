@@ -6,6 +6,7 @@ import time
 import zlib
 from collections import Counter
 from html.parser import HTMLParser
+from math import log
 
 import numpy as np
 import pytest
@@ -457,3 +458,65 @@ def test_layouts_that_training_lacks():
         right += len(set(got) & set(lines))
         total += len(set(got) | set(lines))
     assert right >= 0.9 * total
+
+
+def test_pipeline_goes_on_after_a_lost_driver(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    docs = frame(spark, odd_rows()).withColumn("comp", F.lit("clash"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    work, ran, lost = f"file://{tmp_path}/work", [], [True]
+
+    def noting(name, stage):
+        def run(spark, docs, sf_dir):
+            ran.append(name)
+            if name == "mixing sources" and lost.pop():
+                raise RuntimeError("lost")
+            return stage(spark, docs, sf_dir)
+
+        return name, run
+
+    stages = corpus_pipeline.STAGES
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [noting(*s) for s in stages])
+    with pytest.raises(RuntimeError):
+        corpus_pipeline.run(spark, str(tmp_path), work)
+    lost.append(False)
+    out = corpus_pipeline.run(spark, str(tmp_path), work)
+    names = [n for n, _ in stages]
+    assert ran == [*names[:4], *names[3:]]
+    kept = {d for d, t, _ in odd_rows() if not plain.base_quality(t)[-1]}
+    assert out.count() and {r.doc_id for r in out.collect()} <= kept
+    assert corpus_pipeline.run(spark, str(tmp_path), work).count() == out.count() and len(ran) == 6
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    frame(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+@pytest.mark.parametrize("n_good", [0, 5, 60])
+def test_verdicts_are_those_of_a_plain_version(spark, n_good):
+    r = random.Random(31)
+    words = ["".join(r.choices("etaoinshr", k=r.randint(2, 6))) for _ in range(200)]
+    rows = [(k, " ".join(r.choices(words, k=80)) if k % 6 else " ".join("".join(r.choices("#*$%&|<>qxz0", k=6)) for _ in range(60)), "s") for k in range(90)]
+    good = [k for k in range(90) if k % 6][:n_good]
+
+    def grams(text):
+        data = text.encode()
+        code = lambda g: (int.from_bytes(g, "big") * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 50
+        return [code(data[i : i + 4]) for i in range(len(data) - 3)]
+
+    raw, target = Counter(range(1 << 14)), Counter()
+    for k, t, _ in rows:
+        raw.update(grams(t))
+        target.update(grams(t) if k in good else [])
+    n, m = sum(raw.values()), sum(target.values())
+    ratio = lambda g: round(1e6 * log((target[g] + quality.PRIOR * raw[g] / n) / (m + quality.PRIOR) / (raw[g] / n)))
+    for x in quality.judged(frame(spark, rows), spark.createDataFrame([(k, 1) for k in good], "doc_id long, quality int")).collect():
+        own = grams(rows[x.doc_id][1])
+        score = sum(map(ratio, own)) / 1e6 / len(own)
+        assert x.score == pytest.approx(score, abs=1e-5) and x.kept == (not x.base_failed and score >= quality.THRESHOLD)

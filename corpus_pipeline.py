@@ -1,14 +1,20 @@
 """From raw documents to packed training sequences, stage by stage.
 
-Each stage reads what the one before wrote as Parquet in the shared folder, so a lost executor or driver costs one
-stage. Near-duplicates are found on sets of five-word shingles with a similarity of 0.8 or more.
+Each stage reads what the one before wrote as Parquet in the shared folder, so a lost executor repeats tasks of one stage
+only. With a work folder, stages are written there under their own names, and a driver that is started again with the
+same folder goes on after the last stage that was finished; a new input needs a new folder. Near-duplicates are found on
+sets of five-word shingles with a similarity of 0.8 or more.
+
+Defined cases: null or empty texts fail the quality rules; labels may be missing altogether (the base rules then decide);
+null doc_ids are carried; repeated rows are copies; columns besides those of documents are carried to the last stage;
+empty tables give an empty result.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketloom.llm.common import materialize, table
+from marketloom.llm.common import materialize, table, written
 from marketloom.llm.exact_dedup import dedup_documents
 from marketloom.llm.mixing import mix_documents
 from marketloom.llm.near_dedup import near_dedup_documents
@@ -53,8 +59,11 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, work: str | None = None) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), "stage", keep=True)
+    for k, (name, stage) in enumerate(STAGES, 1):
+        if work is None:
+            docs = materialize(stage(spark, docs, sf_dir), "stage", keep=True)
+        else:
+            docs = written(lambda docs=docs, stage=stage: stage(spark, docs, sf_dir), f"{work}/{k}-{name.replace(' ', '-')}")
     return docs

@@ -4,6 +4,7 @@ import random
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -204,3 +205,14 @@ def test_scores(spark, odd):
     assert [x for x, _ in base] == sorted(str(x[0]) for x in expected)
     assert [x for _, x in base] == pytest.approx([s for _, s in sorted((str(x[0]), x[5]) for x in expected)])
     assert all(r["score"] < 0 for r in found)
+
+
+@pytest.mark.parametrize("name", list(queries.ORACLE_SQL))
+def test_same_rows_as_in_sql(spark, name):
+    sf = "/root/testdata/sf0.001"
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    found, expected = queries.QUERIES[name](spark, sf), db.sql(queries.ORACLE_SQL[name])
+    order = sorted(found.columns)
+    assert sorted(expected.columns) == order
+    assert Counter(tuple(r[c] for c in order) for r in found.collect()) == Counter(tuple(r[expected.columns.index(c)] for c in order) for r in expected.fetchall())

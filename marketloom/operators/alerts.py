@@ -104,6 +104,12 @@ def review(alerts: DataFrame, listings: DataFrame, watches: DataFrame, status: s
     return rows.where(F.col("title").ilike(f"%{search}%")) if search else rows
 
 
+def wide(alerts: DataFrame, listings: DataFrame, watches: DataFrame) -> DataFrame:
+    """P5: alerts with all columns of their listing and watch, as structs."""
+    rows = alerts.join(listings.select("listing_id", F.struct(*listings.columns).alias("listing")), "listing_id")
+    return rows.join(small(watches.select("watch_id", F.struct(*watches.columns).alias("watch"))), "watch_id")
+
+
 REVIEW_ORDERS = {
     "score": [("score", False), ("created_at", False)], "created": [("created_at", False)], "watch": [("watch_name", True), ("score", False)],
 }

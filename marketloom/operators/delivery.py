@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import texts as X
+from .alerts import wide
 from .market import small
 from .ranks import numbered
 
@@ -72,6 +73,4 @@ def details(alerts: DataFrame, listings: DataFrame, watches: DataFrame, tried: D
     """Alerts with listing and watch nested and their attempts, newest first; alerts without attempts have an empty list."""
     entry = F.struct("attempted_at", "succeeded", "error_text")
     history = tried.groupBy("alert_id").agg(F.sort_array(F.collect_list(entry), asc=False).alias("history"))
-    rows = alerts.join(listings.select("listing_id", F.struct(*[c for c in listings.columns]).alias("listing")), "listing_id")
-    rows = rows.join(small(watches.select("watch_id", F.struct(*[c for c in watches.columns]).alias("watch"))), "watch_id")
-    return rows.join(history, "alert_id", "left").withColumn("history", F.coalesce("history", F.array().cast("array<struct<attempted_at: timestamp_ntz, succeeded: boolean, error_text: string>>")))
+    return wide(alerts, listings, watches).join(history, "alert_id", "left").withColumn("history", F.coalesce("history", F.array().cast("array<struct<attempted_at: timestamp_ntz, succeeded: boolean, error_text: string>>")))

@@ -100,7 +100,7 @@ def is_finished(spark: SparkSession, path: str) -> bool:
 def written(df: DataFrame | Callable[[], DataFrame], path: str) -> DataFrame:
     """df, or what a function gives that is asked only if need be, as a table at path; one that is finished there is
     taken as it is, what a lost driver left is replaced."""
-    spark = SparkSession.active()
+    spark = SparkSession.active() if callable(df) else df.sparkSession
     if callable(df) and is_finished(spark, path):
         return spark.read.parquet(path)
     df = df() if callable(df) else df

@@ -47,7 +47,7 @@ BITS = 16
 FLUSH = 300_000
 #: Words that are in memory as arrays at a time, and runs that are added up before they are sent.
 SLICE = 200_000
-HELD = 2_000_000
+HELD = 4_000_000
 #: Bitmaps have 32 bits an entry, but at most 2 ** MAP_BITS.
 MAP_BITS = 27
 #: The hash of a run is that of the run without its last symbol times this number, plus the last symbol's.
@@ -175,6 +175,7 @@ def run_counts(training: DataFrame, width: int, parts: Bitmap, least: float, lab
     def added(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         before = np.concatenate([np.zeros(0, np.int64), *(b for b, _ in held)])
         last = np.concatenate([np.zeros(0, np.int64), *(x for _, x in held)])
+        held.clear()
         codes = longer(before, last)
         order = np.argsort(codes)
         codes = codes[order]
@@ -199,7 +200,7 @@ def run_counts(training: DataFrame, width: int, parts: Bitmap, least: float, lab
                 size += int(ok.sum())
                 if size > HELD:
                     yield added(held)
-                    held, size = [], 0
+                    size = 0
         yield added(held)
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

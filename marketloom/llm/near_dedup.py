@@ -156,7 +156,10 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def block_links(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Links (a, b) between components that a block joins, at most one fewer than it has nodes."""
+    """Links (a, b) between components that a block joins, at most one fewer than it has nodes.
+
+    side 0 is compared with all others, sides 1 and 2 with each other only.
+    """
     rows = rows.sort_values(["node", "comp"]).reset_index(drop=True)
     sets = [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
     root = {c: c for c in rows["comp"]}
@@ -169,9 +172,11 @@ def block_links(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     # Seven deviations below what two linked sets agree on: a first look that spares most comparisons of full sets.
     least = HASHES * percent / 100 - 7 * (HASHES * percent * (100 - percent) / 1e4) ** 0.5
     values = np.array([np.frombuffer(signature(x), ">u4") for x in sets])
-    comps, out = rows["comp"].tolist(), []
+    comps, sides, out = rows["comp"].tolist(), rows["side"].tolist(), []
     for i in range(1, len(sets)):
         for j in np.flatnonzero((values[:i] == values[i]).sum(axis=1) >= least).tolist():
+            if sides[i] and sides[i] == sides[j]:
+                continue
             a, b = find(comps[i]), find(comps[j])
             if a != b and linked(sets[i], sets[j], percent):
                 root[max(a, b)] = min(a, b)
@@ -180,7 +185,7 @@ def block_links(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
 
 
 def compare(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between components, from rows (block, node, comp)."""
+    """Links between components, from rows (block, node, comp, side)."""
     apart = rows.groupBy("block").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("block")
     rows = materialize(rows.join(apart, "block", "left_semi"), "compare")
     whole = sets.join(maybe_broadcast(rows, BROADCAST_NODES), "node")
@@ -273,20 +278,26 @@ def rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
 
 def crowded_rest(nodes: DataFrame, sets: DataFrame, percent: int, part: int = REST_BLOCK) -> DataFrame:
     """Blocks that compare the nodes of crowded regions wherever they may still be linked: those that have a rare
-    shingle in common. Groups of the same nodes are one; a group of more than part nodes is dealt into parts, and each
-    two parts are a block."""
+    shingle in common. Groups of the same nodes are one. In a group of more than part nodes, those outside its main
+    component are compared with the whole group: both are dealt into parts, and each pair of parts is a block."""
     rows = materialize(rare_shingles(sets.join(maybe_broadcast(nodes.select("node"), BROADCAST_NODES), "node", "left_semi"), percent), "rare")
     rows = rows.join(maybe_broadcast(nodes, BROADCAST_NODES), "node")
     own = F.xxhash64("node")
-    groups = rows.groupBy("token").agg(
-        F.count(F.lit(1)).alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.bit_xor(own).alias("x"), F.bit_xor(F.xxhash64(own)).alias("y")
-    ).where("low < high")
-    groups = groups.groupBy("n", "x", "y").agg(F.min("token").alias("token"))
-    parts = F.when(F.col("n") <= part, 1).otherwise(F.ceil(2 * F.col("n") / part)).cast("long")
-    rows = rows.join(groups.select("token", parts.alias("parts")), "token").withColumn("i", F.pmod(own, F.col("parts")))
-    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    block = F.xxhash64("token", F.least("i", "j"), F.greatest("i", "j"))
-    return rows.select(block.alias("block"), "node", "comp")
+    each = rows.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(own).alias("x"), F.bit_xor(F.xxhash64(own)).alias("y"))
+    groups = each.groupBy("token").agg(
+        F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")
+    ).where("comps > 1")
+    groups = groups.groupBy("n", "x", "y").agg(F.min(F.struct("token", "main")).alias("one")).select(F.col("one.token").alias("token"), F.col("one.main").alias("main"), "n")
+    wide, high = (F.ceil(x / part).cast("long") for x in (F.col("n"), F.col("n") - F.col("main.n")))
+    groups = groups.select("token", (F.col("n") <= part).alias("small"), F.col("main.comp").alias("main"), wide.alias("wide"), high.alias("high"))
+    rows = materialize(rows.join(groups, "token"), "rare")
+    deal = lambda parts: F.pmod(own, F.col(parts))
+    every = lambda parts: F.explode(F.sequence(F.lit(0).cast("long"), F.col(parts) - 1))
+    large = rows.where("NOT small")
+    left = large.where("comp <> main").select("token", "node", "comp", deal("high").alias("i"), every("wide").alias("j"), F.lit(1).alias("side"))
+    right = large.select("token", "node", "comp", every("high").alias("i"), deal("wide").alias("j"), F.lit(2).alias("side"))
+    both = left.unionByName(right).select(F.xxhash64("token", "i", "j").alias("block"), "node", "comp", "side")
+    return rows.where("small").select(F.col("token").alias("block"), "node", "comp", F.lit(0).alias("side")).unionByName(both)
 
 
 def near_components(docs: DataFrame, found: DataFrame, width: int, percent: int, block: int) -> DataFrame:
@@ -305,7 +316,7 @@ def near_components(docs: DataFrame, found: DataFrame, width: int, percent: int,
     forest, comps = None, None
     for trees in ROUNDS:
         rows = with_component(dealt.where(F.col("tree").isin(*trees)).select("block", "node"), comps)
-        new = materialize(compare(rows, sets, percent), "found")
+        new = materialize(compare(rows.withColumn("side", F.lit(0)), sets, percent), "found")
         forest = star_forest(new if forest is None else forest.unionByName(new))
         comps = members(forest)
     rest = materialize(crowded_nodes(mates, comps, block), "rest")

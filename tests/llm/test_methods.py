@@ -361,6 +361,20 @@ def test_boilerplate_is_not_compared_pair_by_pair(spark, monkeypatch):
     assert compared[-1] < 5 * len(rows)
 
 
+def test_large_groups_of_a_rare_shingle_lose_no_link(spark):
+    r = random.Random(23)
+    words = [f"w{k}" for k in range(300)]
+    rows = []
+    for base in (r.choices(words, k=60) for _ in range(3)):
+        rows += [(len(rows) + k, " ".join(x if r.random() > 0.03 else r.choice(words) for x in base), "s") for k in range(30)]
+    sets, nodes = near_dedup.full_sets(frame(spark, rows), spark.range(90).withColumnRenamed("id", "node"), 4), spark.range(90).select(F.col("id").alias("node"), (F.col("id") % 40).alias("comp"))
+    blocks = near_dedup.crowded_rest(nodes, common.materialize(sets, "sets"), 80, part=7)
+    links = near_dedup.compare(blocks, common.materialize(sets, "sets"), 80).unionByName(nodes.select(F.col("node").alias("a"), F.col("comp").alias("b")))
+    got = {x.node: x.comp for x in near_dedup.components(links).collect()}
+    known = [(d, t) for d, t, _ in rows] + [(d % 40, t) for d, t, _ in rows]  # a node and its component are one
+    assert all(got.get(d, d) == c for d, c in plain.near(known).items())
+
+
 def test_levels_of_many_sources(spark):
     r = random.Random(22)
     rows = [(k, "w " * r.choice([1, 1, 3, 200]), None if k % 40 == 0 else f"s{r.randrange(90)}{'é' * (k % 2)}") for k in range(600)]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable
 from contextlib import contextmanager
@@ -34,15 +35,20 @@ def word_count(text: Column) -> Column:
     return F.when(F.startswith(marks, F.lit("x")), F.length(marks)).otherwise(0).cast("long")
 
 
+#: Folders made for local sessions that name none, by application.
+_own_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, which only a local session may lack."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not at:
-        if not spark.sparkContext.master.startswith("local["):
+        if not context.master.startswith("local[") and context.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="marketloom-")
-        spark.conf.set("spark.checkpoint.dir", at)
-        spark.sparkContext.setCheckpointDir(at)
+        if context.applicationId not in _own_dirs:
+            _own_dirs[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="marketloom-")
+        at = _own_dirs[context.applicationId]
     return at.rstrip("/")
 
 
@@ -60,21 +66,26 @@ def session_conf(spark: SparkSession, **values: str):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-#: Paths written so far, with whether they outlive the scratch block they were written in.
-_written: dict[str, bool] = {}
+#: Paths written so far.
+_written: set[str] = set()
+#: Per thread: for each open scratch block, the paths that end with it.
+_blocks = threading.local()
 
 
 def shared_path(spark: SparkSession, label: str, keep: bool = False) -> str:
     """A new path in the shared folder; it is deleted with its scratch block, or when the driver ends."""
     path = f"{shared_dir(spark)}/marketloom-{label}-{uuid.uuid4().hex}"
-    _written[path] = keep
+    _written.add(path)
+    if not keep and getattr(_blocks, "open", None):
+        _blocks.open[-1].append(path)
     atexit.register(_forget, spark, path)
     return path
 
 
 def _forget(spark: SparkSession, path: str) -> None:
-    if _written.pop(path, None) is None:
+    if path not in _written:
         return
+    _written.discard(path)
     try:
         where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
@@ -84,11 +95,14 @@ def _forget(spark: SparkSession, path: str) -> None:
 
 @contextmanager
 def scratch(spark: SparkSession):
-    """What is materialized inside, and not to be kept, is deleted at the end of the block."""
-    before = set(_written)
-    yield
-    for path in [p for p, keep in _written.items() if p not in before and not keep]:
-        _forget(spark, path)
+    """What this thread materializes inside, and does not keep, is deleted at the end of the block."""
+    _blocks.open = [*getattr(_blocks, "open", ()), own := []]
+    try:
+        yield
+    finally:
+        _blocks.open = _blocks.open[:-1]
+        for path in own:
+            _forget(spark, path)
 
 
 def is_finished(spark: SparkSession, path: str) -> bool:
@@ -125,6 +139,16 @@ def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if fits(df, rows) else df
 
 
+def salted_join(rows: DataFrame, other: DataFrame, keys: list[str], how: str, salt: Column, broadcast_rows: int, salts: int = 16) -> DataFrame:
+    """rows joined (inner or left) with a table of one row per key. Beyond the broadcast bound, rows of one key are dealt
+    by salt over so many parts, each with its copy of the other row, so that a hot key is not one task's."""
+    if fits(other, broadcast_rows):
+        return rows.join(F.broadcast(other), keys, how)
+    rows = rows.withColumn("_salt", F.pmod(salt, F.lit(salts)).cast("int"))
+    other = other.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.join(other, [*keys, "_salt"], how).drop("_salt")
+
+
 def has_file_metadata(df: DataFrame) -> bool:
     try:
         df.select("_metadata.file_path", "_metadata.row_index")

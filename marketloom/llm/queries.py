@@ -6,7 +6,9 @@ import sys
 
 from pyspark import cloudpickle
 
+from .collocations import OP13_SQL, op13_collocations
 from .exact_dedup import OP5_SQL, op5_exact_dedup
+from .link_graph import OP11_SQL, op11_url_filter
 from .mixing import op1_mix_sources
 from .near_dedup import op7_near_dedup
 from .packing import op3_pack_sequences
@@ -16,6 +18,7 @@ from .quality import op6_quality_rules
 from .secret_scan import op2_secret_scan
 from .suffix_tree import op10_lm_score
 from .token_counts import op4_token_counts
+from .vector_codes import OP12_SQL, op12_vector_codes
 
 # What tasks run travels with them, so that executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__package__])
@@ -31,8 +34,11 @@ QUERIES = {
     "op8_page_text": op8_page_text,
     "op9_personal_data": op9_personal_data,
     "op10_lm_score": op10_lm_score,
+    "op11_url_filter": op11_url_filter,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_collocations": op13_collocations,
 }
-ORACLE_SQL = {"op5_exact_dedup": OP5_SQL}
+ORACLE_SQL = {"op5_exact_dedup": OP5_SQL, "op11_url_filter": OP11_SQL, "op12_vector_codes": OP12_SQL, "op13_collocations": OP13_SQL}
 
 
 def columns(name: str, *picked: str):

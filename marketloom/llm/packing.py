@@ -9,7 +9,7 @@ pieces placed in falling order of length, each into the smallest gap that holds
 otherwise stay part empty (4 % more sequences than the bound at this group size, against 0.1 to 1 % after it). Each
 piece says whether its sequence came through the sums of squares (by_squares).
 
-Defined cases: null or empty text is the end identifier alone; null doc_id is carried; repeated rows are packed each;
+Defined cases: null or empty text is the end identifier alone; texts of any length, and runs of space in them, are encoded whole; null doc_id is carried; repeated rows are packed each;
 an empty table gives an empty result.
 """
 
@@ -36,19 +36,34 @@ REOPENED = (0.0, 0.05, 0.1, 0.25)
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def encoder(ranks_path: str, pattern: str, added_path: str | None = None):
-    """The byte-level BPE of the vocabulary file. Names of special tokens in a text are their identifiers if the
-    tokenizer file at added_path lists them, as that file's own library has it, and ordinary text without one."""
+def encoder(ranks_path: str, pattern: str, tokenizer_path: str, special: bool = True):
+    """The byte-level BPE of the vocabulary file. Names of special tokens in a text are their identifiers, as the
+    tokenizer file's own library has it, or ordinary text if special is false. That library also takes the texts that the
+    faster one gives up: runs of about a million spaces exceed what its patterns may keep in mind."""
     import tiktoken
 
     with open(ranks_path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    if not added_path:
-        return tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    with open(added_path, encoding="utf-8") as file:
-        added = {x["content"]: x["id"] for x in json.load(file)["added_tokens"]}
+    with open(tokenizer_path, encoding="utf-8") as file:
+        plain = json.load(file)
+    added = {x["content"]: x["id"] for x in plain["added_tokens"]} if special else {}
     encoding = tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
-    return lambda text: encoding.encode(text, allowed_special="all")
+    slow = None
+
+    def encode(text: str) -> list[int]:
+        nonlocal slow
+        try:
+            return encoding.encode(text, allowed_special="all", disallowed_special=())
+        except ValueError as problem:
+            if "Regex error" not in str(problem):
+                raise
+        if slow is None:
+            from tokenizers import Tokenizer
+
+            slow = Tokenizer.from_str(json.dumps(plain | {"added_tokens": plain["added_tokens"] if special else []}))
+        return slow.encode(text, add_special_tokens=False).ids
+
+    return encode
 
 
 def cut(length: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -59,14 +74,14 @@ def cut(length: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return [(0, first), *((at, capacity) for at in range(first, length, capacity))]
 
 
-def token_pieces(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", added: str | None = "byte_bpe_50k.json", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """One row per piece. The vocabulary, and the special tokens added to it, are read from the tokenizer package's own
+def token_pieces(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", tokenizer: str = "byte_bpe_50k.json", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+    """One row per piece. The vocabulary and the tokenizer, with its special tokens, are read from the tokenizer package's own
     files on each executor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
-        encode = encoder(public_tokenizers.path(vocabulary), public_tokenizers.PATTERN, added and public_tokenizers.path(added))
+        encode = encoder(public_tokenizers.path(vocabulary), public_tokenizers.PATTERN, public_tokenizers.path(tokenizer))
         for batch in batches:
             out: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):

@@ -12,7 +12,7 @@ at the end, so a task that runs again leaves the same file), and keeps beside th
 file, to give counts back by doc_id. The end identifier here is the vocabulary's one special token, so its name in a
 text is ordinary text: read as the token it would end the document.
 
-Defined cases: null or empty text has 0 tokens; tokens after a file's last end are one unfinished document (ended is
+Defined cases: null or empty text has 0 tokens; texts of any length, and runs of space in them, are encoded whole; tokens after a file's last end are one unfinished document (ended is
 false); an empty file or folder has no documents; a file whose length is no whole number of tokens is an error;
 repeated rows are documents each; null doc_id is carried.
 """
@@ -37,13 +37,13 @@ END_ID = 50256
 DTYPE = "<u2"
 
 
-def write_token_files(docs: DataFrame, folder: str, vocabulary: str = "byte_bpe_50k.tiktoken", end_id: int = END_ID, dtype: str = DTYPE) -> DataFrame:
+def write_token_files(docs: DataFrame, folder: str, vocabulary: str = "byte_bpe_50k.tiktoken", tokenizer: str = "byte_bpe_50k.json", end_id: int = END_ID, dtype: str = DTYPE) -> DataFrame:
     """Writes one token file per partition; returns file, ordinal, doc_id of each document, as a table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
-        encode = encoder(public_tokenizers.path(vocabulary), public_tokenizers.PATTERN)
+        encode = encoder(public_tokenizers.path(vocabulary), public_tokenizers.PATTERN, public_tokenizers.path(tokenizer), special=False)
         context = TaskContext.get()
         store, path = fs.FileSystem.from_uri(folder)
         store.create_dir(path, recursive=True)

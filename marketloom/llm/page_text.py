@@ -1,14 +1,16 @@
 """Main text of web pages by a linear-chain conditional random field (operator 8).
 
-A page is read into leaf blocks, each with the tags and class words above it. A block's features are its ancestors and
-what its text looks like; the field's weights, and those of transitions between neighbouring blocks, are fitted by
+A page is read into leaf blocks, each with the tags and class words above it. Class words count only where they tell
+parts of a page apart: not those of html and body, of an element that holds the page's first heading, its main element or
+nearly all of its text, nor those of a class that names a state ("no-comments", "has-sidebar"). A block's features are its
+ancestors, what its text looks like, and whether its neighbours are links; the field's weights, and those of transitions between neighbouring blocks, are fitted by
 maximum likelihood on labelled pages, and Viterbi's best path marks the blocks of the article. The labelled pages come
 from a rule (TRAIN_PAGES, whose parts, containers, class names and layouts are drawn at random), since the tables hold
 no labels for pages; tests measure other layouts, and the tables' pages against a plain extractor.
 
 Defined cases: null, empty or tag-only html gives an empty text; unclosed and stray tags, comments and quotes do no
 harm (a head, list of options or drawing without its end ends where other content begins, and an object is passed over
-if no end of one follows); null page_id or url is carried; repeated rows are each extracted; an empty table gives an empty result.
+if no end of one follows); reading takes time in proportion to the page, however deep or broken it is; null page_id or url is carried; repeated rows are each extracted; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from bisect import bisect
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-TRAIN_PAGES = 400
+TRAIN_PAGES = 800
 TRAIN_SEED = 11
 STEPS = 120
 #: Elements that hold no text for readers, that have no end tag, and that run on within a line.
@@ -40,6 +44,7 @@ OUT_OF_SVG = frozenset("article aside blockquote body center dd div dl dt footer
 INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd label mark q s samp small span strong sub sup time tt u var wbr".split())
 #: Ancestors and class words that are features.
 TAGS = "article main nav aside header footer form section ul ol table td dl h1 h2 h3 p li blockquote pre figure div button".split()
+TAG_SET = frozenset(TAGS)
 CLASSES = {
     "advert": ("ad", "ads", "advert", "advertisement", "sponsor", "sponsored", "promo", "banner"), "menu": ("nav", "menu", "breadcrumb", "breadcrumbs", "navbar", "toc"),
     "side": ("sidebar", "side", "widget", "related", "recommended", "more"), "comment": ("comment", "comments", "reply", "replies", "discussion", "disqus"),
@@ -48,8 +53,16 @@ CLASSES = {
     "content": ("content", "article", "post", "entry", "story", "body", "text", "main"), "form": ("form", "login", "signup", "search"),
 }
 CLASS_OF = {word: k for k, words in CLASSES.items() for word in words}
-
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)>", re.S)
+#: Words of a class that names a state of the page or of an element, not a part.
+STATES = frozenset("no not non has have with without is are enabled disabled open opened closed free on off active inactive hide hidden show shown ready loaded".split())
+#: Share of a page's text from which an element is taken for a wrapper.
+WRAPPER = 0.9
+#: What headings over readers' comments, and over lists of links, say.
+OVER_COMMENTS = re.compile(r"(?:\d+|no|one|two) (?:comments?|repl(?:y|ies)|responses?|thoughts?)\b|(?:leave|post|add|write) (?:a|your) (?:comment|reply)|(?:comments?|replies|responses|discussion)\W*(?:\(?\d+\)?)?$", re.I)
+OVER_LINKS = re.compile(r"(?:related|recent|popular|latest|trending|most read|more (?:from|on|in|stories)|see also|read (?:next|more)|you (?:may|might)|tags|topics|categories|archives|navigation|menu|pages|links|follow us|share)\b", re.I)
+
+#: The parts of a tag are counted, so that a quote that is never closed is not followed to the page's end from each tag anew.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'){0,400}+)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)>", re.S)
 NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 SPACES = re.compile(r"[\x20\x09-\x0D]+")
 
@@ -57,110 +70,202 @@ SPACES = re.compile(r"[\x20\x09-\x0D]+")
 class Block:
     __slots__ = ("text", "tags", "classes", "linked")
 
-    def __init__(self, text: str, tags: frozenset, classes: frozenset, linked: int):
-        self.text, self.tags, self.classes, self.linked = text, tags, classes, linked
+    def __init__(self, text: str, tags: frozenset, linked: float):
+        self.text, self.tags, self.classes, self.linked = text, tags, frozenset(), linked
 
 
 def class_words(attributes: str) -> frozenset:
     found = [a or b or c for a, b, c in NAMES.findall(attributes)] if "=" in attributes else []
-    return frozenset(CLASS_OF[w] for x in found for w in re.split(r"[^a-z]+", x.lower()) if w in CLASS_OF)
-
-
-def blocks(page: str | None) -> list[Block]:
-    """Leaf blocks in page order: runs of text and inline elements between other tags."""
-    out: list[Block] = []
-    stack: list[tuple[str, frozenset]] = []
-    parts: list[str] = []
-    linked = 0
-    page = page or ""
-    last_object = max((m.start() for m in re.finditer("</object", page, re.I)), default=-1)
-
-    def close_block() -> None:
-        nonlocal linked
-        if parts:
-            text = SPACES.sub(" ", entities.unescape("".join(parts))).strip(" ")
-            parts.clear()
+    parts = [re.split(r"[^a-z]+", name.lower()) for x in found for name in x.split()]
+    return frozenset(CLASS_OF[w] for words in parts if not STATES.intersection(words) for w in words if w in CLASS_OF)
+
+
+def letters(text: str) -> int:
+    return sum(map(str.isalnum, text))
+
+
+class Reader:
+    """Leaf blocks of a page in one pass. What an open element changes is kept with it, or counted, so that no step looks
+    through all open elements."""
+
+    def __init__(self, page: str):
+        self.page, self.out = page, []
+        self.parts: list[str] = []
+        self.linked = 0
+        #: name, known tags above and with it, class words, blocks before it, order of opening
+        self.stack: list[tuple[str, frozenset, frozenset, int, int]] = []
+        self.open: Counter = Counter()
+        self.silent, self.order = 0, 0
+        self.places: dict[str, list[int]] = {"head": [], "choice": [], "svg": [], "foreignobject": []}
+        #: class words, first and last block, order of opening and closing of elements; orders of main elements and first headings
+        self.named: list[tuple[frozenset, int, int, int, int]] = []
+        self.marks: list[int] = []
+
+    def kind(self, name: str) -> str:
+        return "choice" if name in ("select", "option") else name
+
+    def push(self, name: str, attributes: str) -> None:
+        self.order += 1
+        above = self.stack[-1][1] if self.stack else frozenset()
+        classes = class_words(attributes) if name not in INLINE and name not in ("html", "body") else frozenset()
+        if name == "main" or name == "h1" and not self.open["h1"] and not any(b.tags and "<h1>" in b.tags for b in self.out[-1:]):
+            self.marks.append(self.order)
+        tags = above if f"<{name}>" in above or name not in TAG_SET else above | {f"<{name}>"}
+        if name == "article" and "<article>" in above:
+            tags = tags | {"article in article"}
+        self.stack.append((name, tags, classes, len(self.out), self.order))
+        self.open[name] += 1
+        self.silent += name in SILENT
+        if self.kind(name) in self.places:
+            self.places[self.kind(name)].append(len(self.stack) - 1)
+
+    def pop(self) -> str:
+        name, _, classes, first, began = self.stack.pop()
+        self.open[name] -= 1
+        self.silent -= name in SILENT
+        if self.kind(name) in self.places:
+            self.places[self.kind(name)].pop()
+        if classes:
+            self.named.append((classes, first, len(self.out), began, self.order))
+        return name
+
+    def close_block(self) -> None:
+        if self.parts:
+            text = SPACES.sub(" ", entities.unescape("".join(self.parts))).strip(" ")
+            self.parts.clear()
             if text:
-                out.append(Block(text, frozenset(t for t, _ in stack), frozenset().union(*(c for _, c in stack)), linked))
-        linked = 0
+                self.out.append(Block(text, self.stack[-1][1] if self.stack else frozenset(), min(1.0, self.linked / max(1, letters(text)))))
+        self.linked = 0
 
-    def end_open(name: str) -> None:
+    def end_open(self, name: str) -> None:
         """Ends what was left open and cannot hold this element."""
-        for k, (t, _) in enumerate(stack):
-            if (
-                t == "head" and name not in IN_HEAD
-                or t in ("select", "option") and name not in INLINE and name not in IN_SELECT
-                or t == "svg" and name in OUT_OF_SVG and not any(u == "foreignobject" for u, _ in stack[k:])
-            ):
-                del stack[k:]
-                return
-
-    def say(text: str) -> None:
-        nonlocal linked
-        if stack and stack[-1][0] == "head" and SPACES.sub("", text):
-            stack.pop()
-        if text and not any(t in SILENT for t, _ in stack):
-            parts.append(text)
-            if any(t == "a" for t, _ in stack):
-                linked += len(text)
-
-    at = 0
-    while m := TOKEN.search(page, at):
-        say(page[at : m.start()])
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
-        if not name:
-            continue
-        if m[1] or m[4]:
-            if any(t == name for t, _ in stack):
+        at = []
+        if self.places["head"] and name not in IN_HEAD:
+            at.append(self.places["head"][0])
+        if self.places["choice"] and name not in INLINE and name not in IN_SELECT:
+            at.append(self.places["choice"][0])
+        if self.places["svg"] and name in OUT_OF_SVG:
+            inside = bisect(self.places["svg"], self.places["foreignobject"][-1]) if self.places["foreignobject"] else 0
+            at += self.places["svg"][inside : inside + 1]
+        if at:
+            while len(self.stack) > min(at):
+                self.pop()
+
+    def say(self, text: str) -> None:
+        if self.stack and self.stack[-1][0] == "head" and SPACES.sub("", text):
+            self.pop()
+        if text and not self.silent:
+            self.parts.append(text)
+            if self.open["a"]:
+                self.linked += letters(entities.unescape(text))
+
+    def tag(self, name: str, closing: bool, attributes: str) -> None:
+        if closing:
+            if self.open[name]:
                 if name not in INLINE:
-                    close_block()
-                while stack.pop()[0] != name:
+                    self.close_block()
+                while self.pop() != name:
                     pass
-            continue
-        if any(t in SILENT for t, _ in stack):
-            end_open(name)
+            return
+        if self.silent:
+            self.end_open(name)
         if name == "br":
-            say(" ")
-            continue
+            self.say(" ")
+            return
         if name not in INLINE:
-            close_block()
+            self.close_block()
             # An open paragraph, and inline elements in it, end where another block begins.
-            while stack and (stack[-1][0] in INLINE or stack[-1][0] == "p" or stack[-1][0] == name and name in ("li", "dt", "dd", "tr", "td", "th", "option")):
-                stack.pop()
-        attributes = m[3] if m[2] else m[6]
-        if name in VOID or attributes.endswith("/") or name == "object" and at > last_object:
-            continue
-        stack.append((name, class_words(attributes)))
+            while self.stack and (self.stack[-1][0] in INLINE or self.stack[-1][0] == "p" or self.stack[-1][0] == name and name in ("li", "dt", "dd", "tr", "td", "th", "option")):
+                self.pop()
+        closed = attributes.endswith("/") and (len(attributes) == 1 or attributes[-2] in " \t\n\r\f\"'")  # else the stroke is a value's
+        if name in VOID or closed or name == "object" and self.at > self.last_object:
+            return
+        self.push(name, attributes)
         if name in RAW:
-            end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
-            at = end.end() if end else len(page)
-            stack.pop()
-    say(page[at:])
-    close_block()
-    return out
+            end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(self.page, self.at)
+            self.at = end.end() if end else len(self.page)
+            self.pop()
+
+    def read(self) -> list[Block]:
+        page = self.page
+        self.last_object = max((m.start() for m in re.finditer("</object", page, re.I)), default=-1)
+        # What comes after the last ">" holds no tag; an open comment there has no text.
+        upto, self.at = page.rfind(">") + 1, 0
+        while m := TOKEN.search(page, self.at, upto):
+            self.say(page[self.at : m.start()])
+            self.at = m.end()
+            if m[0].startswith("<!--") and not m[0].endswith("-->"):  # never closed
+                self.at = len(page)
+                break
+            name = (m[2] or m[5] or "").lower()
+            if name:
+                self.tag(name, bool(m[1] or m[4]), m[3] if m[2] else m[6])
+        rest = page[self.at :]
+        self.say(rest[: rest.find("<!--")] if "<!--" in rest else rest)
+        self.close_block()
+        while self.stack:
+            self.pop()
+        self.give_classes()
+        return self.out
+
+    def give_classes(self) -> None:
+        """Class words of elements to the blocks in them, by sums of what begins and ends at each block."""
+        sizes = np.concatenate([[0], np.cumsum([len(b.text) for b in self.out])]) if self.out else np.zeros(1)
+        change: dict[str, np.ndarray] = {}
+        for classes, first, last, began, ended in self.named:
+            holds = bisect(self.marks, ended) > bisect(self.marks, began)
+            if first == last or holds or sizes[last] - sizes[first] >= WRAPPER * sizes[-1] and last - first > 1:
+                continue
+            for k in classes:
+                own = change.setdefault(k, np.zeros(len(self.out) + 1, int))
+                own[first] += 1
+                own[last] -= 1
+        for k, own in change.items():
+            for i in np.flatnonzero(np.cumsum(own)):
+                self.out[i].classes |= {k}
+
+
+def blocks(page: str | None) -> list[Block]:
+    """Leaf blocks in page order: runs of text and inline elements between other tags."""
+    return Reader(page or "").read()
 
 
-FEATURES = [*(f"<{t}>" for t in TAGS), *CLASSES, "words<4", "words<10", "words<25", "words>24", "linked", "all linked", "sentence", "commas", "(c)", "first", "last", "no container", "one"]
+FEATURES = [
+    *(f"<{t}>" for t in TAGS), "article in article", *CLASSES, "words<4", "words<10", "words<25", "words>24", "linked", "all linked", "sentence", "commas", "(c)", "first", "last",
+    "no container", "links before", "links after", "heading over links", "over links", "over comments", "after over comments", "one",
+]
 INDEX = {name: k for k, name in enumerate(FEATURES)}
+HEADINGS = {"<h1>", "<h2>", "<h3>"}
 
 
 def features(found: list[Block]) -> np.ndarray:
     x = np.zeros((len(found), len(FEATURES)))
+    links = [b.linked >= 0.8 for b in found]
+    after = False
     for k, b in enumerate(found):
         n = b.text.count(" ") + 1
-        on = [f"<{t}>" for t in b.tags if f"<{t}>" in INDEX] + [*b.classes]
+        on = [*b.tags, *b.classes]
         on.append("words<4" if n < 4 else "words<10" if n < 10 else "words<25" if n < 25 else "words>24")
         if b.linked:
-            on.append("all linked" if b.linked >= 0.8 * len(b.text) else "linked")
+            on.append("all linked" if links[k] else "linked")
         if b.text[-1] in ".!?\"'”":
             on.append("sentence")
         if b.text.count(",") > 1:
             on.append("commas")
         if "©" in b.text or "(c)" in b.text.lower():
             on.append("(c)")
-        if not b.tags & {"article", "main", "nav", "aside", "header", "footer", "form"} and not b.classes:
+        if not b.tags & {"<article>", "<main>", "<nav>", "<aside>", "<header>", "<footer>", "<form>"} and not b.classes:
             on.append("no container")
+        on += ["links before"] * (k > 0 and links[k - 1])
+        if k + 1 < len(found) and links[k + 1]:
+            on += ["links after"] + ["heading over links"] * bool(b.tags & HEADINGS or n < 6)
+        if n < 12 and OVER_LINKS.match(b.text):
+            on.append("over links")
+        if n < 12 and OVER_COMMENTS.match(b.text):
+            on.append("over comments")
+            after = True
+        elif after:
+            on.append("after over comments")
         on += ["first"] * (k == 0) + ["last"] * (k == len(found) - 1) + ["one"]
         x[k, [INDEX[f] for f in on]] = 1
     return x
@@ -208,6 +313,34 @@ class Maker:
         n = self.r.randint(2, 7)
         self.within(kind, tags, self.links(n), *[0] * n)
 
+    def plain_menu(self) -> None:
+        """Links that neither a tag nor a class gives away: in one line, in a table, in a bare list, or under a heading."""
+        one = lambda: f'<a href="/{self.phrase(1, 1)}">{self.phrase(1, 3)}</a>'
+        n, draw = self.r.randint(2, 7), self.r.randrange(5)
+        if draw < 2:
+            tag, between = self.r.choice(("div", "p", "td", "center")), self.r.choice((" | ", " ", " &middot; ", " - ", " / "))
+            inner = f"<{tag}>{between.join(one() for _ in range(n))}</{tag}>"
+            self.add(f"<table><tr>{inner}</tr></table>" if tag == "td" else inner, 0)
+        elif draw == 2:
+            self.add("<table><tr>" + "".join(f"<td>{one()}</td>" for _ in range(n)) + "</tr></table>", *[0] * n)
+        else:
+            self.links_below(n)
+
+    def links_below(self, n: int) -> None:
+        """A heading, of known words or not, over a list of links."""
+        says = self.r.choice(("Related", "Recent posts", "See also", "More from us", "Popular now", "Categories", "Archives", "You may also like")) if self.often(0.7) else self.phrase(1, 3)
+        tag = self.r.choice(("h2", "h3", "h4", "p", "div"))
+        outer = self.r.choice(("section", "div", "div", "aside"))
+        self.add(f"<{outer}><{tag}>{says}</{tag}>{self.links(n)}</{outer}>", *[0] * (n + 1))
+
+    def wrapped(self) -> tuple[str, str]:
+        """What opens and closes an element around nearly all of the page, of any name."""
+        if self.often(0.5):
+            return "", ""
+        word = self.r.choice(CLASSES[self.r.choice(list(CLASSES))])
+        name = self.r.choice((f"has-{word}", f"no-{word}", f"{word}-enabled", f"page {word}-right", f"with-{word} site", "site", "wrapper", f"layout-{word}"))
+        return f'<div class="{name}">', "</div>"
+
     def aside(self) -> None:
         """An advert or a notice, of one block or two."""
         n = self.r.choice((1, 1, 2))
@@ -256,28 +389,67 @@ class Maker:
         self.add(closed)
 
     def comments(self) -> None:
+        """Readers' comments: a section of a known name or under a known heading, comments in elements of many forms."""
         n = self.r.randint(1, 4)
-        inner = "".join(f"<p>{self.sentences(self.r.choice((1, 2)))}</p>" if self.often(0.7) else f"<div>{self.sentences(1)}</div>" for _ in range(n))
+        named = self.often(0.75)
+        inner, labels = "", []
+        if not named or self.often(0.6):
+            says = self.r.choice((f"{self.r.randint(1, 99)} comments", f"{self.r.randint(2, 40)} replies", "Comments", "1 response", f"{self.r.randint(2, 9)} thoughts on {self.phrase(1, 6)}", "Discussion"))
+            tag = self.r.choice(("h2", "h3", "h4", "div"))
+            inner += f"<{tag}>{says}</{tag}>"
+            labels.append(0)
+        form = self.r.choice(("p", "div", "article", "li", "by"))
+        for _ in range(n):
+            text = self.sentences(self.r.choice((1, 2, 3)))
+            if form in ("p", "div"):
+                inner += f"<{form}>{text}</{form}>"
+                labels.append(0)
+            elif form == "article":
+                inner += f"<article{self.named('comment') if self.often(0.6) else ''}><p>{text}</p></article>"
+                labels.append(0)
+            else:
+                tag = "li" if form == "li" else "div"
+                inner += f"<{tag}><b>{self.phrase(1, 2)}</b> {self.r.choice(('says:', 'wrote', '', '2 days ago'))}<p>{text}</p></{tag}>"
+                labels += [0, 0]
+        if form == "li":
+            inner = inner.replace("<li>", "<ol><li>", 1) + "</ol>"
+        if self.often(0.3):
+            inner += f"<h3>{self.r.choice(('Leave a reply', 'Post a comment', 'Add your comment'))}</h3>"
+            labels.append(0)
         tag = self.r.choice(("section", "div", "div"))
-        self.add(f"<{tag}{self.named('comment')}>{inner}</{tag}>", *[0] * n)
+        self.add(f"<{tag}{self.named('comment') if named else ''}>{inner}</{tag}>", *labels)
 
     def page(self) -> tuple[str, list[int]]:
+        opened, closed = self.wrapped()
+        self.add(opened)
         if self.often(0.4):
             self.within("head", "header", f"<div>{self.phrase(1, 4)}</div>", 0)
-        first = [lambda: self.linked("menu", "nav nav"), self.aside, lambda: self.linked("side", "aside")]
-        for make, share in zip(first, (0.85, 0.5, 0.2), strict=True):
+        first = [lambda: self.linked("menu", "nav nav"), self.aside, lambda: self.linked("side", "aside"), self.plain_menu]
+        for make, share in zip(first, (0.7, 0.5, 0.2, 0.3), strict=True):
             if self.often(share):
                 make()
+        inside = self.often(0.3)
+        if inside:  # what comes after the article shares an element with it
+            outer = self.r.choice(("main", "div", "article", "section"))
+            inner, done = self.wrapped()
+            self.add(f"<{outer}>{inner}")
         self.article()
         last = [
-            lambda: self.linked("side", "aside"), self.comments, self.aside, lambda: self.linked("share", "div"),
+            lambda: self.linked("side", "aside"), self.comments, self.aside, lambda: self.linked("share", "div"), lambda: self.links_below(self.r.randint(2, 6)),
             lambda: self.within("form", "form form", f"<p>{self.phrase(2, 6)}</p><input type=text><button>{self.phrase(1, 2)}</button>", 0, 0),
         ]
         for make in last:
-            if self.often(0.22):
+            if self.often(0.27):
                 make()
+        if inside:
+            self.add(f"{done}</{outer}>")
+            if self.often(0.2):
+                self.comments()
+        if self.often(0.2):
+            self.plain_menu()
         if self.often(0.85):
             self.within("foot", "footer footer", ("&copy; " if self.often(0.5) else "") + self.sentences(1), 0)
+        self.add(closed)
         head = self.r.choice((f"<html><head><title>{self.phrase(2, 5)}</title><body>", f"<!DOCTYPE html><head><meta charset=utf-8><title>{self.phrase(3, 6)}</title></head><body>", "<body>", ""))
         return head + self.r.choice(("", "\n")).join(self.parts), self.labels
 

@@ -38,11 +38,11 @@ MIN_COUNT = 10
 #: Percent of a phrase's count from which a longer phrase takes its place.
 CONTAINED = 50
 TOP = 2000
-SHARD_WORDS = 3_000_000
+SHARD_WORDS = 1_500_000
 #: Texts are cut into words by slices of about this size.
 SLICE_BYTES = 1 << 20
 #: Text whose phrases are merged at a time.
-RANGE_BYTES = 16 << 20
+RANGE_BYTES = 8 << 20
 BROADCAST_PHRASES = 100_000
 #: Ends of pieces become full stops, and the two kinds of space one.
 MARKS = bytes.maketrans(b"\t,;:!?\n\x0b\x0c\r", b" .........")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .texts import trimmed
+
 # Spellings, model rules and sizes.
 GPU_FAMILIES = {
     "tesla": "tesla", "quadro": "quadro", "geforce": "geforce", "rtx": "rtx", "rtx-pro": "rtx", "rtx pro": "rtx", "a-series": "a-series", "a series": "a-series", "ampere": "a-series",
@@ -51,18 +53,18 @@ def fewer_units(value: Column, most: int) -> Column:
 
 def without_placeholder(value: Column) -> Column:
     """X10."""
-    return F.when(~F.lower(F.trim(value)).isin(PLACEHOLDERS), value)
+    return F.when(~F.lower(trimmed(value)).isin(PLACEHOLDERS), value)
 
 
 def gpu_model(model: Column) -> Column:
     """X13."""
-    bare = F.regexp_replace(F.lower(F.trim(model)), r"^rtx[_\s-]?", "")
+    bare = F.regexp_replace(F.lower(trimmed(model)), r"^rtx[_\s-]?", "")
     return F.regexp_replace(F.regexp_replace(bare, r"(\d)[_\s-]ti$", "$1ti"), r"(\d)[_\s-]super$", "$1super")
 
 
 def gpu_family(family: Column, model: Column) -> Column:
     """What the model says, else the family's usual name."""
-    key = F.lower(F.trim(family))
+    key = F.lower(trimmed(family))
     return F.coalesce(first_rule(GPU_MODELS, gpu_model(model)), lookup(GPU_FAMILIES, key), F.replace(key, F.lit(" "), F.lit("-")))
 
 
@@ -74,16 +76,16 @@ def gpu_vram(vram: Column) -> Column:
 
 def system_vendor(vendor: Column) -> Column:
     """X14."""
-    key = F.lower(F.trim(vendor))
+    key = F.lower(trimmed(vendor))
     return F.coalesce(lookup(VENDORS, key), F.replace(key, F.lit(" "), F.lit("-")))
 
 
 def system_model(model: Column) -> Column:
-    return F.regexp_replace(F.lower(F.trim(model)), r"^(dell|hp|hpe|lenovo|ibm)[_\s-]+", "")
+    return F.regexp_replace(F.lower(trimmed(model)), r"^(dell|hp|hpe|lenovo|ibm)[_\s-]+", "")
 
 
 def system_line(line: Column, model: Column) -> Column:
-    key = F.lower(F.trim(line))
+    key = F.lower(trimmed(line))
     named = F.coalesce(lookup(LINES, key), F.replace(key, F.lit(" "), F.lit("-")))
     named = F.when((key != "") & ~named.isin(SERVER_LINES), named)
     return F.coalesce(named, first_rule(LINE_MODELS, system_model(model)), line)

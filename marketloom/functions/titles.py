@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .texts import trimmed
+
 # Patterns of each class, with ASCII word boundaries.
 COMPOUND_ACCESSORY = [
     r"\b(sas|sata|nvme|m\.?2|pcie|usb|power|fan)\s+(cables?|caddy|caddies|tray|trays|sled|sleds|backplane|riser|bezel|bracket)\b",
@@ -83,7 +85,7 @@ def system_type(title: Column) -> Column:
 def condition(raw: Column) -> Column:
     """X5."""
     known = F.create_map(*[F.lit(x) for pair in CONDITIONS.items() for x in pair])
-    return F.coalesce(F.try_element_at(known, F.lower(F.trim(raw))), F.lit("unknown"))
+    return F.coalesce(F.try_element_at(known, F.lower(trimmed(raw))), F.lit("unknown"))
 
 
 def title_speed(title: Column) -> Column:
@@ -96,7 +98,7 @@ def title_speed(title: Column) -> Column:
 def module_speed(number: Column) -> Column:
     """X6."""
     known = F.create_map(*[F.lit(x) for pair in MODULE_MHZ.items() for x in pair])
-    bare = F.regexp_replace(F.regexp_replace(F.upper(F.trim(number)), "^PC[345]-?", ""), "[A-Z]$", "")
+    bare = F.regexp_replace(F.regexp_replace(F.upper(trimmed(number)), "^PC[345]-?", ""), "[A-Z]$", "")
     return F.try_element_at(known, bare)
 
 

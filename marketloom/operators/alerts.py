@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions import scoring as S
 from ..functions import variants as V
+from .budget import until_spent
 from .market import small
 from .ranks import numbered
 from .state import one_per
+from .watch_index import candidates, with_watches
 
 
 def on_or_off(bound: Column, holds: Column) -> Column:
@@ -59,9 +60,11 @@ def read_filters(json: Column) -> Column:
 
 
 def watch_matches(scored: DataFrame, watches: DataFrame) -> DataFrame:
-    """Listings times enabled watches of their type, the watches broadcast, then the theta predicate; open
-    attributes (JSON text in both tables) are read last, and only for watches that filter them."""
-    rows = scored.join(small(watches.where("enabled")), "component_type").where(F.col("score").isNotNull() & (F.col("score") >= F.col("score_threshold")) & watch_filter())
+    """Listings with the enabled watches of their type that they fit. The index of watches names candidates, the
+    whole predicate decides; open attributes (JSON text in both tables) are read last, and only for watches that filter
+    them."""
+    enabled = watches.where("enabled")
+    rows = with_watches(candidates(scored, enabled), enabled).where((F.col("score") >= F.col("score_threshold")) & watch_filter())
     fits = attribute_match(V.attributes(F.coalesce("attributes", F.lit("{}"))), read_filters(F.col("attribute_filters")))
     return rows.where(F.when(S.no_attributes(F.col("attribute_filters")), True).otherwise(fits))
 
@@ -151,9 +154,8 @@ def verdict(score: Column) -> Column:
 
 
 def within_budget(rows: DataFrame, cap: float, spent: float = 0.0) -> DataFrame:
-    """Rows of a bounded batch in order, until what is spent before one reaches the cap."""
-    before = W.orderBy("judged_at", "alert_id").rowsBetween(W.unboundedPreceding, -1)
-    return rows.withColumn("before", F.coalesce(F.sum("cost").over(before), F.lit(0.0))).where(F.col("before") + spent < cap).drop("before")
+    """Rows of any number in order, until what is spent before one reaches the cap."""
+    return until_spent(rows, F.unix_micros(F.col("judged_at").cast("timestamp")), ["alert_id"], F.col("cost"), cap, spent)
 
 
 def in_chunks(alerts: DataFrame, size: int = 10) -> DataFrame:

@@ -10,6 +10,8 @@ from .ranks import percentiles
 
 #: Baseline and watch tables are small beside listings; they are broadcast up to this many rows.
 BROADCAST_ROWS = 200_000
+#: Percentiles of a baseline.
+LEVELS, NAMES = (0.10, 0.25, 0.50, 0.75, 0.90), ["p10", "p25", "p50", "p75", "p90"]
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -31,10 +33,9 @@ def baselines(listings: DataFrame, as_of: str, window_days: int = 90, min_sample
     rows = listings.where(F.col("active") & (F.col("condition_norm") != "for_parts") & (F.col("updated_at") >= since) & (F.col("product_key") != ""))
     paid = F.coalesce("sold_price", "price") if "sold_price" in listings.columns else F.col("price")
     rows = rows.select("product_key", S.unit_price(paid, F.col("shipping_cost"), F.col("quantity")).alias("unit_price"))
-    levels, names = (0.10, 0.25, 0.50, 0.75, 0.90), ["p10", "p25", "p50", "p75", "p90"]
     means = rows.groupBy(F.col("product_key").alias("_key")).agg(F.count(F.lit(1)).alias("_n"), F.avg("unit_price").alias("mean")).where(F.col("_n") >= min_samples)
-    by = percentiles(rows, "product_key", "unit_price", levels, names).join(means, F.col("product_key") == F.col("_key"))
-    return by.select("product_key", F.col("_n").alias("sample_count"), *[S.money(F.col(n)).alias(n) for n in names], S.money(F.col("mean")).alias("mean"))
+    by = percentiles(rows, "product_key", "unit_price", LEVELS, NAMES).join(means, F.col("product_key") == F.col("_key"))
+    return by.select("product_key", F.col("_n").alias("sample_count"), *[S.money(F.col(n)).alias(n) for n in NAMES], S.money(F.col("mean")).alias("mean"))
 
 
 def with_baseline(listings: DataFrame, base: DataFrame) -> DataFrame:

@@ -8,21 +8,34 @@ from pyspark.sql import Window as W
 
 #: Ranges of values of a group; a window sees the ranges of a group or the distinct values of a range, never a whole group.
 RANGES = 256
+#: Cuts are looked up in two steps of so many.
+STEP = 16
+
+
+def range_of(value: Column, cuts: Column) -> Column:
+    """How many of the sorted cuts are not above the value: among every STEP-th first, then among those up to the next."""
+    above = F.size(F.filter(F.transform(F.sequence(F.lit(STEP), F.lit(RANGES), F.lit(STEP)), lambda k: F.get(cuts, k - 1)), lambda c: c <= value))
+    return above * STEP + F.size(F.filter(F.slice(cuts, above * STEP + 1, STEP - 1), lambda c: c <= value))
 
 
 def cumulated(rows: DataFrame, by: str, value: str) -> DataFrame:
     """by, value, n, before (rows of the group with a smaller value), total: one row per distinct value; nulls are left out."""
-    counts = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("n"))
-    ends = counts.groupBy(F.col(by).alias("_by")).agg(F.min(value).alias("_low"), F.max(value).alias("_high"), F.sum("n").alias("total"))
+    return placed(rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("n")), by, value)
+
+
+def placed(counts: DataFrame, by: str, value: str) -> DataFrame:
+    """The same from counts (by, value, n) of distinct values. Ranges are cut at even shares of a group's distinct values,
+    so a few outliers do not put all others in one range."""
+    counts = counts.where(F.col(value).isNotNull()).select(by, value, "n")
+    shares = F.array(*[F.lit(k / RANGES) for k in range(1, RANGES)])
+    ends = counts.groupBy(F.col(by).alias("_by")).agg(F.percentile_approx(value, shares, F.lit(10 * RANGES)).alias("_cuts"), F.sum("n").alias("total"))
     counts = counts.join(ends, F.col(by).eqNullSafe(F.col("_by"))).drop("_by")
-    width = (F.col("_high") - F.col("_low")).cast("double")
-    place = F.when(width > 0, F.floor((F.col(value) - F.col("_low")).cast("double") / width * (RANGES - 1))).otherwise(0).cast("int")
-    counts = counts.withColumn("_range", place).drop("_low", "_high")
+    counts = counts.withColumn("_range", range_of(F.col(value), F.col("_cuts"))).drop("_cuts")
     sums = counts.groupBy(F.col(by).alias("_by"), F.col("_range").alias("_at")).agg(F.sum("n").alias("_n"))
     sums = sums.withColumn("_offset", F.coalesce(F.sum("_n").over(W.partitionBy("_by").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     inside = F.coalesce(F.sum("n").over(W.partitionBy(by, "_range").orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    placed = counts.withColumn("_inside", inside).join(sums.drop("_n"), F.col(by).eqNullSafe(F.col("_by")) & (F.col("_range") == F.col("_at")))
-    return placed.select(by, value, "n", (F.col("_offset") + F.col("_inside")).alias("before"), "total")
+    found = counts.withColumn("_inside", inside).join(sums.drop("_n"), F.col(by).eqNullSafe(F.col("_by")) & (F.col("_range") == F.col("_at")))
+    return found.select(by, value, "n", (F.col("_offset") + F.col("_inside")).alias("before"), "total")
 
 
 def at_rank(rank: Column, value: str) -> Column:
@@ -32,7 +45,11 @@ def at_rank(rank: Column, value: str) -> Column:
 
 def percentiles(rows: DataFrame, by: str, value: str, levels: tuple[float, ...], names: list[str]) -> DataFrame:
     """by, sample_count and the exact percentile of each level, linear between neighbours."""
-    placed = cumulated(rows, by, value)
+    return percentiles_of(cumulated(rows, by, value), by, value, levels, names)
+
+
+def percentiles_of(placed: DataFrame, by: str, value: str, levels: tuple[float, ...], names: list[str]) -> DataFrame:
+    """The same over the rows of cumulated or placed."""
     picks = []
     for level, name in zip(levels, names, strict=True):
         at = (F.col("total") - 1) * F.lit(level)

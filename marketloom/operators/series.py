@@ -45,6 +45,74 @@ def rate_at(samples: DataFrame, series: str, labels: list[str], step: int = 60,
     return seen.groupBy(F.timestamp_seconds("tick").cast("timestamp_ntz").alias("tick"), *labels).agg((F.sum("delta") / seconds).alias("rate"))
 
 
+def range_ends(samples: DataFrame, series: list[str], step: int, seconds: int) -> DataFrame:
+    """tick, series, n, first_ts, first_value, last_ts, grown: of the samples in (tick - seconds, tick], at ticks of the clock.
+
+    Samples are summed up by step first, with what the first of each step grew by kept apart; a step counts for the ticks
+    whose range it lies in, so a sample is not copied, only its step's row.
+    """
+    of = F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0002")) for c in series])
+    rows = deltas(samples.withColumn("_series", of), "_series", 3600).withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    order = F.struct("at", "id")
+    steps = rows.groupBy(*series, (F.ceil(F.col("at") / step) * step).alias("step")).agg(
+        F.count(F.lit(1)).alias("n"), F.min_by(F.struct("at", "value", "delta"), order).alias("first"), F.max("at").alias("last"), F.sum("delta").alias("grown")
+    )
+    seen = steps.withColumn("later", F.explode(F.sequence(F.lit(0), F.lit(seconds - step), F.lit(step)))).withColumn("tick", F.col("step") + F.col("later"))
+    ends = seen.groupBy("tick", *series).agg(F.sum("n").alias("n"), F.min_by("first", "step").alias("first"), F.max("last").alias("last_ts"), F.sum("grown").alias("grown"))
+    return ends.select("tick", *series, "n", F.col("first.at").alias("first_ts"), F.col("first.value").alias("first_value"), "last_ts", (F.col("grown") - F.col("first.delta")).alias("grown"))
+
+
+def extrapolated(samples: DataFrame, series: list[str], step: int = 60, seconds: int = 300) -> DataFrame:
+    """Increase and rate of counters with the ends of the range filled in: tick, series, increase, rate.
+
+    What samples grew by is stretched to the range's ends where the nearest sample is within 1.1 of the average gap, by
+    half a gap where it is not, and at the start no further than to where the counter would be zero. A range with fewer
+    than two samples has no row.
+    """
+    rows = range_ends(samples, series, step, seconds).where((F.col("n") > 1) & (F.col("last_ts") > F.col("first_ts")))
+    between = F.col("last_ts") - F.col("first_ts")
+    gap = between / (F.col("n") - 1)
+    near = gap * 1.1
+    start, end = F.col("first_ts") - (F.col("tick") - seconds), F.col("tick") - F.col("last_ts")
+    start = F.when(start < near, start).otherwise(gap / 2)
+    to_zero = F.when((F.col("grown") > 0) & (F.col("first_value") >= 0), between * (F.col("first_value") / F.col("grown")))
+    start = F.least(start, F.coalesce(to_zero, start))
+    end = F.when(end < near, end).otherwise(gap / 2)
+    increase = F.col("grown") * ((between + start + end) / between)
+    tick = F.timestamp_seconds("tick").cast("timestamp_ntz").alias("tick")
+    return rows.select(tick, *series, increase.alias("increase"), (increase / seconds).alias("rate"))
+
+
+def instant(samples: DataFrame, series: list[str], step: int = 60, lookback: int = 300) -> DataFrame:
+    """What a gauge shows at ticks of the clock: its newest sample, unless that is older than the lookback."""
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    newest = samples.groupBy(*series, (F.ceil(at / step) * step).alias("step")).agg(F.max_by("value", F.struct("ts", "id")).alias("value"))
+    seen = newest.withColumn("later", F.explode(F.sequence(F.lit(0), F.lit(lookback - step), F.lit(step)))).withColumn("tick", F.col("step") + F.col("later"))
+    return seen.groupBy(F.timestamp_seconds("tick").cast("timestamp_ntz").alias("tick"), *series).agg(F.max_by("value", "step").alias("value"))
+
+
+def rate_quantile(rates: DataFrame, q: float, by: list[str], value: str = "rate") -> DataFrame:
+    """By and the quantile of histograms given as rates of their buckets (by, le, rate); le of the last is infinite.
+
+    Rates of one le are added up. A bucket that lacks, or has less than one below it, counts as much as that one. The rank
+    is looked for among the finite bounds; beyond them the greatest bound is given. Without an infinite bucket, or where
+    nothing was counted, there is no quantile: null.
+    """
+    sums = rates.groupBy(*by, "le").agg(F.sum(value).alias("_rate"))
+    hist = sums.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("le", F.col("_rate").alias("cum")))).alias("b"))  # one entry a bound
+    repaired = F.transform("b", lambda x, i: F.struct(x["le"].alias("le"), F.array_max(F.transform(F.slice("b", 1, i + 1), lambda y: y["cum"])).alias("cum")))
+    hist = hist.withColumn("b", repaired).withColumn("last", F.element_at("b", -1))
+    rank = F.col("last.cum") * F.lit(q)
+    k = F.size(F.filter("b", lambda x: x["cum"] < rank))
+    hit, prior = F.get("b", k), F.get("b", k - 1)
+    low = F.when(k == 0, F.least(F.lit(0.0), hit["le"])).otherwise(prior["le"])
+    below = F.when(k == 0, 0.0).otherwise(prior["cum"])
+    inside = F.when((k == 0) & (hit["le"] <= 0), hit["le"]).otherwise(low + (hit["le"] - low) * (rank - below) / (hit["cum"] - below))
+    highest = F.get("b", F.size("b") - 2)["le"]
+    known = (F.col("last.le") == float("inf")) & (F.col("last.cum") > 0) & (F.size("b") > 1)
+    return hist.select(*by, F.when(known, F.when(hit["le"] == float("inf"), highest).otherwise(inside)).alias("quantile"))
+
+
 def per_minute(rate: Column) -> Column:
     """R10."""
     return rate * 60
@@ -74,14 +142,14 @@ def quantile(hist: DataFrame, q: float) -> DataFrame:
     return hist.withColumn("quantile", F.when(hit.isNull(), F.element_at("buckets", -1)["le"]).otherwise(inside))
 
 
-def held(ticks: DataFrame, series: str, minutes: int, step: int = 60) -> DataFrame:
+def held(ticks: DataFrame, series: str, minutes: int | Column, step: int = 60) -> DataFrame:
     """Whether a condition is true at a tick and has been for so many minutes since its first true tick. A tick that
     is missing (more than step minutes between two) ends what was true."""
     order = W.partitionBy(series).orderBy("ts")
     at, on = second("ts"), F.coalesce("condition", F.lit(False))
     fresh = on & ~(F.lag(on, 1, False).over(order) & (at - F.lag(at).over(order) <= 60 * step))
     rows = ticks.withColumn("_since", F.when(fresh, at)).withColumn("_since", F.last("_since", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0)))
-    return rows.withColumn("firing", on & (at - F.col("_since") >= 60 * minutes)).drop("_since")
+    return rows.withColumn("firing", on & (at - F.col("_since") >= minutes * 60)).drop("_since")
 
 
 #: Alert rules over a row of metrics a tick: what must hold, and for how many minutes.
@@ -100,11 +168,10 @@ def rule_states(ticks: DataFrame, step: int = 1, rules: dict[str, tuple[str, int
     known = set(ticks.columns)
     names = {w for text, _ in rules.values() for w in re.findall(r"[a-z_]+", text)}
     rows = ticks.withColumns({n: F.lit(None).cast("double") for n in sorted(names - known)})
-    out = None
-    for name, (text, minutes) in rules.items():
-        one = held(rows.select("ts", F.lit(name).alias("rule"), F.expr(text).alias("condition")), "rule", minutes, step).select("ts", "rule", "firing")
-        out = one if out is None else out.unionByName(one)
-    return out
+    # One pass: all conditions of a tick in one array, a row a rule, and one window by rule.
+    each = [F.struct(F.lit(name).alias("rule"), F.expr(text).alias("condition"), F.lit(minutes).alias("minutes")) for name, (text, minutes) in rules.items()]
+    stacked = rows.select("ts", F.explode(F.array(*each)).alias("x")).select("ts", "x.*")
+    return held(stacked, "rule", F.col("minutes"), step).select("ts", "rule", "firing")
 
 
 def absent(samples: DataFrame, start: str, end: str, minutes: int) -> DataFrame:

@@ -9,7 +9,10 @@ from pyspark.sql import Window as W
 
 def one_per(rows: DataFrame, keys: list[str], *best: Column) -> DataFrame:
     """One row per key: the greatest by best, and of equal ones that of the greatest JSON, so that reruns agree."""
-    others = F.struct(*[c for c in rows.columns if c not in keys])
+    names = [c for c in rows.columns if c not in keys]
+    if not names:
+        return rows.distinct()
+    others = F.struct(*names)
     picked = rows.groupBy(*keys).agg(F.max_by(others, F.struct(*best, F.to_json(others))).alias("_row"))
     return picked.select(*[c if c in keys else F.col(f"_row.{c}").alias(c) for c in rows.columns])
 
@@ -66,6 +69,10 @@ def orphans(base: DataFrame, listings: DataFrame) -> DataFrame:
     return base.join(listings.select("product_key").distinct(), "product_key", "left_anti")
 
 
+#: Pages that a feed's first poll may take.
+FIRST_RUN_PAGES = 5
+
+
 def known_prefix(feed: DataFrame, known: DataFrame, page_size: int, max_pages: int) -> DataFrame:
     """Of an ordered feed (pos, key), what comes before the first known row and within max_pages."""
     feed = feed.where(F.col("pos") < page_size * max_pages)
@@ -73,9 +80,30 @@ def known_prefix(feed: DataFrame, known: DataFrame, page_size: int, max_pages: i
     return feed.join(F.broadcast(first)).where(F.col("first").isNull() | (F.col("pos") < F.col("first"))).drop("first")
 
 
+def paging(feed: DataFrame, known: DataFrame, by: str, page_size: int, max_pages: int, first_run: str | None = None) -> DataFrame:
+    """For each of many ordered feeds (by, pos, key): new_listings, total_seen, pages_used and stopped_at.
+
+    A feed is read page by page until it comes to a known row, ends or has used its pages: max_pages, and on a first run
+    (a boolean column of feed) FIRST_RUN_PAGES at most. All feeds are told at once, from where their first known row is
+    and how long they are; a feed without rows is not in feed and so has no row here.
+    """
+    first = F.bool_or(first_run) if first_run else F.lit(False)
+    seen = feed.join(known.select("key", F.lit(True).alias("_known")).distinct(), "key", "left")
+    by_feed = seen.groupBy(by).agg(F.min(F.when(F.col("_known"), F.col("pos"))).alias("hit"), F.count(F.lit(1)).alias("n"), first.alias("first"))
+    pages = F.when(F.col("first"), F.lit(min(max_pages, FIRST_RUN_PAGES))).otherwise(F.lit(max_pages))
+    by_feed = by_feed.withColumn("most", pages * page_size).withColumn("hit", F.when(F.col("hit") < F.col("most"), F.col("hit")))
+    ended = F.col("hit").isNull() & (F.col("n") <= F.col("most"))
+    used = F.when(F.col("hit").isNotNull(), F.floor(F.col("hit") / page_size) + 1).when(ended, F.ceil(F.col("n") / page_size)).otherwise(pages)
+    total = F.when(F.col("hit").isNotNull(), F.col("hit") + 1).otherwise(F.least("n", "most"))
+    return by_feed.select(
+        by, F.coalesce("hit", F.least("n", "most")).cast("long").alias("new_listings"), total.cast("long").alias("total_seen"), used.cast("long").alias("pages_used"),
+        F.when(F.col("hit").isNotNull(), "known_listing").when(ended, "no_more_results").otherwise("max_pages").alias("stopped_at"),
+    )
+
+
 def insert_unless(new: DataFrame, taken: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows to add: once per key, and none of a key that is taken."""
-    return new.dropDuplicates(keys).join(taken.select(*keys), keys, "left_anti")
+    """The rows to add: once per key (one_per says which), and none of a key that is taken."""
+    return one_per(new, keys).join(taken.select(*keys), keys, "left_anti")
 
 
 def apply_updates(table: DataFrame, updates: DataFrame, key: str) -> DataFrame:
@@ -108,13 +136,6 @@ def scored_back(listings: DataFrame, scored: DataFrame, factors: list[str]) -> D
     return listings.drop("score", "score_breakdown").join(new, "listing_id", "left")
 
 
-def cycle_pages(pages: DataFrame, budget: int = 50) -> DataFrame:
-    """Of the pages that watches ask for (watch_id, n_pages), how many each gets until the cycle's budget is spent.
-    There is one row a watch."""
-    before = F.coalesce(F.sum("n_pages").over(W.orderBy("watch_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return pages.withColumn("granted", F.greatest(F.lit(0), F.least(F.col("n_pages"), F.lit(budget) - before)).cast("long"))
-
-
 def partial_update(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """Like apply_updates, but a null leaves the old value."""
     names = [c for c in changes.columns if c != key]

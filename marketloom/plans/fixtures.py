@@ -61,6 +61,14 @@ WATCHES = """SELECT * FROM (VALUES
   (7, 'nothing', 'desktop', 0, cast(NULL AS double), cast(NULL AS double), 0, cast(NULL AS double), false, '', true, cast(NULL AS string))
 ) AS w(watch_id, watch_name, component_type, score_threshold, price_max, price_min, min_feedback, min_feedback_pct, top_rated_only, conditions, enabled, attribute_filters)"""
 
+#: Watches of many users: one an order, with bounds of its own.
+MANY_WATCHES = """SELECT o_orderkey AS watch_id, concat('order ', cast(o_orderkey AS string)) AS watch_name,
+  CASE o_orderkey % 5 WHEN 0 THEN 'ram' WHEN 1 THEN 'drive' WHEN 2 THEN 'server' WHEN 3 THEN 'cpu' ELSE 'gpu' END AS component_type, cast(40 + o_custkey % 45 AS int) AS score_threshold,
+  CASE WHEN o_orderkey % 1000 = 7 THEN NULL ELSE o_totalprice / 8 + 60.0e0 END AS price_max, CASE WHEN o_orderkey % 1000 = 1 THEN NULL ELSE o_totalprice / 8 END AS price_min,
+  cast(CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_custkey % 40 * 250 END AS int) AS min_feedback, CASE WHEN o_orderkey % 7 = 0 THEN 92.5e0 + o_orderkey % 6 END AS min_feedback_pct,
+  o_orderkey % 9 = 0 AS top_rated_only, CASE o_orderkey % 6 WHEN 0 THEN 'new,like_new' WHEN 1 THEN 'used_working' ELSE '' END AS conditions, o_orderstatus <> 'P' AS enabled,
+  cast(NULL AS string) AS attribute_filters FROM {orders}"""
+
 ALERTS = """SELECT o.o_orderkey AS alert_id, cast(o.o_custkey % 8 AS int) AS watch_id, f.listing_id,
   cast(o.o_orderkey % 101 AS int) AS score, o.o_orderstatus = 'F' AS notified, o.o_orderdate AS created_at,
   CASE WHEN o.o_orderstatus = 'F' AND o.o_orderkey % 2 = 0 THEN o.o_orderdate + INTERVAL 2000 DAY WHEN o.o_orderstatus = 'F' THEN o.o_orderdate END AS notified_at,
@@ -78,6 +86,16 @@ QUEUE = """SELECT o_orderkey AS job_id, o_custkey AS listing_key, cast(substr(o_
   CASE WHEN o_orderkey % 11 = 0 THEN 'failed' END AS error_text
 FROM {orders}"""
 
+#: Counters of a histogram's buckets, a sample of each an event; a series starts anew every 40 events, and every seventh
+#: lacks one of its buckets.
+BUCKETS = """SELECT series, le, event_id AS id, ts, cast(sum(CASE WHEN value <= le THEN 1 ELSE 0 END) OVER (PARTITION BY series, le, era ORDER BY ts, event_id) AS double) AS value FROM (
+  SELECT cast(user_id % 12 AS int) AS series, event_id, ts, value, cast(floor((row_number() OVER (PARTITION BY user_id % 12 ORDER BY ts, event_id)) / 40) AS int) AS era FROM {events}) e,
+  (VALUES (20.0e0), (60.0e0), (120.0e0), (cast('Infinity' AS double))) AS b(le) WHERE NOT (series % 7 = 3 AND le = 60.0e0)"""
+
+#: Feeds of customers, newest order first; which orders are known, and whose feed is read for the first time.
+FEEDS = """SELECT o_custkey AS feed, o_orderkey AS key, cast(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) - 1 AS bigint) AS pos,
+  o_custkey % 4 = 0 AS first_run, o_orderkey % 13 = 0 AS known FROM {orders}"""
+
 #: JSON of attributes: name and the text of its value. Each has values that break its rules on some parts.
 MEMBERS = {
     "condition": """CASE WHEN p_partkey % 23 = 0 THEN 'null' ELSE '"Used"' END""",
@@ -105,7 +123,7 @@ EXTRACTED = f"""SELECT p_partkey AS id, {KIND} AS component_type,
   CASE p_partkey % 4 WHEN 0 THEN 'Hynix PC4-19200T RDIMM' WHEN 1 THEN '2U server Gold 6130 64GB RAM' WHEN 2 THEN 'chassis no cpu' ELSE 'plain' END AS title,
   concat('{{{{', {", ',', ".join(f"""'"{k}":', {v}""" for k, v in MEMBERS.items())}, '}}}}') AS attributes FROM {{part}} p"""
 
-VIEWS = {"listings": LISTINGS, "watches": WATCHES, "alerts": ALERTS, "judged": JUDGED, "queue": QUEUE, "extracted": EXTRACTED}
+VIEWS = {"listings": LISTINGS, "watches": WATCHES, "many_watches": MANY_WATCHES, "alerts": ALERTS, "judged": JUDGED, "buckets": BUCKETS, "feeds": FEEDS, "queue": QUEUE, "extracted": EXTRACTED}
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 

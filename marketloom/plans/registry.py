@@ -14,7 +14,7 @@ from ..functions import titles as T
 from ..functions import validation
 from ..functions import variants as V
 from ..operators import alerts as al
-from ..operators import delivery, evals, extraction, market, series, state, worklists
+from ..operators import budget, delivery, evals, extraction, market, rolling, series, state, worklists
 from ..sources import feed
 from .fixtures import AS_OF, oracle, table
 
@@ -228,6 +228,22 @@ def watch_match(t):
     return al.watch_matches(scored_of(t), t("watches")).select("watch_id", "listing_id", "score")
 
 
+MANY = f"""(SELECT s.listing_id, s.score, w.watch_id, w.component_type FROM {SCORED} s JOIN many_watches w ON w.component_type = s.component_type WHERE s.score >= w.score_threshold AND w.enabled
+  AND (price_max IS NULL OR unit_price <= price_max) AND (price_min IS NULL OR unit_price >= price_min) AND (min_feedback = 0 OR seller_feedback_score >= min_feedback)
+  AND (min_feedback_pct IS NULL OR seller_feedback_pct >= min_feedback_pct) AND (NOT top_rated_only OR seller_top_rated) AND (conditions = '' OR list_contains(string_split(conditions, ','), condition_norm)))"""
+
+
+@query(f"SELECT watch_id, listing_id, score FROM {MANY}", "listings", "many_watches")
+def many_watches_match(t):
+    return al.watch_matches(scored_of(t), t("many_watches")).select("watch_id", "listing_id", "score")
+
+
+@query(f"SELECT w.watch_id, count(m.listing_id) AS n, max(m.score) AS best FROM many_watches w LEFT JOIN {MANY} m ON m.watch_id = w.watch_id GROUP BY w.watch_id", "listings", "many_watches")
+def matches_by_watch(t):
+    found = al.watch_matches(scored_of(t), t("many_watches")).groupBy("watch_id").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("best"))
+    return t("many_watches").select("watch_id").join(found, "watch_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
 RECENT = f"TIMESTAMP '{AS_OF}' - INTERVAL 24000 HOUR"
 
 
@@ -710,9 +726,85 @@ def scores_written_back(t):
     return rows.select("listing_id", "score", F.round("score_breakdown.price_score", 3).cast("decimal(9,3)").alias("price_score"))
 
 
-@query("SELECT watch_id, greatest(0, least(n, 50 - coalesce(sum(n) OVER (ORDER BY watch_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)))::bigint AS granted FROM (SELECT watch_id, 5 + 3 * watch_id AS n FROM watches)", "watches")
+ASKED = "(SELECT c_custkey AS watch_id, c_custkey % 11 AS n, coalesce(sum(c_custkey % 11) OVER (ORDER BY c_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM customer)"
+
+
+def asked_of(t) -> DataFrame:
+    return t("customer").select(F.col("c_custkey").alias("watch_id"), (F.col("c_custkey") % 11).alias("n_pages"))
+
+
+@query(f"SELECT watch_id, CASE WHEN before < 3001 THEN n ELSE 0 END AS granted FROM {ASKED}")
 def cycle_budget(t):
-    return state.cycle_pages(t("watches").select("watch_id", (5 + 3 * F.col("watch_id")).alias("n_pages"))).select("watch_id", "granted")
+    return budget.granted(asked_of(t), "watch_id", "n_pages", 3001).select("watch_id", "granted")
+
+
+@query(f"SELECT watch_id, cast(greatest(0, least(CASE WHEN before < 3001 THEN n ELSE 0 END, 333 - before)) AS bigint) AS granted FROM {ASKED}")
+def cycle_daily_limit(t):
+    return budget.granted(asked_of(t), "watch_id", "n_pages", 3001, daily_left=333).select("watch_id", "granted")
+
+
+@query(f"SELECT alert_id FROM (SELECT *, coalesce(sum(cast(cost AS decimal(20,9))) OVER (ORDER BY judged_at, alert_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM {COST}) WHERE before + 0.05 < 0.75", "judged")
+def budget_cut_all(t):
+    return al.within_budget(costs_of(t), 0.75, 0.05).select("alert_id")
+
+
+STOPPED = """SELECT feed, coalesce(hit, least(n, most)) AS new_listings, CASE WHEN hit IS NULL THEN least(n, most) ELSE hit + 1 END AS total_seen,
+  cast(CASE WHEN hit IS NOT NULL THEN hit // 3 + 1 WHEN n <= most THEN ceil(n / 3.0) ELSE most // 3 END AS bigint) AS pages_used,
+  CASE WHEN hit IS NOT NULL THEN 'known_listing' WHEN n <= most THEN 'no_more_results' ELSE 'max_pages' END AS stopped_at
+FROM (SELECT feed, n, most, CASE WHEN first_known < most THEN first_known END AS hit FROM (
+  SELECT feed, count(*) AS n, min(CASE WHEN known THEN pos END) AS first_known, cast(CASE WHEN bool_or(first_run) THEN 15 ELSE 24 END AS bigint) AS most FROM feeds GROUP BY feed))"""
+
+
+@query(STOPPED, "feeds")
+def feeds_paging(t):
+    feeds = t("feeds")
+    return state.paging(feeds, feeds.where("known").select("key"), "feed", 3, 8, "first_run")
+
+
+@query(f"SELECT * FROM {BASE}", "listings")
+def baselines_after_changes(t):
+    """Baselines of ten days ago, brought up to the moment by what changed since: half of it in one run, half in the next."""
+    rows = t("listings").withColumn("changed", F.datediff(F.lit(AS_OF).cast("date"), F.to_date("updated_at")))
+    old, first, second = rows.where("changed > 10"), rows.where("changed > 5 AND changed <= 10"), rows.where("changed <= 5")
+    then, later = "2001-10-26 00:00:00", "2001-10-31 00:00:00"
+    counts = rolling.price_counts(old)
+    base = rolling.baselines_of(counts.where(F.col("day") >= rolling.since(then)))
+    counts, base = rolling.advanced(counts.where(F.col("day") >= rolling.since(then)), base, rolling.price_counts(first), later)
+    return rolling.advanced(counts, base, rolling.price_counts(second), AS_OF)[1]
+
+
+GROWN = """(SELECT *, CASE WHEN prev IS NULL THEN 0 WHEN value < prev THEN value ELSE value - prev END AS delta, epoch(ts) AS sec FROM (
+  SELECT *, lag(value) OVER (PARTITION BY series, le ORDER BY ts, id) AS prev FROM buckets))"""
+TICKED = f"(SELECT series, le, cast(step + later AS bigint) AS tick, g.* EXCLUDE (series, le) FROM (SELECT *, ceil(sec / 60) * 60 AS step FROM {GROWN}) g, (VALUES (0), (60), (120), (180), (240)) AS o(later))"
+TICK = "make_timestamp(tick * 1000000) AS tick"
+FILLED = f"""(SELECT tick, series, le, grown * (between_ + CASE WHEN grown > 0 AND first_value >= 0 THEN least(s, between_ * (first_value / grown)) ELSE s END + e) / between_ AS increase FROM (
+  SELECT *, CASE WHEN first_ts - (tick - 300) < 1.1e0 * gap THEN first_ts - (tick - 300) ELSE gap / 2 END AS s, CASE WHEN tick - last_ts < 1.1e0 * gap THEN tick - last_ts ELSE gap / 2 END AS e
+  FROM (SELECT *, last_ts - first_ts AS between_, (last_ts - first_ts) / (n - 1) AS gap FROM (
+    SELECT tick, series, le, count(*) AS n, min(sec) AS first_ts, max(sec) AS last_ts, arg_min(value, (sec, id)) AS first_value, sum(delta) - arg_min(delta, (sec, id)) AS grown FROM {TICKED} GROUP BY ALL)
+    WHERE n > 1 AND last_ts > first_ts)))"""
+
+
+@query(f"SELECT {TICK}, series, le, cast(increase AS decimal(20,6)) AS increase FROM {FILLED}", "buckets")
+def extrapolated_increase(t):
+    found = series.extrapolated(t("buckets"), ["series", "le"])
+    return found.select("tick", "series", "le", F.col("increase").cast("decimal(20,6)").alias("increase"))
+
+
+REPAIRED = f"(SELECT tick, le, max(rate) OVER (PARTITION BY tick ORDER BY le) AS cum FROM (SELECT tick, le, sum(increase / 300) AS rate FROM {FILLED} GROUP BY ALL))"
+
+
+@query(f"""SELECT {TICK}, cast(CASE WHEN total > 0 AND last = 'Infinity'::double AND n > 1 THEN CASE WHEN le = 'Infinity'::double THEN finite ELSE low + (le - low) * (0.931e0 * total - below) / (cum - below) END END AS decimal(20,4)) AS quantile FROM (
+  SELECT tick, any_value(total) AS total, max(le) AS last, count(*) AS n, max(le) FILTER (WHERE le < 'Infinity'::double) AS finite, coalesce(max(le) FILTER (WHERE cum < 0.931e0 * total), 0) AS low,
+    coalesce(max(cum) FILTER (WHERE cum < 0.931e0 * total), 0) AS below, min(le) FILTER (WHERE cum >= 0.931e0 * total) AS le, min(cum) FILTER (WHERE cum >= 0.931e0 * total) AS cum
+  FROM (SELECT *, max(cum) OVER (PARTITION BY tick) AS total FROM {REPAIRED}) GROUP BY tick)""", "buckets")
+def bucket_rate_quantile(t):
+    found = series.rate_quantile(series.extrapolated(t("buckets"), ["series", "le"]), 0.931, ["tick"])
+    return found.select("tick", F.col("quantile").cast("decimal(20,4)").alias("quantile"))
+
+
+@query(f"SELECT {TICK}, series, arg_max(value, (sec, id)) AS value FROM {TICKED} WHERE le = 'Infinity'::double GROUP BY tick, series", "buckets")
+def gauge_at_ticks(t):
+    return series.instant(t("buckets").where(F.col("le") == float("inf")), ["series"])
 
 
 @query("SELECT listing_id, component_type FROM listings WHERE component_type IN ('gpu', 'nic') QUALIFY row_number() OVER (PARTITION BY component_type ORDER BY updated_at DESC, listing_id) <= 12", "listings")

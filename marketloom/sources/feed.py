@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import titles as T
+
 ITEM = """itemId STRING, title STRING, price STRUCT<value: STRING, currency: STRING>, itemWebUrl STRING, image STRUCT<imageUrl: STRING>,
 seller STRUCT<username: STRING, feedbackScore: INT, feedbackPercentage: STRING>, condition STRING, buyingOptions ARRAY<STRING>,
 shippingOptions ARRAY<STRUCT<shippingCost: STRUCT<value: STRING, currency: STRING>>>, itemEndDate STRING, topRatedBuyingExperience BOOLEAN"""
@@ -17,15 +19,16 @@ def read_feed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def to_listings(items: DataFrame) -> DataFrame:
-    """Numbers that do not parse are null; AUCTION goes before BEST_OFFER before the rest."""
+    """A price, feedback or percentage that is missing or does not parse is 0, a shipping cost null; AUCTION goes
+    before BEST_OFFER before the rest; the condition is given as it came and normalised."""
     kind = F.when(F.array_contains("buyingOptions", "AUCTION"), "auction").when(F.array_contains("buyingOptions", "BEST_OFFER"), "best_offer").otherwise("buy_it_now")
     first = F.try_element_at("shippingOptions", F.lit(1))
     return items.select(
         F.col("itemId").alias("item_id"), "title", F.col("itemWebUrl").alias("item_url"), F.col("image.imageUrl").alias("image_url"),
-        F.col("price.value").try_cast("double").alias("price"), F.coalesce("price.currency", F.lit("USD")).alias("currency"),
+        F.coalesce(F.col("price.value").try_cast("double"), F.lit(0.0)).alias("price"), F.coalesce("price.currency", F.lit("USD")).alias("currency"),
         first["shippingCost"]["value"].try_cast("double").alias("shipping_cost"), kind.alias("listing_type"), F.col("seller.username").alias("seller_name"),
-        F.col("seller.feedbackScore").alias("seller_feedback_score"), F.col("seller.feedbackPercentage").try_cast("double").alias("seller_feedback_pct"),
-        F.coalesce("topRatedBuyingExperience", F.lit(False)).alias("seller_top_rated"), F.col("condition").alias("condition_raw"), F.lit(1).alias("quantity"),
+        F.coalesce("seller.feedbackScore", F.lit(0)).alias("seller_feedback_score"), F.coalesce(F.col("seller.feedbackPercentage").try_cast("double"), F.lit(0.0)).alias("seller_feedback_pct"),
+        F.coalesce("topRatedBuyingExperience", F.lit(False)).alias("seller_top_rated"), F.col("condition").alias("condition_raw"), T.condition(F.col("condition")).alias("condition_norm"), F.lit(1).alias("quantity"),
         F.try_to_timestamp("itemEndDate").alias("auction_end_at"),
     )
 

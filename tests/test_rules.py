@@ -175,10 +175,11 @@ def test_upsert_is_idempotent(spark):
 
 
 def test_feed(spark, tmp_path):
-    item = {"itemId": "1", "title": "DDR4 kit", "price": {"value": "4x"}, "buyingOptions": ["BEST_OFFER", "AUCTION"], "seller": {"username": "s", "feedbackScore": 7, "feedbackPercentage": "99.5"}}
+    item = {"itemId": "1", "title": "DDR4 kit", "price": {"value": "4x"}, "condition": " Used\t", "buyingOptions": ["BEST_OFFER", "AUCTION"], "seller": {"username": "s", "feedbackScore": 7, "feedbackPercentage": "99.5"}}
     (tmp_path / "page.json").write_text(json.dumps({"itemSummaries": [item], "total": 1}, indent=1))
     row = feed.to_listings(feed.read_feed(spark, str(tmp_path))).first()
-    assert (row.item_id, row.price, row.currency, row.shipping_cost, row.listing_type, row.seller_feedback_pct) == ("1", None, "USD", None, "auction", 99.5)
+    assert (row.item_id, row.price, row.currency, row.shipping_cost, row.listing_type, row.seller_feedback_pct) == ("1", 0.0, "USD", None, "auction", 99.5)
+    assert (row.condition_raw, row.condition_norm) == (" Used\t", "used_working")
 
 
 def test_streaming_rates_equal_batch(spark, tmp_path):

@@ -823,80 +823,10 @@ def cold_and_prefixed(t):
     return worklists.of_prefix(base, "gpu:").unionByName(worklists.cold(base))
 
 
-def golden(spark: SparkSession, inputs: str, make: Callable) -> DataFrame:
-    """A rule over rows of given values."""
-    return make(spark.sql(f"SELECT * FROM VALUES {inputs}"))
-
-
-@query("SELECT * FROM (VALUES (1, 100.0e0), (2, 70.0e0), (3, 40.0e0), (4, 30.0e0), (5, 20.0e0), (6, 0.0e0), (7, 80.0e0)) AS v(k, score)")
-def golden_quality(t):
-    rows = "(1, true, true, 501), (2, true, true, 0), (3, true, false, 50), (4, false, true, 0), (5, false, false, 201), (6, false, false, 50), (7, true, true, 51) AS v(k, images, specifics, description)"
-    return golden(t("region").sparkSession, rows, lambda v: v.select("k", S.quality_score(F.col("images"), F.col("specifics"), F.col("description")).alias("score")))
-
-
-@query("SELECT * FROM (VALUES (1, 100.0e0), (2, 80.0e0), (3, 30.0e0), (4, 80.0e0), (5, 30.0e0)) AS v(k, score)")
-def golden_time(t):
-    rows = "(1, true, true, true), (2, true, false, true), (3, true, false, false), (4, false, true, true), (5, false, true, false) AS v(k, auction, soon, new)"
-    return golden(t("region").sparkSession, rows, lambda v: v.select("k", S.time_score(F.col("auction"), F.col("soon"), F.col("new")).alias("score")))
-
-
-@query("SELECT * FROM (VALUES (1, 'noise', 'edge'), (2, 'edge', 'edge'), (3, 'edge', 'edge'), (4, 'deal', 'edge'), (5, 'deal', 'deal'), (6, 'noise', 'noise')) AS v(k, report, worker)")
-def golden_verdicts(t):
-    rows = "(1, 0.3D), (2, 0.33D), (3, 0.65D), (4, 0.66D), (5, 0.7D), (6, 0.29D) AS v(k, score)"
-    return golden(t("region").sparkSession, rows, lambda v: v.select("k", delivery.report_verdict(F.col("score")).alias("report"), al.verdict(F.col("score")).alias("worker")))
-
-
-@query("""SELECT * FROM (VALUES (1, 'abc', 'abc', ''), (2, 'abcde…', 'abcde...', 'http://h/trace/t1'), (3, '', '', '')) AS v(k, short, bytes, link)""")
-def golden_texts(t):
-    rows = "(1, 'abc', '', 't1'), (2, 'abcdefgh', 'http://h/', 't1'), (3, '', 'http://h', NULL) AS v(k, x, base, trace)"
-    return golden(t("region").sparkSession, rows, lambda v: v.select("k", X.shortened(F.col("x"), 5).alias("short"), X.shortened_bytes(F.col("x"), 5).alias("bytes"), X.trace_url(F.col("base"), F.col("trace")).alias("link")))
-
-
-@query("SELECT * FROM (VALUES (1, '{\"a\": 1}', NULL), (2, '{\"score\": 0.5}', 0.5e0), (3, 'x', NULL), (4, '{\"score\": 2}', NULL), (5, '{}', 0.0e0)) AS v(k, body, score)")
-def golden_replies(t):
-    fence = "```"
-    rows = f"""(1, '{fence}json\n{{"a": 1}}\n{fence}', ''), (2, ' {{"score": 0.5}} ', 'y'), (3, '{fence}x{fence}', 'y'), (4, '{{"score": 2}}', 'y'), (5, '{{}}', 'y') AS v(k, reply, read)"""
-    return golden(t("region").sparkSession, rows, lambda v: v.select("k", X.unfenced(F.col("reply")).alias("body"), F.when(F.col("read") != "", X.parsed_verdict(F.col("reply"))["score"]).alias("score")))
-
-
-@query("SELECT * FROM (VALUES (1, 'workstation', 'Form Factor: Tower, Series: Precision'), (2, 'desktop', 'Series: OptiPlex'), (3, '', 'N/A'), (4, 'workstation', 'Most Suitable For: Workstation'), (5, 'desktop', 'Product Line: Pro, Type: Tower')) AS v(k, system, said)")
-def golden_specifics(t):
-    rows = """(1, map('Series', 'Precision', 'Form Factor', 'Tower')), (2, map('Series', 'OptiPlex')), (3, cast(map() AS map<string, string>)),
-      (4, map('Most Suitable For', 'Workstation')), (5, map('Product Line', 'Pro', 'Type', 'Tower')) AS v(k, x)"""
-    return golden(t("region").sparkSession, rows, lambda v: v.select("k", X.system_of(F.col("x")).alias("system"), X.specifics_text(F.col("x")).alias("said")))
-
-
-@query("""SELECT * FROM (VALUES (1, 'barebone', false, '', NULL), (2, 'configured', false, '', 2666), (3, 'partial', true, '', NULL), (4, 'partial', true, '', NULL), (5, 'partial', false, '', 2933),
-  (6, 'partial', true, '', NULL), (7, 'partial', false, 'workstation', NULL), (8, 'partial', false, 'desktop', NULL)) AS v(k, tier, accessory, system, mhz)""")
-def golden_titles(t):
-    rows = """(1, 'PowerEdge R740 CTO'), (2, 'PowerEdge Xeon Gold 6130 64GB DDR4 PC4-21300V'), (3, 'R740xd 24 bay backplane'), (4, 'GPU riser cable'), (5, 'DDR4-2933 PC4-23466'),
-      (6, 'drive caddy tray'), (7, 'ThinkStation P920 Gold 6148'), (8, 'OptiPlex 7060 i5-8500') AS v(k, title)"""
-    title = F.col("title")
-    return golden(t("region").sparkSession, rows, lambda v: v.select("k", T.server_tier(title).alias("tier"), T.accessory_only(title).alias("accessory"), T.system_type(title).alias("system"), T.title_speed(title).alias("mhz")))
-
-
-@query("""SELECT * FROM (VALUES (1, 'ram:ddr4:ecc_reg:32gb:2666', 'new', 2400), (2, 'ram:ddr4:ecc_reg:32gb:0', 'for_parts', 3200), (3, 'ram:unknown:unknown:0gb:0', 'unknown', NULL)) AS v(k, key, condition, mhz)""")
-def golden_keys(t):
-    rows = "(1, 'DDR4', true, 32, 2666, ' Brand New ', 'pc4-19200T'), (2, 'DDR4', true, 32, NULL, 'AS-IS', '25600'), (3, NULL, NULL, NULL, NULL, 'Refurbished', 'PC5-1') AS v(k, generation, ecc, capacity_gb, speed_mhz, raw, module)"
-    a = {c: F.col(c) for c in ("generation", "ecc", "capacity_gb", "speed_mhz")} | {"registered": F.col("ecc")}
-    return golden(t("region").sparkSession, rows, lambda v: v.select("k", A.product_key(F.lit("ram"), a).alias("key"), T.condition(F.col("raw")).alias("condition"), T.module_speed(F.col("module")).alias("mhz")))
-
-
-@query("SELECT * FROM (VALUES (1, 'drive:sas:2.5:1.2tb:10k', '10k', 'a\tb'), (2, 'drive:nvme:u.2:960gb:ssd', 'ssd', 'ab'), (3, 'drive:unknown:unknown:unknown:unknown', 'unknown', ''), (4, 'drive:sata:3.5:4tb:7k2', '7k2', 'x'), (5, 'drive:sas:3.5:4tb:hdd', 'hdd', 'x')) AS v(k, key, kind, clean)")
-def golden_drives(t):
-    rows = """(1, 'SAS', '2.5', '1.2TB', 'HDD', 10000, 'a\\tb'), (2, 'NVMe', 'U.2', '960GB', 'SSD', NULL, concat('a', char(7), 'b')), (3, NULL, NULL, NULL, NULL, NULL, ''), (4, 'SATA', '3.5', '4TB', 'HDD', 7200, 'x'),
-      (5, 'SAS', '3.5', '4TB', 'HDD', 5900, 'x') AS v(k, interface, form_factor, capacity, type, rpm, said)"""
-    a = {c: F.col(c) for c in ("interface", "form_factor", "capacity", "type", "rpm")}
-    return golden(t("region").sparkSession, rows, lambda v: v.select("k", A.product_key(F.lit("drive"), a).alias("key"), A.drive_kind(F.col("type"), F.col("rpm")).alias("kind"), X.harmless(F.col("said")).alias("clean")))
-
-
-@query("SELECT * FROM (VALUES (1, '1970-01-01 00:00:01.5'::timestamp, '$12.50', '7.00'), (2, '2001-09-09 01:46:40.000001'::timestamp, '$0.01', '0.10')) AS v(k, moment, sign, bare)")
-def golden_money(t):
-    rows = "(1, 1.5BD, 12.5D, 7D), (2, 1000000000.000001BD, 0.01D, 0.1D) AS v(k, epoch, x, y)"
-    return golden(t("region").sparkSession, rows, lambda v: v.select("k", X.whole_seconds(F.col("epoch")).alias("moment"), X.dollars(F.col("x")).alias("sign"), X.plain_money(F.col("y")).alias("bare")))
-
-
 @query(f"SELECT a.alert_id, l.title, l.condition_norm, l.seller_feedback_score, w.watch_name, w.score_threshold, coalesce(a.trace_id, '') AS trace_id FROM alerts a JOIN listings l ON l.listing_id = a.listing_id JOIN watches w ON w.watch_id = a.watch_id", "listings", "watches", "alerts")
 def review_wide(t):
     rows = al.wide(t("alerts"), t("listings"), t("watches"))
     return rows.select("alert_id", "listing.title", "listing.condition_norm", "listing.seller_feedback_score", "watch.watch_name", "watch.score_threshold", F.coalesce("trace_id", F.lit("")).alias("trace_id"))
+
+
+from . import rules  # noqa: E402, F401  (registers its queries)

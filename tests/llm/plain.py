@@ -122,3 +122,105 @@ def unigrams(rows):
     n, v = sum(counts.values()), len(counts)
     score = lambda t: sum(log10((counts[x] + 0.5) / (n + 0.5 * (v + 1))) for x in tokens(t))
     return [(d, held(d), len(tokens(t)), sum(counts[x] > 0 for x in tokens(t)), n, score(t)) for d, t in rows]
+
+
+def upper_off(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text)
+
+
+def page_parts(url):
+    _, found, rest = (url or "").partition("://")
+    host = re.split("[/?#]", rest)[0]
+    return (upper_off(host), re.split("[?#]", rest[len(host) :])[0]) if found else ("", "")
+
+
+RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def rule_of(host, path):
+    fits = [(len(h + p), h + p, v) for v, h, p in RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return max(fits)[1:] if fits else (None, None)
+
+
+def url_verdicts(pages, rounds=20):
+    """page_id, host, path, rule, verdict, trust, distrust by plain iteration over the link graph."""
+    parts = [(p, *page_parts(u), h) for p, u, h in pages]
+    seen, edges = {}, set()
+    for _, host, path, html in parts:
+        if host:
+            seen.setdefault(host, []).append(rule_of(host, path)[1])
+            for link in re.findall(r"""(?i:\bhref)[\x20\x09-\x0D]*=[\x20\x09-\x0D]*["']?[\x20\x09-\x0D]*(?:(?i:https?):)?//([^/?#"'<>\x20\x09-\x0D]+)""", html or ""):
+                if upper_off(link) != host:
+                    edges.add((host, upper_off(link)))
+
+    def ranks(kind, edges):
+        seeds = [h for h, v in seen.items() if 2 * v.count(kind) > len(v)]
+        seed = {h: 15 * 10**13 // len(seeds) if h in seeds else 0 for h in seen}
+        degree, mass = Counter(a for a, _ in edges), dict(seed)
+        for _ in range(rounds):
+            new = dict(seed)
+            for a, b in edges:
+                if a in mass and b in new:
+                    new[b] += mass[a] * 85 // (100 * degree[a])
+            mass = new
+        return mass
+
+    trust, distrust = ranks("allow", edges), ranks("block", {(b, a) for a, b in edges})
+    out = []
+    for p, host, path, _ in parts:
+        rule, verdict = rule_of(host, path)
+        t, d = trust.get(host, 0), distrust.get(host, 0)
+        out.append((p, host, path, rule, verdict or ("block" if d > t else "allow"), t, d))
+    return out
+
+
+def vector_codes(rows, parts=8, entries=16, rounds=6):
+    from math import floor, inf, isfinite
+
+    kept = [(v, [floor(4096 * x) for x in e], label) for v, e, label in rows if e is not None and all(x is not None and isfinite(x) for x in e)]
+    kept.sort(key=lambda r: (inf if r[0] is None else r[0], r[1]))
+    kept = [r for r in kept if len(r[1]) == len(kept[0][1])]
+    w = len(kept[0][1]) // parts
+    cut = [[x[k * w : (k + 1) * w] for k in range(parts)] for _, x, _ in kept]
+    books = [[c[k] for c in cut[:entries]] for k in range(parts)]
+    far = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b, strict=True))
+    assign = lambda c: [min((far(c[k], e), i) for i, e in enumerate(books[k])) for k in range(parts)]
+    for _ in range(rounds):
+        codes = [assign(c) for c in cut]
+        for k in range(parts):
+            for e in range(len(books[k])):
+                own = [c[k] for c, code in zip(cut, codes, strict=True) if code[k][1] == e]
+                if own:
+                    books[k][e] = [sum(col) // len(own) for col in zip(*own, strict=True)]
+    out = [(v, "".join(f"{i:02x}" for _, i in a), min(sum(d for d, _ in a), 2**63 - 1), label) for (v, _, label), a in zip(kept, map(assign, cut), strict=True)]
+    by = Counter()
+    for _, _, e, label in out:
+        by[label] += e
+    digest = sha(",".join(str(x) for b in books for e in b for x in e))
+    return [(v, c, e, min(by[label], 2**63 - 1), digest) for v, c, e, label in out]
+
+
+def collocations(rows, longest=3, least=10, contained=50, top=2000):
+    """rows of (lang, text): lang, rank, phrase, a, l, r, n, score."""
+    out, by = [], {}
+    for lang, text in rows:
+        counts = by.setdefault("und" if lang is None else lang, Counter())
+        for piece in re.split("[.,;:!?\x0a-\x0d]", upper_off(text or "")):
+            w = [x for x in re.split("[\x20\x09]", piece) if x]
+            for n in range(1, longest + 1):
+                counts.update(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+    for lang, f in by.items():
+        n = sum(c for p, c in f.items() if len(p) == 1)
+        often = {p: a for p, a in f.items() if len(p) > 1 and a >= least}
+        inside = Counter()
+        for p, a in often.items():
+            for m in range(2, len(p)):
+                for i in range(len(p) - m + 1):
+                    inside[p[i : i + m]] = max(inside[p[i : i + m]], a)
+        found = []
+        for p, a in often.items():
+            score, _, left, right = min((10**6 * a * a // (f[p[:k]] * f[p[k:]]), k, f[p[:k]], f[p[k:]]) for k in range(1, len(p)))
+            if 100 * inside[p] < contained * a:
+                found.append((-score, -a, " ".join(p).encode(), left, right))
+        out += [(lang, k, p.decode(), -a, left, right, n, -s) for k, (s, a, p, left, right) in enumerate(sorted(found)[:top], 1)]
+    return out

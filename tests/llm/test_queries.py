@@ -52,13 +52,22 @@ def odd(spark, tmp_path_factory):
              (5, "u", "<nav><ul><li><a href='>'>Home</a></ul></nav><article><h1>Title</h1><p>A paragraph of text,\n  with spaces, and\tmore.</p><script>if (a<b) '</p>'</script></article><div class=\"ad\">Buy now.</div>"),
              (5, "u", "<!-- <p>no</p> --><style>p{}</style>" + "<div>" * 3000), (7, "u", "<p " * 500)]
     spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("text", F.lit("clash")).write.parquet(f"{at}/pages.parquet")
+    spark.createDataFrame(odd_vectors(), "vec_id long, embedding array<float>, label int").withColumn("code", F.lit("clash")).repartition(2).write.parquet(f"{at}/embeddings.parquet")
     return at, rows
 
 
+def odd_vectors():
+    r = random.Random(6)
+    nan, inf = float("nan"), float("inf")
+    rows = [(k, [r.choice([0.0, 0.25, -0.25, 0.125]) for _ in range(16)], r.choice([0, 1, None])) for k in range(3, 60)]
+    rows += [(100, None, 1), (101, [nan] * 16, 1), (102, [inf] + [0.0] * 15, 1), (103, [None] + [0.0] * 15, None), (104, [1e30, -3e38] + [5e5] * 14, 9), (105, [0.5] * 8, 1), (106, [], 1)]
+    return rows + [(7, [0.5] * 16, 3), (7, [0.5] * 16, 3), (None, [0.25] * 16, 2), (1, None, 0), (2, [nan] + [0.0] * 15, 0)]
+
+
 @pytest.fixture(scope="module")
 def empty(spark, odd, tmp_path_factory):
     at = str(tmp_path_factory.mktemp("empty"))
-    for name in ("documents", "labels", "pages"):
+    for name in ("documents", "labels", "pages", "embeddings"):
         spark.read.parquet(f"{odd[0]}/{name}.parquet").limit(0).write.parquet(f"{at}/{name}.parquet")
     return at
 

@@ -9,8 +9,9 @@ from ..functions import scoring as S
 from ..functions import texts as X
 from ..functions import titles as T
 from ..operators import alerts as al
-from ..operators import delivery, extraction, series, state
+from ..operators import delivery, extraction, search_index, series, snapshots, state
 from ..sources import feed
+from ..sources.versions import Versions, taking, work_folder
 from .registry import query
 
 
@@ -192,3 +193,36 @@ def judged_by_model(t):
     rows = extraction.judged(t("alerts").select("alert_id", "score"), "Judge {id}: {score}", {"id": F.col("alert_id"), "score": F.col("score")}, Echo)
     return rows.select("alert_id", "judge_score", "judge_reason")
 
+
+@query("SELECT alert_id, score, created_at FROM alerts ORDER BY score DESC, created_at DESC, alert_id DESC LIMIT 40 OFFSET 80", "listings", "alerts")
+def snapshot_page(t):
+    """A page of alerts from a sorted snapshot, of which only the parts that hold the page are read."""
+    rows = t("alerts").select("alert_id", "score", "created_at")
+    order = [F.col("score").desc(), F.col("created_at").desc(), F.col("alert_id").desc()]
+    path = work_folder(rows.sparkSession, "alerts")
+    snapshots.write_sorted(rows, order, path, part_rows=2000)
+    return snapshots.page_of(rows.sparkSession, path, order, 3, 40)[0]
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%ED%dg%' OR p_name ILIKE '%small r%'")
+def titles_by_index(t):
+    """Names that contain a text, with a wildcard in one of them, through an index of trigrams."""
+    rows = t("part").select("p_partkey", "p_name")
+    path = work_folder(rows.sparkSession, "titles")
+    search_index.write_index(rows, "p_partkey", "p_name", path)
+    found = [search_index.search_titles(rows, "p_partkey", "p_name", text, path) for text in ("ED%dg", "small r")]
+    return found[0].unionByName(found[1]).distinct()
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice, CASE WHEN o_orderkey % 3 = 0 THEN 2 WHEN o_orderkey % 2 = 0 THEN 0 ELSE 1 END AS batch FROM orders""")
+def versions_of_orders(t):
+    """Orders taken into a table of versions in three batches, each of them twice; the last one changes a third of the rows."""
+    rows = t("orders").select("o_orderkey", "o_totalprice")
+    table = Versions(rows.sparkSession, work_folder(rows.sparkSession, "orders"), ["o_orderkey"], "o_orderkey long, o_totalprice double, batch int", buckets=8)
+    take = taking(table, "orders", lambda old, new: state.upserted(old, new, "o_orderkey"))
+    first, second = rows.where(F.col("o_orderkey") % 2 == 0), rows.where(F.col("o_orderkey") % 2 == 1)
+    third = rows.where(F.col("o_orderkey") % 3 == 0).withColumn("o_totalprice", F.col("o_totalprice") * 2)
+    for number, batch in enumerate((first, second, third)):
+        for _ in range(2):
+            take(batch.withColumn("batch", F.lit(number)), number)
+    return table.read()

@@ -3,12 +3,13 @@
 Symbols are words, and one end per text. The root's distribution is that of all training symbols, each count 0.5
 higher, with one class for unknown words. Contexts of one and two words that were seen MIN_COUNT times (in small corpora:
 that make up P_MIN of the symbols) are candidates; one is kept if the next symbols seen after it diverge from those of
-its shorter suffix by MIN_GAIN bits or more in all, and suffixes of kept contexts are kept. After a kept context, next
+its shorter suffix by MIN_GAIN bits or more in all, and suffixes of kept contexts are kept. From three words on,
+candidates are the contexts whose suffix was kept, a level at a time, until no context of a level is kept. After a kept context, next
 symbols seen so often with it have their own (discounted) probability, and the others share the rest as after its
 suffix. A text's score is the sum of log10 probabilities, each after the longest kept suffix of what went before.
 
 Contexts and explicit symbols grow with the corpus and stay distributed. A score is a sum over a text's runs of one, two
-and three symbols: a kept context adds the log of what it leaves to others, an explicit symbol its own log less what the
+and more symbols, up to one more than the deepest context: a kept context adds the log of what it leaves to others, an explicit symbol its own log less what the
 shorter runs add, a known word its own log less that of an unknown one. So one table of (hash of a run, values) is all
 that scoring needs. Its LOCAL_ROWS rows of most occurrences are looked up within tasks; occurrences of others are joined
 with the table by hash, and as each is rarer than all of those, no hash has more than about 1 / LOCAL_ROWS of all
@@ -59,6 +60,10 @@ def held_out() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 1
 
 
+#: Stands for any next symbol; a word has no space.
+ANY = b" "
+
+
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()  # bytes: ASCII letters and the six ASCII spaces only
 
@@ -212,6 +217,48 @@ def run_counts(training: DataFrame, width: int, parts: Bitmap, least: float, lab
     return materialize(found.where(F.col("n") >= float(least)).mapInArrow(coded, "code long, before long, last long, n long"), label)
 
 
+def deeper_counts(training: DataFrame, depth: int, suffixes: Bitmap, shorter: Bitmap, least: float) -> DataFrame:
+    """code, before, suffix, last, n of runs that follow contexts of so many words whose suffix was kept; last is ANY where
+    n counts the context itself. shorter: what the runs without their first symbol that are frequent may be."""
+    any_code = signed(ANY)
+
+    def added(held: list[np.ndarray]) -> pa.RecordBatch:
+        before, suffix, last = np.concatenate([np.zeros((3, 0), np.int64), *held], axis=1)
+        held.clear()
+        codes = longer(before, last)
+        order = np.argsort(codes)
+        codes = codes[order]
+        starts = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else np.zeros(0, np.int64)
+        some = order[starts]
+        n = np.diff(np.append(starts, len(codes))).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (codes[starts], before[some], suffix[some], last[some], n)], names=["code", "before", "suffix", "last", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, held, size = Hashes(), [], 0
+        for batch in batches:
+            for symbols, _ in sliced(batch.column(0), hashes):
+                inner = symbols != END_CODE
+                runs, words = symbols, inner
+                for k in range(1, depth - 1):
+                    runs, words = longer(runs[:-1], symbols[k:]), words[:-1] & inner[k:]
+                # runs: of depth - 1 symbols; one more makes a context, or what follows its suffix.
+                wide, whole = longer(runs[:-1], symbols[depth - 1 :]), words[:-1] & inner[depth - 1 :]
+                ok = whole[:-1] & suffixes.may_have(runs[1:-1])
+                at = np.flatnonzero(ok)
+                said = at[shorter.may_have(wide[at + 1])]
+                for places, last in ((at, np.full(len(at), any_code)), (said, symbols[said + depth])):
+                    held.append(np.stack([wide[places], runs[places + 1], last]))
+                    size += len(places)
+                if size > HELD:
+                    yield added(held)
+                    size = 0
+        yield added(held)
+
+    found = training.select("text").mapInArrow(run, "code long, before long, suffix long, last long, n long")
+    found = found.groupBy("code", "before", "suffix", "last").agg(F.sum("n").alias("n"))
+    return materialize(found.where(F.col("n") >= float(least)), "deeper")
+
+
 def tested(rows: DataFrame) -> DataFrame:
     """before, total, share (of what other symbols have after the suffix), gain; from rows (before, total, n, own, old)."""
     sums = rows.groupBy("before").agg(
@@ -223,8 +270,9 @@ def tested(rows: DataFrame) -> DataFrame:
     return sums.select("before", "total", share.alias("share"), (F.col("gain") + left * F.log2(share)).alias("gain"))
 
 
-def run_values(training: DataFrame, words: DataFrame, below: float, least: float, min_gain: float) -> DataFrame:
-    """code, value, n: what each occurrence of a run adds to a score; words (code, n) are the symbols seen often enough."""
+def run_values(training: DataFrame, words: DataFrame, below: float, least: float, min_gain: float) -> tuple[DataFrame, int]:
+    """code, value, n: what each occurrence of a run adds to a score; words (code, n) are the symbols seen often enough.
+    With them, the number of levels that were looked at: runs have at most one symbol more."""
     pairs = run_counts(training, 2, Bitmap(words.select("code")), least, "pairs")
     triples = run_counts(training, 3, Bitmap(pairs.select("code")), least, "triples")
     known = maybe_broadcast(words, BROADCAST_WORDS)
@@ -242,10 +290,22 @@ def run_values(training: DataFrame, words: DataFrame, below: float, least: float
     one = tested(pairs).join(suffixes, "before", "left").where((F.col("gain") >= float(min_gain)) | F.col("suffix"))
     one = materialize(one.select("before", "total", "share"), "contexts")
     value = (F.log10("own") - F.log10("share") - F.log10("old")).alias("value")
-    contexts = [c.select(F.col("before").alias("code"), F.log10("share").alias("value"), F.col("total").alias("n")) for c in (one, two)]
-    explicit = [r.select("code", "before", "n", "own", "old").join(c.select("before", "share"), "before").select("code", value, "n") for r, c in ((pairs, one), (triples, two))]
-    both = contexts[0].unionByName(contexts[1]).unionByName(explicit[0]).unionByName(explicit[1])
-    return materialize(both.groupBy("code").agg(F.sum("value").alias("value"), F.max("n").alias("n")), "values")
+    levels = [(pairs, one), (triples, two)]
+    while not levels[-1][1].isEmpty():
+        runs, kept = levels[-1]
+        found = deeper_counts(training, len(levels) + 1, Bitmap(kept.select(F.col("before").alias("code"))), Bitmap(runs.select("code")), least)
+        totals = found.where(F.col("last") == signed(ANY)).select("before", F.col("n").alias("total"))
+        rows = found.where(F.col("last") != signed(ANY)).join(totals, "before")
+        # What follows a kept suffix was counted one level before.
+        rows = rows.join(runs.select(F.col("before").alias("suffix"), "last", F.col("own").alias("old")), ["suffix", "last"])
+        rows = materialize(rows.select("code", "before", "suffix", "last", "n", "total", own.alias("own"), "old"), "runs")
+        levels.append((rows, materialize(tested(rows).where(F.col("gain") >= float(min_gain)), "contexts")))
+    both = None
+    for runs, kept in levels:
+        contexts = kept.select(F.col("before").alias("code"), F.log10("share").alias("value"), F.col("total").alias("n"))
+        explicit = runs.select("code", "before", "n", "own", "old").join(kept.select("before", "share"), "before").select("code", value, "n")
+        both = contexts.unionByName(explicit) if both is None else both.unionByName(contexts).unionByName(explicit)
+    return materialize(both.groupBy("code").agg(F.sum("value").alias("value"), F.max("n").alias("n")), "values"), len(levels)
 
 
 def score_table(counts: DataFrame, values: DataFrame) -> DataFrame:
@@ -294,8 +354,10 @@ class Tree:
         kept: list[set[int]] = [set() for _ in levels]
         for depth, after in enumerate(following, 1):
             for context, nexts in after.items():
-                total = counts[depth - 1][context]
                 suffix = context & ((1 << (BITS * (depth - 1))) - 1)
+                if depth > 2 and suffix not in kept[depth - 2]:
+                    continue
+                total = counts[depth - 1][context]
                 own = {s: (n - DISCOUNT) / total for s, n in nexts.items()}
                 old = {s: probability(depth - 1, suffix, s) for s in nexts}
                 rest, old_rest = 1 - sum(own.values()), max(1 - sum(old.values()), 1e-9)
@@ -349,7 +411,7 @@ def score_documents(docs: DataFrame, min_count: int = MIN_COUNT, p_min: float =
     below = total + 0.5 * (distinct + 1)
     least = min(min_count, max(2, total * p_min))
     end = docs.sparkSession.range(1).select(F.lit(END_CODE).alias("code"), F.lit(ends).cast("long").alias("n"))
-    values = run_values(training, counts.unionByName(end).where(F.col("n") >= float(least)), below, least, min_gain)
+    values, levels = run_values(training, counts.unionByName(end).where(F.col("n") >= float(least)), below, least, min_gain)
     bitmap = Bitmap(values.select("code"))
     entries = materialize(score_table(counts, values), "entries")
     level = local_level(entries, local_rows)
@@ -363,14 +425,17 @@ def score_documents(docs: DataFrame, min_count: int = MIN_COUNT, p_min: float =
         n = len(sizes)
         doc, inner = np.repeat(np.arange(n), sizes), symbols != END_CODE
         base = np.bincount(doc, np.where(inner, unknown_log, end_log), n)
-        pairs = longer(symbols[:-1], symbols[1:])
-        triples = longer(pairs[:-1], symbols[2:])
-        # A pair in the table has one of its words there as a context, a triple its first pair.
-        one = inner & bitmap.may_have(symbols)
-        two = inner[:-1] & (one[:-1] | one[1:]) & bitmap.may_have(pairs)
-        three = inner[1:-1] & two[:-1] & bitmap.may_have(triples)
-        where = [np.flatnonzero(ok) for ok in (inner, two, three)]
-        found = np.concatenate([some[ok] for some, ok in zip((symbols, pairs, triples), where, strict=True)])
+        # A run in the table has its context there, one symbol shorter, or is a context whose suffix is there; the longest
+        # runs are no contexts. All but its last symbol are words.
+        run, may, words, where, runs = symbols, inner & bitmap.may_have(symbols), inner, [np.flatnonzero(inner)], [symbols]
+        for width in range(2, levels + 2):
+            run = longer(run[:-1], symbols[width - 1 :])
+            words = words[: len(run)] & inner[width - 2 :][: len(run)]
+            shorter = may[:-1] | may[1:] if width <= levels else may[:-1]
+            may = words & shorter & bitmap.may_have(run)
+            where.append(np.flatnonzero(may))
+            runs.append(run)
+        found = np.concatenate([some[ok] for some, ok in zip(runs, where, strict=True)])
         of = np.concatenate([doc[ok] for ok in where])
         at, here = within(codes, found)
         at, known = at[here], of[here]

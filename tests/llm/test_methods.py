@@ -300,6 +300,39 @@ def test_tables_score_as_the_tree(spark, local_rows):
     assert len(found) == len(rows)
 
 
+@pytest.mark.parametrize("memory", [3, 4])
+def test_deeper_contexts_score_as_the_tree(spark, monkeypatch, memory):
+    """Texts whose next word hangs on one three or four words before: contexts go on until none is kept."""
+    monkeypatch.setattr(suffix_tree, "BITS", 6)
+    r = random.Random(5)
+    words = list("abcd")
+    rows = []
+    for d in range(400):
+        own = r.choices(words, k=memory)
+        for _ in range(r.randint(10, 60)):
+            k = r.randint(1, memory)  # each level tells something
+            own.append(r.choice(words) if r.random() < 0.05 else words[zlib.crc32("".join(own[-k:]).encode()) % 4])
+        rows.append((d, " ".join(own), "s"))
+    number = {w: k for k, w in enumerate(words, 1)}
+    counts = [Counter() for _ in range(8)]
+    for d, t, _ in rows:
+        if not spark_held_out(d):
+            s = [number[w] for w in t.split()] + [0]
+            for width in range(1, 9):
+                for i in range(len(s) - width + 1):
+                    counts[width - 1][sum(x << (6 * (width - 1 - k)) for k, x in enumerate(s[i : i + width]))] += 1
+    below = sum(counts[0].values()) + 0.5 * (len(counts[0]) + 1)
+    root = {s: (n + 0.5) / below for s, n in counts[0].items()}
+    often = lambda c: {x: n for x, n in c.items() if n >= 5}
+    tree = suffix_tree.Tree(root, [often(c) for c in counts[1:]], dict(counts[0]), min_gain=20)
+    assert len(tree.levels[memory - 1][0]) > 5
+    found = suffix_tree.score_documents(frame(spark, rows), min_count=5, p_min=1.0, local_rows=50, min_gain=20).collect()
+    for x in found:
+        s = np.array([number[w] for w in rows[x.doc_id][1].split()] + [0])
+        assert x.score == pytest.approx(tree.score(s, np.log10([root[k] for k in s]))[0])
+    assert len(found) == len(rows)
+
+
 @pytest.mark.parametrize("labels", [[], [(9999, 1)], [(0, 1)]])
 def test_few_trusted_rows_reject_no_clean_text(spark, labels):
     r = random.Random(5)

@@ -280,8 +280,8 @@ def crowded_rest(nodes: DataFrame, sets: DataFrame, percent: int, part: int = RE
     """Blocks that compare the nodes of crowded regions wherever they may still be linked: those that have a rare
     shingle in common. Groups of the same nodes are one. In a group of more than part nodes, those outside its main
     component are compared with the whole group: both are dealt into parts, and each pair of parts is a block."""
-    rows = materialize(rare_shingles(sets.join(maybe_broadcast(nodes.select("node"), BROADCAST_NODES), "node", "left_semi"), percent), "rare")
-    rows = rows.join(maybe_broadcast(nodes, BROADCAST_NODES), "node")
+    own_sets = sets.join(maybe_broadcast(nodes.select("node"), BROADCAST_NODES), "node", "left_semi")
+    rows = materialize(rare_shingles(own_sets, percent).join(maybe_broadcast(nodes, BROADCAST_NODES), "node"), "rare")
     own = F.xxhash64("node")
     each = rows.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(own).alias("x"), F.bit_xor(F.xxhash64(own)).alias("y"))
     groups = each.groupBy("token").agg(

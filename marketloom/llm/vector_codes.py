@@ -56,7 +56,7 @@ def integers(vectors: pa.Array, length: int, parts: int, scale: int) -> np.ndarr
     found = found.reshape(len(vectors), length)
     if length % parts:
         found = np.hstack([found, np.zeros((len(found), -length % parts), found.dtype)])
-    return found.reshape(len(vectors), parts, -1)
+    return found.reshape(len(vectors), parts, -(-length // parts))
 
 
 class Tree:

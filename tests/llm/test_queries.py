@@ -220,7 +220,8 @@ def test_scores(spark, odd):
 def test_same_rows_as_in_sql(spark, name):
     sf = "/root/testdata/sf0.001"
     db = duckdb.connect()
-    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    for table in ("documents", "pages", "embeddings"):
+        db.sql(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
     found, expected = queries.QUERIES[name](spark, sf), db.sql(queries.ORACLE_SQL[name])
     order = sorted(found.columns)
     assert sorted(expected.columns) == order

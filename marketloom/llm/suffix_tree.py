@@ -217,9 +217,10 @@ def run_counts(training: DataFrame, width: int, parts: Bitmap, least: float, lab
     return materialize(found.where(F.col("n") >= float(least)).mapInArrow(coded, "code long, before long, last long, n long"), label)
 
 
-def deeper_counts(training: DataFrame, depth: int, suffixes: Bitmap, shorter: Bitmap, least: float) -> DataFrame:
+def deeper_counts(training: DataFrame, depth: int, suffixes: Bitmap, shorter: Bitmap, threes: Bitmap, least: float) -> DataFrame:
     """code, before, suffix, last, n of runs that follow contexts of so many words whose suffix was kept; last is ANY where
-    n counts the context itself. shorter: what the runs without their first symbol that are frequent may be."""
+    n counts the context itself. shorter: what the runs without their first symbol that are frequent may be; threes: what
+    the frequent runs of three are, of which a frequent context begins with one."""
     any_code = signed(ANY)
 
     def added(held: list[np.ndarray]) -> pa.RecordBatch:
@@ -243,8 +244,9 @@ def deeper_counts(training: DataFrame, depth: int, suffixes: Bitmap, shorter: Bi
                     runs, words = longer(runs[:-1], symbols[k:]), words[:-1] & inner[k:]
                 # runs: of depth - 1 symbols; one more makes a context, or what follows its suffix.
                 wide, whole = longer(runs[:-1], symbols[depth - 1 :]), words[:-1] & inner[depth - 1 :]
-                ok = whole[:-1] & suffixes.may_have(runs[1:-1])
-                at = np.flatnonzero(ok)
+                at = np.flatnonzero(whole[:-1])
+                at = at[suffixes.may_have(runs[1:-1][at])]
+                at = at[threes.may_have(longer(longer(symbols[at], symbols[at + 1]), symbols[at + 2]))]
                 said = at[shorter.may_have(wide[at + 1])]
                 for places, last in ((at, np.full(len(at), any_code)), (said, symbols[said + depth])):
                     held.append(np.stack([wide[places], runs[places + 1], last]))
@@ -290,10 +292,10 @@ def run_values(training: DataFrame, words: DataFrame, below: float, least: float
     one = tested(pairs).join(suffixes, "before", "left").where((F.col("gain") >= float(min_gain)) | F.col("suffix"))
     one = materialize(one.select("before", "total", "share"), "contexts")
     value = (F.log10("own") - F.log10("share") - F.log10("old")).alias("value")
-    levels = [(pairs, one), (triples, two)]
+    levels, threes = [(pairs, one), (triples, two)], Bitmap(triples.select("code"))
     while not levels[-1][1].isEmpty():
         runs, kept = levels[-1]
-        found = deeper_counts(training, len(levels) + 1, Bitmap(kept.select(F.col("before").alias("code"))), Bitmap(runs.select("code")), least)
+        found = deeper_counts(training, len(levels) + 1, Bitmap(kept.select(F.col("before").alias("code"))), Bitmap(runs.select("code")), threes, least)
         totals = found.where(F.col("last") == signed(ANY)).select("before", F.col("n").alias("total"))
         rows = found.where(F.col("last") != signed(ANY)).join(totals, "before")
         # What follows a kept suffix was counted one level before.
@@ -432,7 +434,9 @@ def score_documents(docs: DataFrame, min_count: int = MIN_COUNT, p_min: float =
             run = longer(run[:-1], symbols[width - 1 :])
             words = words[: len(run)] & inner[width - 2 :][: len(run)]
             shorter = may[:-1] | may[1:] if width <= levels else may[:-1]
-            may = words & shorter & bitmap.may_have(run)
+            some = np.flatnonzero(words & shorter)
+            may = np.zeros(len(run), bool)
+            may[some] = bitmap.may_have(run[some])
             where.append(np.flatnonzero(may))
             runs.append(run)
         found = np.concatenate([some[ok] for some, ok in zip(runs, where, strict=True)])

@@ -117,6 +117,8 @@ class Shard:
         word_hash = np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), np.uint64, len(self.words))
         lang_hash = np.fromiter((xxhash.xxh3_64_intdigest(k.encode(), seed=1) for k in self.names), np.uint64, len(self.names))
         symbols = x * len(self.names) + lang  # words of two languages differ
+        if symbols.max() >= 1 << 31:  # two of them in one number must fit 64 bits
+            symbols = np.unique(symbols, return_inverse=True)[1]
         at = suffix_array(symbols, self.longest)
         padded = np.concatenate([symbols, np.full(self.longest, -1)])
         break_ = np.concatenate([x == 0, np.ones(self.longest, bool)])

@@ -121,6 +121,14 @@ def test_longer_phrases(spark):
     assert all_rows(collocations.top_phrases(docs, longest=5, min_count=4), *PHRASES) == Counter(plain.collocations(rows, longest=5, least=4))
 
 
+def test_as_many_languages_as_texts():
+    shard = collocations.Shard(3)
+    for k in range(100_000):
+        shard.put([b"w%d" % k] * 3 + [b"."], str(k))
+    found = {size: n.tolist() for size, _, n, _ in shard.counts(carry=False)}
+    assert found == {1: [3] * 100_000, 2: [2] * 100_000, 3: [1] * 100_000}
+
+
 def test_suffix_array_sorts_by_what_follows():
     r = np.random.default_rng(1)
     for depth in (1, 2, 3, 7):

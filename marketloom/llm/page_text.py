@@ -231,7 +231,7 @@ def blocks(page: str | None) -> list[Block]:
 
 
 FEATURES = [
-    *(f"<{t}>" for t in TAGS), "article in article", *CLASSES, "words<4", "words<10", "words<25", "words>24", "linked", "all linked", "sentence", "commas", "(c)", "first", "last",
+    *(f"<{t}>" for t in TAGS), "article in article", *CLASSES, "words<4", "words<10", "words<25", "words>24", "linked", "all linked", "sentence", "commas", "(c)", "first", "last", "only",
     "no container", "links before", "links after", "heading over links", "over links", "over comments", "after over comments", "one",
 ]
 INDEX = {name: k for k, name in enumerate(FEATURES)}
@@ -266,7 +266,7 @@ def features(found: list[Block]) -> np.ndarray:
             after = True
         elif after:
             on.append("after over comments")
-        on += ["first"] * (k == 0) + ["last"] * (k == len(found) - 1) + ["one"]
+        on += ["first"] * (k == 0) + ["last"] * (k == len(found) - 1) + ["only"] * (len(found) == 1) + ["one"]
         x[k, [INDEX[f] for f in on]] = 1
     return x
 
@@ -420,6 +420,9 @@ class Maker:
         self.add(f"<{tag}{self.named('comment') if named else ''}>{inner}</{tag}>", *labels)
 
     def page(self) -> tuple[str, list[int]]:
+        if self.often(0.12):  # nothing but an article
+            self.article()
+            return self.head() + "".join(self.parts), self.labels
         opened, closed = self.wrapped()
         self.add(opened)
         if self.often(0.4):
@@ -450,8 +453,10 @@ class Maker:
         if self.often(0.85):
             self.within("foot", "footer footer", ("&copy; " if self.often(0.5) else "") + self.sentences(1), 0)
         self.add(closed)
-        head = self.r.choice((f"<html><head><title>{self.phrase(2, 5)}</title><body>", f"<!DOCTYPE html><head><meta charset=utf-8><title>{self.phrase(3, 6)}</title></head><body>", "<body>", ""))
-        return head + self.r.choice(("", "\n")).join(self.parts), self.labels
+        return self.head() + self.r.choice(("", "\n")).join(self.parts), self.labels
+
+    def head(self) -> str:
+        return self.r.choice((f"<html><head><title>{self.phrase(2, 5)}</title><body>", f"<!DOCTYPE html><head><meta charset=utf-8><title>{self.phrase(3, 6)}</title></head><body>", "<body>", ""))
 
 
 def labelled_page(r: random.Random) -> tuple[str, list[int]]:

@@ -10,6 +10,8 @@ from pyspark.sql import Window as W
 RANGES = 256
 #: Cuts are looked up in two steps of so many.
 STEP = 16
+#: Values of a group, at most, that its cuts are taken from.
+SAMPLES = 16 * RANGES
 
 
 def range_of(value: Column, cuts: Column) -> Column:
@@ -18,6 +20,19 @@ def range_of(value: Column, cuts: Column) -> Column:
     return above * STEP + F.size(F.filter(F.slice(cuts, above * STEP + 1, STEP - 1), lambda c: c <= value))
 
 
+def even_cuts(values: DataFrame, by: str, value: str, ranges: int = RANGES) -> DataFrame:
+    """_by, _cuts: the ends of ranges of a group's distinct values with about equal shares of them.
+
+    A plan may read its input twice, so cuts must not depend on the order in which rows come, as approximate percentiles
+    do: values are dealt by their hash into SAMPLES slots, the one of the least hash stands for each.
+    """
+    mark = F.xxhash64(value)
+    slots = values.where(F.col(value).isNotNull()).groupBy(F.col(by).alias("_by"), F.pmod(mark, F.lit(SAMPLES)).alias("_slot")).agg(F.min_by(value, mark).alias("_value"))
+    found = slots.groupBy("_by").agg(F.array_sort(F.collect_list("_value")).alias("_values"))
+    ends = F.transform(F.sequence(F.lit(1), F.lit(ranges - 1)), lambda k: F.get("_values", F.floor(k * F.size("_values") / ranges).cast("int")))
+    return found.select("_by", ends.alias("_cuts"))
+
+
 def cumulated(rows: DataFrame, by: str, value: str) -> DataFrame:
     """by, value, n, before (rows of the group with a smaller value), total: one row per distinct value; nulls are left out."""
     return placed(rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("n")), by, value)
@@ -27,12 +42,12 @@ def placed(counts: DataFrame, by: str, value: str) -> DataFrame:
     """The same from counts (by, value, n) of distinct values. Ranges are cut at even shares of a group's distinct values,
     so a few outliers do not put all others in one range."""
     counts = counts.where(F.col(value).isNotNull()).select(by, value, "n")
-    shares = F.array(*[F.lit(k / RANGES) for k in range(1, RANGES)])
-    ends = counts.groupBy(F.col(by).alias("_by")).agg(F.percentile_approx(value, shares, F.lit(10 * RANGES)).alias("_cuts"), F.sum("n").alias("total"))
-    counts = counts.join(ends, F.col(by).eqNullSafe(F.col("_by"))).drop("_by")
+    counts = counts.join(even_cuts(counts, by, value), F.col(by).eqNullSafe(F.col("_by"))).drop("_by")
     counts = counts.withColumn("_range", range_of(F.col(value), F.col("_cuts"))).drop("_cuts")
     sums = counts.groupBy(F.col(by).alias("_by"), F.col("_range").alias("_at")).agg(F.sum("n").alias("_n"))
-    sums = sums.withColumn("_offset", F.coalesce(F.sum("_n").over(W.partitionBy("_by").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    of = W.partitionBy("_by").orderBy("_at")
+    sums = sums.withColumn("_offset", F.coalesce(F.sum("_n").over(of.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    sums = sums.withColumn("total", F.sum("_n").over(of.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
     inside = F.coalesce(F.sum("n").over(W.partitionBy(by, "_range").orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     found = counts.withColumn("_inside", inside).join(sums.drop("_n"), F.col(by).eqNullSafe(F.col("_by")) & (F.col("_range") == F.col("_at")))
     return found.select(by, value, "n", (F.col("_offset") + F.col("_inside")).alias("before"), "total")

@@ -27,12 +27,15 @@ def deltas(samples: DataFrame, series: str, seconds: int) -> DataFrame:
 
 def increase(samples: DataFrame, series: str = "name", seconds: int = 300) -> DataFrame:
     """Growth of a counter over the trailing range, between samples in it and the one before; nothing is added
-    for the ends of the range that no sample covers. Ranges of time are as long as the trailing one, which so lies in
-    two of them: a window sees two ranges of a series, never a whole series."""
-    rows = deltas(samples, series, seconds)
+    for the ends of the range that no sample covers. Ranges of time are as long as the trailing one, which so is the end
+    of one of them and the start of the next: two running sums, whose cost does not grow with the samples of a range.
+    """
+    rows = deltas(samples, series, seconds).withColumn("_into", F.pmod(second("ts"), F.lit(seconds)))
     both = rows.withColumn("_seen", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_part", F.col("_range") + F.col("_seen"))
-    trailing = W.partitionBy(series, "_part").orderBy(second("ts")).rangeBetween(-seconds, 0)
-    return both.withColumn("increase", F.sum("delta").over(trailing)).where("_seen = 0").drop("_seen", "_part", "_range")
+    part = W.partitionBy(series, "_part")
+    running = lambda seen, order: F.sum(F.when(F.col("_seen") == seen, F.col("delta"))).over(part.orderBy(order).rangeBetween(W.unboundedPreceding, W.currentRow))
+    up, down = running(0, F.col("_into")), F.coalesce(running(1, F.col("_into").desc()), F.lit(0.0))
+    return both.withColumn("increase", up + down).where("_seen = 0").drop("_seen", "_part", "_range", "_into")
 
 
 def rate_at(samples: DataFrame, series: str, labels: list[str], step: int = 60, seconds: int = 300) -> DataFrame:

@@ -59,7 +59,11 @@ def broken(attrs: Column, rule: tuple) -> Column:
 
 
 def first_error(component: Column, attrs: Column) -> Column:
-    """The common rules, then those of the component; other components have none."""
+    """The common rules, then those of the component; other components have none. JSON is read once a row."""
+    return V.once({"attrs": attrs}, lambda x: first_broken(component, x["attrs"]))
+
+
+def first_broken(component: Column, attrs: Column) -> Column:
     own = F.lit(None).cast("string")
     for name, rules in RULES.items():
         own = F.when(component == name, F.coalesce(*[broken(attrs, r) for r in rules])).otherwise(own)

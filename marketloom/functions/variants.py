@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ def attributes(json: Column) -> Column:
     return F.try_parse_json(json).try_cast("map<string, variant>")
 
 
+def once(values: dict[str, Column], body: Callable[[Column], Column]) -> Column:
+    """body over a struct of the values, each of which is worked out once a row, however often body names it."""
+    return F.get(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), body), F.lit(0))
+
+
 def is_number(value: Column) -> Column:
     return F.coalesce(F.rlike(F.schema_of_variant(value), F.lit(NUMBER)), F.lit(False))
 
@@ -46,5 +53,9 @@ def same(a: Column, b: Column) -> Column:
 def edited(attrs: Column, changes: dict[str, Column], dropped: Column | None = None) -> Column:
     """attrs with members set, where the new value is not null, and those named in the array dropped gone."""
     new = F.map_filter(F.create_map(*[x for k, v in changes.items() for x in (F.lit(k), v.cast("variant"))]), lambda _, v: v.isNotNull())
-    gone = F.map_keys(new) if dropped is None else F.array_union(F.map_keys(new), dropped)
-    return F.map_concat(F.map_filter(attrs, lambda k, _: ~F.array_contains(gone, k)), new)
+    dropped = F.array().cast("array<string>") if dropped is None else dropped
+
+    def put(x: Column) -> Column:
+        return F.map_concat(F.map_filter(attrs, lambda k, _: ~F.map_contains_key(x["new"], k) & ~F.array_contains(x["dropped"], k)), x["new"])
+
+    return once({"new": new, "dropped": dropped}, put)

@@ -29,26 +29,37 @@ def normalized(component: Column, title: Column, attrs: Column) -> Column:
 
     attrs is MAP<STRING, VARIANT>; null stays null. A confidence that is null in the JSON counts as given.
     """
-    ram, gpu, system = component == "ram", component == "gpu", component.isin("workstation", "desktop")
+    return V.once({"attrs": attrs}, lambda x: with_rules(component, title, x["attrs"]))
+
+
+def with_rules(component: Column, title: Column, attrs: Column) -> Column:
+    texts = ["model", "family", "vendor", "line", "condition", *PLACEHOLDER_FIELDS]
     speed = V.whole(attrs, "speed_mhz")
-    kept = F.when(speed.between(800, 8400), speed)
-    found = F.when(kept.isNull(), T.title_speed(title))
-    model, family, vendor, line = (V.text(attrs, k) for k in ("model", "family", "vendor", "line"))
+    said = {k: V.text(attrs, k) for k in texts} | {"speed": speed, "capacity": V.whole(attrs, "capacity_gb"), "vram": V.whole(attrs, "vram_gb")}
+    said |= {"found": F.when((component == "ram") & ~F.coalesce(speed.between(800, 8400), F.lit(False)), T.title_speed(title))}
+    return V.once(said, lambda x: with_members(component, title, attrs, x))
+
+
+def with_members(component: Column, title: Column, attrs: Column, x: Column) -> Column:
+    """attrs as the rules have them, from what x says of its members."""
+    ram, gpu, system = component == "ram", component == "gpu", component.isin("workstation", "desktop")
+    kept, found = F.when(x["speed"].between(800, 8400), x["speed"]), x["found"]
+    model, family, vendor, line = (x[k] for k in ("model", "family", "vendor", "line"))
     new_line = A.system_line(F.coalesce(line, F.lit("")), F.coalesce(model, F.lit("")))
     changes = {
         "confidence": F.when(~F.map_contains_key(attrs, "confidence"), F.lit(DEFAULT_CONFIDENCE)),
-        "condition": F.when(V.text(attrs, "condition").isNotNull(), T.condition(V.text(attrs, "condition"))),
-        "capacity_gb": F.when(ram, A.fewer_units(V.whole(attrs, "capacity_gb"), 1024)),
+        "condition": F.when(x["condition"].isNotNull(), T.condition(x["condition"])),
+        "capacity_gb": F.when(ram, A.fewer_units(x["capacity"], 1024)),
         "speed_mhz": F.when(ram, found),
         "tier": F.when(component == "server", T.server_tier(title)),
-        "vram_gb": F.when(gpu, A.gpu_vram(V.whole(attrs, "vram_gb"))),
+        "vram_gb": F.when(gpu, A.gpu_vram(x["vram"])),
         "model": F.when(gpu, A.gpu_model(model)).when(system, A.system_model(model)),
         "family": F.when(gpu & (model.isNotNull() | family.isNotNull()), A.gpu_family(F.coalesce(family, F.lit("")), F.coalesce(model, F.lit("")))),
         "vendor": F.when(system, A.system_vendor(vendor)),
         "line": F.when(system, new_line),
     }
     changes = {k: F.nullif(v, F.lit("")) if k in ("family", "line") else v for k, v in changes.items()}
-    stale = [F.when(V.text(attrs, k).isNotNull() & A.without_placeholder(X.trimmed(V.text(attrs, k))).isNull(), k) for k in PLACEHOLDER_FIELDS]
+    stale = [F.when(x[k].isNotNull() & A.without_placeholder(X.trimmed(x[k])).isNull(), k) for k in PLACEHOLDER_FIELDS]
     stale.append(F.when(ram & kept.isNull() & found.isNull(), "speed_mhz"))
     return V.edited(attrs, changes, F.array_compact(F.array(*stale)))
 

@@ -91,8 +91,11 @@ def condition(raw: Column) -> Column:
 def title_speed(title: Column) -> Column:
     """From the first module number if it is known, else from the first DDR speed within range."""
     known = F.create_map(*[F.lit(x) for pair in MODULE_MHZ.items() for x in pair])
-    plain = F.regexp_extract(title, ascii_edges(SPEED), 1).try_cast("int")
-    return F.coalesce(F.try_element_at(known, F.regexp_extract(title, ascii_edges(MODULE), 1)), F.when(plain.between(800, 8400), plain))
+    # Most titles have neither: a plain search, which the patterns imply, comes before each match.
+    has = lambda text: F.contains(F.lower(title), F.lit(text))
+    module = F.when(has("pc"), F.try_element_at(known, F.regexp_extract(title, ascii_edges(MODULE), 1)))
+    plain = F.when(has("ddr"), F.regexp_extract(title, ascii_edges(SPEED), 1).try_cast("int"))
+    return F.coalesce(module, F.when(plain.between(800, 8400), plain))
 
 
 def module_speed(number: Column) -> Column:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .market import BROADCAST_ROWS, small
+from .ranks import even_cuts
 
 #: Levels of the tree over price cells; cells a doubling of the price, and doublings below 1 (2^-8 and less is one cell).
 PRICE_LEVELS = 11
@@ -44,10 +45,12 @@ def feedback_cell(value: Column, cuts: Column) -> Column:
 
 
 def feedback_cuts(watches: DataFrame) -> DataFrame:
-    """One row a type: cuts of feedback at even shares of what its watches ask for, or at all of it where that is few."""
-    shares = F.array(*[F.lit(k / FEEDBACK_CELLS) for k in range(1, FEEDBACK_CELLS)])
-    cuts = F.percentile_approx(F.nullif("min_feedback", F.lit(0)).cast("double"), shares, F.lit(100 * FEEDBACK_CELLS))
-    return watches.groupBy("component_type").agg(F.coalesce(F.array_sort(F.array_distinct(cuts)), F.array().cast("array<double>")).alias("feedback_cuts"))
+    """One row a type: cuts of feedback at even shares of what its watches ask for, or at all of it where that is few. They
+    are read on both sides of the join, so they must not depend on the order of rows."""
+    asked = watches.select("component_type", F.nullif("min_feedback", F.lit(0)).cast("double").alias("_feedback"))
+    cuts = even_cuts(asked, "component_type", "_feedback", FEEDBACK_CELLS).select(F.col("_by").alias("component_type"), F.array_distinct("_cuts").alias("feedback_cuts"))
+    types = watches.select("component_type").distinct().join(cuts, "component_type", "left")
+    return types.withColumn("feedback_cuts", F.coalesce("feedback_cuts", F.array().cast("array<double>")))
 
 
 def cover(first: Column, last: Column) -> Column:

@@ -40,8 +40,9 @@ def price_cell(price: Column) -> Column:
 
 
 def feedback_cell(value: Column, cuts: Column) -> Column:
-    """How many cuts are not above the value."""
-    return F.size(F.filter(cuts, lambda c: c <= value))
+    """How many cuts are not above the value; a type has fewer than FEEDBACK_CELLS. No function over an array, as Spark
+    does not compile a plan's node that has one."""
+    return sum((F.coalesce((F.get(cuts, F.lit(k)) <= value).cast("int"), F.lit(0)) for k in range(FEEDBACK_CELLS - 1)), F.lit(0))
 
 
 def feedback_cuts(watches: DataFrame) -> DataFrame:
@@ -73,7 +74,7 @@ def index_of(watches: DataFrame, cuts: DataFrame) -> DataFrame:
     most CHUNK in a row, and least, the first of them."""
     first = F.when(F.col("price_min").isNull(), 0).otherwise(price_cell(F.col("price_min")))
     last = F.when(F.col("price_max").isNull(), PRICE_CELLS - 1).otherwise(price_cell(F.col("price_max")))
-    rows = watches.join(small(cuts), "component_type").withColumns({"first": first, "last": last})
+    rows = watches.join(cuts, "component_type").withColumns({"first": first, "last": last})
     least = F.when(F.coalesce("min_feedback", F.lit(0)) == 0, 0).otherwise(feedback_cell(F.col("min_feedback"), F.col("feedback_cuts")))
     rows = rows.select("component_type", "watch_id", "score_threshold", least.alias("at_least"), F.explode(cover(F.col("first"), F.col("last"))).alias("block"))
     rows = rows.withColumn("feedback_cell", F.explode(F.sequence("at_least", F.lit(FEEDBACK_CELLS - 1))))
@@ -90,14 +91,15 @@ def index_of(watches: DataFrame, cuts: DataFrame) -> DataFrame:
 
 def candidates(scored: DataFrame, watches: DataFrame) -> DataFrame:
     """Rows of scored with the watch_id of each watch that the index gives for them."""
-    cuts = feedback_cuts(watches)
+    cuts = small(feedback_cuts(watches))
     index = index_of(watches, cuts)
-    rows = scored.where(F.col("score").isNotNull()).join(small(cuts), "component_type")
-    # A price that is not known fits watches that ask for none, which are those of the topmost block.
-    levels = F.when(F.col("unit_price").isNull(), F.array(F.lit(PRICE_LEVELS))).otherwise(F.sequence(F.lit(0), F.lit(PRICE_LEVELS)))
     own = price_cell(F.coalesce("unit_price", F.lit(0.0)))
-    looked = F.transform(levels, lambda k: k * PRICE_CELLS + F.floor(own / F.pow(F.lit(2.0), k)).cast("int"))
-    rows = rows.withColumn("feedback_cell", feedback_cell(F.coalesce("seller_feedback_score", F.lit(-1)), F.col("feedback_cuts"))).drop("feedback_cuts").withColumn("block", F.explode(looked))
+    rows = scored.where(F.col("score").isNotNull()).join(cuts, "component_type").withColumn("_cell", own)
+    rows = rows.withColumn("feedback_cell", feedback_cell(F.coalesce("seller_feedback_score", F.lit(-1)), F.col("feedback_cuts"))).drop("feedback_cuts")
+    # A price that is not known fits watches that ask for none, which are those of the topmost block.
+    looked = [k * PRICE_CELLS + F.shiftright("_cell", k) for k in range(PRICE_LEVELS + 1)]
+    looked = F.array(*[F.when(F.col("unit_price").isNotNull(), b) for b in looked[:-1]], looked[-1])
+    rows = rows.withColumn("block", F.explode(looked)).drop("_cell")
     key = ["component_type", "block", "feedback_cell"]
     n = index.agg(F.count(F.lit(1)).alias("chunks"), F.coalesce(F.sum(F.size("watches")), F.lit(0)).alias("entries")).first()
     if n["chunks"] <= BROADCAST_CHUNKS and n["entries"] <= BROADCAST_ENTRIES:
@@ -106,9 +108,8 @@ def candidates(scored: DataFrame, watches: DataFrame) -> DataFrame:
         rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in ("listing_id", "unit_price", "score") if c in rows.columns]), F.lit(SALTS)).cast("int"))
         index = index.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         found = rows.join(index, [*key, "_salt"]).drop("_salt")
-    found = found.where(F.col("least") <= F.col("score"))
-    taken = F.transform(F.filter("watches", lambda w: w["score_threshold"] <= F.col("score")), lambda w: w["watch_id"])
-    return found.withColumn("watch_id", F.explode(taken)).drop("block", "feedback_cell", "chunk", "watches", "least")
+    found = found.where(F.col("least") <= F.col("score")).withColumn("_watch", F.explode("watches")).where(F.col("_watch.score_threshold") <= F.col("score"))
+    return found.withColumn("watch_id", F.col("_watch.watch_id")).drop("block", "feedback_cell", "chunk", "watches", "least", "_watch")
 
 
 def with_watches(rows: DataFrame, watches: DataFrame) -> DataFrame:

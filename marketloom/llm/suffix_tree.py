@@ -13,22 +13,23 @@ and more symbols, up to one more than the deepest context: a kept context adds t
 shorter runs add, a known word its own log less that of an unknown one. So one table of (hash of a run, values) is all
 that scoring needs. Its LOCAL_ROWS rows of most occurrences are looked up within tasks; occurrences of others are joined
 with the table by hash, and as each is rarer than all of those, no hash has more than about 1 / LOCAL_ROWS of all
-occurrences there. A run is counted only where its parts are frequent. Bitmaps of bounded size spare most occurrences
-that would find nothing; they decide no result.
+occurrences there. A run is counted only where its parts are frequent; pairs and triples are counted by 32 bits of their
+hash first, so that the many that are seen a few times are not shuffled whole. Bitmaps of bounded size spare most
+occurrences that would find nothing; they decide no result.
 
-Words and runs are told apart by a 64-bit hash. Defined cases: null or empty text is the end alone; null doc_id counts as
+Words and runs are told apart by a 64-bit hash, which is made for all words of a slice of bytes at once. Defined cases: null or empty text is the end alone; null doc_id counts as
 the empty text in the rule for held-out rows and is carried; repeated rows are counted and scored each; an empty table
 gives an empty result, an empty training part a root of one class.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from math import log2, log10
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,10 +46,13 @@ DISCOUNT = 0.5
 END = 0
 #: Bits of a symbol's number in packed contexts of Tree.
 BITS = 16
-FLUSH = 300_000
-#: Words that are in memory as arrays at a time, and runs that are added up before they are sent.
-SLICE = 200_000
+#: Bytes of text that are in memory as arrays at a time (one text at least), and runs that are added up before they are sent.
+SLICE = 1 << 18
 HELD = 4_000_000
+#: A word's hash is a sum over its bytes, which is made in blocks of so many; longer words than LONG bytes are hashed one by one.
+BLOCK = 1 << 17
+LONG = 256
+PLACE = 0x9E3779B97F4A7C15
 #: Bitmaps have 32 bits an entry, but at most 2 ** MAP_BITS.
 MAP_BITS = 27
 #: The hash of a run is that of the run without its last symbol times this number, plus the last symbol's.
@@ -64,64 +68,96 @@ def held_out() -> Column:
 ANY = b" "
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()  # bytes: ASCII letters and the six ASCII spaces only
-
-
 def signed(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word) - (1 << 63)
 
 
-class Hashes(dict):
-    """64-bit hashes of words, kept for those seen lately."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > FLUSH:
-            self.clear()
-        self[word] = value = signed(word)
-        return value
-
-
 #: The end as a hash; words are never empty.
 END_CODE = signed(b"")
-
-
-def sliced(texts: pa.Array, hashes: Hashes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+#: White space of words; a number for each byte, the same for both cases of a letter; powers that a byte's place counts with, and their inverses.
+SPACES = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+OF_BYTE = np.array([xxhash.xxh64_intdigest(bytes([b]).lower()) for b in range(256)], np.uint64)
+POWERS = np.cumprod(np.full(BLOCK + LONG, PLACE, np.uint64))
+INVERSES = np.cumprod(np.full(BLOCK + LONG, pow(PLACE, -1, 1 << 64), np.uint64))
+
+
+def hashes_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The 64-bit hash of each word data[start:end], ASCII letters in lower case, from running sums over blocks of bytes."""
+    out = np.empty(len(starts), np.uint64)
+    cuts = np.searchsorted(starts, np.arange(0, len(data) + BLOCK, BLOCK))
+    for k, (first, last) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        if first == last:
+            continue
+        piece = data[k * BLOCK : (k + 1) * BLOCK + LONG]
+        sums = np.zeros(len(piece) + 1, np.uint64)
+        np.cumsum(np.take(OF_BYTE, piece) * POWERS[: len(piece)], out=sums[1:])
+        start, end = starts[first:last] - k * BLOCK, np.minimum(ends[first:last] - k * BLOCK, len(piece))
+        out[first:last] = (sums[end] - sums[start]) * INVERSES[start]
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        out ^= out >> np.uint64(33)
+        out *= np.uint64(factor)
+    out ^= out >> np.uint64(33)
+    out = out.view(np.int64)
+    for k in np.flatnonzero(ends - starts > LONG):
+        out[k] = signed(data[starts[k] : ends[k]].tobytes().lower())
+    return out
+
+
+def symbols_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same as sliced, of texts that lie in data from bound to bound."""
+    word = ~SPACES[data]
+    first, last = word.copy(), word.copy()
+    first[1:] &= ~word[:-1]
+    last[:-1] &= ~word[1:]
+    inside = bounds[(bounds > 0) & (bounds < len(data))]
+    first[inside], last[inside - 1] = word[inside], word[inside - 1]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    sizes = np.diff(np.searchsorted(starts, bounds)) + 1
+    symbols, inner = np.full(len(starts) + len(sizes), END_CODE), np.ones(len(starts) + len(sizes), bool)
+    inner[np.cumsum(sizes) - 1] = False
+    symbols[inner] = hashes_of(data, starts, ends)
+    return symbols, sizes
+
+
+def sliced(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(hashes of words, with the end after each text; number of symbols of each text) of some texts at a time."""
-    words, sizes = [], []
-    for text in texts:
-        own = words_of(text.as_py())
-        words += own
-        words.append(b"")
-        sizes.append(len(own) + 1)
-        if len(words) > SLICE:
-            yield np.fromiter(map(hashes.__getitem__, words), np.int64, len(words)), np.array(sizes)
-            words, sizes = [], []
-    if sizes:
-        yield np.fromiter(map(hashes.__getitem__, words), np.int64, len(words)), np.array(sizes)
+    texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
+    _, offsets, data = texts.buffers()
+    n = len(texts)
+    if not n:
+        return
+    bounds = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + n + 1]
+    data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    at = 0
+    while at < n:
+        end = int(np.searchsorted(bounds, bounds[at] + SLICE, "right")) - 1
+        end = max(at + 1, min(end, at + SLICE, n))
+        yield symbols_of(data[bounds[at] : bounds[end]], bounds[at : end + 1] - bounds[at])
+        at = end
 
 
 def longer(runs: np.ndarray, last: np.ndarray) -> np.ndarray:
     return runs * FACTOR + last
 
 
-def rows_of(counts: Counter) -> pa.RecordBatch:
-    keys = np.fromiter(counts.keys(), np.int64, len(counts))
-    return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.fromiter(counts.values(), np.int64, len(counts)))], names=["code", "n"])
-
-
 def word_counts(training: DataFrame) -> DataFrame:
     """code (hash), n of each training word; tasks add up what they have before it is shuffled."""
 
+    def added(held: list[np.ndarray]) -> pa.RecordBatch:
+        codes, n = np.unique(np.concatenate([np.zeros(0, np.int64), *held]), return_counts=True)
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n.astype(np.int64))], names=["code", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        held, size = [], 0
         for batch in batches:
-            for text in batch.column(0):
-                counts.update(words_of(text.as_py()))
-                if len(counts) > FLUSH:
-                    yield rows_of(Counter({signed(w): n for w, n in counts.items()}))
-                    counts.clear()
-        yield rows_of(Counter({signed(w): n for w, n in counts.items()}))
+            for symbols, _ in sliced(batch.column(0)):
+                held.append(symbols[symbols != END_CODE])
+                size += len(held[-1])
+                if size > HELD:
+                    yield added(held)
+                    size = 0
+        yield added(held)
 
     return training.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
@@ -147,6 +183,27 @@ def within(sorted_codes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.
     return at, sorted_codes[at] == codes
 
 
+class Places:
+    """Where hashes are in a sorted array of distinct ones: by their first bits, then one by one among the few that share them."""
+
+    def __init__(self, codes: np.ndarray):
+        self.codes, self.shift = codes, 64 - max(1, len(codes).bit_length())
+        self.firsts = np.searchsorted(codes >> self.shift, np.arange(-1 << (63 - self.shift), (1 << (63 - self.shift)) + 1)).astype(np.int32)
+
+    def within(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same as the function."""
+        some = (codes >> self.shift) + (1 << (63 - self.shift))
+        at, end = self.firsts[some], self.firsts[some + 1]
+        there, left = np.zeros(len(codes), bool), np.flatnonzero(at < end)
+        while len(left):
+            own, sought = self.codes[at[left]], codes[left]
+            there[left[own == sought]] = True
+            left = left[own < sought]
+            at[left] += 1
+            left = left[at[left] < end[left]]
+        return at, there
+
+
 class Bitmap:
     """Whether a hash may be in a table: never a wrong no. A hash sets two bits."""
 
@@ -171,28 +228,28 @@ class Bitmap:
         return out
 
 
+def slots_of(codes: np.ndarray) -> np.ndarray:
+    """The slots of codes, their upper halves, as numbers of which both halves differ, for a bitmap."""
+    upper = codes >> 32
+    return ((upper >> 5) << 32) | (upper & 0xFFFFFFFF)
+
+
+def likely(counts: DataFrame, least: float) -> Bitmap:
+    """What may be frequent, from counts (slot, n) of the slots of runs: a run is no more frequent than its slot."""
+    found = materialize(counts.groupBy("slot").agg(F.sum("n").alias("n")).where(F.col("n") >= float(least)).select(F.col("slot").cast("long").alias("slot")), "slots")
+    return Bitmap(found.select(F.shiftleft(F.shiftright("slot", 5), 32).bitwiseOR(F.col("slot").bitwiseAND(F.lit(0xFFFFFFFF))).alias("code")))
+
+
 def run_counts(training: DataFrame, width: int, parts: Bitmap, least: float, label: str) -> DataFrame:
     """code, before (hash of the run without its last symbol), last, n of runs of two or three symbols seen that often.
 
-    parts: what the runs one shorter that are frequent may be.
+    parts: what the runs one shorter that are frequent may be. A first reading adds up slots of 32 bits, so that of all
+    the runs that are seen a few times only half a hash each is shuffled.
     """
 
-    def added(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        before = np.concatenate([np.zeros(0, np.int64), *(b for b, _ in held)])
-        last = np.concatenate([np.zeros(0, np.int64), *(x for _, x in held)])
-        held.clear()
-        codes = longer(before, last)
-        order = np.argsort(codes)
-        codes = codes[order]
-        starts = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else np.zeros(0, np.int64)
-        n = np.diff(np.append(starts, len(codes)))
-        some = order[starts]
-        return pa.RecordBatch.from_arrays([pa.array(before[some]), pa.array(last[some]), pa.array(n.astype(np.int64))], names=["before", "last", "n"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, size = Hashes(), [], 0
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for batch in batches:
-            for symbols, _ in sliced(batch.column(0), hashes):
+            for symbols, _ in sliced(batch.column(0)):
                 inner = symbols != END_CODE
                 before, last, ok = symbols[:-1], symbols[1:], inner[:-1]
                 shorter = parts.may_have(symbols)
@@ -201,20 +258,65 @@ def run_counts(training: DataFrame, width: int, parts: Bitmap, least: float, lab
                     before, last, ok = pairs[:-1], symbols[2:], ok[:-1] & inner[1:-1]
                     shorter = parts.may_have(pairs)
                 ok = ok & shorter[:-1] & shorter[1:]
-                held.append((before[ok], last[ok]))
-                size += int(ok.sum())
-                if size > HELD:
-                    yield added(held)
-                    size = 0
+                yield before[ok], last[ok]
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for before, last in found(batches):
+            held.append((longer(before, last) >> 32).astype(np.int32))
+            size += len(before)
+            if size > HELD:
+                yield slots_added(held)
+                size = 0
+        yield slots_added(held)
+
+    def slots_added(held: list[np.ndarray]) -> pa.RecordBatch:
+        own, n = np.unique(np.concatenate([np.zeros(0, np.int32), *held]), return_counts=True)
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(own), pa.array(n.astype(np.int64))], names=["slot", "n"])
+
+    def added(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        before = np.concatenate([np.zeros(0, np.int64), *(b for b, _ in held)])
+        last = np.concatenate([np.zeros(0, np.int64), *(x for _, x in held)])
+        held.clear()
+        some, n = first_of_each(longer(before, last))
+        return pa.RecordBatch.from_arrays([pa.array(before[some]), pa.array(last[some]), pa.array(n)], names=["before", "last", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for before, last in found(batches):
+            ok = likely_ones.may_have(slots_of(longer(before, last)))
+            held.append((before[ok], last[ok]))
+            size += len(held[-1][0])
+            if size > HELD:
+                yield added(held)
+                size = 0
         yield added(held)
 
-    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    texts = training.select("text")
+    likely_ones = likely(texts.mapInArrow(slots, "slot int, n long"), least)
+    counts = texts.mapInArrow(run, "before long, last long, n long").groupBy("before", "last").agg(F.sum("n").alias("n"))
+    return materialize(with_codes(counts.where(F.col("n") >= float(least)), "before long, last long, n long"), label)
+
+
+def first_of_each(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct code is once, and how often it is there."""
+    order = np.argsort(codes)
+    codes = codes[order]
+    starts = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else np.zeros(0, np.int64)
+    return order[starts], np.diff(np.append(starts, len(codes))).astype(np.int64)
+
+
+def with_codes(rows: DataFrame, columns: str) -> DataFrame:
+    """rows with the hash of before and last as code."""
+    names = [x.split()[0] for x in columns.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = longer(batch.column(0).to_numpy(), batch.column(1).to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(codes), *batch.columns], names=["code", "before", "last", "n"])
+            codes = longer(batch.column("before").to_numpy(), batch.column("last").to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(codes), *batch.columns], names=["code", *names])
 
-    found = training.select("text").mapInArrow(run, "before long, last long, n long").groupBy("before", "last").agg(F.sum("n").alias("n"))
-    return materialize(found.where(F.col("n") >= float(least)).mapInArrow(coded, "code long, before long, last long, n long"), label)
+    return rows.select(*names).mapInArrow(run, f"code long, {columns}")
 
 
 def deeper_counts(training: DataFrame, depth: int, suffixes: Bitmap, shorter: Bitmap, threes: Bitmap, least: float) -> DataFrame:
@@ -226,18 +328,13 @@ def deeper_counts(training: DataFrame, depth: int, suffixes: Bitmap, shorter: Bi
     def added(held: list[np.ndarray]) -> pa.RecordBatch:
         before, suffix, last = np.concatenate([np.zeros((3, 0), np.int64), *held], axis=1)
         held.clear()
-        codes = longer(before, last)
-        order = np.argsort(codes)
-        codes = codes[order]
-        starts = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else np.zeros(0, np.int64)
-        some = order[starts]
-        n = np.diff(np.append(starts, len(codes))).astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (codes[starts], before[some], suffix[some], last[some], n)], names=["code", "before", "suffix", "last", "n"])
+        some, n = first_of_each(longer(before, last))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (before[some], suffix[some], last[some], n)], names=["before", "suffix", "last", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, size = Hashes(), [], 0
+        held, size = [], 0
         for batch in batches:
-            for symbols, _ in sliced(batch.column(0), hashes):
+            for symbols, _ in sliced(batch.column(0)):
                 inner = symbols != END_CODE
                 runs, words = symbols, inner
                 for k in range(1, depth - 1):
@@ -256,9 +353,9 @@ def deeper_counts(training: DataFrame, depth: int, suffixes: Bitmap, shorter: Bi
                     size = 0
         yield added(held)
 
-    found = training.select("text").mapInArrow(run, "code long, before long, suffix long, last long, n long")
-    found = found.groupBy("code", "before", "suffix", "last").agg(F.sum("n").alias("n"))
-    return materialize(found.where(F.col("n") >= float(least)), "deeper")
+    columns = "before long, suffix long, last long, n long"
+    found = training.select("text").mapInArrow(run, columns).groupBy("before", "suffix", "last").agg(F.sum("n").alias("n"))
+    return materialize(with_codes(found.where(F.col("n") >= float(least)), columns), "deeper")
 
 
 def tested(rows: DataFrame) -> DataFrame:
@@ -423,7 +520,7 @@ def score_documents(docs: DataFrame, min_count: int = MIN_COUNT, p_min: float =
     codes, word_logs, word_known, run_logs = (local.column(k).to_numpy() for k in range(4))
     end_log, unknown_log = log10((ends + 0.5) / below), log10(0.5 / below)
 
-    def scored(symbols: np.ndarray, sizes: np.ndarray) -> list[pa.Array]:
+    def scored(symbols: np.ndarray, sizes: np.ndarray, places: Places) -> list[pa.Array]:
         n = len(sizes)
         doc, inner = np.repeat(np.arange(n), sizes), symbols != END_CODE
         base = np.bincount(doc, np.where(inner, unknown_log, end_log), n)
@@ -441,7 +538,7 @@ def score_documents(docs: DataFrame, min_count: int = MIN_COUNT, p_min: float =
             runs.append(run)
         found = np.concatenate([some[ok] for some, ok in zip(runs, where, strict=True)])
         of = np.concatenate([doc[ok] for ok in where])
-        at, here = within(codes, found)
+        at, here = places.within(found)
         at, known = at[here], of[here]
         base += np.bincount(known, word_logs[at], n)
         n_known = np.bincount(known, word_known[at], n).astype(np.int64) + (ends > 0)
@@ -452,13 +549,13 @@ def score_documents(docs: DataFrame, min_count: int = MIN_COUNT, p_min: float =
         return [pa.array(sizes), pa.array(n_known), pa.array(base), pa.array(score), lists(found[order], of[order], n)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
+        places = Places(codes)
         for batch in batches:
             at = 0
-            for symbols, sizes in sliced(batch.column(3), hashes):
+            for symbols, sizes in sliced(batch.column(3)):
                 own = [c.slice(at, len(sizes)) for c in batch.columns[:3]]
                 at += len(sizes)
-                yield pa.RecordBatch.from_arrays([*own, *scored(symbols, sizes)], names=[x.split()[0] for x in SCORED.split(", ")])
+                yield pa.RecordBatch.from_arrays([*own, *scored(symbols, sizes, places)], names=[x.split()[0] for x in SCORED.split(", ")])
 
     numbered = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", held_out().alias("held_out"), "text")
     rows = materialize(numbered.mapInArrow(run, SCORED), "scored")

@@ -1,13 +1,12 @@
 """Matching listings with any number of watches through an index of what watches ask for.
 
-Prices are cut into cells of equal ratio, about 1 % wide. A watch's range of prices is covered by few blocks of the binary
-tree over the cells, and a listing looks up the blocks that its own cell lies in, one a level. Feedback is cut into few
-cells at bounds that the watches of a type name; a watch is kept for each cell at or above its least. Within a block,
-watches stand in order of the score they ask for, in chunks, so that a listing takes those before its own score and no
-other. What is taken is then tested with the whole predicate, which the index only foreshadows: conditions, percentages
-and open attributes are left to it, and so are bounds that fall inside a cell.
-
-A listing thus meets the watches whose type, price cell, feedback cell and score fit, not all of its type.
+Watches of a type that ask for like scores, feedback and widths of price stand in order of their price, and so many of
+them as a chunk holds are a row of the index, with all that they ask for and with the bounds that hold for each of them.
+Prices of a type are cut into stretches in which about the same number of watches begin. A listing lies in one stretch and
+is dealt there once; a chunk is dealt to each stretch that it reaches into. Within a stretch a listing opens the chunks
+whose bounds it keeps to, and no other. What is taken is then tested with the whole predicate, in the same task, which the
+bounds only foreshadow: pairs of a listing and a watch are never dealt anew, so what is written grows with listings and
+watches, not with pairs.
 """
 
 from __future__ import annotations
@@ -19,17 +18,20 @@ from pyspark.sql import Window as W
 from .market import BROADCAST_ROWS, small
 from .ranks import even_cuts
 
-#: Levels of the tree over price cells; cells a doubling of the price, and doublings below 1 (2^-8 and less is one cell).
-PRICE_LEVELS = 11
-PRICE_CELLS = 1 << PRICE_LEVELS
-A_DOUBLING = 64
+#: Cells a doubling of the price, and doublings below 1 (2^-8 and less is one cell).
+A_DOUBLING = 1024
 BELOW_ONE = 8
+PRICE_CELLS = 1 << 15
+#: Cells that are looked up together in the table of stretches.
+LOOK = 64
 FEEDBACK_CELLS = 8
-#: Watches of a row of the index.
-CHUNK = 256
-#: Rows of the index (about 80 bytes each), and watches in them (16 bytes each), up to which it is broadcast.
-BROADCAST_CHUNKS, BROADCAST_ENTRIES = 200_000, 2_000_000
-#: Parts over which the listings of a key are dealt where the index is too large for that.
+#: Watches that begin in a stretch, of a row of the index, and scores that may share one.
+STRETCH = 4096
+CHUNK = 16
+SCORES = 16
+#: Chunks up to which the index is broadcast.
+BROADCAST_CHUNKS = 4096
+#: Parts at least over which the listings of a type are dealt where the index is too large for that.
 SALTS = 16
 
 
@@ -46,75 +48,86 @@ def feedback_cell(value: Column, cuts: Column) -> Column:
 
 
 def feedback_cuts(watches: DataFrame) -> DataFrame:
-    """One row a type: cuts of feedback at even shares of what its watches ask for, or at all of it where that is few. They
-    are read on both sides of the join, so they must not depend on the order of rows."""
+    """One row a type: cuts of feedback at even shares of what its watches ask for, or at all of it where that is few."""
     asked = watches.select("component_type", F.nullif("min_feedback", F.lit(0)).cast("double").alias("_feedback"))
     cuts = even_cuts(asked, "component_type", "_feedback", FEEDBACK_CELLS).select(F.col("_by").alias("component_type"), F.array_distinct("_cuts").alias("feedback_cuts"))
     types = watches.select("component_type").distinct().join(cuts, "component_type", "left")
     return types.withColumn("feedback_cuts", F.coalesce("feedback_cuts", F.array().cast("array<double>")))
 
 
-def cover(first: Column, last: Column) -> Column:
-    """The largest blocks of the tree that together are the cells from first to last: two a level at most."""
-
-    def of_level(k: int) -> Column:
-        low = lambda k: F.ceil(first / (1 << k)).cast("int")
-        high = lambda k: (F.floor((last + 1) / (1 << k)) - 1).cast("int")
-        whole = low(k) <= high(k)
-        above = (low(k + 1) <= high(k + 1)) if k < PRICE_LEVELS else F.lit(False)  # some block above is inside too
-        left = whole & (~above | (low(k) < 2 * low(k + 1)))
-        right = whole & (low(k) < high(k)) & (~above | (high(k) > 2 * high(k + 1) + 1))
-        return F.array(F.when(left, k * PRICE_CELLS + low(k)), F.when(right, k * PRICE_CELLS + high(k)))
-
-    return F.array_compact(F.concat(*[of_level(k) for k in range(PRICE_LEVELS + 1)]))
-
-
-def index_of(watches: DataFrame, cuts: DataFrame) -> DataFrame:
-    """component_type, block, feedback_cell, chunk, watches: arrays of (score_threshold, watch_id) in order of the score, at
-    most CHUNK in a row, and least, the first of them."""
+def ranged(watches: DataFrame) -> DataFrame:
+    """watches with the first and the last cell of their prices; a null bound is open."""
     first = F.when(F.col("price_min").isNull(), 0).otherwise(price_cell(F.col("price_min")))
     last = F.when(F.col("price_max").isNull(), PRICE_CELLS - 1).otherwise(price_cell(F.col("price_max")))
-    rows = watches.join(cuts, "component_type").withColumns({"first": first, "last": last})
-    least = F.when(F.coalesce("min_feedback", F.lit(0)) == 0, 0).otherwise(feedback_cell(F.col("min_feedback"), F.col("feedback_cuts")))
-    rows = rows.select("component_type", "watch_id", "score_threshold", least.alias("at_least"), F.explode(cover(F.col("first"), F.col("last"))).alias("block"))
-    rows = rows.withColumn("feedback_cell", F.explode(F.sequence("at_least", F.lit(FEEDBACK_CELLS - 1))))
-    # Scores are whole and few, so ranks within a key are counted by score first; no window sees a key's watches at once.
-    key = ["component_type", "block", "feedback_cell"]
-    counts = rows.groupBy(*key, "score_threshold").agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.withColumn("before", F.coalesce(F.sum("n").over(W.partitionBy(*key).orderBy("score_threshold").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    rows = rows.join(counts, [*key, "score_threshold"])
-    rank = F.col("before") + F.row_number().over(W.partitionBy(*key, "score_threshold").orderBy("watch_id")) - 1
-    rows = rows.withColumn("chunk", F.floor(rank / CHUNK))
-    grouped = rows.groupBy(*key, "chunk").agg(F.array_sort(F.collect_list(F.struct("score_threshold", "watch_id"))).alias("watches"))
-    return grouped.withColumn("least", F.get("watches", F.lit(0))["score_threshold"])
+    return watches.withColumns({"_first": first, "_last": last})
+
+
+def stretches(ranges: DataFrame) -> DataFrame:
+    """component_type, stretch (from 0), start and upto, its cells, and salts: in each stretch of a type begin about STRETCH
+    watches, more where one cell has more. They are read on both sides of the join, so they depend on counts alone."""
+    of = W.partitionBy("component_type").orderBy("start")
+    counts = ranges.where(F.col("component_type").isNotNull()).groupBy("component_type", F.col("_first").alias("start")).agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(of.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    found = counts.withColumn("_share", F.floor(before / STRETCH)).groupBy("component_type", "_share").agg(F.min("start").alias("start"))
+    found = found.withColumns({"stretch": F.row_number().over(of) - 1, "upto": F.coalesce(F.lead("start").over(of) - 1, F.lit(PRICE_CELLS - 1))})
+    all_of = F.count(F.lit(1)).over(W.partitionBy("component_type"))
+    return found.select("component_type", "stretch", F.when(F.col("stretch") == 0, 0).otherwise(F.col("start")).alias("start"), "upto", F.greatest(F.lit(1), F.floor(SALTS / all_of)).cast("int").alias("salts"))
+
+
+def placed(rows: DataFrame, cell: str, looked: DataFrame, name: str) -> DataFrame:
+    """rows with the stretch of a cell under a name, and salts; looked: stretches, once for each LOOK cells."""
+    own = looked.select(F.col("component_type").alias("_type"), "_look", "start", "upto", F.col("stretch").alias(name), "salts")
+    at = (F.col("component_type") == F.col("_type")) & (F.floor(F.col(cell) / LOOK) == F.col("_look")) & F.col(cell).between(F.col("start"), F.col("upto"))
+    return rows.join(own, at).drop("_type", "_look", "start", "upto")
+
+
+def index_of(watches: DataFrame, looked: DataFrame) -> DataFrame:
+    """component_type, stretch, salt, watches (structs of all columns of watches, at most CHUNK in a row), and what holds for
+    each of them: least score and feedback, low and high price, and whether one of them takes listings without a price."""
+    own = F.struct(*[c for c in watches.columns if c != "component_type"]).alias("_watch")
+    rows = ranged(watches.where(F.col("score_threshold").isNotNull())).join(small(feedback_cuts(watches), BROADCAST_ROWS), "component_type")
+    rows = placed(placed(rows, "_first", looked, "_from").drop("salts"), "_last", looked, "_to")
+    feedback = F.nullif("min_feedback", F.lit(0)).cast("double")
+    like = {
+        "_score": F.floor(F.col("score_threshold") / SCORES), "_feedback": F.floor(feedback_cell(feedback, F.col("feedback_cuts")) / 2),
+        "_width": F.floor(F.log2(F.greatest(F.col("_last") - F.col("_first"), F.lit(0)) + 1) / 4), "_near": F.floor(F.col("_from") / 8),
+    }
+    bounds = {
+        "_low": F.coalesce(F.col("price_min").cast("double"), F.lit(float("-inf"))), "_high": F.coalesce(F.col("price_max").cast("double"), F.lit(float("nan"))),
+        "_least": F.coalesce(feedback, F.lit(float("-inf"))), "_open": F.col("price_min").isNull() & F.col("price_max").isNull(),
+    }
+    rows = rows.withColumns(like | bounds).select("component_type", "salts", "_from", "_to", "score_threshold", "watch_id", *like, *bounds, own)
+    # A chunk's watches are neighbours by price among those that ask for like things; a window sees these only.
+    key = ["component_type", *like]
+    rank = F.row_number().over(W.partitionBy(*key).orderBy("_low", "_high", "watch_id")) - 1
+    chunks = rows.withColumn("_chunk", F.floor(rank / CHUNK)).groupBy(*key, "_chunk").agg(
+        F.collect_list("_watch").alias("_watches"), F.min("score_threshold").alias("_least_score"), F.min("_least").alias("_least"), F.min("_low").alias("_low"), F.max("_high").alias("_high"),
+        F.bool_or("_open").alias("_open"), F.min("_from").alias("_from"), F.max("_to").alias("_to"), F.first("salts").alias("salts"),
+    )
+    chunks = chunks.select("component_type", "_watches", "_least_score", "_least", "_low", "_high", "_open", "salts", F.explode(F.when(F.col("_from") <= F.col("_to"), F.sequence("_from", "_to"))).alias("stretch"))
+    return chunks
 
 
 def candidates(scored: DataFrame, watches: DataFrame) -> DataFrame:
-    """Rows of scored with the watch_id of each watch that the index gives for them."""
-    cuts = small(feedback_cuts(watches))
-    index = index_of(watches, cuts)
-    own = price_cell(F.coalesce("unit_price", F.lit(0.0)))
-    rows = scored.where(F.col("score").isNotNull()).join(cuts, "component_type").withColumn("_cell", own)
-    rows = rows.withColumn("feedback_cell", feedback_cell(F.coalesce("seller_feedback_score", F.lit(-1)), F.col("feedback_cuts"))).drop("feedback_cuts")
-    # A price that is not known fits watches that ask for none, which are those of the topmost block.
-    looked = [k * PRICE_CELLS + F.shiftright("_cell", k) for k in range(PRICE_LEVELS + 1)]
-    looked = F.array(*[F.when(F.col("unit_price").isNotNull(), b) for b in looked[:-1]], looked[-1])
-    rows = rows.withColumn("block", F.explode(looked)).drop("_cell")
-    key = ["component_type", "block", "feedback_cell"]
-    n = index.agg(F.count(F.lit(1)).alias("chunks"), F.coalesce(F.sum(F.size("watches")), F.lit(0)).alias("entries")).first()
-    if n["chunks"] <= BROADCAST_CHUNKS and n["entries"] <= BROADCAST_ENTRIES:
-        found = rows.join(F.broadcast(index), key)
-    else:  # a block of a common type has many listings
-        rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in ("listing_id", "unit_price", "score") if c in rows.columns]), F.lit(SALTS)).cast("int"))
-        index = index.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        found = rows.join(index, [*key, "_salt"]).drop("_salt")
-    found = found.where(F.col("least") <= F.col("score")).withColumn("_watch", F.explode("watches")).where(F.col("_watch.score_threshold") <= F.col("score"))
-    return found.withColumn("watch_id", F.col("_watch.watch_id")).drop("block", "feedback_cell", "chunk", "watches", "least", "_watch")
-
-
-def with_watches(rows: DataFrame, watches: DataFrame) -> DataFrame:
-    """The watches of candidates, by their id."""
-    own = watches.drop("component_type")
-    if watches.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(own), "watch_id")
-    return rows.join(own, "watch_id")
+    """Rows of scored with the columns of each watch that the index gives for them."""
+    looked = small(stretches(ranged(watches)).withColumn("_look", F.explode(F.sequence(F.floor(F.col("start") / LOOK), F.floor(F.col("upto") / LOOK)))), BROADCAST_ROWS)
+    index = index_of(watches, looked)
+    # A price that is not known fits watches that ask for none, which reach into every stretch.
+    rows = placed(scored.withColumn("_cell", F.when(F.col("unit_price").isNull(), 0).otherwise(price_cell(F.col("unit_price")))), "_cell", looked, "stretch").drop("_cell")
+    key = ["component_type", "stretch"]
+    if watches.limit(BROADCAST_CHUNKS * CHUNK + 1).count() <= BROADCAST_CHUNKS * CHUNK:
+        rows, index = rows.drop("salts"), F.broadcast(index.drop("salts"))
+    else:  # a type with few stretches has many listings in each
+        salt = F.pmod(F.xxhash64(*[c for c in ("listing_id", "unit_price", "score") if c in rows.columns]), F.col("salts")).cast("int")
+        rows = rows.withColumn("_salt", salt).drop("salts")
+        index = index.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+        key = [*key, "_salt"]
+    index = index.select(*[F.col(c).alias(f"_of_{c}") if c in key else F.col(c) for c in index.columns])
+    price, feedback = F.col("unit_price").cast("double"), F.coalesce(F.col("seller_feedback_score").cast("double"), F.lit(float("-inf")))
+    # Scores that are not known are not filtered first: Spark would work out the score once more for it, in code too large to compile.
+    fits = F.coalesce(F.col("_least_score") <= F.col("score"), F.lit(False)) & (F.col("_least") <= feedback) & F.coalesce((F.col("_low") <= price) & (price <= F.col("_high")), F.col("_open"))
+    at = fits
+    for c in key:
+        at = (F.col(c) == F.col(f"_of_{c}")) & at
+    found = rows.join(index, at).withColumn("_watch", F.explode("_watches")).where(F.coalesce(F.col("_watch.score_threshold") <= F.col("score"), F.lit(False)))
+    return found.select(*scored.columns, "_watch.*")

@@ -235,7 +235,7 @@ MANY = f"""(SELECT s.listing_id, s.score, w.watch_id, w.component_type FROM {SCO
 
 @query(f"SELECT watch_id, listing_id, score FROM {MANY}", "listings", "many_watches")
 def many_watches_match(t):
-    return al.watch_matches(scored_of(t), t("many_watches")).select("watch_id", "listing_id", "score")
+    return al.watch_matches(scored_of(t), t("many_watches").drop("watch_name")).select("watch_id", "listing_id", "score")
 
 
 @query(f"SELECT w.watch_id, count(m.listing_id) AS n, max(m.score) AS best FROM many_watches w LEFT JOIN {MANY} m ON m.watch_id = w.watch_id GROUP BY w.watch_id", "listings", "many_watches")

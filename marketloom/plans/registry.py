@@ -240,7 +240,7 @@ def many_watches_match(t):
 
 @query(f"SELECT w.watch_id, count(m.listing_id) AS n, max(m.score) AS best FROM many_watches w LEFT JOIN {MANY} m ON m.watch_id = w.watch_id GROUP BY w.watch_id", "listings", "many_watches")
 def matches_by_watch(t):
-    found = al.watch_matches(scored_of(t), t("many_watches")).groupBy("watch_id").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("best"))
+    found = al.watch_matches(scored_of(t), t("many_watches").drop("watch_name")).groupBy("watch_id").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("best"))
     return t("many_watches").select("watch_id").join(found, "watch_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
